@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, pack
 from .common import table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -33,5 +33,9 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op5_packing": op5_packing}
 ORACLES = {"op1_decontamination": OP1_SQL}
