@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pack
-from .common import table
+from . import decontaminate, pack, token_file
+from .common import shared_dir, table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -37,5 +39,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op5_packing": op5_packing}
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_file.write(table(spark, sf_dir, "documents"), path)
+    return token_file.read(spark, path)
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op5_packing": op5_packing, "op6_token_file": op6_token_file}
 ORACLES = {"op1_decontamination": OP1_SQL}
