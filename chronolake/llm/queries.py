@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pack, token_file
+from . import decontaminate, langid, pack, token_file
 from .common import shared_dir, table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,5 +45,12 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, path)
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op5_packing": op5_packing, "op6_token_file": op6_token_file}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op8_language_id": op8_language_id}
 ORACLES = {"op1_decontamination": OP1_SQL}
