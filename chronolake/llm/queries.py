@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pack, token_file
+from . import decontaminate, langid, pack, token_file, toxicity
 from .common import shared_dir, table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -52,5 +52,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op8_language_id": op8_language_id}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    known = docs.join(labels.where(~held_out).select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic")
+    found = toxicity.score(docs, toxicity.train(docs, known))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 ORACLES = {"op1_decontamination": OP1_SQL}
