@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pack, token_file, toxicity
+from . import decontaminate, langid, pack, pii, token_file, toxicity
 from .common import shared_dir, table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -35,6 +35,11 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -60,5 +65,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_pii": op3_pii, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 ORACLES = {"op1_decontamination": OP1_SQL}
