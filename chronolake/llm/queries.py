@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pack, pii, token_file, toxicity
+from . import decontaminate, imatch, langid, pack, pii, token_file, toxicity
 from .common import shared_dir, table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -50,6 +50,10 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, path)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -65,5 +69,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_pii": op3_pii, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_pii": op3_pii, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op7_fingerprints": op7_fingerprints, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 ORACLES = {"op1_decontamination": OP1_SQL}
