@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, imatch, langid, pack, pii, token_file, toxicity
+from . import chat, decontaminate, imatch, jaccard, langid, pack, pii, token_file, toxicity
 from .common import shared_dir, table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,5 +76,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_pii": op3_pii, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op7_fingerprints": op7_fingerprints, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
-ORACLES = {"op1_decontamination": OP1_SQL}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), size=3, num=9, den=10)
+
+
+OP10_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END) AS t FROM w),
+n AS (SELECT doc_id, count(t) AS n FROM s GROUP BY doc_id),
+link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL) p
+         JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)),
+r(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, link.b FROM r JOIN link ON r.b = link.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_pii": op3_pii, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op7_fingerprints": op7_fingerprints, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
+ORACLES = {"op1_decontamination": OP1_SQL, "op10_jaccard_join": OP10_SQL}
