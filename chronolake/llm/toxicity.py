@@ -151,16 +151,17 @@ def _reader(model: Model) -> Reader:
     return _readers[model.key]
 
 
-def train(documents: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """The letter model from all ``documents``, the logistic model from a bounded sample of ``labelled`` rows.
+def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """The letter model from all ``documents``, the logistic model from a bounded sample of ``labels`` rows.
 
-    ``labelled`` has doc_id, text and label; rows without a label are left out. With no labelled row, or only one
+    ``labels`` has doc_id and label; rows without either are left out. With no labelled document, or only one
     class, the model scores the share of positives (0 with no rows).
     """
     letters = letter_model(documents, text)
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(label) > 0).cast("int").alias("label"))
-    ids = rows.select("doc", F.xxhash64("doc").alias("h")).distinct().orderBy("h", "doc").limit(FIT_ROWS).select("doc")
-    sample = written(rows.join(bounded_broadcast(ids, FIT_ROWS, FIT_ROWS), "doc", "left_semi").select("text", "label"), "sample")
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), (F.col(label) > 0).cast("int").alias("label"))
+    chosen_rows = known.orderBy(F.xxhash64("doc"), "doc", "label").limit(FIT_ROWS)
+    bodies = documents.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = written(bodies.join(bounded_broadcast(chosen_rows, FIT_ROWS, FIT_ROWS), "doc").select("text", "label"), "sample")
     model = Model(letters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
