@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, imatch, jaccard, langid, pack, pii, token_file, toxicity
+from . import chat, decontaminate, imatch, jaccard, langid, pack, pii, substring, token_file, toxicity
 from .common import shared_dir, table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,6 +47,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -91,5 +95,5 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(r.
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id, n.n
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_pii": op3_pii, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op7_fingerprints": op7_fingerprints, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_substring_dedup": op4_substring_dedup, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op7_fingerprints": op7_fingerprints, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
 ORACLES = {"op1_decontamination": OP1_SQL, "op10_jaccard_join": OP10_SQL}
