@@ -28,6 +28,10 @@ FREQUENT_SHARE = 1e-3
 RARE_DOCUMENTS = 200
 #: Tokens of a combination, by which the prefix is extended.
 COMBINED = 2
+#: The share of a prefix that makes a document lean on the least one with those tokens.
+STAR_SHARE = 0.3
+#: Bits of the bitmap that marks the documents whose whole sets are needed.
+MARK_BITS = 26
 #: Shingles counted at once in a task.
 AT_ONCE = 2_000_000
 #: The key of a null doc_id.
@@ -115,12 +119,58 @@ def _prefixes(keyed: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return keyed.mapInArrow(cut, "k long, n int, digest binary, tokens array<long>")
 
 
-def _sets(keyed: DataFrame, size: int) -> DataFrame:
+def _postings(own: DataFrame, buckets: int) -> DataFrame:
+    """(token, k, n, pos, df, least) for tokens that two documents have; least: the least of them with its n.
+
+    Postings travel packed by bucket of their token, and only the shared ones become rows.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            tokens = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            k, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1))
+            pos = np.arange(len(tokens), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+            to = ((tokens.view(np.uint64) >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(to[order]) > 0)) if len(to) else np.zeros(0, np.int64)
+            ends = np.append(first[1:], len(to))
+            packed = [pa.array([x[order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for x in (tokens, k, n.astype(np.int32), pos)]
+            yield pa.RecordBatch.from_arrays([pa.array(to[order][first]), *packed], ["bucket", "tokens", "ks", "ns", "poss"])
+
+    def shared(table: pa.Table) -> pa.Table:
+        token, k, n, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tokens", np.int64), ("ks", np.int64), ("ns", np.int32), ("poss", np.int32)))
+        order = np.lexsort((k, token))
+        token, k, n, pos = token[order], k[order], n[order], pos[order]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        df = np.diff(np.append(first, len(token)))
+        keep = np.repeat(df > 1, df)
+        least_k, least_n, df = np.repeat(k[first], df), np.repeat(n[first], df), np.repeat(df, df)
+        return pa.table({"token": token[keep], "k": k[keep], "n": n[keep], "pos": pos[keep], "df": df[keep], "least_k": least_k[keep], "least_n": least_n[keep]})
+
+    sent = own.select("k", "n", "tokens").mapInArrow(send, "bucket long, tokens binary, ks binary, ns binary, poss binary")
+    return sent.groupBy("bucket").applyInArrow(shared, "token long, k long, n int, pos int, df long, least_k long, least_n int")
+
+
+def _sets(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(k, tokens) of the documents whose key is marked in a bitmap of fixed size: all of ``wanted`` and a few more."""
+    slot = F.xxhash64("k").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    marks = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    marks[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    shipped = keyed.sparkSession.sparkContext.broadcast(marks.tobytes())  # 2^MARK_BITS bits at any input
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shipped.value, np.uint64)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(b.as_py(), size).view(np.int64) for b in batch.column(1)], pa.list_(pa.int64()))], ["k", "tokens"])
+            s = batch.column(2).to_numpy()
+            rows = np.flatnonzero(bits[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1))
+            texts = batch.column(1)
+            sets = pa.array([shingles(texts[i].as_py(), size).view(np.int64) for i in rows.tolist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), sets], ["k", "tokens"])
 
-    return keyed.mapInArrow(whole, "k long, tokens array<long>")
+    return keyed.select("k", "text", slot.alias("s")).mapInArrow(whole, "k long, tokens array<long>").dropDuplicates(["k"])
 
 
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
@@ -136,15 +186,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where((F.col("_both") * den) >= (F.col("_sum") - F.col("_both")) * num).select("a", "b")
 
 
-def _candidates(postings: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
-    """Pairs of different components that share a token (or pair of tokens) within the bounds on length and position."""
+def _met(postings: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
+    """A row for each token (or pair of tokens) that two documents of different components share within the bounds on length and position."""
     mixed = postings.groupBy(*by).agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select(*by)
     own = postings.join(mixed, by, "left_semi")
     other = own.select(*by, *(F.col(x).alias(f"{x}2") for x in ("k", "n", "pos", "c")))
     best = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
     met = own.join(other, by).where((F.col("c") != F.col("c2")) & (F.col("k") < F.col("k2")))
     kept = met.where(_fits(F.col("n"), F.col("n2"), num, den) & (best * (num + den) >= (F.col("n") + F.col("n2")) * num))
-    return kept.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
+    return kept.select(F.col("k").alias("a"), F.col("k2").alias("b"))
 
 
 def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,27 +208,30 @@ def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_i
     rows = written(_prefixes(keyed, size, num, den), "prefixes")
     nodes = written(rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("k")), "nodes")
     own = rows.join(nodes.select("k").distinct(), "k", "left_semi")
-    postings = own.select("k", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("k", "n")).alias("least")).where("df > 1")
-    repeated = written(postings.join(shared, "token"), "postings")
-
-    met = repeated.where((F.col("k") != F.col("least.k")) & _fits(F.col("n"), F.col("least.n"), num, den))
-    stars = met.groupBy("k", F.col("least.k").alias("b")).agg(F.count("*").alias("t"))
-    stars = written(stars.groupBy("k").agg(F.max_by("b", F.struct("t", -F.col("b"))).alias("b")).select(F.col("k").alias("a"), "b"), "stars")
-    close = repeated.select("k").distinct()
-    sets = written(_sets(keyed.join(close, "k", "left_semi"), size).dropDuplicates(["k"]), "sets")
-    links = written(_verified(stars, sets, num, den), "links")
+    buckets = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    repeated = written(_postings(own, buckets), "postings")
+
+    # Stars only spare work: whatever they leave apart is compared below.
+    met = repeated.where((F.col("k") != F.col("least_k")) & _fits(F.col("n"), F.col("least_n"), num, den))
+    shared = met.groupBy("k", "n", F.col("least_k").alias("b")).agg(F.count("*").alias("t"))
+    enough = F.greatest(F.lit(COMBINED), (F.col("n") - F.ceil(F.col("n") * num / den)) * STAR_SHARE)
+    stars = shared.where(F.col("t") >= enough).groupBy("k").agg(F.max_by("b", F.struct("t", -F.col("b"))).alias("b"))
+    stars = written(stars.select(F.col("k").alias("a"), "b"), "stars")
+    both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    links = written(_verified(stars, written(_sets(keyed, both(stars), size), "sets"), num, den), "links")
     found = components(links)
 
     at = repeated.join(found, repeated["k"] == found["node"], "left").select("token", "k", "n", "pos", "df", F.coalesce("component", "k").alias("c"))
     mixed = at.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("token")
-    open_ = written(at.join(mixed, "token", "left_semi"), "open")
-    rare = open_.where(F.col("df") <= RARE_DOCUMENTS)
-    often = open_.where(F.col("df") > RARE_DOCUMENTS).groupBy("k", "n", "c").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("ts"))
-    firsts = often.select("k", "n", "c", "ts", F.posexplode("ts").alias("i", "one"))
-    paired = firsts.select("k", "n", "c", "one.pos", F.col("one.token").alias("token"), F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("two")).select("k", "n", "c", "pos", "token", F.col("two.token").alias("token2"))
-    pairs = _candidates(rare, ["token"], num, den).unionByName(_candidates(paired, ["token", "token2"], num, den)).distinct()
-    more = _verified(written(pairs, "pairs"), sets, num, den)
+    open_ = written(at.join(mixed, "token", "left_semi").withColumn("often", F.col("df") > RARE_DOCUMENTS), "open")
+    # Two shared tokens are both rare, or a pair of which one is frequent at least.
+    rare = _met(open_.where("not often"), ["token"], num, den).groupBy("a", "b").agg(F.count("*").alias("t")).where(F.col("t") >= COMBINED)
+    own_tokens = open_.groupBy("k", "n", "c").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "often"))).alias("ts"), F.max("often").alias("some")).where("some")
+    firsts = own_tokens.select("k", "n", "c", "ts", F.posexplode("ts").alias("i", "one"))
+    later = F.filter(F.slice("ts", F.col("i") + 2, F.size("ts")), lambda t: t["often"] | F.col("one.often"))
+    paired = firsts.select("k", "n", "c", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "pos", "token", F.col("two.token").alias("token2"))
+    pairs = written(rare.select("a", "b").unionByName(_met(paired, ["token", "token2"], num, den)).distinct(), "pairs")
+    more = _verified(pairs, written(_sets(keyed, both(pairs), size), "sets"), num, den)
     final = components(links.unionByName(more.select("a", "b")))
 
     labelled = nodes.join(final, nodes["k"] == final["node"], "left").select("digest", F.coalesce("component", "k").alias("component"))
