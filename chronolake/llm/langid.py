@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 SLOTS = 1 << 16
 PENALTY = 12.0
+UNDETERMINED = "und"
 #: A language is a candidate for a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
 #: Characters scored at once.
@@ -161,6 +162,38 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     return labels
 
 
+def _labels(texts: list[str], scorer: _Scorer | None, names: list[str], penalty: float) -> tuple[list[str], list[float], list[str]]:
+    pred, score, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
+    if scorer and texts:
+        scores, n, start, end, sizes = scorer.words(texts)
+        labels = viterbi(scores, sizes, penalty)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        letters = np.bincount(owner * len(names) + labels, n, len(texts) * len(names)).reshape(-1, len(names))
+        new = np.append(True, (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1])) if len(owner) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(owner)) - 1
+        held: dict[int, list[str]] = {}
+        for doc, a, b, k in zip(owner[first].tolist(), start[first].tolist(), end[last].tolist(), labels[first].tolist(), strict=True) if len(first) else ():
+            held.setdefault(doc, []).append(f"{a}:{b}:{names[k]}")
+        for doc, parts in held.items():
+            best = int(letters[doc].argmax())
+            pred[doc], score[doc], spans[doc] = names[best], float(letters[doc, best] / letters[doc].sum()), ",".join(parts)
+    return pred, score, spans
+
+
+def keep_identified(documents: DataFrame, model: dict[str, np.ndarray], least: float = 0.0, penalty: float = PENALTY, text: str = "text") -> DataFrame:
+    """``documents`` whose language is determined with at least the score ``least``; columns as given."""
+    names, at = list(model), documents.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model) if names else None
+        for batch in batches:
+            pred, score, _ = _labels([t or "" for t in batch.column(at).to_pylist()], scorer, names, penalty)
+            yield batch.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def identify(documents: DataFrame, model: dict[str, np.ndarray], penalty: float = PENALTY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Labels whole texts: ``doc_id, lang_pred, score, spans``.
 
@@ -173,22 +206,7 @@ def identify(documents: DataFrame, model: dict[str, np.ndarray], penalty: float
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model) if names else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
-            if scorer and texts:
-                scores, n, start, end, sizes = scorer.words(texts)
-                labels = viterbi(scores, sizes, penalty)
-                owner = np.repeat(np.arange(len(texts)), sizes)
-                letters = np.bincount(owner * len(names) + labels, n, len(texts) * len(names)).reshape(-1, len(names))
-                new = np.append(True, (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1])) if len(owner) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(owner)) - 1
-                held: dict[int, list[str]] = {}
-                for doc, a, b, k in zip(owner[first].tolist(), start[first].tolist(), end[last].tolist(), labels[first].tolist(), strict=True) if len(first) else ():
-                    held.setdefault(doc, []).append(f"{a}:{b}:{names[k]}")
-                for doc, parts in held.items():
-                    best = int(letters[doc].argmax())
-                    pred[doc], score[doc], spans[doc] = names[best], float(letters[doc, best] / letters[doc].sum()), ",".join(parts)
+            pred, score, spans = _labels([t or "" for t in batch.column(1).to_pylist()], scorer, names, penalty)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], ["doc_id", "lang_pred", "score", "spans"])
 
     kind = dict(documents.dtypes)[doc_id]
