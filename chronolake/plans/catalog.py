@@ -1,4 +1,6 @@
 """Every registered query with its oracle, by name."""
 
-QUERIES = {}
-ORACLES = {}
+from . import scan_queries, time_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
