@@ -196,11 +196,11 @@ def w7_latest_record(t: Tables) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT account, opened, round(sum(principal), 2) AS base FROM {debts} d GROUP BY 1, 2), g AS (SELECT *, coalesce(datediff('day', lag(opened) OVER (PARTITION BY account ORDER BY opened), opened), 1) AS days FROM c)
-    SELECT account, strftime(opened, '%Y%m%d') AS day, CAST(days AS BIGINT) AS days, round(sum(base * 0.08 / 360 * days) OVER (PARTITION BY account ORDER BY opened ROWS UNBOUNDED PRECEDING), 2) AS total FROM g""")
+    SELECT account, strftime(opened, '%Y%m%d') AS day, CAST(days AS BIGINT) AS days, round(sum(base * 0.08 / 360 * days) OVER (PARTITION BY account ORDER BY opened ROWS UNBOUNDED PRECEDING), 7) AS total FROM g""")
 def w8_interest_accrual(t: Tables) -> DataFrame:
     marks = t.debts.groupBy("account", "opened").agg(F.round(F.sum("principal"), 2).alias("base"))
     out = windows.accrue(marks, "account", "opened", F.col("base"), F.lit(0.08))
-    return out.select("account", F.date_format("opened", "yyyyMMdd").alias("day"), F.col("days").cast("long").alias("days"), F.round("interest_total", 2).alias("total"))
+    return out.select("account", F.date_format("opened", "yyyyMMdd").alias("day"), F.col("days").cast("long").alias("days"), F.round("interest_total", 7).alias("total"))
 
 
 @query("""WITH d AS (SELECT *, sum(principal + interest) OVER (PARTITION BY account) * 0.6 AS paid, sum(principal + interest) OVER (PARTITION BY account ORDER BY opened, contract ROWS UNBOUNDED PRECEDING) - principal - interest AS earlier FROM {debts} x),
