@@ -1,6 +1,6 @@
 """Every registered query with its oracle, by name."""
 
-from . import join_queries, scan_queries, time_queries  # noqa: F401
+from . import asof_queries, join_queries, perf_queries, scan_queries, time_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
