@@ -170,7 +170,7 @@ def _sets(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = pa.array([shingles(texts[i].as_py(), size).view(np.int64) for i in rows.tolist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), sets], ["k", "tokens"])
 
-    return keyed.select("k", "text", slot.alias("s")).mapInArrow(whole, "k long, tokens array<long>").dropDuplicates(["k"])
+    return keyed.select("k", "text", slot.alias("s")).mapInArrow(whole, "k long, tokens array<long>")
 
 
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
@@ -179,11 +179,11 @@ def _fits(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity; each pair carries its second set alone."""
+    """The pairs (a, b) whose whole sets reach the similarity; both sides read one exchange of the sets, pairs carry one set on."""
     first, second = (sets.select(F.col("k").alias(c), F.col("tokens").alias(f"_{c}")) for c in ("a", "b"))
     joined = pairs.select("a", "b").join(first, "a").join(second, "b")
     both = joined.select("a", "b", (F.size("_a") + F.size("_b")).alias("_sum"), F.size(F.array_intersect("_a", "_b")).alias("_both"))
-    return both.where((F.col("_both") * den) >= (F.col("_sum") - F.col("_both")) * num).select("a", "b")
+    return both.where((F.col("_both") * den) >= (F.col("_sum") - F.col("_both")) * num).select("a", "b").distinct()
 
 
 def _met(postings: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
@@ -218,7 +218,7 @@ def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_i
     stars = shared.where(F.col("t") >= enough).groupBy("k").agg(F.max_by("b", F.struct("t", -F.col("b"))).alias("b"))
     stars = written(stars.select(F.col("k").alias("a"), "b"), "stars")
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    links = written(_verified(stars, written(_sets(keyed, both(stars), size), "sets"), num, den), "links")
+    links = written(_verified(stars, _sets(keyed, both(stars), size), num, den), "links")
     found = components(links)
 
     at = repeated.join(found, repeated["k"] == found["node"], "left").select("token", "k", "n", "pos", "df", F.coalesce("component", "k").alias("c"))
@@ -231,7 +231,7 @@ def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_i
     later = F.filter(F.slice("ts", F.col("i") + 2, F.size("ts")), lambda t: t["often"] | F.col("one.often"))
     paired = firsts.select("k", "n", "c", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "pos", "token", F.col("two.token").alias("token2"))
     pairs = written(rare.select("a", "b").unionByName(_met(paired, ["token", "token2"], num, den)).distinct(), "pairs")
-    more = _verified(pairs, written(_sets(keyed, both(pairs), size), "sets"), num, den)
+    more = _verified(pairs, _sets(keyed, both(pairs), size), num, den)
     final = components(links.unionByName(more.select("a", "b")))
 
     labelled = nodes.join(final, nodes["k"] == final["node"], "left").select("digest", F.coalesce("component", "k").alias("component"))
