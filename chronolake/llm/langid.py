@@ -92,12 +92,12 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> dict[s
     return dict(sorted(model.items()))
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
+def _parts(texts: list[str], most: int = AT_ONCE) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
         size += len(t)
-        if size >= AT_ONCE:
+        if size >= most:
             yield part
             part, size = [], 0
     if part:
@@ -133,7 +133,7 @@ class _Scorer:
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     """Labels that maximise the sum of scores less ``penalty`` per switch, for runs of ``sizes`` rows side by side."""
-    labels = np.zeros(len(scores), np.int64)
+    labels = np.zeros(len(scores), np.int32)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
     if not len(order):
@@ -141,7 +141,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     size = sizes[order]
     start = (np.cumsum(sizes) - sizes)[order]
     live = np.searchsorted(-size, -np.arange(size[0]), "left")  # runs longer than t
-    switch, source = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int64)
+    switch, source = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int16)
     value, last = scores[start], np.zeros(len(order), np.int64)
     for t in range(1, size[0]):
         n = live[t]
@@ -163,6 +163,12 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 
 
 def _labels(texts: list[str], scorer: _Scorer | None, names: list[str], penalty: float) -> tuple[list[str], list[float], list[str]]:
+    """Languages, scores and spans of ``texts``, some millions of characters at a time."""
+    out = [_labels_at_once(part, scorer, names, penalty) for part in _parts(texts, 3 * AT_ONCE)]
+    return tuple(sum(x, []) for x in zip(*out, strict=True)) if out else ([], [], [])
+
+
+def _labels_at_once(texts: list[str], scorer: _Scorer | None, names: list[str], penalty: float) -> tuple[list[str], list[float], list[str]]:
     pred, score, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
     if scorer and texts:
         scores, n, start, end, sizes = scorer.words(texts)
