@@ -32,6 +32,8 @@ COMBINED = 2
 STAR_SHARE = 0.3
 #: Bits of the bitmap that marks the documents whose whole sets are needed.
 MARK_BITS = 26
+#: Words whose hashes a worker remembers.
+REMEMBERED = 200_000
 #: Shingles counted at once in a task.
 AT_ONCE = 2_000_000
 #: The key of a null doc_id.
@@ -44,7 +46,7 @@ _Q = np.uint64(0xBF58476D1CE4E5B9)
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         key = xxhash.xxh64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < REMEMBERED:
             self[word] = key
         return key
 

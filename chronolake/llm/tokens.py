@@ -8,7 +8,7 @@ from array import array
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks that a worker remembers at most; beyond, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 #: A letter or digit, then closing signs: a border between pre-tokens. An apostrophe is left to the library.
 _CLOSED = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.S)
