@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,44 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
 def once(value: Column) -> Column:
     """A generator of the one ``value``: later projections read it instead of repeating the expression in lambdas."""
     return F.explode(F.array(value))
+
+
+#: Bits of the bitmaps that mark documents: 8 MB at any input.
+MARK_BITS = 26
+
+
+def mark_slot(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+
+
+def marks(keys: DataFrame, key: str) -> bytes:
+    """A bitmap of fixed size in which the slots of ``keys`` are set."""
+    slots = keys.select(mark_slot(F.col(key)).alias("s"))
+    words = slots.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def is_marked(bits: bytes, slots: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(bits, np.uint64)[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def split(df: DataFrame, key: Column, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in ``keys``, the others), so that a join with ``keys`` shuffles only the others.
+
+    Where the bitmap fills up, more rows are among the others; nothing is lost.
+    """
+    bits = df.sparkSession.sparkContext.broadcast(marks(keys, name))
+    slotted = df.select("*", mark_slot(key).alias("_slot"))
+
+    def only(wanted: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.num_columns - 1
+                hit = is_marked(bits.value, batch.column(at).to_numpy())
+                yield batch.select(list(range(at))).filter(pa.array(hit == wanted))
+
+        return slotted.mapInArrow(keep, df.schema)
+
+    return only(False), only(True)

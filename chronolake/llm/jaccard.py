@@ -1,8 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one node. Tokens are
-ordered rare before frequent, then by hash; two sets of the wanted similarity share at least two tokens of
-their first ``n - required + 2`` (a prefix extended by one for pairs of tokens). Documents are first held
+ordered rare before frequent, then by hash; two sets of the wanted similarity share at least l tokens of
+their first ``n - required + l``; l is two, for pairs of tokens, and grows slowly with the set. Documents are first held
 against the least document with which they share most prefix tokens, which joins groups of copies in a
 star. Only tokens whose documents still lie in different components go on: rare ones index single tokens,
 frequent ones pairs of tokens. Candidates pass bounds on length and position and are verified on whole sets.
@@ -17,21 +17,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import is_marked, mark_slot, marks, split, written
 from .components import components
 
 #: A token is frequent when more than this share of documents hold it (first class) ...
 FREQUENT_SHARE = 1e-3
 #: ... or, in prefixes, when more documents than this hold it (then pairs of tokens are indexed).
 RARE_DOCUMENTS = 200
-#: Tokens of a combination, by which the prefix is extended.
-COMBINED = 2
+#: Tokens of a combination, and one more for each so many tokens of a set: so many shared ones a prefix is extended for.
+COMBINED, MORE_EACH = 2, 40
 #: The share of a prefix that makes a document lean on the least one with those tokens.
 STAR_SHARE = 0.3
-#: Bits of the bitmap that marks the documents whose whole sets are needed.
-MARK_BITS = 26
 #: Words whose hashes a worker remembers.
 REMEMBERED = 200_000
 #: Shingles counted at once in a task.
@@ -114,7 +113,7 @@ def _prefixes(keyed: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 digests.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
                 at = np.searchsorted(frequent, own)
                 often = frequent[np.minimum(at, len(frequent) - 1)] == own if len(frequent) else np.zeros(len(own), bool)
-                most = len(own) - -(-num * len(own) // den) + COMBINED
+                most = len(own) - -(-num * len(own) // den) + COMBINED + len(own) // MORE_EACH
                 tokens.append(np.concatenate((own[~often], own[often]))[:most].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["k", "n", "digest", "tokens"])
 
@@ -157,22 +156,16 @@ def _postings(own: DataFrame, buckets: int) -> DataFrame:
 
 def _sets(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(k, tokens) of the documents whose key is marked in a bitmap of fixed size: all of ``wanted`` and a few more."""
-    slot = F.xxhash64("k").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
-    words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
-    marks = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    marks[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    shipped = keyed.sparkSession.sparkContext.broadcast(marks.tobytes())  # 2^MARK_BITS bits at any input
+    shipped = keyed.sparkSession.sparkContext.broadcast(marks(wanted, "k"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shipped.value, np.uint64)
         for batch in batches:
-            s = batch.column(2).to_numpy()
-            rows = np.flatnonzero(bits[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1))
+            rows = np.flatnonzero(is_marked(shipped.value, batch.column(2).to_numpy()))
             texts = batch.column(1)
             sets = pa.array([shingles(texts[i].as_py(), size).view(np.int64) for i in rows.tolist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), sets], ["k", "tokens"])
 
-    return keyed.select("k", "text", slot.alias("s")).mapInArrow(whole, "k long, tokens array<long>")
+    return keyed.select("k", "text", mark_slot(F.col("k")).alias("s")).mapInArrow(whole, "k long, tokens array<long>")
 
 
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
@@ -192,11 +185,11 @@ def _met(postings: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     """A row for each token (or pair of tokens) that two documents of different components share within the bounds on length and position."""
     mixed = postings.groupBy(*by).agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select(*by)
     own = postings.join(mixed, by, "left_semi")
-    other = own.select(*by, *(F.col(x).alias(f"{x}2") for x in ("k", "n", "pos", "c")))
+    other = own.select(*by, *(F.col(x).alias(f"{x}2") for x in ("k", "n", "pos", "c", "of")))
     best = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
     met = own.join(other, by).where((F.col("c") != F.col("c2")) & (F.col("k") < F.col("k2")))
     kept = met.where(_fits(F.col("n"), F.col("n2"), num, den) & (best * (num + den) >= (F.col("n") + F.col("n2")) * num))
-    return kept.select(F.col("k").alias("a"), F.col("k2").alias("b"))
+    return kept.select(F.col("k").alias("a"), F.col("k2").alias("b"), F.least("n", "n2").alias("n"), F.least("of", "of2").alias("of"))
 
 
 def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,7 +202,10 @@ def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_i
     keyed = _keyed(documents, doc_id, text)
     rows = written(_prefixes(keyed, size, num, den), "prefixes")
     nodes = written(rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("k")), "nodes")
-    own = rows.join(nodes.select("k").distinct(), "k", "left_semi")
+    # Copies have a least one among them, so most rows are nodes and need no join.
+    copies = rows.where("n > 0").join(nodes.select(F.col("digest").alias("_d"), F.col("k").alias("_least")), F.col("digest") == F.col("_d")).where("k <> _least").select("k")
+    sure, maybe = split(rows.where("n > 0").select("k", "n", "tokens"), F.col("k"), copies, "k")
+    own = sure.unionByName(maybe.join(nodes.select("k").distinct(), "k", "left_semi"))
     buckets = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     repeated = written(_postings(own, buckets), "postings")
 
@@ -226,13 +222,19 @@ def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_i
     at = repeated.join(found, repeated["k"] == found["node"], "left").select("token", "k", "n", "pos", "df", F.coalesce("component", "k").alias("c"))
     mixed = at.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("token")
     open_ = written(at.join(mixed, "token", "left_semi").withColumn("often", F.col("df") > RARE_DOCUMENTS), "open")
-    # Two shared tokens are both rare, or a pair of which one is frequent at least.
-    rare = _met(open_.where("not often"), ["token"], num, den).groupBy("a", "b").agg(F.count("*").alias("t")).where(F.col("t") >= COMBINED)
-    own_tokens = open_.groupBy("k", "n", "c").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "often"))).alias("ts"), F.max("often").alias("some")).where("some")
-    firsts = own_tokens.select("k", "n", "c", "ts", F.posexplode("ts").alias("i", "one"))
+    frequent = F.sum(F.col("often").cast("int")).over(W.partitionBy("k"))
+    open_ = open_.withColumn("of", frequent)
+    # Two shared tokens are both rare, or a pair of which one is frequent at least. Of the tokens that a pair of
+    # documents must share, the rare ones are counted and the frequent ones bounded.
+    must = COMBINED + F.floor(F.col("n") / MORE_EACH)
+    counted = lambda met: met.groupBy("a", "b", "n", "of").agg(F.count("*").alias("t"))
+    rare = counted(_met(open_.where("not often"), ["token"], num, den)).where((F.col("t") >= COMBINED) & (F.col("t") + F.col("of") >= must))
+    own_tokens = open_.where("of > 0").groupBy("k", "n", "c", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "often"))).alias("ts"))
+    firsts = own_tokens.select("k", "n", "c", "of", "ts", F.posexplode("ts").alias("i", "one"))
     later = F.filter(F.slice("ts", F.col("i") + 2, F.size("ts")), lambda t: t["often"] | F.col("one.often"))
-    paired = firsts.select("k", "n", "c", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "pos", "token", F.col("two.token").alias("token2"))
-    pairs = written(rare.select("a", "b").unionByName(_met(paired, ["token", "token2"], num, den)).distinct(), "pairs")
+    paired = firsts.select("k", "n", "c", "of", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "of", "pos", "token", F.col("two.token").alias("token2"))
+    mixed_pairs = counted(_met(paired, ["token", "token2"], num, den)).where(F.col("t") + 1 >= must)
+    pairs = written(rare.select("a", "b").unionByName(mixed_pairs.select("a", "b")).distinct(), "pairs")
     more = _verified(pairs, _sets(keyed, both(pairs), size), num, den)
     final = components(links.unionByName(more.select("a", "b")))
 
@@ -245,4 +247,6 @@ def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_i
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``documents`` with the one of each component whose doc_id is least; columns as given."""
     dropped = join(documents, doc_id=doc_id, text=text, **options).where("doc_id != component_id or (doc_id is not null and component_id is null)").select(F.col("doc_id").alias("_dropped"))
-    return documents.join(dropped, documents[doc_id] == dropped["_dropped"], "left_anti")
+    dropped = written(dropped, "dropped")
+    stay, maybe = split(documents, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), dropped, "_dropped")
+    return stay.unionByName(maybe.join(dropped, maybe[doc_id] == dropped["_dropped"], "left_anti"))
