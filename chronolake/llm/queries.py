@@ -46,7 +46,7 @@ OP2_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
            SELECT -1, k, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
 k AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS tok,
-      12 + length(replace(replace(replace(role, '\', '\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 1 + length(replace(replace(text, '\', '\'), '<|', '<\|')) + 11 AS chars FROM c),
+      12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS chars FROM c),
 p AS (SELECT *, row_number() OVER w - 1 AS pos, sum(tok) OVER (w ROWS UNBOUNDED PRECEDING) - tok AS before FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 s AS (SELECT conv_id, tok AS s, chars AS schars FROM p WHERE pos = 0 AND role = 'system'),
 o AS (SELECT p.*, before - coalesce(s, 0) AS at0, greatest(2048 - 512 - coalesce(s, 0), 512) AS f FROM p LEFT JOIN s USING (conv_id) WHERE s IS NULL OR pos > 0),
