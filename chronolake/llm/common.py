@@ -35,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+#: Rows of an Arrow batch: texts of a batch are in memory several times over, in the JVM and in Python.
+BATCH_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small in this session, so that many long texts are not held together."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_marked, mark_slot, marks, split, written
+from .common import is_marked, mark_slot, marks, modest_batches, split, written
 from .components import components
 
 #: A token is frequent when more than this share of documents hold it (first class) ...
@@ -199,6 +199,7 @@ def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_i
     and blank texts have no shingles and no links; equal sets are linked; null doc_ids count as the least;
     rows that repeat a doc_id are one node; no rows give none; extra columns are ignored.
     """
+    modest_batches(documents.sparkSession)
     keyed = _keyed(documents, doc_id, text)
     rows = written(_prefixes(keyed, size, num, den), "prefixes")
     nodes = written(rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("k")), "nodes")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 SLOTS = 1 << 16
 PENALTY = 12.0
 UNDETERMINED = "und"
@@ -82,6 +84,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> dict[s
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some), pa.array(own[some])], ["lang", "slot", "n"])
 
+    modest_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("c")).select("lang", "c.slot", "c.n").toArrow()

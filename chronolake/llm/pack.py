@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import modest_batches, written
 from .tokens import ids_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -172,6 +172,7 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str | None = Non
     empty texts are the end id alone; only documents longer than ``capacity`` are cut; repeated rows and
     null doc_ids are packed like any other; no documents give no rows; extra columns are ignored.
     """
+    modest_batches(documents.sparkSession)
     cut = written(pieces(documents, capacity, tokenizer), "pieces")
     per_task = cut.groupBy("length", "task").agg(F.count("*").alias("_n"))
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)

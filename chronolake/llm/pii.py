@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import modest_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 5
@@ -131,6 +131,7 @@ def spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Beside the base kinds there are ``generalise`` and ``remove``, the disclosing terms. Null and empty texts have
     no spans; rows that repeat a doc_id are one document to the counts; null doc_ids count as one document too.
     """
+    modest_batches(documents.sparkSession)
     found = written(_found(documents, doc_id, text), "entities")
     near = found.select("doc", F.explode("near").alias("n")).select("doc", "n.*")
     n_docs = documents.count()

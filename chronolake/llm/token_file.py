@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import modest_batches
 from .tokens import ids_of
 
 MAGIC = b"TKRC"
@@ -257,6 +258,7 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None) -> None
         if docs:
             yield closed()
 
+    modest_batches(documents.sparkSession)
     spark = documents.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")

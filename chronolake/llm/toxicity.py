@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, written
+from .common import bounded_broadcast, modest_batches, written
 
 #: Letters that signs imitate (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -157,6 +157,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     ``labels`` has doc_id and label; rows without either are left out. With no labelled document, or only one
     class, the model scores the share of positives (0 with no rows).
     """
+    modest_batches(documents.sparkSession)
     letters = letter_model(documents, text)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), (F.col(label) > 0).cast("int").alias("label"))
     chosen_rows = known.orderBy(F.xxhash64("doc"), "doc", "label").limit(FIT_ROWS)
