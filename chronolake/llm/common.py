@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +78,18 @@ def mark_slot(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
 
 
-def marks(keys: DataFrame, key: str) -> bytes:
+def crc_slot(key: Column) -> Column:
+    """A slot that Python finds as well: ``is_marked(bits, crc_slots(keys))``."""
+    return F.crc32(key).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+
+
+def crc_slots(keys: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(k.encode()) for k in keys], np.int64) & ((1 << MARK_BITS) - 1)
+
+
+def marks(keys: DataFrame, key: str, slot: Callable[[Column], Column] = mark_slot) -> bytes:
     """A bitmap of fixed size in which the slots of ``keys`` are set."""
-    slots = keys.select(mark_slot(F.col(key)).alias("s"))
+    slots = keys.select(slot(F.col(key)).alias("s"))
     words = slots.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (MARK_BITS - 6), np.int64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy()

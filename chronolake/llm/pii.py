@@ -1,31 +1,40 @@
 """Personal data: patterns find the protected entities, corpus co-occurrence the terms that reveal them.
 
-The base kinds are exact patterns. Each found value is a protected entity, and so is its kind; words within ``REACH`` words of
-it are its terms. Over all documents, PMI(entity; term) = log2(p(entity, term) / (p(entity) p(term)))
+The base kinds are exact patterns. Each found value is a protected entity, and so is its kind; every word of a document
+that holds it, but for those in base spans, is one of its terms. Over all documents, PMI(entity; term) = log2(p(entity, term) / (p(entity) p(term)))
 is compared with the entity's own information IC(entity) = -log2 p(entity), probabilities being shares of
 documents. A term that carries at least ``GENERALISE`` of that information is generalised to its class, one
-that carries at least ``REMOVE`` of it is removed. ``SUPPORT`` documents must share entity and term.
+that carries at least ``REMOVE`` of it is removed, wherever it stands in the documents that hold the entity.
+
+Where fewer than ``SUPPORT`` documents share entity and term, p(entity | term) is not taken as observed but at the
+lower end of its one-sided Wilson interval (``Z``): a rare value counts too, with no more than is certain of it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import modest_batches, written
+from .common import bounded_broadcast, crc_slot, crc_slots, is_marked, marks, modest_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 5
 SUPPORT = 3
+#: 99.5 % of a normal variable lie below it.
+Z = 2.576
 GENERALISE, REMOVE = 0.6, 0.9
 #: Term counts that a task holds before it hands them on.
 HELD = 500_000
+#: Pairs that a task holds before it hands them on, and parts into which the pairs of an entity are dealt.
+PAIRS, SALTS = 100_000, 16
+#: Disclosing pairs up to which they are broadcast (about 100 bytes each); beyond, they are shuffled.
+BROADCAST_ROWS = 200_000
 
 # Fixed patterns. A run of one class before a sign that it lacks is possessive and begins at its border: same matches, linear time.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -67,45 +76,64 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Each entity (the value, and its kind as such) with a word near it that no base span covers."""
-    words = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    free = [w for w in words if not any(a < w[2] and w[1] < b for _, a, b in spans)]
-    starts = [w[1] for w in free]
-    out = []
-    for kind, a, b in spans:
-        k = bisect_left(starts, a)
-        for entity in (kind, f"{kind}:{text[a:b]}"):
-            out += [{"entity": entity, "term": w, "a": x, "b": y} for w, x, y in free[max(0, k - REACH) : k + REACH]]
-    return out
+def _free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of each word that no base span touches."""
+    taken = sorted((a, b) for _, a, b in spans)
+    k = reach = 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= a:
+            yield m[0].lower(), a, b
+
+
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """Each value, and its kind as such."""
+    return {e for kind, a, b in spans for e in (kind, f"{kind}:{text[a:b]}")}
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
-_TERM = pa.struct([("entity", pa.string()), ("term", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
+_OWN = T.StructField("_own", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])))
+
 
+def _tuples(own: list[dict]) -> list[tuple[str, int, int]]:
+    return [(s["kind"], s["a"], s["b"]) for s in own]
 
-def _found(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, doc, spans, near) for each document that has base spans."""
+
+def _found(documents: DataFrame, text: str) -> DataFrame:
+    """The rows that have base spans, with these (``_own``) and a digest of the text (``_key``)."""
+    names = documents.columns
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, spans, near = [], [], []
-            for k, body in enumerate(batch.column(1)):
+            keep, keys, spans = [], [], []
+            for k, body in enumerate(batch.column(names.index(text))):
                 own = base_spans(body.as_py() or "")
                 if own:
                     keep.append(k)
+                    keys.append(hashlib.sha256(body.as_py().encode()).digest())
                     spans.append([{"kind": s, "a": a, "b": b} for s, a, b in own])
-                    near.append(_near(body.as_py(), own))
-            docs = batch.column(0).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([docs, pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_TERM))], ["doc", "spans", "near"])
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.binary()), pa.array(spans, pa.list_(_SPAN))], [*names, "_key", "_own"])
 
-    kind = dict(documents.dtypes)[doc_id]
-    schema = f"doc {kind}, spans array<struct<kind:string,a:int,b:int>>, near array<struct<entity:string,term:string,a:int,b:int>>"
-    return documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(find, schema)
+    return documents.mapInArrow(find, T.StructType([*documents.schema.fields, T.StructField("_key", T.BinaryType()), _OWN]))
+
+
+def _others(documents: DataFrame, text: str) -> DataFrame:
+    """The rows without base spans."""
+    at = documents.columns.index(text)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not base_spans(body.as_py() or "") for body in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(find, documents.schema)
 
 
 def _document_counts(documents: DataFrame, text: str) -> DataFrame:
-    """(term, n): documents that hold each word, summed in tasks before they are shuffled."""
+    """(term, n): documents that hold each word outside base spans, summed in tasks before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -115,7 +143,8 @@ def _document_counts(documents: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                held.update(set(_WORD.findall(body.lower())))
+                own = base_spans(body)
+                held.update({w for w, _, _ in _free_words(body, own)} if own else {w.lower() for w in set(_WORD.findall(body))})
             if len(held) > HELD:
                 yield out()
                 held.clear()
@@ -125,46 +154,151 @@ def _document_counts(documents: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The spans of each document that has any: ``doc, spans`` (kind, a, b), sorted by kind as listed, then start.
+def _entity_counts(found: DataFrame, text: str) -> DataFrame:
+    """(entity, n_entity): documents that hold it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = Counter(e for body, own in zip(*(c.to_pylist() for c in batch.columns)) for e in _entities(body, _tuples(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["entity", "n"])
+
+    return found.select(text, "_own").mapInArrow(each, "entity string, n long").groupBy("entity").agg(F.sum("n").alias("n_entity"))
 
-    Beside the base kinds there are ``generalise`` and ``remove``, the disclosing terms. Null and empty texts have
-    no spans; rows that repeat a doc_id are one document to the counts; null doc_ids count as one document too.
+
+def _marked(words: list[str], bits: bytes) -> list[str]:
+    return [w for w, there in zip(words, is_marked(bits, crc_slots(words))) if there]
+
+
+def _most(n_entity: int, n_docs: int) -> int:
+    """A term that more documents hold cannot carry ``GENERALISE`` of the entity's information, were it in all that hold the entity."""
+    return int(n_entity / (n_entity / n_docs) ** (1 - GENERALISE) * (1 + 1e-9)) + 1
+
+
+def _pair_counts(found: DataFrame, text: str, entities: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+    """(entity, term, n_both): documents that hold both, summed in tasks before they are shuffled.
+
+    With values only terms that are rare enough to disclose them are counted. Bitmaps tell which these are; what they
+    let through beyond that is counted and judged like the rest.
     """
-    modest_batches(documents.sparkSession)
-    found = written(_found(documents, doc_id, text), "entities")
-    near = found.select("doc", F.explode("near").alias("n")).select("doc", "n.*")
-    n_docs = documents.count()
-    together = near.select("doc", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    entities = near.select("doc", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    pairs = written(together.join(entities, "entity"), "pairs")
-    wanted = pairs.select("term").distinct()
-    counts = _document_counts(documents, text).join(wanted, "term", "left_semi")
-    share = F.log2(F.col("n_both") * F.lit(n_docs) / (F.col("n_entity") * F.greatest("n", "n_both"))) / F.greatest(F.log2(F.lit(n_docs) / F.col("n_entity")), F.lit(1e-9))
-    judged = pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= GENERALISE)
-    disclosing = judged.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
-    terms = near.join(disclosing, ["entity", "term"]).groupBy("doc", "a", "b").agg(F.max("kind").alias("kind"))  # removal beats generalisation
-    base = found.select("doc", F.explode("spans").alias("s")).select("doc", "s.kind", "s.a", "s.b").distinct()
-    order = F.array_position(F.array(*map(F.lit, (*KINDS, "generalise", "remove"))), F.col("kind"))
-    return base.unionByName(terms.select("doc", "kind", "a", "b")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(order.alias("k"), "a", "b", "kind"))).alias("spans"))
-
-
-def _number_of(kind: str) -> Column:
-    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    values = entities.where(~F.col("entity").isin(*KINDS))
+    most = _most(values.agg(F.max("n_entity")).first()[0] or 1, n_docs)
+    send = found.sparkSession.sparkContext.broadcast
+    rare_terms = send(marks(counts.where(F.col("n") <= _most(SUPPORT - 1, n_docs)), "term", crc_slot))
+    any_terms = send(marks(counts.where(F.col("n") <= most), "term", crc_slot))
+    frequent = send(marks(values.where(F.col("n_entity") >= SUPPORT), "entity", crc_slot))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, str]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e for e, _ in held], pa.string()), pa.array([t for _, t in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["entity", "term", "n"])
+
+        for batch in batches:
+            for body, own in zip(*(c.to_pylist() for c in batch.columns)):
+                spans = _tuples(own)
+                terms = list({w for w, _, _ in _free_words(body, spans)})
+                rare, some = _marked(terms, rare_terms.value), _marked(terms, any_terms.value)
+                every = list(_entities(body, spans))
+                for entity, often in zip(every, is_marked(frequent.value, crc_slots(every))):
+                    held.update((entity, t) for t in (terms if entity in KINDS else some if often else rare))
+                    if len(held) > PAIRS:
+                        yield out()
+                        held.clear()
+        yield out()
+
+    return found.select(text, "_own").mapInArrow(count, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
+
+
+def _pairs_of_texts(found: DataFrame, text: str, disclosing: DataFrame) -> DataFrame:
+    """(_key, entity, term) for the pairs of a text that a bitmap of the disclosing ones lets through."""
+    told = found.sparkSession.sparkContext.broadcast(marks(disclosing.select(F.concat_ws("\n", "entity", "term").alias("pair")), "pair", crc_slot))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, entities, terms = [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(entities, pa.string()), pa.array(terms, pa.string())], ["_key", "entity", "term"])
+
+        for batch in batches:
+            for key, body, own in zip(*(c.to_pylist() for c in batch.columns)):
+                spans = _tuples(own)
+                words = {w for w, _, _ in _free_words(body, spans)}
+                for entity in _entities(body, spans):
+                    hits = [p.rpartition("\n")[2] for p in _marked([f"{entity}\n{w}" for w in words], told.value)]
+                    keys += [key] * len(hits)
+                    entities += [entity] * len(hits)
+                    terms += hits
+                    if len(keys) > PAIRS:
+                        yield out()
+                        keys, entities, terms = [], [], []
+        yield out()
+
+    return found.select("_key", text, "_own").mapInArrow(pairs, "_key binary, entity string, term string")
+
+
+def _surely(n_both: Column, n: Column) -> Column:
+    """The lower end of the one-sided Wilson interval of n_both / n."""
+    p = n_both / n
+    return (p + Z * Z / 2 / n - Z * F.sqrt(p * (1 - p) / n + Z * Z / 4 / n / n)) / (1 + Z * Z / n)
+
+
+def _disclosing(documents: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """(entity, term, kind), kind being ``generalise`` or ``remove``."""
+    n_docs = max(documents.count(), 1)
+    counts, held = written(_document_counts(documents, text), "terms"), written(_entity_counts(found, text), "values")
+    together = written(_pair_counts(found, text, held, counts, n_docs), "pairs").withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    entities = held.select("entity", "n_entity", salts.alias("_salt"))
+    pairs = together.join(entities, ["entity", "_salt"]).join(counts, "term")
+    given = F.when(F.col("n_both") >= SUPPORT, F.col("n_both") / F.col("n")).otherwise(_surely(F.col("n_both"), F.col("n")))
+    share = F.log2(given * F.lit(n_docs) / F.col("n_entity")) / F.greatest(F.log2(F.lit(n_docs) / F.col("n_entity")), F.lit(1e-9))
+    judged = pairs.withColumn("share", share).where(F.col("share") >= GENERALISE)
+    return written(judged.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")), "disclosing")
+
+
+def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list[list[tuple[str, int, int]]]], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """What ``out`` makes of the rows that have base spans and of all their spans, sorted by kind as listed, then start.
+
+    Beside the base kinds there are ``generalise`` and ``remove``, the disclosing terms. Every row is a document to the
+    counts and is judged by its own text, whatever its other columns say. Null and empty texts have no spans.
+    """
+    found = written(_found(documents, text), "entities")
+    disclosing = _disclosing(documents, found, text)
+    known = _pairs_of_texts(found, text, disclosing).join(bounded_broadcast(disclosing, disclosing.count(), BROADCAST_ROWS), ["entity", "term"])
+    known = known.groupBy("_key", "term").agg(F.max("kind").alias("kind"))  # removal beats generalisation
+    terms = known.groupBy("_key").agg(F.collect_list(F.struct("term", "kind")).alias("_terms"))
+    names = documents.columns
+    order = {k: i for i, k in enumerate((*KINDS, "generalise", "remove"))}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for body, own, told in zip(*(batch.column(k).to_pylist() for k in (names.index(text), len(names), len(names) + 1))):
+                base, kinds = _tuples(own), {t["term"]: t["kind"] for t in told or ()}
+                more = [(kinds[w], a, b) for w, a, b in _free_words(body, base) if w in kinds] if kinds else []
+                spans.append(sorted(base + more, key=lambda s: (order[s[0]], s[1], s[2])))
+            yield out(batch.select(list(range(len(names)))), spans)
+
+    return found.join(terms, "_key", "left").select(*names, "_own", "_terms").mapInArrow(judge, schema)
 
 
 def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``documents``: ``doc_id``, counts by kind, ``base`` and ``spans`` as ``kind:start:end``, comma-joined."""
-    held = spans(documents, doc_id, text)
-    said = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
-    summary = held.select(
-        "doc",
-        *(_number_of(k).alias(f"n_{k}") for k in KINDS),
-        said(F.filter("spans", lambda s: s["kind"].isin(*KINDS))).alias("base"), said(F.col("spans")).alias("spans"),
-    )
-    ids = documents.select(F.col(doc_id).alias("doc_id"))
-    joined = ids.join(summary, ids["doc_id"].eqNullSafe(summary["doc"]), "left")
-    return joined.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS), F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"))
+    modest_batches(documents.sparkSession)
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"]
+
+    def said(spans: list[tuple[str, int, int]]) -> str:
+        return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+    def out(rows: pa.RecordBatch, spans: list[list[tuple[str, int, int]]]) -> pa.RecordBatch:
+        numbers = [pa.array([sum(s[0] == k for s in own) for own in spans], pa.int64()) for k in KINDS]
+        base = pa.array([said([s for s in own if s[0] in KINDS]) for own in spans], pa.string())
+        return pa.RecordBatch.from_arrays([rows.column(0), *numbers, base, pa.array(map(said, spans), pa.string())], names)
+
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
+    blank = _others(docs, "text").select("doc_id", *(F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS), F.lit("").alias("base"), F.lit("").alias("spans"))
+    return _judged(docs, "text", out, schema).unionByName(blank)
 
 
 def sanitise(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,19 +306,14 @@ def sanitise(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Where spans overlap, the one that starts first (then the longer) is replaced and what is left of the other as well.
     """
-    held = spans(documents, doc_id, text).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = documents.join(held, documents[doc_id].eqNullSafe(held["_doc"]), "left").drop("_doc")
+    modest_batches(documents.sparkSession)
     names = documents.columns
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = batch.column(names.index(text)).to_pylist()
-            for k, own in enumerate(batch.column(len(names)).to_pylist()):
-                if own and bodies[k] is not None:
-                    bodies[k] = replaced(bodies[k], [(s["kind"], s["a"], s["b"]) for s in own])
-            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if n == text else batch.column(n) for n in names], names)
+    def out(rows: pa.RecordBatch, spans: list[list[tuple[str, int, int]]]) -> pa.RecordBatch:
+        bodies = map(replaced, rows.column(names.index(text)).to_pylist(), spans)
+        return pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if n == text else rows.column(n) for n in names], names)
 
-    return joined.select(*names, "_spans").mapInArrow(clean, documents.schema)
+    return _judged(documents, text, out, documents.schema).unionByName(_others(documents, text))
 
 
 def replaced(text: str, own: list[tuple[str, int, int]]) -> str:

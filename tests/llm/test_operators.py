@@ -142,6 +142,21 @@ def test_disclosing_terms_go(spark):
     assert report[0].n_email == 1 and "remove" in report[0].spans and report[10].spans == ""
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = "common talk about things and more filler in this place "
+    docs = [(i, f"zorblax {far}{far}here: joe@x.org {far}{far}Zorblax") for i in range(4)] + [(i, f"{far}{i}") for i in range(10, 60)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, docs)).collect()}
+    assert all("zorblax" not in clean[i].lower() and clean[i].count("[EMAIL]") == 1 and clean[i].count("common talk") == 4 for i in range(4))
+
+
+def test_rare_values_count(spark):
+    far = "common talk about things and more filler in this place "
+    docs = [(0, f"quuxly {far}once: ann@y.org {far}"), (1, f"vuvuz {far}bob@z.org"), (2, f"vuvuz {far}bob@z.org")] + [(i, far) for i in range(10, 300)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, docs)).collect()}
+    assert "quuxly" not in clean[0] and "vuvuz" not in clean[1] + clean[2]
+    assert all("common talk" in clean[i] for i in range(3)) and clean[10] == far
+
+
 # 4 substring dedup
 
 
