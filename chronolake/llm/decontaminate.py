@@ -53,19 +53,30 @@ def benchmark_windows(benchmark: DataFrame, window: int, shingle: int, item_id:
     return flat.withColumn("parts", parts).withColumn("size", F.least("len", F.lit(shingle))).drop("_words")
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """A digest of id and text: rows that share a null or repeated id keep apart unless their texts are equal too."""
+    own = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.unhex(F.sha2(F.concat(F.when(doc_id.isNull(), "n").otherwise("v"), F.length(own).cast("string"), F.lit(":"), own, F.coalesce(text, F.lit(""))), 256))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Which words of each document lie in an occurrence of a benchmark window.
 
     Returns one row per row of ``documents``: ``doc_id, n_words, n_hit, n_items, item_ids`` (sorted as
     strings, comma-joined). Null or empty text has no words and no hits; an empty benchmark hits
-    nothing; items without words have no windows; items with equal windows all count; rows that repeat
-    a doc_id are judged together and each gets the joint result; extra columns are ignored.
+    nothing; items without words have no windows; items with equal windows all count; rows that share
+    a null or repeated doc_id are each judged by their own text; extra columns are ignored.
     """
+    return _by_row(documents, benchmark, window, shingle, doc_id, text).drop("_key")
+
+
+def _by_row(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``contamination`` with ``_key``, the digest of id and text."""
     spans = written(benchmark_windows(benchmark, window, shingle), "windows")
     wanted = written(spans.select("size", F.explode("parts").alias("p")).select("size", "p.shingle", "p.key").distinct(), "shingles")
     sizes = [r[0] for r in wanted.select("size").distinct().collect()] or [shingle]  # 1 to `shingle` at most
     n_wanted = wanted.count()
-    docs = documents.select(F.col(doc_id).alias("_doc"), once(words(F.col(text))).alias("_words"))
+    docs = documents.select(_row_key(F.col(doc_id), F.col(text)).alias("_doc"), F.col(doc_id).alias("_id"), once(words(F.col(text))).alias("_words"))
 
     def hits_of(size: int, end: bool) -> DataFrame:
         """Benchmark shingles in documents; with ``end`` also a row without shingle that ends each document."""
@@ -74,17 +85,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         if end:
             keys = keys.unionByName(keys.sparkSession.range(1).select(F.lit(None).cast("string").alias("shingle"), F.lit(END).alias("key")))
             own = F.concat(own, F.array(F.lit(END)))
-        at = docs.withColumn("_keys", own).select("_doc", "_words", F.posexplode("_keys").alias("pos", "key"))
+        at = docs.withColumn("_keys", own).select("_doc", "_id", "_words", F.posexplode("_keys").alias("pos", "key"))
         found = at.join(bounded_broadcast(keys, n_wanted, BROADCAST_ROWS), "key")
         exact = F.concat_ws(" ", F.slice("_words", F.col("pos") + 1, F.lit(size))) == F.col("shingle")
         last = F.col("shingle").isNull() & (F.col("pos") == F.greatest(F.size("_words") - F.lit(size - 1), F.lit(0)))
-        return found.where(exact | last).select("_doc", F.size("_words").cast("long").alias("n_words"), "pos", F.lit(size).alias("size"), "shingle")
+        return found.where(exact | last).select("_doc", F.when(F.col("shingle").isNull(), F.col("_id")).alias("_id"), F.size("_words").cast("long").alias("n_words"), "pos", F.lit(size).alias("size"), "shingle")
 
     hits = hits_of(sizes[0], True)
     for size in sizes[1:]:
         hits = hits.unionByName(hits_of(size, False))
     hits = written(hits, "hits")
-    counted, hits = hits.where("shingle is null").select("_doc", "n_words"), hits.where("shingle is not null")
+    counted, hits = hits.where("shingle is null").select("_doc", "_id", "n_words"), hits.where("shingle is not null")
 
     rarity = hits.groupBy("size", "shingle").agg(F.count("*").alias("df"))
     parts = spans.select("window", "len", "size", F.size("parts").alias("n_parts"), F.explode("parts").alias("part")).distinct()
@@ -122,7 +133,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     named = per_item.groupBy("_doc").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("_item")), ",").alias("item_ids"))
     report = covered.join(named.withColumnRenamed("_doc", "_nd"), F.col("_doc").eqNullSafe(F.col("_nd")), "left").select(F.col("_doc").alias("_rd"), "n_hit", "n_items", "item_ids")
     return counted.join(report, F.col("_doc").eqNullSafe(F.col("_rd")), "left").select(
-        F.col("_doc").alias("doc_id"), "n_words",
+        F.col("_doc").alias("_key"), F.col("_id").alias("doc_id"), "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("item_ids", F.lit("")).alias("item_ids"),
@@ -131,5 +142,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``documents`` without those that hold a benchmark window; columns as given."""
-    bad = contamination(documents, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents[options.get("doc_id", "doc_id")].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = _by_row(documents, benchmark, **options).where("n_hit > 0").select(F.col("_key").alias("_bad")).distinct()
+    key = _row_key(documents[options.get("doc_id", "doc_id")], documents[options.get("text", "text")])
+    return documents.join(bad, key == bad["_bad"], "left_anti")

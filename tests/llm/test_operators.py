@@ -65,6 +65,16 @@ def test_contamination_without_rows(spark):
     assert decontaminate.drop_contaminated(docs, none).columns == docs.columns
 
 
+def test_rows_without_own_id_are_judged_alone(spark):
+    leak, clean = "one two three four five six seven eight nine ten", "plain words about other matters"
+    docs = frame(spark, [(None, leak), (None, clean), (None, None), (5, leak + " more"), (5, clean), (6, clean)])
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    hits = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit) for r in decontaminate.contamination(docs, bench).collect())
+    assert hits == [(False, 5, 5, 0), (False, 5, 11, 10), (False, 6, 5, 0), (True, 0, 0, 0), (True, 0, 5, 0), (True, 0, 10, 10)]
+    kept = [(r.doc_id, r.text) for r in decontaminate.drop_contaminated(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted([(None, clean), (None, None), (5, clean), (6, clean)], key=str)
+
+
 # 2 chat
 
 
@@ -157,6 +167,15 @@ def test_rare_values_count(spark):
     assert all("common talk" in clean[i] for i in range(3)) and clean[10] == far
 
 
+def test_personal_data_of_rows_without_own_id(spark):
+    texts = [(None, "write to joe@x.org please"), (None, "a clean text that is longer than the other"), (7, "ip 10.0.0.1 here"), (7, "nothing to hide in this row")]
+    clean = {r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert {texts[1][1], texts[3][1]} <= clean and len(clean) == 4 and sum("[EMAIL]" in t for t in clean) == sum("[IP]" in t for t in clean) == 1
+    report = [(r.doc_id, r.n_email, r.n_ip) for r in pii.report(frame(spark, texts)).collect()]
+    assert sorted(report, key=str) == sorted([(None, 1, 0), (None, 0, 0), (7, 0, 1), (7, 0, 0)], key=str)
+    assert pii.sanitise(frame(spark, [])).count() == 0
+
+
 # 4 substring dedup
 
 
