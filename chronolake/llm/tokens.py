@@ -8,17 +8,27 @@ from array import array
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks that a worker remembers at most; beyond, it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 #: A letter or digit, then closing signs: a border between pre-tokens. An apostrophe is left to the library.
 _CLOSED = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.S)
+#: A chunk of these letters is one pre-token, and normalisation changes nothing but its case.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _loaded: dict[str, Ids] = {}
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign by which byte-level vocabularies know each byte: itself where it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Ids(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and its pre-tokens never cross it, so ids of a text are those of its chunks.
+    The tokenizer drops white space and its pre-tokens never cross it, so ids of a text are those of its chunks. A chunk
+    of plain letters goes to the vocabulary's merges directly, which spares it normalisers and patterns.
     """
 
     def __init__(self, path: str) -> None:
@@ -26,10 +36,16 @@ class Ids(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        whole = Tokenizer.from_file(path)
+        self.encode, self.merged, self.signs = whole.encode, whole.model.tokenize, _byte_signs()
 
     def __missing__(self, chunk: str) -> bytes:
-        if (parts := _CLOSED.fullmatch(chunk)) and "<|" not in chunk:
+        if chunk.isascii() and chunk.isalpha():
+            ids = array("I", [t.id for t in self.merged(chunk.lower())]).tobytes()
+        elif _LETTERS.fullmatch(chunk):
+            signs = chunk.lower().encode().decode("latin-1").translate(self.signs)
+            ids = array("I", [t.id for t in self.merged(signs)]).tobytes()
+        elif (parts := _CLOSED.fullmatch(chunk)) and "<|" not in chunk:
             ids = self[parts[1]] + self[parts[2]]
         else:
             ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
@@ -54,7 +70,7 @@ def tokenizer_path() -> str:
 
 
 def ids_of(path: str | None = None) -> Ids:
-    """The worker's own table for the tokenizer at ``path``; it lives as long as the worker."""
+    """The worker's own table for the tokenizer at ``path``; a task empties it when it is done with it."""
     path = path or tokenizer_path()
     if path not in _loaded:
         _loaded[path] = Ids(path)
