@@ -52,7 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -65,6 +75,24 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Keys that hold more than this part of all rows are fewer than it; under so many rows, a key is no burden.
+HOT_PARTS, HOT_ROWS = 4096, 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``counted`` (written; a row a key, with the rows it has in ``count``).
+
+    Keys with more than one in ``HOT_PARTS`` of the rows are few and come by a broadcast, so that no task gets all rows of such
+    a key; the rest are shuffled.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    keys = [r[0] for r in counted.where((F.col(count) * HOT_PARTS > total) & (F.col(count) > HOT_ROWS)).select(key).collect()]  # fewer than HOT_PARTS
+    if not keys:
+        return rows.join(counted, key)
+    hot = F.col(key).isin([bytes(k) if isinstance(k, bytearray) else k for k in keys])
+    return rows.where(hot).join(F.broadcast(counted.where(hot)), key).unionByName(rows.where(~hot).join(counted.where(~hot), key))
+
+
 def once(value: Column) -> Column:
     """A generator of the one ``value``: later projections read it instead of repeating the expression in lambdas."""
     return F.explode(F.array(value))
@@ -100,13 +128,21 @@ def is_marked(bits: bytes, slots: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bits, np.uint64)[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split(df: DataFrame, key: Column, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is surely not in ``keys``, the others), so that a join with ``keys`` shuffles only the others.
 
     Where the bitmap fills up, more rows are among the others; nothing is lost.
     """
     bits = df.sparkSession.sparkContext.broadcast(marks(keys, name))
-    slotted = df.select("*", mark_slot(key).alias("_slot"))
+    slotted = df.select("*", mark_slot(key).alias(unused("_slot", df)))
 
     def only(wanted: bool) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
