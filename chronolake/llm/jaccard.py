@@ -1,10 +1,10 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one node. Tokens are
-ordered rare before frequent, then by hash; two sets of the wanted similarity share at least l tokens of
+ordered by the class of their rarest word (rare before frequent), then by hash; two sets of the wanted similarity share at least l tokens of
 their first ``n - required + l``; l is two, for pairs of tokens, and grows slowly with the set. Documents are first held
-against the least document with which they share most prefix tokens, which joins groups of copies in a
-star. Only tokens whose documents still lie in different components go on: rare ones index single tokens,
+against one document with which they share most prefix tokens, in rounds as long as that joins components, which joins groups of copies in
+stars. Only tokens whose documents still lie in different components go on: rare ones index single tokens,
 frequent ones pairs of tokens. Candidates pass bounds on length and position and are verified on whole sets.
 """
 
@@ -20,13 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_marked, mark_slot, marks, modest_batches, split, written
+from .common import MARK_BITS, is_marked, join_counted, mark_slot, marks, modest_batches, split, written
 from .components import components
 
-#: A token is frequent when more than this share of documents hold it (first class) ...
-FREQUENT_SHARE = 1e-3
-#: ... or, in prefixes, when more documents than this hold it (then pairs of tokens are indexed).
+#: Words in at least this share of documents have a class of their own (by powers of two); all others are rare.
+WORD_SHARE = 1e-3
+#: A token is frequent when more documents than this hold it in their prefixes (then pairs of tokens are indexed).
 RARE_DOCUMENTS = 200
+#: Rounds of stars at most; all that they leave apart is compared afterwards.
+ROUNDS = 4
+#: Pairs for each posting from which another round is worth its while.
+CROWDED = 4
 #: Tokens of a combination, and one more for each so many tokens of a set: so many shared ones a prefix is extended for.
 COMBINED, MORE_EACH = 2, 40
 #: The share of a prefix that makes a document lean on the least one with those tokens.
@@ -53,119 +57,150 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of ``size`` words; a shorter text is one shingle, no words none."""
-    words = text.encode().lower().split() if text else []  # bytes: only A-Z change and only ASCII blanks part
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(words))
-    mixed = np.full(len(words) - n + 1, n, np.uint64)
+def _hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words in turn; bytes, so that only A-Z change and only ASCII blanks part."""
+    words = text.encode().lower().split() if text else []
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The shingle that begins at each word but the last; a shorter text is one shingle, no words none."""
+    n = min(size, len(hashes))
+    if not n:
+        return hashes
+    mixed = np.full(len(hashes) - n + 1, n, np.uint64)
     for k in range(n):
-        mixed = (mixed ^ hashes[k : len(words) - n + 1 + k]) * _P
+        mixed = (mixed ^ hashes[k : len(hashes) - n + 1 + k]) * _P
         mixed ^= mixed >> np.uint64(29)
         mixed *= _Q
         mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return mixed
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``size`` words; a shorter text is one shingle, no words none."""
+    return np.unique(_mixed(_hashes(text), size))
+
+
+def _row(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
 
 
 def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text).alias("text"))
+    """(doc, text, row): the key of the doc_id, and of id and text together."""
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    return documents.select(doc.alias("doc"), F.col(text).alias("text"), _row(doc, F.col(text)).alias("row"))
 
 
-def _frequent(keyed: DataFrame, size: int) -> np.ndarray:
-    """Tokens in more than a fixed share of documents, which bounds their number; tasks hand on what is frequent in them."""
+def _word_classes(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent words, sorted, and their classes from 1 on; at most a document's mean number of words by ``WORD_SHARE`` of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = n >= max(2, FREQUENT_SHARE * len(held))
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+            words, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            keep = n >= max(2, WORD_SHARE / 8 * len(held))
+            return pa.RecordBatch.from_arrays([pa.array(words[keep].view(np.int64)), pa.array(n[keep])], ["word", "n"])
 
         total = 0
         for batch in batches:
             for body in batch.column(0):
-                held.append(shingles(body.as_py(), size))
+                held.append(np.unique(_hashes(body.as_py())))
                 total += len(held[-1])
                 if total >= AT_ONCE:
                     yield out()
                     held, total = [], 0
         yield out()
 
-    n_docs = keyed.count()
-    counts = keyed.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") > max(2.0, FREQUENT_SHARE * n_docs)).select("token").toArrow().column("token")
-    return np.sort(found.to_numpy().view(np.uint64))
+    n_docs = max(keyed.count(), 1)
+    counts = keyed.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= max(2.0, WORD_SHARE * n_docs)).toArrow()
+    words, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(words)
+    classes = 1 + np.floor(np.log2(np.maximum(n / (WORD_SHARE * n_docs), 1)))
+    return words[order], classes.astype(np.uint8)[order]
+
+
+def _key(own: np.ndarray) -> int | None:
+    """The key of a set, none for an empty one."""
+    return int.from_bytes(hashlib.md5(own.tobytes()).digest()[:8], "little", signed=True) if len(own) else None
 
 
 def _prefixes(keyed: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(k, n, digest, tokens): the set's size and digest, and its extended prefix in the tokens' order."""
-    frequent = _frequent(keyed, size)
+    """(doc, row, n, k, tokens): the set's size, its key (a digest) and its extended prefix in the tokens' order."""
+    known = keyed.sparkSession.sparkContext.broadcast(_word_classes(keyed))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, classes = known.value
         for batch in batches:
-            n, digests, tokens = [], [], []
+            n, keys, tokens = [], [], []
             for body in batch.column(1):
-                own = shingles(body.as_py(), size)
+                hashes = _hashes(body.as_py())
+                own, first = np.unique(_mixed(hashes, size), return_index=True)
                 n.append(len(own))
-                digests.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
-                at = np.searchsorted(frequent, own)
-                often = frequent[np.minimum(at, len(frequent) - 1)] == own if len(frequent) else np.zeros(len(own), bool)
+                keys.append(_key(own))
+                own_class = np.zeros(len(hashes), np.uint8)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+                    own_class = np.where(frequent[at] == hashes, classes[at], 0)
+                rarest = own_class
+                for k in range(1, min(size, len(hashes))):
+                    rarest = np.minimum(rarest[:-1], own_class[k:])
                 most = len(own) - -(-num * len(own) // den) + COMBINED + len(own) // MORE_EACH
-                tokens.append(np.concatenate((own[~often], own[often]))[:most].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["k", "n", "digest", "tokens"])
+                tokens.append(own[np.argsort(rarest[first], kind="stable")][:most].view(np.int64) if len(own) else own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc", "row", "n", "k", "tokens"])
 
-    return keyed.mapInArrow(cut, "k long, n int, digest binary, tokens array<long>")
+    return keyed.mapInArrow(cut, "doc long, row long, n int, k long, tokens array<long>")
 
 
-def _postings(own: DataFrame, buckets: int) -> DataFrame:
-    """(token, k, n, pos, df, least) for tokens that two documents have; least: the least of them with its n.
+MASK = (1 << MARK_BITS) - 1
 
-    Postings travel packed by bucket of their token, and only the shared ones become rows.
+
+def _slot(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(MASK))
+
+
+def _postings(own: DataFrame) -> DataFrame:
+    """(token, k, n, pos, df, least_k, least_n) for tokens that two documents have; least: the least of them with its n.
+
+    Counts are summed in tasks before the shuffle. A bitmap of the shared tokens spares the others the join with these counts;
+    the few tokens with a large part of all postings are joined by a broadcast.
     """
+    counts = own.select("k", "n", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("k", "n")).alias("least"))
+    shared = written(counts.where("df > 1").select("token", "df", F.col("least.k").alias("least_k"), F.col("least.n").alias("least_n")), "shared")
+    bits = own.sparkSession.sparkContext.broadcast(marks(shared, "token", _slot))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            tokens = lists.flatten().to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
+            tokens, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             k, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1))
             pos = np.arange(len(tokens), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
-            to = ((tokens.view(np.uint64) >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(to[order]) > 0)) if len(to) else np.zeros(0, np.int64)
-            ends = np.append(first[1:], len(to))
-            packed = [pa.array([x[order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for x in (tokens, k, n.astype(np.int32), pos)]
-            yield pa.RecordBatch.from_arrays([pa.array(to[order][first]), *packed], ["bucket", "tokens", "ks", "ns", "poss"])
-
-    def shared(table: pa.Table) -> pa.Table:
-        token, k, n, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tokens", np.int64), ("ks", np.int64), ("ns", np.int32), ("poss", np.int32)))
-        order = np.lexsort((k, token))
-        token, k, n, pos = token[order], k[order], n[order], pos[order]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        df = np.diff(np.append(first, len(token)))
-        keep = np.repeat(df > 1, df)
-        least_k, least_n, df = np.repeat(k[first], df), np.repeat(n[first], df), np.repeat(df, df)
-        return pa.table({"token": token[keep], "k": k[keep], "n": n[keep], "pos": pos[keep], "df": df[keep], "least_k": least_k[keep], "least_n": least_n[keep]})
-
-    sent = own.select("k", "n", "tokens").mapInArrow(send, "bucket long, tokens binary, ks binary, ns binary, poss binary")
-    return sent.groupBy("bucket").applyInArrow(shared, "token long, k long, n int, pos int, df long, least_k long, least_n int")
-
-
-def _sets(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(k, tokens) of the documents whose key is marked in a bitmap of fixed size: all of ``wanted`` and a few more."""
-    shipped = keyed.sparkSession.sparkContext.broadcast(marks(wanted, "k"))
+            there = is_marked(bits.value, tokens & MASK)
+            yield pa.RecordBatch.from_arrays([pa.array(x[there]) for x in (tokens, k, n.astype(np.int32), pos)], ["token", "k", "n", "pos"])
+
+    rows = own.select("k", "n", "tokens").mapInArrow(keep, "token long, k long, n int, pos int")
+    return join_counted(rows, shared, "token", "df")
+
+
+def _sets(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(k, tokens) of the sets that are marked in bitmaps of fixed size: all of ``wanted`` and a few more, each from its least document."""
+    spark = keyed.sparkSession
+    own = written(nodes.join(wanted, "k", "left_semi").select("k", "doc"), "wanted")
+    docs, sets = (spark.sparkContext.broadcast(marks(own, c, _slot)) for c in ("doc", "k"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.flatnonzero(is_marked(shipped.value, batch.column(2).to_numpy()))
-            texts = batch.column(1)
-            sets = pa.array([shingles(texts[i].as_py(), size).view(np.int64) for i in rows.tolist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), sets], ["k", "tokens"])
+            keys, found = [], []
+            for i in np.flatnonzero(is_marked(docs.value, batch.column(0).to_numpy() & MASK)).tolist():
+                own = shingles(batch.column(1)[i].as_py(), size)
+                if len(own) and is_marked(sets.value, np.array([key := _key(own)]) & MASK)[0]:
+                    keys.append(key)
+                    found.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["k", "tokens"])
 
-    return keyed.select("k", "text", mark_slot(F.col("k")).alias("s")).mapInArrow(whole, "k long, tokens array<long>")
+    return keyed.select("doc", "text").mapInArrow(whole, "k long, tokens array<long>")
 
 
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
@@ -192,42 +227,63 @@ def _met(postings: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     return kept.select(F.col("k").alias("a"), F.col("k2").alias("b"), F.least("n", "n2").alias("n"), F.least("of", "of2").alias("of"))
 
 
-def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Components of documents linked by a Jaccard similarity of shingle sets of at least ``num / den``.
+def _star(postings: DataFrame, found: DataFrame | None, num: int, den: int) -> DataFrame:
+    """(a, b): each document with the one of another component with which it shares most tokens, of those that are first or last in a token."""
+    if found is None:
+        other = postings.where(F.col("k") != F.col("least_k")).select("k", "n", F.col("least_k").alias("b"), F.col("least_n").alias("m"))
+    else:
+        ends = postings.groupBy("token").agg(F.min(F.struct("c", "k", "n")).alias("lo"), F.max(F.struct("c", "k", "n")).alias("hi")).where("lo.c != hi.c")
+        end = F.when(F.col("c") != F.col("lo.c"), F.col("lo")).otherwise(F.col("hi"))
+        other = postings.join(ends, "token").select("k", "n", end.alias("e")).select("k", "n", F.col("e.k").alias("b"), F.col("e.n").alias("m"))
+    shared = other.where(_fits(F.col("n"), F.col("m"), num, den)).groupBy("k", "n", "b").agg(F.count("*").alias("t"))
+    enough = F.greatest(F.lit(COMBINED), (F.col("n") - F.ceil(F.col("n") * num / den)) * STAR_SHARE)
+    stars = shared.where(F.col("t") >= enough).groupBy("k").agg(F.max_by("b", F.struct("t", -F.col("b"))).alias("b"))
+    return stars.select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
 
-    Returns ``doc_id, n_shingles, component_id`` (the least doc_id of the component) for each row. Null, empty
-    and blank texts have no shingles and no links; equal sets are linked; null doc_ids count as the least;
-    rows that repeat a doc_id are one node; no rows give none; extra columns are ignored.
-    """
+
+def _crowded(open_: DataFrame) -> bool:
+    """Whether the pairs of documents that meet in a token are many times the postings."""
+    load = open_.groupBy("token").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+    return (load[0] or 0) > CROWDED * (load[1] or 0)
+
+
+def _open(repeated: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings, with their component ``c``, of tokens whose documents lie in different components."""
+    at = repeated.join(found, repeated["k"] == found["node"], "left").select("token", "k", "n", "pos", "df", F.coalesce("component", "k").alias("c"))
+    mixed = at.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("token")
+    return at.join(mixed, "token", "left_semi")
+
+
+def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
+    """(doc, row, n, k, least): each row with its set's key and the least (doc, k) of its component; null where it has no shingles."""
+    if not den < 2 * num <= 2 * den:
+        raise ValueError("a similarity above one half and up to one is needed")
     modest_batches(documents.sparkSession)
     keyed = _keyed(documents, doc_id, text)
     rows = written(_prefixes(keyed, size, num, den), "prefixes")
-    nodes = written(rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("k")), "nodes")
-    # Copies have a least one among them, so most rows are nodes and need no join.
-    copies = rows.where("n > 0").join(nodes.select(F.col("digest").alias("_d"), F.col("k").alias("_least")), F.col("digest") == F.col("_d")).where("k <> _least").select("k")
-    sure, maybe = split(rows.where("n > 0").select("k", "n", "tokens"), F.col("k"), copies, "k")
-    own = sure.unionByName(maybe.join(nodes.select("k").distinct(), "k", "left_semi"))
-    buckets = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    repeated = written(_postings(own, buckets), "postings")
+    own = rows.where("n > 0").groupBy("k").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    own = written(own, "nodes")
+    nodes = own.select("k", "doc", "copies")
+    repeated = written(_postings(own.select("k", "n", "tokens")), "postings")
 
     # Stars only spare work: whatever they leave apart is compared below.
-    met = repeated.where((F.col("k") != F.col("least_k")) & _fits(F.col("n"), F.col("least_n"), num, den))
-    shared = met.groupBy("k", "n", F.col("least_k").alias("b")).agg(F.count("*").alias("t"))
-    enough = F.greatest(F.lit(COMBINED), (F.col("n") - F.ceil(F.col("n") * num / den)) * STAR_SHARE)
-    stars = shared.where(F.col("t") >= enough).groupBy("k").agg(F.max_by("b", F.struct("t", -F.col("b"))).alias("b"))
-    stars = written(stars.select(F.col("k").alias("a"), "b"), "stars")
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    links = written(_verified(stars, _sets(keyed, both(stars), size), num, den), "links")
-    found = components(links)
-
-    at = repeated.join(found, repeated["k"] == found["node"], "left").select("token", "k", "n", "pos", "df", F.coalesce("component", "k").alias("c"))
-    mixed = at.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("token")
-    open_ = written(at.join(mixed, "token", "left_semi").withColumn("often", F.col("df") > RARE_DOCUMENTS), "open")
-    frequent = F.sum(F.col("often").cast("int")).over(W.partitionBy("k"))
-    open_ = open_.withColumn("of", frequent)
+    links, found, open_ = None, None, repeated
+    for _ in range(ROUNDS):
+        stars = written(_star(open_, found, num, den), "stars")
+        joined = written(_verified(stars, _sets(keyed, nodes, both(stars), size), num, den), "links")
+        links = joined if links is None else links.unionByName(joined)
+        if found is None or not joined.isEmpty():
+            found = components(links)
+            open_ = written(_open(repeated, found), "open")
+        if joined.isEmpty() or not _crowded(open_):
+            break
+    open_ = open_.withColumn("often", F.col("df") > RARE_DOCUMENTS)
     # Two shared tokens are both rare, or a pair of which one is frequent at least. Of the tokens that a pair of
     # documents must share, the rare ones are counted and the frequent ones bounded.
     must = COMBINED + F.floor(F.col("n") / MORE_EACH)
+    held = W.partitionBy("k")
+    open_ = open_.select("*", F.sum(F.col("often").cast("int")).over(held).alias("of"), F.count("*").over(held).alias("_held")).where(F.col("_held") >= must).drop("_held")
     counted = lambda met: met.groupBy("a", "b", "n", "of").agg(F.count("*").alias("t"))
     rare = counted(_met(open_.where("not often"), ["token"], num, den)).where((F.col("t") >= COMBINED) & (F.col("t") + F.col("of") >= must))
     own_tokens = open_.where("of > 0").groupBy("k", "n", "c", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "often"))).alias("ts"))
@@ -236,18 +292,39 @@ def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_i
     paired = firsts.select("k", "n", "c", "of", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "of", "pos", "token", F.col("two.token").alias("token2"))
     mixed_pairs = counted(_met(paired, ["token", "token2"], num, den)).where(F.col("t") + 1 >= must)
     pairs = written(rare.select("a", "b").unionByName(mixed_pairs.select("a", "b")).distinct(), "pairs")
-    more = _verified(pairs, _sets(keyed, both(pairs), size), num, den)
+    more = _verified(pairs, _sets(keyed, nodes, both(pairs), size), num, den)
     final = components(links.unionByName(more.select("a", "b")))
 
-    labelled = nodes.join(final, nodes["k"] == final["node"], "left").select("digest", F.coalesce("component", "k").alias("component"))
-    named = rows.select("k", "n", F.col("digest").alias("_d")).join(labelled, F.col("_d") == F.col("digest"), "left")
+    labelled = written(nodes.join(final, nodes["k"] == final["node"], "left").select("k", "doc", "copies", F.coalesce("component", "k").alias("component")), "labelled")
+    # A component that holds a large part of all sets meets its least document by a broadcast as well.
+    least = written(labelled.groupBy("component").agg(F.min(F.struct("doc", "k")).alias("least"), F.count("*").alias("sets")), "least")
+    named = written(join_counted(labelled, least, "component", "sets").select("k", "copies", "least"), "named")
+    given = rows.select("doc", "row", "n", "k")
+    none = given.where("n = 0").select("*", F.lit(None).cast("struct<doc:bigint,k:bigint>").alias("least"))
+    return join_counted(given.where("n > 0"), named, "k", "copies").select("doc", "row", "n", "k", "least").unionByName(none)
+
+
+def join(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of shingle sets of at least ``num / den``, more than one half.
+
+    Returns ``doc_id, n_shingles, component_id`` (the least doc_id of the component) for each row. Null, empty
+    and blank texts have no shingles and no links; equal sets are linked; null doc_ids count as the least;
+    rows that repeat a doc_id are linked by their own texts only; no rows give none; extra columns are ignored. A very
+    long text is one set in one task, and its prefix grows with it.
+    """
+    found = _joined(documents, size, num, den, doc_id, text)
     back = lambda c: F.when(c != NO_ID, c)
-    return named.select(back(F.col("k")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), back(F.coalesce("component", "k")).alias("component_id"))
+    return found.select(back(F.col("doc")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), back(F.coalesce("least.doc", "doc")).alias("component_id"))
 
 
-def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``documents`` with the one of each component whose doc_id is least; columns as given."""
-    dropped = join(documents, doc_id=doc_id, text=text, **options).where("doc_id != component_id or (doc_id is not null and component_id is null)").select(F.col("doc_id").alias("_dropped"))
-    dropped = written(dropped, "dropped")
-    stay, maybe = split(documents, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), dropped, "_dropped")
-    return stay.unionByName(maybe.join(dropped, maybe[doc_id] == dropped["_dropped"], "left_anti"))
+def keep_one(documents: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with the one of each component whose doc_id is least; columns as given.
+
+    Where different texts of a component share that doc_id, one of them stays. Equal rows of it are one document and stay.
+    """
+    found = _joined(documents, size, num, den, doc_id, text)
+    dropped = written(found.where("least.doc != doc or least.k != k").select(F.col("doc").alias("_doc"), F.col("row").alias("_dropped")), "dropped")
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    key = _row(doc, F.col(text))
+    stay, maybe = split(documents, key, dropped, "_dropped")
+    return stay.unionByName(maybe.join(dropped, (key == dropped["_dropped"]) & (doc == dropped["_doc"]), "left_anti"))

@@ -22,6 +22,8 @@ PENALTY = 12.0
 UNDETERMINED = "und"
 #: A language is a candidate for a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
+#: The share of a text's letters that one language has to label for the text to be kept.
+LEAST = 0.5
 #: Characters scored at once.
 AT_ONCE = 500_000
 
@@ -166,9 +168,15 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 
 
 def _labels(texts: list[str], scorer: _Scorer | None, names: list[str], penalty: float) -> tuple[list[str], list[float], list[str]]:
-    """Languages, scores and spans of ``texts``, some millions of characters at a time."""
-    out = [_labels_at_once(part, scorer, names, penalty) for part in _parts(texts, 12 * AT_ONCE)]
-    return tuple(sum(x, []) for x in zip(*out, strict=True)) if out else ([], [], [])
+    """Languages, scores and spans of ``texts``, texts of like length side by side, some characters at a time."""
+    pred, score, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    done = 0
+    for part in _parts([texts[k] for k in order], 2 * AT_ONCE):
+        for k, p, s, x in zip(order[done : done + len(part)], *_labels_at_once(part, scorer, names, penalty), strict=True):
+            pred[k], score[k], spans[k] = p, s, x
+        done += len(part)
+    return pred, score, spans
 
 
 def _labels_at_once(texts: list[str], scorer: _Scorer | None, names: list[str], penalty: float) -> tuple[list[str], list[float], list[str]]:
@@ -190,15 +198,25 @@ def _labels_at_once(texts: list[str], scorer: _Scorer | None, names: list[str],
     return pred, score, spans
 
 
-def keep_identified(documents: DataFrame, model: dict[str, np.ndarray], least: float = 0.0, penalty: float = PENALTY, text: str = "text") -> DataFrame:
-    """``documents`` whose language is determined with at least the score ``least``; columns as given."""
+def keep_identified(documents: DataFrame, model: dict[str, np.ndarray], least: float = LEAST, penalty: float = PENALTY, text: str = "text") -> DataFrame:
+    """``documents`` of which one language labels at least the share ``least`` of the letters; columns as given.
+
+    Null texts and texts without letters go. Where no language was learned, every text with a letter stays.
+    """
+    modest_batches(documents.sparkSession)
     names, at = list(model), documents.columns.index(text)
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model) if names else None
+        scorer = _Scorer(shipped.value) if names else None
         for batch in batches:
-            pred, score, _ = _labels([t or "" for t in batch.column(at).to_pylist()], scorer, names, penalty)
-            yield batch.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            if scorer is None:
+                stay = [any(map(str.isalpha, t)) for t in texts]
+            else:
+                pred, score, _ = _labels(texts, scorer, names, penalty)
+                stay = [p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)]
+            yield batch.filter(pa.array(stay, pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
 
@@ -208,12 +226,15 @@ def identify(documents: DataFrame, model: dict[str, np.ndarray], penalty: float
 
     ``lang_pred`` has the most letters (ties: first by name), ``score`` is its share of them and ``spans``
     are ``start:end:lang`` by code points, comma-joined. ``und`` with score 0 and no spans where the text
-    is null, has no letter, or no language was learned. Repeated rows are labelled alike.
+    is null, has no letter, or no language was learned. Repeated rows are labelled alike; no rows give none; a very
+    long text is scored a part at a time, and its words are labelled together.
     """
+    modest_batches(documents.sparkSession)
     names = list(model)
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model) if names else None
+        scorer = _Scorer(shipped.value) if names else None
         for batch in batches:
             pred, score, spans = _labels([t or "" for t in batch.column(1).to_pylist()], scorer, names, penalty)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], ["doc_id", "lang_pred", "score", "spans"])
