@@ -12,14 +12,28 @@ YEAR = 244  # trading days (fixed value)
 
 
 def return_stats(series: DataFrame, key: str, order: str, value: str, initial: Column, year: int = YEAR) -> DataFrame:
-    """Total and annualised return, Sharpe (sample deviation), deepest drawdown from a day-0 baseline, share of winning periods."""
+    """Total and annualised return (-1 once all is lost), Sharpe (sample deviation; 0 without spread), deepest drawdown from a day-0 baseline."""
     r = returns(series, key, order, value, initial)
     total = F.max_by(F.col(value), order) / F.first(initial) - 1
     n = F.count("*")
     sd = F.stddev_samp("ret")
     return r.groupBy(key).agg(
-        total.alias("total_return"), (F.pow(1 + total, year / n) - 1).alias("annual_return"), F.when(sd > 0, F.avg("ret") / sd * F.sqrt(F.lit(float(year)))).alias("sharpe"),
-        F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"), (F.count_if(F.col("ret") > 0) / n).alias("win_rate"), n.alias("periods"),
+        total.alias("total_return"), F.when(total > -1, F.pow(1 + total, year / n) - 1).otherwise(-1.0).alias("annual_return"),
+        F.when(sd > 0, F.avg("ret") / sd * F.sqrt(F.lit(float(year)))).otherwise(0.0).alias("sharpe"), F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"), n.alias("periods"),
+    )
+
+
+def trade_stats(events: DataFrame, key: str, initial: Column) -> DataFrame:
+    """Per account: closed and reduced positions and the share of them that won, results by side with their dividends, turnover and fees.
+
+    ``events`` has ``kind``, ``side``, ``amount`` (realised result, or dividend), ``notional`` and ``fee``. Dividends count for their
+    side, never as trades.
+    """
+    closed = F.col("kind").isin("position_closed", "position_reduced")
+    side = lambda s: (F.coalesce(F.sum(F.when((F.col("side") == s) & (closed | (F.col("kind") == "dividend_cash")), F.col("amount"))), F.lit(0)) / F.first(initial)).alias(f"{s}_return")
+    return events.groupBy(key).agg(
+        F.count_if(closed).alias("trades"), F.count_if(F.col("kind") == "position_closed").alias("full_closes"), F.coalesce(F.try_divide(F.count_if(closed & (F.col("amount") > 0)), F.count_if(closed)), F.lit(0.0)).alias("win_rate"),
+        side("long"), side("short"), (F.sum("notional") / F.first(initial)).alias("turnover"), F.sum("fee").alias("fees"),
     )
 
 
@@ -33,15 +47,26 @@ def regression(pairs: DataFrame, key: str, y: str, x: str, year: int = YEAR, lea
     return pairs.groupBy(key).agg(n.alias("n"), F.round(beta, 3).alias("beta"), F.round(alpha, 4).alias("alpha"), F.round(r2, 3).alias("r2"), F.round(F.product(1 + F.col(x)) - 1, 6).alias("benchmark"))
 
 
-def cycle_stats(pairs: DataFrame, key: str, y: str, x: str, year: int) -> DataFrame:
-    """Cumulative return, volatility, excess, tracking error and information ratio of matched periods (two at least)."""
-    gap = F.col(y) - F.col(x)
-    error = F.stddev_samp(gap)
-    enough = F.count("*") >= 2
-    return pairs.groupBy(key).agg(
-        F.round(F.product(1 + F.col(y)) - 1, 4).alias("cumulative"), F.round(F.stddev_samp(y) * year**0.5, 4).alias("volatility"), F.round(F.when(enough, F.product(1 + F.col(y)) - F.product(1 + F.col(x))), 4).alias("excess"),
-        F.round(F.when(enough, error * year**0.5), 4).alias("tracking_error"), F.round(F.when(enough & (error > 0), F.avg(gap) / error * year**0.5), 4).alias("information_ratio"),
-    )
+def cycle_stats(series: DataFrame, key: str, order: str, y: str, x: str, year: int) -> DataFrame:
+    """Statistics of a whole cycle of periodic returns ``y``; what compares with the benchmark ``x`` uses matched periods (two at least).
+
+    Return, volatility, Sharpe, drawdown and winning periods use every period. Both legs of the excess are compounded over the same periods.
+    """
+    own = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    run = series.withColumn("_equity", F.product(1 + F.col(y)).over(own))
+    run = run.withColumn("_fall", 1 - F.col("_equity") / F.greatest(F.lit(1.0), F.max("_equity").over(own)))
+    both = lambda c: F.when(F.col(x).isNotNull(), c)
+    n, total, sd = F.count("*"), F.product(1 + F.col(y)) - 1, F.stddev_samp(y)
+    gap = both(F.col(y) - F.col(x))
+    error, enough = F.stddev_samp(gap), F.count(x) >= 2
+    legs = lambda c: F.product(both(1 + F.col(c)))
+    rounded = {
+        "cumulative": (total, 4), "annual_return": (F.when(total > -1, F.pow(1 + total, year / n) - 1).otherwise(-1.0), 4), "volatility": (F.coalesce(sd, F.lit(0.0)) * year**0.5, 4),
+        "sharpe": (F.when(sd > 0, F.avg(y) / sd * year**0.5).otherwise(0.0), 4), "max_drawdown": (F.greatest(F.max("_fall"), F.lit(0.0)), 4), "win_rate": (F.count_if(F.col(y) > 0) / n, 4),
+        "benchmark": (F.when(enough, legs(x) - 1), 4), "excess": (F.when(enough, legs(y) - legs(x)), 4), "beta": (F.when(enough & (F.var_pop(x) > 0), F.covar_pop(y, x) / F.var_pop(x)), 4),
+        "tracking_error": (F.when(enough, error * year**0.5), 4), "information_ratio": (F.when(enough & (error > 0), F.avg(gap) / error * year**0.5), 4),
+    }
+    return run.groupBy(key).agg(n.alias("periods"), F.count(x).alias("matched"), *(F.round(c, d).alias(name) for name, (c, d) in rounded.items()))
 
 
 def signed(value: str = "market_value", side: str = "side") -> Column:
@@ -87,9 +112,12 @@ def corporate_actions(events: DataFrame, first: str, last: str) -> DataFrame:
 
 
 def credit_metrics(positions: DataFrame, debts: DataFrame, key: str, haircut: float = 0.7) -> DataFrame:
-    """Maintenance ratio and available margin: gains count by ``haircut``, losses in full."""
-    gain = signed() - F.col("cost")
-    held = positions.groupBy(key).agg(F.sum(signed()).alias("assets"), F.sum(F.when(gain > 0, gain * haircut).otherwise(gain)).alias("margin_gain"))
-    owed = debts.groupBy(key).agg(F.sum(F.col("principal") + F.col("interest")).alias("debt"))
-    out = held.join(owed, key, "left").withColumn("debt", F.coalesce("debt", F.lit(0.0)))
-    return out.withColumn("maintenance", F.try_divide("assets", "debt")).withColumn("available", F.col("margin_gain") - F.col("debt"))
+    """Maintenance ratio and available margin: gains count by ``haircut``, losses in full. Money is summed as decimals, so no order of tasks shows."""
+    money = lambda c: c.cast("decimal(18,2)")
+    part = F.lit(haircut).cast("decimal(3,2)")
+    worth = money(signed())
+    gain = worth - money(F.col("cost"))
+    held = positions.groupBy(key).agg(F.sum(worth).alias("assets"), F.sum(F.when(gain > 0, gain * part).otherwise(gain * F.lit(1).cast("decimal(3,2)"))).alias("margin_gain"))
+    owed = debts.groupBy(key).agg(F.sum(money(F.col("principal")) + money(F.col("interest"))).alias("debt"))
+    out = held.join(owed, key, "left").withColumn("debt", F.coalesce("debt", money(F.lit(0))))
+    return out.withColumn("maintenance", F.try_divide(F.col("assets").cast("double"), F.col("debt").cast("double"))).withColumn("available", F.col("margin_gain") - F.col("debt"))

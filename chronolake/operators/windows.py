@@ -14,6 +14,11 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     rest = [F.col(c) for c, t in df.dtypes if c not in keys and not t.startswith(("map", "variant"))]
     by = [*cols, *rest] if keep == "first" else [c.desc() for c in (*cols, *rest)]
+    if not any(t.startswith(("map", "variant")) for _, t in df.dtypes):
+        # Structs compare field by field, nulls first, so tasks keep one row a key before the shuffle.
+        row = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(cols)), *rest)
+        best = df.groupBy(*keys).agg((F.min if keep == "first" else F.max)(row).alias("_row"))
+        return best.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*by))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 

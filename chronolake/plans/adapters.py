@@ -38,7 +38,7 @@ VIEWS: dict[str, str] = {
         CASE l_partkey % 5 WHEN 0 THEN '.SZ' WHEN 1 THEN '.SZ' WHEN 2 THEN '.SH' WHEN 3 THEN '.SH' ELSE '.BJ' END) AS ts_code,
         CASE l_linenumber % 4 WHEN 0 THEN '09:30' WHEN 1 THEN '10:00' WHEN 2 THEN '14:57' ELSE '15:00' END AS trade_time,
         l_extendedprice / l_quantity AS price, l_quantity AS vol, l_extendedprice AS amount, l_orderkey, l_linenumber, l_suppkey FROM {lineitem}""",
-    "universe": """SELECT c_custkey AS code, c_name AS name, c_nationkey AS industry, CAST(c_custkey * 7 % 2400 AS INT) AS list_day,
+    "universe": """SELECT c_custkey AS code, concat(CASE c_custkey % 10 WHEN 0 THEN '*ST ' WHEN 1 THEN 'st ' ELSE '' END, replace(c_name, 'Customer', 'Firm')) AS name, c_nationkey AS industry, CAST(c_custkey * 7 % 2400 AS INT) AS list_day,
         CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey * 7 % 2400 + 300 + c_custkey % 900 AS INT) END AS delist_day, c_acctbal, c_mktsegment FROM {customer}""",
     "calendar": "SELECT DISTINCT replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', '') AS cal_date FROM {orders}",
     # Statements in several versions: one (customer, month), each order an announcement.
@@ -57,6 +57,10 @@ VIEWS: dict[str, str] = {
         THEN 'rejected' WHEN l_quantity < 20 THEN 'cancelled' ELSE 'open' END AS status, CASE WHEN l_linestatus <> 'F' AND l_quantity < 10
         THEN concat('reason ', CAST(l_linenumber AS STRING)) END AS reason, CAST(l_quantity AS BIGINT) * 50 AS shares, floor(l_extendedprice / l_quantity) / 100 AS price,
         l_shipdate AS placed_at FROM {lineitem}""",
+    # Events of an account in cents: closed and reduced positions, openings and dividends.
+    "trades": """SELECT l_suppkey AS account, CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS side, CASE WHEN l_linestatus <> 'F' AND l_linenumber = 1 THEN 'dividend_cash'
+        WHEN l_linenumber % 3 = 0 THEN 'position_reduced' WHEN l_linenumber % 3 = 1 THEN 'position_closed' ELSE 'opened' END AS kind, CAST(floor(l_extendedprice * (l_discount - 0.05)) AS BIGINT) * 100 AS amount,
+        CAST(floor(l_extendedprice) AS BIGINT) * 100 AS notional, CAST(floor(l_extendedprice * l_tax) AS BIGINT) AS fee FROM {lineitem}""",
     "old_part": "SELECT o_orderkey AS id, o_custkey AS cust, o_totalprice AS price, o_orderpriority AS prio, CAST(o_orderkey % 50 AS BIGINT) AS part FROM {orders} WHERE o_orderkey % 41 <> 0",
     "new_part": """SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN o_orderkey % 17 = 0 THEN floor(o_totalprice * 101) / 100 WHEN o_orderkey % 23 = 0 THEN NULL
         ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 29 = 0 THEN 'CHANGED' ELSE o_orderpriority END AS prio, CAST(o_orderkey % 50 AS BIGINT) AS part FROM {orders} WHERE o_orderkey % 37 <> 0""",

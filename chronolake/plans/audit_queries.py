@@ -36,9 +36,9 @@ def a5_minute_day_quality(t: Tables) -> DataFrame:
     return audit.minute_quality(t.ticks, "trade_date", "ts_code", 20)
 
 
-@query("SELECT trade_date, concat_ws(',', CASE WHEN trade_date >= '19980101' AND NOT bool_or(ts_code LIKE '%.BJ') THEN 'BJ' END, CASE WHEN NOT bool_or(ts_code LIKE '%.SH') THEN 'SH' END, CASE WHEN NOT bool_or(ts_code LIKE '%.SZ') THEN 'SZ' END) AS missing FROM {ticks} t WHERE l_orderkey % 7 = 0 GROUP BY 1 HAVING missing <> ''")
+@query("SELECT trade_date, concat_ws(',', CASE WHEN trade_date >= '19980101' AND NOT bool_or(ts_code LIKE '%.BJ') THEN 'BJ' END, CASE WHEN NOT bool_or(ts_code LIKE '%.SH') THEN 'SH' END, CASE WHEN NOT bool_or(ts_code LIKE '%.SZ') THEN 'SZ' END) AS missing FROM {ticks} t GROUP BY 1 HAVING missing <> ''")
 def a6_exchange_completeness(t: Tables) -> DataFrame:
-    e = t.ticks.where("l_orderkey % 7 = 0").select("trade_date", F.split_part("ts_code", F.lit("."), F.lit(2)).alias("ex"))
+    e = t.ticks.select("trade_date", F.split_part("ts_code", F.lit("."), F.lit(2)).alias("ex"))
     return audit.exchange_completeness(e, "trade_date", "ex", ["SH", "SZ"], "BJ", "19980101")
 
 
@@ -77,15 +77,15 @@ def a11_union_audit(t: Tables) -> DataFrame:
     return u.groupBy("source").agg(F.count("*").alias("rows"), F.count_distinct("part").alias("files"), F.count_if(F.col("id") % 10 == 0).alias("capped"))
 
 
-_FIND = "f AS (SELECT event_id AS id, event_type || CASE WHEN event_id % 3 = 0 THEN '_daily' ELSE '' END || '_check' AS chk, CASE WHEN value > 90 THEN 'error' WHEN value > 60 THEN 'warning' ELSE 'info' END AS severity FROM events WHERE event_type <> 'error'), ds AS (SELECT unnest(['click', 'click_daily', 'view', 'purchase', 'signup']) AS dataset)"
+_FIND = "f AS (SELECT event_id AS id, event_type || CASE WHEN event_id % 3 = 0 THEN '_daily' ELSE '' END || '_check' AS chk, CASE WHEN value > 90 THEN 'error' WHEN value > 60 THEN 'warning' ELSE 'info' END AS severity FROM events), ds AS (SELECT unnest(['click', 'click_daily', 'view', 'purchase', 'signup', 'error']) AS dataset)"
 
 
 @query(f"WITH {_FIND}, m AS (SELECT id, severity, arg_max(dataset, length(dataset)) AS dataset FROM f JOIN ds ON starts_with(chk, dataset) GROUP BY 1, 2), r AS (SELECT coalesce(dataset, 'ALL') AS dataset, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM m GROUP BY ROLLUP (dataset)) SELECT *, CASE WHEN error > 0 THEN 'error' WHEN warning > 0 THEN 'warning' ELSE 'ok' END AS status FROM r")
 def a12_finding_rollup(t: Tables) -> DataFrame:
     check = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, "_daily").otherwise(""), F.lit("_check"))
     severity = F.when(F.col("value") > 90, "error").when(F.col("value") > 60, "warning").otherwise("info")
-    found = t.events.where("event_type <> 'error'").select(F.col("event_id").alias("id"), check.alias("check"), severity.alias("severity"))
-    names = t.spark.createDataFrame([(x,) for x in ("click", "click_daily", "view", "purchase", "signup")], "dataset string")
+    found = t.events.select(F.col("event_id").alias("id"), check.alias("check"), severity.alias("severity"))
+    names = t.spark.createDataFrame([(x,) for x in ("click", "click_daily", "view", "purchase", "signup", "error")], "dataset string")
     return audit.rollup_findings(found, names)
 
 
@@ -143,10 +143,10 @@ def universe_screen(t: Tables) -> DataFrame:
     return audit.screen(t.universe, "name", F.lit(1200) - F.col("list_day"), 60, ["BUILDING", "MACHINERY"], "c_mktsegment", "c_acctbal", (0.0, 5000.0)).select("code", "name")
 
 
-@query("SELECT trade_date, ts_code, vol FROM {ticks} t WHERE l_orderkey % 9 = 0 AND (ts_code LIKE '00%' OR ts_code LIKE '%.BJ')")
+@query("SELECT trade_date, ts_code, vol FROM {ticks} t WHERE ts_code LIKE '00%' OR ts_code LIKE '%.BJ'")
 def apply_screen(t: Tables) -> DataFrame:
     allowed = t.ticks.where("ts_code like '00%' or ts_code like '%.BJ'").select("ts_code")
-    return audit.apply_screen(t.ticks.where("l_orderkey % 9 = 0"), "ts_code", allowed).select("trade_date", "ts_code", "vol")
+    return audit.apply_screen(t.ticks, "ts_code", allowed).select("trade_date", "ts_code", "vol")
 
 
 @query("""WITH c AS (SELECT dataset, 'amount' AS column, count(amount) AS filled, 'currency' AS unit FROM {statements} s GROUP BY 1 UNION ALL SELECT dataset, 'ann_date', count(ann_date), 'date' FROM {statements} s GROUP BY 1 UNION ALL SELECT dataset, 'code', count(code), 'unclassified' FROM {statements} s GROUP BY 1) SELECT * FROM c""")
@@ -190,7 +190,7 @@ def window_start(t: Tables) -> DataFrame:
 @query(f"WITH {_FIND}, m AS (SELECT split_part(chk, '_', 1) AS domain, max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS worst FROM f GROUP BY 1) SELECT domain, CASE WHEN worst = 2 AND domain IN ('click', 'view') THEN 'block' WHEN worst > 0 THEN 'warn' ELSE 'pass' END AS gate FROM m")
 def c3_quality_gate(t: Tables) -> DataFrame:
     level = F.when(F.col("value") > 90, 2).when(F.col("value") > 60, 1).otherwise(0)
-    worst = t.events.where("event_type <> 'error'").groupBy(F.col("event_type").alias("domain")).agg(F.max(level).alias("worst"))
+    worst = t.events.groupBy(F.col("event_type").alias("domain")).agg(F.max(level).alias("worst"))
     return worst.select("domain", F.when((F.col("worst") == 2) & F.col("domain").isin("click", "view"), "block").when(F.col("worst") > 0, "warn").otherwise("pass").alias("gate"))
 
 

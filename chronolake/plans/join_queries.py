@@ -66,11 +66,11 @@ def j8_coverage_diff(t: Tables) -> DataFrame:
     return joins.coverage_diff(t.old_part, t.new_part, "part", "id")
 
 
-@query("""WITH e AS (SELECT DISTINCT month, p_brand AS code FROM {monthly} m, (SELECT DISTINCT p_brand FROM part) p), h AS (SELECT DISTINCT month, code FROM {holdings} h WHERE account < 40 AND side = 'short')
+@query("""WITH e AS (SELECT DISTINCT month, p_brand AS code FROM {monthly} m, (SELECT DISTINCT p_brand FROM part) p), h AS (SELECT DISTINCT month, code FROM {holdings} h WHERE side = 'short')
     SELECT month, code, 'missing' AS state FROM (SELECT * FROM e EXCEPT SELECT * FROM h) UNION ALL SELECT month, code, 'unexpected' FROM (SELECT * FROM h EXCEPT SELECT * FROM e)""")
 def j9_expected_vs_present(t: Tables) -> DataFrame:
     expected = t.monthly.select("month").distinct().join(F.broadcast(t.part.select(F.col("p_brand").alias("code")).distinct()))
-    return joins.expected_vs_present(expected, t.holdings.where("account < 40 and side = 'short'"), ["month", "code"])
+    return joins.expected_vs_present(expected, t.holdings.where("side = 'short'"), ["month", "code"])
 
 
 @query("""SELECT a.trade_date, a.ts_code, round(a.vol / m.vol, 6) AS raw_ratio FROM (SELECT trade_date, ts_code, sum(vol) AS vol FROM {ticks} t WHERE trade_time = '09:30' GROUP BY 1, 2) a
@@ -88,16 +88,16 @@ def j11_daily_fallback(t: Tables) -> DataFrame:
     return joins.daily_fallback(daily, t.ticks.where("l_linenumber % 2 = 0"))
 
 
-@query("SELECT h.account, h.month, h.code, h.side, c.pb, coalesce(p.kind, 'unclassified') AS kind FROM {holdings} h JOIN {cross_section} c USING (month, code) LEFT JOIN (SELECT p_brand AS code, min(p_type) AS kind FROM part WHERE p_size > 48 GROUP BY 1) p USING (code)")
+@query("SELECT h.account, h.month, h.code, h.side, c.pb, coalesce(p.kind, 'unclassified') AS kind FROM {holdings} h JOIN {cross_section} c USING (month, code) LEFT JOIN (SELECT p_brand AS code, min(p_type) AS kind FROM part GROUP BY 1) p USING (code)")
 def j12_position_style_join(t: Tables) -> DataFrame:
-    kinds = t.part.where("p_size > 48").groupBy(F.col("p_brand").alias("code")).agg(F.min("p_type").alias("kind"))
+    kinds = t.part.groupBy(F.col("p_brand").alias("code")).agg(F.min("p_type").alias("kind"))
     out = t.holdings.join(t.cross_section, ["month", "code"]).join(F.broadcast(kinds), "code", "left")
     return out.select("account", "month", "code", "side", "pb", F.coalesce("kind", F.lit("unclassified")).alias("kind"))
 
 
-@query("SELECT account, month, m.value AS strategy, i.value AS benchmark FROM {monthly} m JOIN {index_monthly} i USING (month) WHERE month % 3 = 0")
+@query("SELECT account, month, m.value AS strategy, i.value AS benchmark FROM {monthly} m JOIN {index_monthly} i USING (month)")
 def j13_benchmark_match(t: Tables) -> DataFrame:
-    return t.monthly.where("month % 3 = 0").withColumnRenamed("value", "strategy").join(t.index_monthly.withColumnRenamed("value", "benchmark"), "month").select("account", "month", "strategy", "benchmark")
+    return t.monthly.withColumnRenamed("value", "strategy").join(t.index_monthly.withColumnRenamed("value", "benchmark"), "month").select("account", "month", "strategy", "benchmark")
 
 
 @query("""SELECT account, month, code, side, round(CASE WHEN side = 'long' THEN quantity * cash * 0.9 ELSE -quantity * cash END, 6) AS paid, CAST(floor(quantity * ratio) AS BIGINT) AS bonus, round((price - cash) / (1 + ratio), 8) AS rebased
@@ -166,9 +166,9 @@ def as_of_join(t: Tables) -> DataFrame:
     return joins.as_of(t.events, right, "user_id", "ts", "o_orderdate", ["o_orderkey"]).where("o_orderkey is not null").select("event_id", "o_orderkey")
 
 
-@query("SELECT text_id, CASE WHEN trim(title) <> '' THEN title ELSE body END AS title, substr(title || chr(10) || lang, 1, 30) AS body FROM {texts} t")
+@query("SELECT text_id, CASE WHEN trim(title) <> '' THEN title ELSE body END AS title, substr(CASE WHEN trim(title) <> '' THEN title || chr(10) ELSE '' END || CASE WHEN trim(body) <> '' THEN body || chr(10) ELSE '' END || lang, 1, 2000) AS body FROM {texts} t")
 def text_fields(t: Tables) -> DataFrame:
-    return text.text_fields(t.texts.withColumnRenamed("body", "full"), ["title", "full"], ["title", "lang"], 30).select("text_id", "title", "body")
+    return text.text_fields(t.texts.withColumnRenamed("body", "full"), ["title", "full"], ["title", "full", "lang"], 2000).select("text_id", "title", "body")
 
 
 @query("SELECT text_id AS id, sha1(dataset || '|' || available_at || '|' || substr(title, 1, 200) || '|' || r) AS text_id, sha1(body) AS source_hash FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY available_at, text_id) AS r FROM {texts} t) x")
@@ -193,11 +193,11 @@ def c6_text_search(t: Tables) -> DataFrame:
     return text.search(t.texts.drop("body"), t.texts, "th[ae]t", F.col("code") == 7, F.lit(600), 50).select("text_id", "dataset", "rank")
 
 
-@query("SELECT dataset, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS revision FROM (SELECT dataset, sha1(available_at || '|' || text_id || '|' || title) AS h FROM {texts} t WHERE available_at <= 500) x GROUP BY dataset")
+@query("SELECT dataset, count(*) AS n, sha256(count(*) || '|' || sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) || '|' || sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT))) AS revision FROM (SELECT dataset, sha1(available_at || '|' || text_id || '|' || title) AS h FROM {texts} t WHERE available_at <= 500) x GROUP BY dataset")
 def a30_evidence_revision(t: Tables) -> DataFrame:
     return text.evidence(t.texts.where("available_at <= 500"), "dataset", ["available_at", "text_id"], ["title"])
 
 
-@query("SELECT account, sha256(string_agg(h, ',' ORDER BY h)) AS signature FROM (SELECT account, sha1(order_id || '|' || line || '|' || code || '|' || action || '|' || shares) AS h FROM {tickets} k) x GROUP BY account")
+@query("SELECT account, sha256(count(*) || '|' || sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) || '|' || sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT))) AS signature FROM (SELECT account, sha1(order_id || '|' || line || '|' || code || '|' || action || '|' || shares) AS h FROM {tickets} k) x GROUP BY account")
 def a31_order_signature(t: Tables) -> DataFrame:
     return text.evidence(t.tickets, "account", ["order_id", "line"], ["code", "action", "shares"]).select("account", F.col("revision").alias("signature"))

@@ -10,6 +10,7 @@ from ..operators import perf, windows
 from .registry import Tables, query
 
 _RET = "r AS (SELECT account, month, value, value / coalesce(lag(value) OVER (PARTITION BY account ORDER BY month), 100000) - 1 AS ret, value / greatest(100000, max(value) OVER (PARTITION BY account ORDER BY month ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM {monthly} m)"
+_CYCLE = "s AS (SELECT account, month, value / lag(value) OVER (PARTITION BY account ORDER BY month) - 1 AS y FROM {monthly} m), i AS (SELECT month, value / lag(value) OVER (ORDER BY month) - 1 AS x FROM {index_monthly} m), c AS (SELECT account, month, y / 100 AS y, x / 100 AS x FROM s LEFT JOIN i USING (month) WHERE y IS NOT NULL), e AS (SELECT *, product(1 + y) OVER (PARTITION BY account ORDER BY month) AS equity FROM c), f AS (SELECT *, 1 - equity / greatest(1, max(equity) OVER (PARTITION BY account ORDER BY month)) AS fall FROM e)"
 _PAIRS = "s AS (SELECT account, month, value / lag(value) OVER (PARTITION BY account ORDER BY month) - 1 AS y FROM {monthly} m), i AS (SELECT month, value / lag(value) OVER (ORDER BY month) - 1 AS x FROM {index_monthly} m), p AS (SELECT account, y / 100 AS y, x / 100 AS x FROM s JOIN i USING (month) WHERE y IS NOT NULL AND x IS NOT NULL)"
 
 
@@ -23,9 +24,11 @@ def _rounded(df: DataFrame, digits: int, *keys: str) -> DataFrame:
     return df.select(*keys, *(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes if c not in keys))
 
 
-@query(f"WITH {_RET} SELECT account, round(arg_max(value, month) / 100000 - 1, 6) AS total_return, round(pow(arg_max(value, month) / 100000, 12.0 / count(*)) - 1, 6) AS annual_return, round(avg(ret) / stddev_samp(ret) * sqrt(12.0), 6) AS sharpe, round(least(min(dd), 0), 6) AS max_drawdown, round(count(*) FILTER (ret > 0) / count(*), 6) AS win_rate, count(*) AS periods FROM r GROUP BY account")
+@query(f"WITH {_RET}, g AS (SELECT account, round(arg_max(value, month) / 100000 - 1, 6) AS total_return, round(pow(arg_max(value, month) / 100000, 12.0 / count(*)) - 1, 6) AS annual_return, round(coalesce(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(12.0) END, 0), 6) AS sharpe, round(least(min(dd), 0), 6) AS max_drawdown, count(*) AS periods FROM r GROUP BY account), k AS (SELECT account, count(*) FILTER (kind LIKE 'position%') AS trades, count(*) FILTER (kind = 'position_closed') AS full_closes, coalesce(round(count(*) FILTER (kind LIKE 'position%' AND amount > 0) / nullif(count(*) FILTER (kind LIKE 'position%'), 0), 6), 0) AS win_rate, round(coalesce(sum(amount) FILTER (side = 'long' AND kind <> 'opened'), 0) / 10000000, 6) AS long_return, round(coalesce(sum(amount) FILTER (side = 'short' AND kind <> 'opened'), 0) / 10000000, 6) AS short_return, round(sum(notional) / 10000000, 6) AS turnover, CAST(sum(fee) AS BIGINT) AS fees FROM {{trades}} d GROUP BY account) SELECT * FROM g LEFT JOIN k USING (account)")
 def a17_return_stats(t: Tables) -> DataFrame:
-    return _rounded(perf.return_stats(t.monthly, "account", "month", "value", F.lit(100000.0), 12), 6, "account")
+    equity = _rounded(perf.return_stats(t.monthly, "account", "month", "value", F.lit(100000.0), 12), 6, "account")
+    trades = perf.trade_stats(t.trades, "account", F.lit(10_000_000))  # cents
+    return equity.join(_rounded(trades, 6, "account"), "account", "left")
 
 
 @query("SELECT action, count(*) AS total, count(*) FILTER (status = 'filled') AS filled, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'cancelled') AS cancelled FROM {tickets} k GROUP BY action")
@@ -33,10 +36,10 @@ def a18_order_lifecycle(t: Tables) -> DataFrame:
     return perf.status_counts(t.tickets, "action", "status", ["filled", "rejected", "cancelled"])
 
 
-@query("""WITH g AS (SELECT account, month, sum(market_value) AS gross FROM {holdings} h WHERE code < 'Brand#12' GROUP BY 1, 2) SELECT account, round(avg(coalesce(gross / value, 0)), 6) AS average, round(max(coalesce(gross / value, 0)), 6) AS highest, count(*) FILTER (gross IS NULL) AS zero_dates
+@query("""WITH g AS (SELECT account, month, sum(market_value) AS gross FROM {holdings} h GROUP BY 1, 2) SELECT account, round(avg(coalesce(gross / value, 0)), 6) AS average, round(max(coalesce(gross / value, 0)), 6) AS highest, count(*) FILTER (gross IS NULL) AS zero_dates
     FROM {monthly} m LEFT JOIN g USING (account, month) GROUP BY account""")
 def a19_exposure(t: Tables) -> DataFrame:
-    return _rounded(perf.exposure(t.holdings.where("code < 'Brand#12'"), t.monthly, "account", "month", "value"), 6, "account")
+    return _rounded(perf.exposure(t.holdings, t.monthly, "account", "month", "value"), 6, "account")
 
 
 @query("SELECT 'action' AS what, action AS name, count(*) AS n FROM {tickets} k GROUP BY action UNION ALL (SELECT 'code', code, CAST(sum(shares) AS BIGINT) AS n FROM {tickets} k GROUP BY code ORDER BY n DESC, code LIMIT 8) UNION ALL (SELECT 'reason', reason, count(*) AS n FROM {tickets} k WHERE reason IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 6)")
@@ -50,9 +53,11 @@ def a21_benchmark_regression(t: Tables) -> DataFrame:
     return perf.regression(_pairs(t), "account", "y", "x", 12)
 
 
-@query(f"WITH {_PAIRS} SELECT account, round(product(1 + y) - 1, 4) AS cumulative, round(stddev_samp(y) * sqrt(12.0), 4) AS volatility, round(CASE WHEN count(*) >= 2 THEN product(1 + y) - product(1 + x) END, 4) AS excess, round(stddev_samp(y - x) * sqrt(12.0), 4) AS tracking_error, round(avg(y - x) / stddev_samp(y - x) * sqrt(12.0), 4) AS information_ratio FROM p GROUP BY account")
+@query(f"WITH {_CYCLE} SELECT account, count(*) AS periods, count(x) AS matched, round(product(1 + y) - 1, 4) AS cumulative, round(pow(product(1 + y), 12.0 / count(*)) - 1, 4) AS annual_return, round(coalesce(stddev_samp(y), 0) * sqrt(12.0), 4) AS volatility, round(coalesce(CASE WHEN stddev_samp(y) > 0 THEN avg(y) / stddev_samp(y) * sqrt(12.0) END, 0), 4) AS sharpe, round(greatest(max(fall), 0), 4) AS max_drawdown, round(count(*) FILTER (y > 0) / count(*), 4) AS win_rate, round(CASE WHEN count(x) >= 2 THEN product(CASE WHEN x IS NOT NULL THEN 1 + x END) - 1 END, 4) AS benchmark, round(CASE WHEN count(x) >= 2 THEN product(CASE WHEN x IS NOT NULL THEN 1 + y END) - product(CASE WHEN x IS NOT NULL THEN 1 + x END) END, 4) AS excess, round(CASE WHEN count(x) >= 2 THEN covar_pop(y, x) / var_pop(x) END, 4) AS beta, round(stddev_samp(y - x) * sqrt(12.0), 4) AS tracking_error, round(avg(y - x) / stddev_samp(y - x) * sqrt(12.0), 4) AS information_ratio FROM f GROUP BY account")
 def a22_cycle_stats(t: Tables) -> DataFrame:
-    return perf.cycle_stats(_pairs(t), "account", "y", "x", 12)
+    s = windows.returns(t.monthly, "account", "month", "value").where("ret is not null").select("account", "month", (F.col("ret") / 100).alias("y"))
+    i = windows.returns(t.index_monthly.withColumn("k", F.lit(1)), "k", "month", "value").where("ret is not null").select("month", (F.col("ret") / 100).alias("x"))
+    return perf.cycle_stats(s.join(i, "month", "left"), "account", "month", "y", "x", 12)
 
 
 @query("""WITH k AS (SELECT month, code, (rank() OVER (PARTITION BY month ORDER BY circ_mv) + (count(*) OVER (PARTITION BY month, circ_mv) - 1) / 2.0) / count(*) OVER (PARTITION BY month) AS s, CASE WHEN pb IS NULL THEN 0.5 ELSE (rank() OVER (PARTITION BY month ORDER BY pb NULLS LAST) + (count(*) OVER (PARTITION BY month, pb) - 1) / 2.0) / count(pb) OVER (PARTITION BY month) END AS b FROM {cross_section} c),
@@ -87,17 +92,17 @@ def a26_experiment_summary(t: Tables) -> DataFrame:
     return per.join(F.broadcast(newest)).select("epoch", "folds", "compounded", (F.col("epoch") == F.col("_e")).alias("headline"))
 
 
-@query("""WITH h AS (SELECT account, sum(m) AS assets, sum(CASE WHEN m - c > 0 THEN (m - c) * 0.7 ELSE m - c END) AS g FROM (SELECT account, CASE WHEN side = 'short' THEN -market_value ELSE market_value END AS m, quantity * 1000 AS c FROM {holdings} h WHERE month = 199806) x GROUP BY 1),
-    d AS (SELECT account, sum(principal + interest) AS debt FROM {debts} d GROUP BY 1) SELECT account, round(assets, 2) AS assets, round(coalesce(debt, 0), 2) AS debt, round(assets / nullif(debt, 0), 6) AS maintenance, round(g - coalesce(debt, 0), 2) AS available FROM h LEFT JOIN d USING (account)""")
+@query("""WITH h AS (SELECT account, sum(m) AS assets, sum(CASE WHEN m - c > 0 THEN (m - c) * 0.70 ELSE (m - c) * 1.00 END) AS g FROM (SELECT account, CAST(CASE WHEN side = 'short' THEN -market_value ELSE market_value END AS DECIMAL(18,2)) AS m, CAST(quantity * 1000 AS DECIMAL(18,2)) AS c FROM {holdings} h WHERE month = 199806) x GROUP BY 1),
+    d AS (SELECT account, sum(CAST(principal AS DECIMAL(18,2)) + CAST(interest AS DECIMAL(18,2))) AS debt FROM {debts} d GROUP BY 1) SELECT account, CAST(assets AS DOUBLE) AS assets, coalesce(CAST(debt AS DOUBLE), 0) AS debt, round(CAST(assets AS DOUBLE) / nullif(CAST(debt AS DOUBLE), 0), 6) AS maintenance, CAST(round(g - coalesce(debt, 0), 2) AS DOUBLE) AS available FROM h LEFT JOIN d USING (account)""")
 def a27_credit_metrics(t: Tables) -> DataFrame:
     held = t.holdings.where("month = 199806").withColumn("cost", F.col("quantity") * 1000)
     out = perf.credit_metrics(held, t.debts, "account")
-    return out.select("account", F.round("assets", 2).alias("assets"), F.round("debt", 2).alias("debt"), F.round("maintenance", 6).alias("maintenance"), F.round("available", 2).alias("available"))
+    return out.select("account", F.col("assets").cast("double").alias("assets"), F.col("debt").cast("double").alias("debt"), F.round("maintenance", 6).alias("maintenance"), F.round("available", 2).cast("double").alias("available"))
 
 
-@query("""SELECT h.account, h.code, h.side, coalesce(e.reason, 'none') AS reason, e.reason IS NULL AS complete FROM {holdings} h LEFT JOIN (SELECT account, max(reason) AS reason FROM {tickets} k WHERE status = 'rejected' AND account % 3 = 0 GROUP BY 1) e USING (account) WHERE month = (SELECT max(month) FROM {holdings} x)""")
+@query("""SELECT h.account, h.code, h.side, coalesce(e.reason, 'none') AS reason, e.reason IS NULL AS complete FROM {holdings} h LEFT JOIN (SELECT account, max(reason) AS reason FROM {tickets} k WHERE status = 'rejected' GROUP BY 1) e USING (account) WHERE month = (SELECT max(month) FROM {holdings} x)""")
 def a28_unliquidated(t: Tables) -> DataFrame:
-    why = t.tickets.where("status = 'rejected' and account % 3 = 0").groupBy("account").agg(F.max("reason").alias("reason"))
+    why = t.tickets.where("status = 'rejected'").groupBy("account").agg(F.max("reason").alias("reason"))
     last = t.holdings.agg(F.max("month").alias("month"))
     left = t.holdings.join(F.broadcast(last), "month", "left_semi").join(why, "account", "left")
     return left.select("account", "code", "side", F.coalesce("reason", F.lit("none")).alias("reason"), F.col("reason").isNull().alias("complete"))

@@ -46,7 +46,7 @@ def r6_health_transitions(t: Tables) -> DataFrame:
     return jobs.transitions(t.events.select("user_id", "event_id", (F.col("event_type") == "error").alias("bad")), "user_id", "event_id", "bad")
 
 
-@query("""WITH n AS (SELECT dataset, sha256(string_agg(h, ',' ORDER BY h)) AS r FROM (SELECT dataset, sha1(available_at || '|' || text_id || '|' || title) AS h FROM {texts} t WHERE available_at <= 520) x GROUP BY 1), o AS (SELECT dataset, sha256(string_agg(h, ',' ORDER BY h)) AS r FROM (SELECT dataset, sha1(available_at || '|' || text_id || '|' || title) AS h FROM {texts} t WHERE available_at <= 515) x GROUP BY 1)
+@query("""WITH n AS (SELECT dataset, sha256(count(*) || '|' || sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) || '|' || sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT))) AS r FROM (SELECT dataset, sha1(available_at || '|' || text_id || '|' || title) AS h FROM {texts} t WHERE available_at <= 520) x GROUP BY 1), o AS (SELECT dataset, sha256(count(*) || '|' || sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) || '|' || sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT))) AS r FROM (SELECT dataset, sha1(available_at || '|' || text_id || '|' || title) AS h FROM {texts} t WHERE available_at <= 515) x GROUP BY 1)
     SELECT n.dataset FROM n LEFT JOIN o USING (dataset) WHERE o.r IS NULL OR o.r <> n.r""")
 def r7_event_gate(t: Tables) -> DataFrame:
     at = lambda when: text.evidence(t.texts.where(F.col("available_at") <= when), "dataset", ["available_at", "text_id"], ["title"])
