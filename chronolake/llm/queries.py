@@ -38,23 +38,28 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.read_back(chat.windows(given.unionByName(more)))
 
 
 OP2_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
            SELECT -1, k, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
-k AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS tok,
+k AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + len(regexp_extract_all(role, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS tok,
       12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS chars FROM c),
 p AS (SELECT *, row_number() OVER w - 1 AS pos, sum(tok) OVER (w ROWS UNBOUNDED PRECEDING) - tok AS before FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 s AS (SELECT conv_id, tok AS s, chars AS schars FROM p WHERE pos = 0 AND role = 'system'),
-o AS (SELECT p.*, before - coalesce(s, 0) AS at0, greatest(2048 - 512 - coalesce(s, 0), 512) AS f FROM p LEFT JOIN s USING (conv_id) WHERE s IS NULL OR pos > 0),
-q AS (SELECT *, at0 // f * 2 + CASE WHEN (at0 + tok - 1) // f > at0 // f THEN 1 ELSE 0 END AS win FROM o),
-ws AS (SELECT conv_id, win, min(at0) AS from0 FROM q GROUP BY 1, 2),
-again AS (SELECT ws.conv_id, sum(chars) AS n FROM ws JOIN q ON q.conv_id = ws.conv_id AND at0 + tok <= from0 AND at0 >= from0 - 512 GROUP BY 1),
+o AS (SELECT p.*, before - coalesce(s, 0) AS at0, CASE WHEN s < 2048 THEN s ELSE 0 END AS led, greatest(2048 - 512 - CASE WHEN s < 2048 THEN s ELSE 0 END, (2048 - CASE WHEN s < 2048 THEN s ELSE 0 END) // 2, 1) AS f
+      FROM p LEFT JOIN s USING (conv_id) WHERE s IS NULL OR pos > 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pos // 256 ORDER BY pos) AS nth FROM o),
+g AS (SELECT conv_id, pos, CAST(0 AS BIGINT) AS n, tok AS held FROM b WHERE nth = 1 UNION ALL
+      SELECT b.conv_id, b.pos, CASE WHEN held + tok <= f THEN n ELSE n + 1 END, CASE WHEN held + tok <= f THEN held + tok ELSE tok END FROM g JOIN b ON b.conv_id = g.conv_id AND b.pos = g.pos + 1 AND nth > 1),
+q AS (SELECT b.*, b.pos // 256 * 256 + n AS win FROM b JOIN g USING (conv_id, pos)),
+ws AS (SELECT conv_id, win, min(at0) AS from0, sum(tok) AS fresh, max(led) AS led FROM q GROUP BY 1, 2),
+wr AS (SELECT *, led + fresh <= 2048 AS fits, least(512, 2048 - fresh - CASE WHEN led + fresh <= 2048 THEN led ELSE 0 END) AS room FROM ws),
+again AS (SELECT wr.conv_id, sum(chars) AS n FROM wr JOIN q ON q.conv_id = wr.conv_id AND room > 0 AND at0 + tok <= from0 AND at0 >= from0 - room GROUP BY 1),
 fresh AS (SELECT conv_id, sum(chars) AS n FROM q GROUP BY 1),
-led AS (SELECT s.conv_id, schars * greatest(count(ws.win), 1) AS n FROM s LEFT JOIN ws USING (conv_id) GROUP BY s.conv_id, schars),
+led AS (SELECT s.conv_id, schars * (count(*) FILTER (fits AND s < 2048) + CASE WHEN coalesce(arg_min(fits, win), false) AND s.s < 2048 THEN 0 ELSE 1 END) AS n FROM s LEFT JOIN wr USING (conv_id) GROUP BY s.conv_id, schars, s.s),
 d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
       coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS said FROM c GROUP BY 1)
 SELECT d.conv_id, n_turns, sha256(turns) AS turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256,
@@ -65,7 +70,7 @@ FROM d LEFT JOIN fresh USING (conv_id) LEFT JOIN again USING (conv_id) LEFT JOIN
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.report(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone")).alias("n_base"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
