@@ -1,9 +1,10 @@
 """I-Match fingerprints in DataFrame functions: terms in a band of document frequency, several random lexicons.
 
-Terms are lower-cased runs of letters and digits, by their 64-bit hash; document frequencies are counted over
-all documents for ``1 << SLOT_BITS`` hashed slots. The lexicon is the slots whose share of documents lies in
-[``RARE``, ``COMMON``]: a fixed share bounds its size at any input. A document's distinct lexicon terms, sorted,
-are split over ``LEXICONS`` random sub-lexicons; each one's terms are hashed together, 16 bits a part.
+Terms are lower-cased runs of letters and digits, by their 64-bit hash; their document frequencies are counted over
+all documents. The lexicon is the terms whose share of documents lies in [``RARE``, ``COMMON``]: a fixed share bounds
+its number by a document's mean number of terms over ``RARE``. It is kept as a bitmap of fixed size in which each term sets
+``PROBES`` bits. A document's distinct lexicon terms, sorted, fall into ``LEXICONS`` random sub-lexicons, each term into
+``DRAWS`` of them; the terms of each are hashed together, 24 bits a part.
 """
 
 from __future__ import annotations
@@ -14,46 +15,55 @@ from pyspark.sql import functions as F
 
 from .common import once
 
-SLOT_BITS = 20
+SLOT_BITS, PROBES = 20, (0, 20, 40)
 RARE, COMMON = 0.002, 0.1
-LEXICONS = 64  # 8 x 8: the top six bits of a term's hash choose
-NO_TERMS = "----"
+LEXICONS, DRAWS = 64, (6, 12, 18, 24)  # 8 x 8; a draw is six bits of a term's hash
+NO_TERMS = "------"
 
 
 def _hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+def _slots(h: Column) -> list[Column]:
+    return [F.shiftrightunsigned(h, p).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for p in PROBES]
+
+
+def _constants(values: list[int]) -> Column:
+    """A constant array in a single literal, however many values there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
 def lexicon(documents: DataFrame, text: str = "text") -> Column:
     """The lexicon as a constant array of 64-bit masks, counted over all documents."""
-    slots = _slots(documents, text)
+    terms = documents.select(once(F.array_distinct(_hashes(F.col(text)))).alias("_h")).select(F.explode("_h").alias("term"))
     n = max(documents.count(), 1)
-    counts = slots.groupBy("slot").agg(F.count("*").alias("df")).where(F.col("df").between(RARE * n, COMMON * n))
-    bits = counts.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    counts = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(RARE * n, COMMON * n))
+    slots = counts.select(F.explode(F.array(*_slots(F.col("term")))).alias("slot"))
+    bits = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     masks = [0] * (1 << (SLOT_BITS - 6))
     for word, value in bits.collect():  # 2^14 rows at most
         masks[word] = value
-    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
-
-
-def _slots(documents: DataFrame, text: str) -> DataFrame:
-    hashed = documents.select(once(_hashes(F.col(text))).alias("_h"))
-    return hashed.select(F.explode(F.array_distinct(F.transform("_h", _slot))).alias("slot"))
+    return _constants(masks)
 
 
 def with_fingerprint(df: DataFrame, text: str, masks: Column, to: str) -> DataFrame:
     """Adds ``to``: an array with a part for each sub-lexicon, or the text's digest alone where no term is in the lexicon."""
     names = df.columns
-    known = lambda h: F.getbit(F.get(masks, F.shiftright(_slot(h), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    bit = lambda s: F.getbit(F.get(masks, F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def known(h: Column) -> Column:
+        first, second, third = map(bit, _slots(h))
+        return first & second & third
+
     banded = df.select(*names, once(_hashes(F.col(text))).alias("_h")).select(*names, once(F.array_sort(F.array_distinct(F.filter("_h", known)))).alias("_band"))
-    part = lambda terms: F.when(F.size(terms) == 0, NO_TERMS).otherwise(F.lpad(F.hex(F.xxhash64(terms).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
+    # Each term once for each draw; the draw takes the place of its last six bits.
+    drawn = F.flatten(F.transform("_band", lambda h: F.array(*(h.bitwiseAND(F.lit(-64)).bitwiseOR(F.shiftrightunsigned(h, d).bitwiseAND(F.lit(63))) for d in DRAWS))))
+    banded = banded.select(*names, "_band", once(drawn).alias("_drawn"))
+    part = lambda terms: F.when(F.size(terms) == 0, NO_TERMS).otherwise(F.lpad(F.hex(F.xxhash64(terms).bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))
     eight = F.sequence(F.lit(0), F.lit(7))
-    group = lambda g: F.filter("_band", lambda h: F.shiftrightunsigned(h, 61) == g)
-    split = lambda terms: F.transform(eight, lambda j: part(F.filter(terms, lambda h: F.shiftrightunsigned(h, 58).bitwiseAND(F.lit(7)) == j)))
+    group = lambda g: F.filter("_drawn", lambda h: F.shiftright(h, 3).bitwiseAND(F.lit(7)) == g)
+    split = lambda terms: F.transform(eight, lambda j: part(F.filter(terms, lambda h: h.bitwiseAND(F.lit(7)) == j)))
     parts = F.flatten(F.transform(F.transform(eight, group), split))
     alone = F.array(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     return banded.select(*names, F.when(F.size("_band") > 0, parts).otherwise(alone).alias(to))
@@ -76,12 +86,12 @@ def with_next(documents: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keys = documents.select(key.alias("_k"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(keys.agg(F.percentile_approx("_k", F.array(*(F.lit(k / n) for k in range(1, n))) if n > 1 else F.array(F.lit(0.5)), 1000 * n)).first()[0] or []))
-    block = F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>"), lambda b: b <= F.col("_k")))
+    block = F.size(F.filter(_constants(bounds), lambda b: b <= F.col("_k")))
     firsts = sorted(tuple(r) for r in keys.select("_k", block.alias("b")).groupBy("b").agg(F.min("_k")).collect())  # a row a block
-    before = {firsts[k][1]: firsts[k - 1][0] for k in range(len(firsts))}
-    ghost = F.lit(None).cast("int")
-    for first, to in before.items():
-        ghost = F.when(F.col("_k") == first, F.lit(to)).otherwise(ghost)
+    # The least key of a block is also sent to the block before; that of the first block to the last.
+    sent_on = _constants([first for _, first in firsts])
+    to = _constants([firsts[k - 1][0] for k in range(len(firsts))])
+    ghost = F.when(F.array_contains(sent_on, F.col("_k")), F.get(to, (F.array_position(sent_on, F.col("_k")) - 1).cast("int")).cast("int"))
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), key.alias("_k"))
     if masks is not None:
         rows = with_fingerprint(rows, "text", masks, "fp")
@@ -97,7 +107,8 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Returns a row for each row of ``documents``. Null counts as empty; a text without lexicon terms is its
     digest, so only equal ones are alike; repeated doc_ids are neighbours in the order of their texts; null
-    doc_ids come first; a single document is its own next.
+    doc_ids come first, all of them in one sorted block; a very long text is one row in one task; a single document
+    is its own next; no rows give none; extra columns are ignored.
     """
     masks = lexicon(documents, text)
     paired = with_next(documents, text, doc_id, masks)
