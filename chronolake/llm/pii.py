@@ -4,10 +4,12 @@ The base kinds are exact patterns. Each found value is a protected entity, and s
 that holds it, but for those in base spans, is one of its terms. Over all documents, PMI(entity; term) = log2(p(entity, term) / (p(entity) p(term)))
 is compared with the entity's own information IC(entity) = -log2 p(entity), probabilities being shares of
 documents. A term that carries at least ``GENERALISE`` of that information is generalised to its class, one
-that carries at least ``REMOVE`` of it is removed, wherever it stands in the documents that hold the entity.
+that carries at least ``REMOVE`` of it is removed: everywhere, in documents that do not hold the entity as well, since
+there it is the term alone that discloses it.
 
 Where fewer than ``SUPPORT`` documents share entity and term, p(entity | term) is not taken as observed but at the
-lower end of its one-sided Wilson interval (``Z``): a rare value counts too, with no more than is certain of it.
+lower end of its one-sided Wilson interval (``Z``): a rare value counts too, with no more than is certain of it, and
+what is found so is treated in the documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_broadcast, crc_slot, crc_slots, is_marked, marks, modest_batches, written
+from .common import bounded_broadcast, crc_slot, crc_slots, forget, is_marked, marks, modest_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 #: 99.5 % of a normal variable lie below it.
 Z = 2.576
 GENERALISE, REMOVE = 0.6, 0.9
+#: Stands for the entity where a term discloses one by itself.
+EVERYWHERE = ""
 #: Term counts that a task holds before it hands them on.
 HELD = 500_000
 #: Pairs that a task holds before it hands them on, and parts into which the pairs of an entity are dealt.
@@ -121,15 +125,28 @@ def _found(documents: DataFrame, text: str) -> DataFrame:
     return documents.mapInArrow(find, T.StructType([*documents.schema.fields, T.StructField("_key", T.BinaryType()), _OWN]))
 
 
-def _others(documents: DataFrame, text: str) -> DataFrame:
-    """The rows without base spans."""
-    at = documents.columns.index(text)
+def _others(documents: DataFrame, text: str, told: bytes, touched: bool) -> DataFrame:
+    """The rows without base spans: with ``touched`` those that hold a marked term, with ``_key`` and no ``_own``; else those that do not."""
+    names = documents.columns
+    bits = documents.sparkSession.sparkContext.broadcast(told)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not base_spans(body.as_py() or "") for body in batch.column(at)], pa.bool_()))
-
-    return documents.mapInArrow(find, documents.schema)
+            bodies = [body or "" for body in batch.column(names.index(text)).to_pylist()]
+            words = [[] if base_spans(body) else list({f"{EVERYWHERE}\n{w.lower()}" for w in set(_WORD.findall(body))}) for body in bodies]
+            hit = is_marked(bits.value, crc_slots([w for own in words for w in own])) if any(words) else []
+            owner = [k for k, own in enumerate(words) for _ in own]
+            marked = {k for k, there in zip(owner, hit, strict=True) if there}
+            if touched:
+                keep = sorted(marked)
+                rows = batch.take(pa.array(keep, pa.int64()))
+                keys = [hashlib.sha256(bodies[k].encode()).digest() for k in keep]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.binary()), pa.array([[]] * len(keep), pa.list_(_SPAN))], [*names, "_key", "_own"])
+            else:
+                yield batch.filter(pa.array([k not in marked and not base_spans(body) for k, body in enumerate(bodies)], pa.bool_()))
+
+    schema = T.StructType([*documents.schema.fields, T.StructField("_key", T.BinaryType()), _OWN]) if touched else documents.schema
+    return documents.mapInArrow(find, schema)
 
 
 def _document_counts(documents: DataFrame, text: str) -> DataFrame:
@@ -209,9 +226,9 @@ def _pair_counts(found: DataFrame, text: str, entities: DataFrame, counts: DataF
     return found.select(text, "_own").mapInArrow(count, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
 
 
-def _pairs_of_texts(found: DataFrame, text: str, disclosing: DataFrame) -> DataFrame:
-    """(_key, entity, term) for the pairs of a text that a bitmap of the disclosing ones lets through."""
-    told = found.sparkSession.sparkContext.broadcast(marks(disclosing.select(F.concat_ws("\n", "entity", "term").alias("pair")), "pair", crc_slot))
+def _pairs_of_texts(found: DataFrame, text: str, told: bytes) -> DataFrame:
+    """(_key, entity, term) for the pairs of a text, and its terms by themselves, that the bitmap of the disclosing ones lets through."""
+    bits = found.sparkSession.sparkContext.broadcast(told)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, entities, terms = [], [], []
@@ -223,8 +240,8 @@ def _pairs_of_texts(found: DataFrame, text: str, disclosing: DataFrame) -> DataF
             for key, body, own in zip(*(c.to_pylist() for c in batch.columns)):
                 spans = _tuples(own)
                 words = {w for w, _, _ in _free_words(body, spans)}
-                for entity in _entities(body, spans):
-                    hits = [p.rpartition("\n")[2] for p in _marked([f"{entity}\n{w}" for w in words], told.value)]
+                for entity in {EVERYWHERE, *_entities(body, spans)}:
+                    hits = [p.rpartition("\n")[2] for p in _marked([f"{entity}\n{w}" for w in words], bits.value)]
                     keys += [key] * len(hits)
                     entities += [entity] * len(hits)
                     terms += hits
@@ -243,7 +260,7 @@ def _surely(n_both: Column, n: Column) -> Column:
 
 
 def _disclosing(documents: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """(entity, term, kind), kind being ``generalise`` or ``remove``."""
+    """(entity, term, kind), kind being ``generalise`` or ``remove``; the entity ``EVERYWHERE`` has the terms that disclose one on their own."""
     n_docs = max(documents.count(), 1)
     counts, held = written(_document_counts(documents, text), "terms"), written(_entity_counts(found, text), "values")
     together = written(_pair_counts(found, text, held, counts, n_docs), "pairs").withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
@@ -253,18 +270,24 @@ def _disclosing(documents: DataFrame, found: DataFrame, text: str) -> DataFrame:
     given = F.when(F.col("n_both") >= SUPPORT, F.col("n_both") / F.col("n")).otherwise(_surely(F.col("n_both"), F.col("n")))
     share = F.log2(given * F.lit(n_docs) / F.col("n_entity")) / F.greatest(F.log2(F.lit(n_docs) / F.col("n_entity")), F.lit(1e-9))
     judged = pairs.withColumn("share", share).where(F.col("share") >= GENERALISE)
-    return written(judged.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")), "disclosing")
+    judged = written(judged.select("entity", "term", "n_both", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")), "judged")
+    alone = judged.where(F.col("n_both") >= SUPPORT).groupBy("term").agg(F.max("kind").alias("kind")).select(F.lit(EVERYWHERE).alias("entity"), "term", "kind")
+    out = written(judged.select("entity", "term", "kind").unionByName(alone), "disclosing")
+    forget(counts, held, judged)
+    return out
 
 
-def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list[list[tuple[str, int, int]]]], pa.RecordBatch], schema: T.StructType) -> DataFrame:
-    """What ``out`` makes of the rows that have base spans and of all their spans, sorted by kind as listed, then start.
+def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list[list[tuple[str, int, int]]]], pa.RecordBatch], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """What ``out`` makes of the rows that have spans and of all their spans, sorted by kind as listed, then start; and the rows that surely have none.
 
     Beside the base kinds there are ``generalise`` and ``remove``, the disclosing terms. Every row is a document to the
     counts and is judged by its own text, whatever its other columns say. Null and empty texts have no spans.
     """
     found = written(_found(documents, text), "entities")
     disclosing = _disclosing(documents, found, text)
-    known = _pairs_of_texts(found, text, disclosing).join(bounded_broadcast(disclosing, disclosing.count(), BROADCAST_ROWS), ["entity", "term"])
+    told = marks(disclosing.select(F.concat_ws("\n", "entity", "term").alias("pair")), "pair", crc_slot)
+    found = found.unionByName(written(_others(documents, text, told, True), "touched"))
+    known = _pairs_of_texts(found, text, told).join(bounded_broadcast(disclosing, disclosing.count(), BROADCAST_ROWS), ["entity", "term"])
     known = known.groupBy("_key", "term").agg(F.max("kind").alias("kind"))  # removal beats generalisation
     terms = known.groupBy("_key").agg(F.collect_list(F.struct("term", "kind")).alias("_terms"))
     names = documents.columns
@@ -279,7 +302,7 @@ def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list
                 spans.append(sorted(base + more, key=lambda s: (order[s[0]], s[1], s[2])))
             yield out(batch.select(list(range(len(names)))), spans)
 
-    return found.join(terms, "_key", "left").select(*names, "_own", "_terms").mapInArrow(judge, schema)
+    return found.join(terms, "_key", "left").select(*names, "_own", "_terms").mapInArrow(judge, schema), _others(documents, text, told, False)
 
 
 def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,8 +320,9 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pa.RecordBatch.from_arrays([rows.column(0), *numbers, base, pa.array(map(said, spans), pa.string())], names)
 
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
-    blank = _others(docs, "text").select("doc_id", *(F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS), F.lit("").alias("base"), F.lit("").alias("spans"))
-    return _judged(docs, "text", out, schema).unionByName(blank)
+    judged, others = _judged(docs, "text", out, schema)
+    blank = others.select("doc_id", *(F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS), F.lit("").alias("base"), F.lit("").alias("spans"))
+    return judged.unionByName(blank)
 
 
 def sanitise(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,13 +331,17 @@ def sanitise(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Where spans overlap, the one that starts first (then the longer) is replaced and what is left of the other as well.
     """
     modest_batches(documents.sparkSession)
-    names = documents.columns
+    # Columns go by number, so that none can be taken for one of those added on the way.
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    body = names[documents.columns.index(text)]
+    docs = documents.toDF(*names)
 
     def out(rows: pa.RecordBatch, spans: list[list[tuple[str, int, int]]]) -> pa.RecordBatch:
-        bodies = map(replaced, rows.column(names.index(text)).to_pylist(), spans)
-        return pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if n == text else rows.column(n) for n in names], names)
+        bodies = map(replaced, rows.column(names.index(body)).to_pylist(), spans)
+        return pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if n == body else rows.column(n) for n in names], names)
 
-    return _judged(documents, text, out, documents.schema).unionByName(_others(documents, text))
+    judged, others = _judged(docs, body, out, docs.schema)
+    return judged.unionByName(others).toDF(*documents.columns)
 
 
 def replaced(text: str, own: list[tuple[str, int, int]]) -> str:
