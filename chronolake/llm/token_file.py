@@ -1,11 +1,11 @@
 """Token files: ids under an adaptive context-mixing range coder, in independent checksummed blocks.
 
-A block holds up to ``BLOCK`` ids and starts from empty models, so any block can be read alone. Each id is
-first coded as one of: what the order-2 context saw last, what the order-1 context saw last, an id seen
-in the block (order 0, by class of its number in order of first sight), or a new id. The frequencies of
-these outcomes are the sum of three adaptive counts: by the order-2 context's confidence, by the order-1
-context's, and overall. A second step codes the place in the class, or the new id. Blocks of a chunk are
-coded side by side, one id of each per step, as numpy lanes.
+A block holds up to ``BLOCK`` ids and starts from empty models, so any block can be read alone. Inside it an id is known by
+its number in order of first sight. Each id is coded as one of: what followed the last two ids before (order 2), what followed the
+last id before (order 1), another id seen in the block (order 0), or a new one. The frequencies of these outcomes are
+the sum of three adaptive counts: by the confidence of order 2, by that of order 1, and overall. An order-0 id is then
+coded by how often each id was seen in the block, a new one by how often new ids fell into each 1,024th of the vocabulary.
+Blocks of a chunk are coded side by side, one id of each per step, as numpy lanes.
 """
 
 from __future__ import annotations
@@ -30,15 +30,23 @@ HEADER = struct.Struct("<4sIII")
 BLOCK = 2048
 #: Ids after which a chunk of whole documents is closed.
 CHUNK = 2048 * BLOCK
+#: Ids are below this.
 VOCABULARY = 1 << 16
 END_ID = 1
 
-HIT2, HIT1, NEW, CLASS = 0, 1, 2, 3
-OUTCOMES = CLASS + 12  # classes of 1, 2, 4 ... 2048 numbers
+HIT2, HIT1, OLD, NEW = range(4)
+#: Numbers of a group (their counts are summed by groups, then inside), and of ids of a bucket of the vocabulary.
+GROUP, BUCKET = 32, 1024
+GROUPS, BUCKETS = BLOCK // GROUP, VOCABULARY // BUCKET
 SLOTS = 1 << 11
-STEP, LIMIT = 24, 1 << 12
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+STEP, LIMIT, CHECKED = 24, 1 << 12, 32
+TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
 U = np.uint64
+#: A word of four ones: by it, a word of four counts gives their running sums.
+ONES = U(0x0001000100010001)
+GROUP_ENDS, BUCKET_ENDS = np.arange(1, GROUPS + 1, dtype=np.uint8)[:, None], np.arange(1, BUCKETS + 1, dtype=np.uint8)[:, None]
+#: The next confidence after a miss and after a hit.
+NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.uint8)
 
 CHUNKS = "shard int, chunk int, doc_ids array<long>, lengths array<long>, data binary"
 
@@ -50,37 +58,67 @@ class _Lanes:
         n = len(lengths)
         self.lengths, self.lane = lengths, np.arange(n)
         self.low, self.range = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
-        self.p1, self.p2 = np.zeros((n, SLOTS), np.uint16), np.zeros((n, SLOTS), np.uint16)
-        self.c1, self.c2 = np.zeros((n, SLOTS), np.uint8), np.zeros((n, SLOTS), np.uint8)
-        self.by2, self.by1 = np.ones((n, 4, OUTCOMES), np.uint16), np.ones((n, 4, OUTCOMES), np.uint16)
-        self.by0 = np.ones((n, OUTCOMES), np.uint16)
-        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)  # the last id and the one before
-        self.seen = np.zeros(n, np.int64)
-
-    def predict(self) -> np.ndarray:
-        """Cumulative frequencies of the outcomes, a row for each lane."""
-        lane = self.lane
-        self.s1 = (self.one * 0x9E37 >> 3) & (SLOTS - 1)
-        self.s2 = (self.one * 0x6F4F + self.two * 0x3D4D >> 4) & (SLOTS - 1)
-        self.guess1, self.guess2 = self.p1[lane, self.s1], self.p2[lane, self.s2]
-        self.sure1, self.sure2 = self.c1[lane, self.s1], self.c2[lane, self.s2]
-        self.row2, self.row1 = self.by2[lane, self.sure2], self.by1[lane, self.sure1]
-        return np.cumsum(self.row2 + self.row1 + self.by0, axis=1, dtype=np.int64)
-
-    def learn(self, ids: np.ndarray, outcome: np.ndarray, first: np.ndarray) -> None:
-        lane = self.lane
-        for rows, at in ((self.by2, (lane, self.sure2)), (self.by1, (lane, self.sure1)), (self.by0, (lane,))):
-            rows[(*at, outcome)] += STEP
-            if len(full := np.flatnonzero(rows[(*at, outcome)] > LIMIT)):
-                own = tuple(x[full] for x in at)
-                rows[own] = (rows[own] + 1) >> 1
-        for guess, sure, table, conf, slot in ((self.guess2, self.sure2, self.p2, self.c2, self.s2), (self.guess1, self.sure1, self.p1, self.c1, self.s1)):
-            hit = (guess == ids) & (sure > 0)
-            replace = ~hit & (sure <= 1)
-            conf[lane, slot] = np.where(hit, np.minimum(sure + 1, 3), np.where(replace, 1, sure - 1))
-            table[lane, slot] = np.where(replace, ids, guess)
-        self.seen += first
-        self.two, self.one = self.one, ids
+        # What follows each context and how surely, by the last number and by a hash of the last two.
+        self.follows = [np.zeros(n * SLOTS, np.uint16), np.zeros(n * SLOTS, np.uint16)]
+        self.sure = [np.zeros(n * SLOTS, np.uint8), np.zeros(n * SLOTS, np.uint8)]
+        self.base = self.lane * SLOTS
+        # The counts of the four outcomes lie in one word, so that words add up side by side.
+        self.by = [np.full(4 * n, ONES, U), np.full(4 * n, ONES, U), np.full(n, ONES, U)]
+        # Counts of numbers, and their running sums by group and by bucket after a row of zeros.
+        self.counts, self.groups = np.zeros((n * GROUPS, GROUP), np.uint16), np.zeros((GROUPS + 1, n), np.uint16)
+        self.buckets = np.repeat(np.arange(BUCKETS + 1, dtype=np.uint16)[:, None], n, axis=1)
+        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)  # the last number and the one before
+        self.seen, self.steps = np.zeros(n, np.int64), 0
+
+    def predict(self) -> None:
+        """Guesses, and the running sums of the outcomes' frequencies."""
+        self.at = [self.base + self.one, self.base + ((self.one * 0x9E37 + self.two * 0x6F4F >> 3) & (SLOTS - 1))]
+        self.guess = [f.take(at) for f, at in zip(self.follows, self.at, strict=True)]
+        self.known = [s.take(at) for s, at in zip(self.sure, self.at, strict=True)]
+        self.rows = [4 * self.lane + self.known[1], 4 * self.lane + self.known[0], self.lane]
+        sums = (self.by[0].take(self.rows[0]) + self.by[1].take(self.rows[1]) + self.by[2]) * ONES
+        self.upto, self.before = sums.view(np.uint16), (sums << U(16)).view(np.uint16)
+
+    def order0(self, lanes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) of numbers among the counts of their lanes."""
+        group, place = numbers // GROUP, numbers % GROUP
+        row = lanes * GROUPS + group
+        inside = np.cumsum(self.counts.take(row, axis=0), axis=1, dtype=np.uint16)
+        size = self.counts.ravel().take(row * GROUP + place)
+        return self.groups[group, lanes] + inside.ravel().take(np.arange(len(lanes)) * GROUP + place).astype(np.int64) - size, size
+
+    def find0(self, lanes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, begin, size): the numbers among whose counts the values lie."""
+        values = values.astype(np.uint16)
+        group = np.add.reduce(self.groups[1:, lanes] <= values, axis=0, dtype=np.uint8).astype(np.int64)
+        row, before = lanes * GROUPS + group, self.groups[group, lanes]
+        inside = np.cumsum(self.counts.take(row, axis=0), axis=1, dtype=np.uint16)
+        place = np.add.reduce(inside <= (values - before)[:, None], axis=1, dtype=np.uint8).astype(np.int64)
+        size = self.counts.ravel().take(row * GROUP + place)
+        return group * GROUP + place, before + inside.ravel().take(np.arange(len(lanes)) * GROUP + place).astype(np.int64) - size, size
+
+    def learn(self, numbers: np.ndarray, outcome: np.ndarray, new: np.ndarray, new_ids: np.ndarray) -> None:
+        for table, row in zip(self.by, self.rows, strict=True):
+            table.view(np.uint16)[4 * row + outcome] += STEP
+        self.steps += 1
+        if self.steps % CHECKED == 0:
+            for table in self.by:
+                four = table.view(np.uint16).reshape(-1, 4)
+                if len(full := np.flatnonzero((four > LIMIT).any(axis=1))):
+                    four[full] = (four[full] + 1) >> 1
+        for guess, known, follows, sure, at in zip(self.guess, self.known, self.follows, self.sure, self.at, strict=True):
+            hit = guess == numbers
+            hit &= known > 0
+            sure[at] = NEXT.take(4 * hit + known)
+            follows[at] = np.where(hit | (known > 1), guess, numbers)
+        self.groups[1:] += GROUP_ENDS > (numbers // GROUP).astype(np.uint8)
+        self.counts.ravel()[self.lane * BLOCK + numbers] += 1
+        if len(new):
+            bucket = np.full(len(self.lane), BUCKETS, np.uint8)
+            bucket[new] = new_ids // BUCKET
+            self.buckets[1:] += BUCKET_ENDS > bucket
+            self.seen[new] += 1
+        self.two, self.one = self.one, numbers
 
     def narrow(self, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
         unit = self.range // total.astype(U)
@@ -107,7 +145,9 @@ def _split(n: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """The blocks of ``ids`` (below 65,536), one after another."""
+    """The blocks of ``ids`` (below ``VOCABULARY``), one after another."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < VOCABULARY:
+        raise ValueError(f"ids from 0 to {VOCABULARY - 1} can be written")
     lengths = _split(len(ids))
     n = len(lengths)
     if not n:
@@ -125,22 +165,36 @@ def encode(ids: np.ndarray) -> bytes:
             used[due] += 1
             lanes.shift(due)
 
-    log2 = np.floor(np.log2(np.arange(1, BLOCK + 1))).astype(np.int64)
-    for t in range(BLOCK if n > 1 else int(lengths[0])):
-        live = t < lengths
-        cum, own, new = lanes.predict(), grid[:, t], first[:, t]
-        klass = log2[number[:, t]]
-        hit2, hit1 = (lanes.sure2 > 0) & (lanes.guess2 == own), (lanes.sure1 > 0) & (lanes.guess1 == own)
-        outcome = np.where(hit2, HIT2, np.where(hit1, HIT1, np.where(new, NEW, CLASS + klass)))
-        high = cum[lanes.lane, outcome]
-        low = np.where(outcome > 0, cum[lanes.lane, np.maximum(outcome - 1, 0)], 0)
-        lanes.narrow(np.where(live, low, 0), np.where(live, high - low, 1), np.where(live, cum[:, -1], 1))
+    shortest = int(lengths.min())
+    for t in range(int(lengths.max())):
+        lanes.predict()
+        own, new = number[:, t], np.flatnonzero(first[:, t])
+        hit2, hit1 = (lanes.known[1] > 0) & (lanes.guess[1] == own), (lanes.known[0] > 0) & (lanes.guess[0] == own)
+        outcome = np.where(hit2, HIT2, np.where(hit1, HIT1, OLD))
+        outcome[new] = NEW  # a new number was not followed by anything, but an empty table may say 0
+        at = 4 * lanes.lane + outcome
+        begin, size, total = lanes.before.take(at), lanes.upto.take(at), lanes.upto[3::4].copy()
+        size -= begin
+        dead = np.flatnonzero(t >= lengths) if t >= shortest else ()
+        if len(dead):
+            begin[dead], size[dead], total[dead] = 0, 1, 1
+            outcome[dead] = HIT2
+            new = new[t < lengths[new]]
+        lanes.narrow(begin, size, total)
+        begin, size, total = np.zeros(n, np.int64), np.ones(n, np.int64), np.ones(n, np.int64)
+        if len(old := np.flatnonzero(outcome == OLD)):
+            begin[old], size[old] = lanes.order0(old, own[old])
+            total[old] = t
+        if len(new):
+            ids_ = grid[new, t]
+            bucket = ids_ // BUCKET
+            before = lanes.buckets[bucket, new].astype(np.int64)
+            size[new] = lanes.buckets[bucket + 1, new] - before
+            begin[new] = before * BUCKET + ids_ % BUCKET * size[new]
+            total[new] = lanes.buckets[BUCKETS, new].astype(np.int64) * BUCKET
+        lanes.narrow(begin, size, total)
         emit()
-        total = np.where(outcome == NEW, VOCABULARY, np.where(outcome >= CLASS, 1 << klass, 1))
-        start = np.where(outcome == NEW, own, np.where(outcome >= CLASS, number[:, t] + 1 - (1 << klass), 0))
-        lanes.narrow(np.where(live, start, 0), np.ones(n, np.int64), np.where(live, total, 1))
-        emit()
-        lanes.learn(own, outcome, new)
+        lanes.learn(own, outcome, new, grid[new, t])
     for _ in range(4):
         out[lanes.lane, used] = (lanes.low >> U(48)).astype(np.uint16)
         used += 1
@@ -186,7 +240,8 @@ def decode(data: bytes) -> np.ndarray:
     for _ in range(4):
         code = code << U(16) | words[lanes.lane, used]
         used += 1
-    out, book = np.zeros((n, int(lengths.max())), np.int64), np.zeros((n, BLOCK), np.int64)
+    width = int(lengths.max())
+    numbers, book = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
 
     def absorb() -> None:
         while len(due := lanes.due()):
@@ -197,27 +252,47 @@ def decode(data: bytes) -> np.ndarray:
     def at_scale(total: np.ndarray) -> np.ndarray:
         return np.minimum((code - lanes.low) // (lanes.range // total.astype(U)), (total - 1).astype(U)).astype(np.int64)
 
-    for t in range(out.shape[1]):
-        live = t < lengths
-        cum = lanes.predict()
-        total = np.where(live, cum[:, -1], 1)
+    shortest = int(lengths.min())
+    for t in range(width):
+        lanes.predict()
+        total = lanes.upto[3::4].copy()
+        dead = np.flatnonzero(t >= lengths) if t >= shortest else ()
+        if len(dead):
+            total[dead] = 1
         value = at_scale(total)
-        outcome = np.where(live, (cum <= value[:, None]).sum(axis=1), HIT2)
-        high = cum[lanes.lane, outcome]
-        low = np.where(outcome > 0, cum[lanes.lane, np.maximum(outcome - 1, 0)], 0)
-        lanes.narrow(np.where(live, low, 0), np.where(live, high - low, 1), total)
-        absorb()
-        klass, new = np.maximum(outcome - CLASS, 0), outcome == NEW
-        total = np.where(live, np.where(new, VOCABULARY, np.where(outcome >= CLASS, 1 << klass, 1)), 1)
+        outcome = (lanes.upto[0::4] <= value).astype(np.int64) + (lanes.upto[1::4] <= value) + (lanes.upto[2::4] <= value)
+        if len(dead):
+            outcome[dead] = HIT2
+        at = 4 * lanes.lane + outcome
+        begin, size = lanes.before.take(at), lanes.upto.take(at)
+        size -= begin
+        if len(dead):
+            begin[dead], size[dead] = 0, 1
+        lanes.narrow(begin, size, total)
+        old, new = np.flatnonzero(outcome == OLD), np.flatnonzero(outcome == NEW)
+        begin, size, total = np.zeros(n, np.int64), np.ones(n, np.int64), np.ones(n, np.int64)
+        total[old] = t
+        if len(new):
+            total[new] = lanes.buckets[BUCKETS, new].astype(np.int64) * BUCKET
         value = at_scale(total)
-        lanes.narrow(value, np.ones(n, np.int64), total)
+        own = np.where(outcome == HIT2, lanes.guess[1], lanes.guess[0]).astype(np.int64)
+        if len(old):
+            own[old], begin[old], size[old] = lanes.find0(old, value[old])
+        ids = np.zeros(0, np.int64)
+        if len(new):
+            bucket = np.add.reduce(lanes.buckets[1:, new] <= (value[new] // BUCKET).astype(np.uint16), axis=0, dtype=np.uint8).astype(np.int64)
+            before = lanes.buckets[bucket, new].astype(np.int64)
+            size[new] = lanes.buckets[bucket + 1, new] - before
+            before *= BUCKET
+            place = (value[new] - before) // size[new]
+            begin[new] = before + place * size[new]
+            ids, own[new] = bucket * BUCKET + place, lanes.seen[new]
+            book[new, own[new]] = ids
+        lanes.narrow(begin, size, total)
         absorb()
-        old = book[lanes.lane, np.minimum(value + (1 << klass) - 1, BLOCK - 1)]
-        ids = np.where(outcome == HIT2, lanes.guess2, np.where(outcome == HIT1, lanes.guess1, np.where(new, value, old))).astype(np.int64)
-        if len(fresh := np.flatnonzero(new & live)):
-            book[fresh, lanes.seen[fresh]] = ids[fresh]
-        out[:, t] = ids
-        lanes.learn(ids, outcome, new)
+        numbers[:, t] = own
+        lanes.learn(own, outcome, new, ids)
+    out = np.take_along_axis(book, numbers, axis=1)
     for k, (count, _, crc, start) in enumerate(heads):
         if zlib.crc32(out[k, :count].astype("<u4").tobytes()) != crc:
             raise ValueError(f"the block at byte {start - HEADER.size} is damaged")
