@@ -65,7 +65,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     Returns one row per row of ``documents``: ``doc_id, n_words, n_hit, n_items, item_ids`` (sorted as
     strings, comma-joined). Null or empty text has no words and no hits; an empty benchmark hits
     nothing; items without words have no windows; items with equal windows all count; rows that share
-    a null or repeated doc_id are each judged by their own text; extra columns are ignored.
+    a null or repeated doc_id are each judged by their own text; a very long text is parted into rows for its words; extra columns are ignored.
     """
     return _by_row(documents, benchmark, window, shingle, doc_id, text).drop("_key")
 
@@ -75,21 +75,30 @@ def _by_row(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingl
     spans = written(benchmark_windows(benchmark, window, shingle), "windows")
     wanted = written(spans.select("size", F.explode("parts").alias("p")).select("size", "p.shingle", "p.key").distinct(), "shingles")
     sizes = [r[0] for r in wanted.select("size").distinct().collect()] or [shingle]  # 1 to `shingle` at most
-    n_wanted = wanted.count()
+    n_wanted, n_spans = wanted.count(), spans.count()
     docs = documents.select(_row_key(F.col(doc_id), F.col(text)).alias("_doc"), F.col(doc_id).alias("_id"), once(words(F.col(text))).alias("_words"))
 
+    small = n_wanted <= BROADCAST_ROWS
+
     def hits_of(size: int, end: bool) -> DataFrame:
         """Benchmark shingles in documents; with ``end`` also a row without shingle that ends each document."""
         keys = wanted.where(F.col("size") == size).select("shingle", "key")
         own = F.transform(_starts(size), lambda w, i: _key(size, w, i))
-        if end:
+        if end and small:
             keys = keys.unionByName(keys.sparkSession.range(1).select(F.lit(None).cast("string").alias("shingle"), F.lit(END).alias("key")))
             own = F.concat(own, F.array(F.lit(END)))
-        at = docs.withColumn("_keys", own).select("_doc", "_id", "_words", F.posexplode("_keys").alias("pos", "key"))
-        found = at.join(bounded_broadcast(keys, n_wanted, BROADCAST_ROWS), "key")
-        exact = F.concat_ws(" ", F.slice("_words", F.col("pos") + 1, F.lit(size))) == F.col("shingle")
-        last = F.col("shingle").isNull() & (F.col("pos") == F.greatest(F.size("_words") - F.lit(size - 1), F.lit(0)))
-        return found.where(exact | last).select("_doc", F.when(F.col("shingle").isNull(), F.col("_id")).alias("_id"), F.size("_words").cast("long").alias("n_words"), "pos", F.lit(size).alias("size"), "shingle")
+        at = docs.withColumn("_n", F.size("_words")).withColumn("_keys", own).select("_doc", "_id", "_n", "_words", F.posexplode("_keys").alias("pos", "key"))
+        said = F.concat_ws(" ", F.slice("_words", F.col("pos") + 1, F.lit(size)))
+        if small:
+            found = at.join(F.broadcast(keys), "key").withColumn("_said", said)
+        else:  # the rows that are shuffled hold their own words only
+            found = at.select("_doc", "_id", "_n", "pos", "key", said.alias("_said")).join(keys, "key")
+        last = F.col("shingle").isNull() & (F.col("pos") == F.greatest(F.col("_n") - F.lit(size - 1), F.lit(0)))
+        hits = found.where((F.col("_said") == F.col("shingle")) | last).select("_doc", F.when(F.col("shingle").isNull(), F.col("_id")).alias("_id"), F.col("_n").cast("long").alias("n_words"), "pos", F.lit(size).alias("size"), "shingle")
+        if end and not small:
+            ends = docs.select("_doc", "_id", F.size("_words").cast("long").alias("n_words"), F.size("_words").alias("pos"), F.lit(size).alias("size"), F.lit(None).cast("string").alias("shingle"))
+            hits = hits.unionByName(ends)
+        return hits
 
     hits = hits_of(sizes[0], True)
     for size in sizes[1:]:
@@ -110,12 +119,12 @@ def _by_row(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingl
         .select("window", "len", "size", "n_parts", "j", "shingle")
     )
     candidates = (
-        hits.join(prefix, ["size", "shingle"])
+        hits.join(bounded_broadcast(prefix, n_spans, BROADCAST_ROWS), ["size", "shingle"])
         .withColumn("start", F.col("pos") - F.col("j"))
         .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
         .select("_doc", "window", "len", "size", "n_parts", "start").distinct()
     )
-    expected = candidates.join(parts.select("window", "j", "shingle"), "window").withColumn("pos", F.col("start") + F.col("j"))
+    expected = candidates.join(bounded_broadcast(parts.select("window", "j", "shingle"), n_spans * window, BROADCAST_ROWS), "window").withColumn("pos", F.col("start") + F.col("j"))
     there = hits.select(F.col("_doc").alias("_d"), F.col("pos").alias("_p"), F.col("size").alias("_s"), F.col("shingle").alias("_sh")).distinct()
     verified = (
         expected.join(there, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("pos") == F.col("_p")) & (F.col("size") == F.col("_s")) & (F.col("shingle") == F.col("_sh")), "left_semi")

@@ -31,7 +31,9 @@ def words1(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOW))
 
 
-def test_contamination_is_exact(spark):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_ROWS, 0])
+def test_contamination_is_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
     docs = corpus(1)
     long = docs[0][1].split() or ["ka"]
     items = [(10, " ".join(docs[14][1].split()[:20])), (9, "Kan  LOST"), (8, None), (7, "..."), (6, docs[-1][1]), (5, docs[-1][1]), (4, " ".join(long[:3])), (None, "kao1")]
