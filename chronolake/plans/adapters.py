@@ -8,6 +8,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.scratch import new_path
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
@@ -94,3 +97,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: The partition column of the lake of ticks.
+MONTH = "trade_month"
+_lakes: dict[tuple[str, str], str] = {}
+
+
+def by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks as a lake with a folder a month, written once a session; range scans prune its folders."""
+    ticks = view(spark, sf_dir, "ticks").withColumn(MONTH, F.substring("trade_date", 1, 6))
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _lakes:
+        path = new_path(spark, "ticks")
+        ticks.repartition(MONTH).sortWithinPartitions("trade_date").write.partitionBy(MONTH).parquet(path)
+        _lakes[key] = path
+    return spark.read.schema(ticks.schema).parquet(_lakes[key])

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timecols
 from ..operators import asof, audit, perf, snapshot, windows
 from ..sources import lake
+from ..sources.scratch import new_path
 from .registry import Tables, query
 
 _W = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -45,8 +43,7 @@ def c2_replay_slot(t: Tables) -> DataFrame:
 @query(f"SELECT {_DOMAIN} AS domain, count(*) AS rows FROM {{pit}} p WHERE available_at > {_W} AND available_at <= TIMESTAMP '2024-01-27' GROUP BY 1")
 def snapshot_write(t: Tables) -> DataFrame:
     """Written and read back by its manifest."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{shared.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "snapshot")
     snapshot.write(snapshot.replay_slot(_domains(t), _at("2024-01-20"), _at("2024-01-27")), path)
     return t.spark.read.schema("domain string, rows long").json(f"{path}/manifest").select("domain", "rows")
 

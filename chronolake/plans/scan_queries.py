@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import windows
 from ..sources import lake
+from ..sources.scratch import new_path
+from .adapters import MONTH, by_month
 from .registry import Tables, query
 
 _T = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -39,12 +40,12 @@ def scan_partition_dates(t: Tables) -> DataFrame:
 
 @query("SELECT ts_code, price FROM {ticks} t WHERE trade_date = '19980302'")
 def scan_trade_date(t: Tables) -> DataFrame:
-    return lake.trade_date(t.ticks, "trade_date", "19980302", ["ts_code", "price"])
+    return lake.trade_date(by_month(t.spark, t.sf_dir), "trade_date", "19980302", ["ts_code", "price"], MONTH)
 
 
 @query("SELECT trade_date, ts_code, vol FROM {ticks} t WHERE trade_date BETWEEN '19970101' AND '19970331'")
 def scan_trade_range(t: Tables) -> DataFrame:
-    return lake.trade_range(t.ticks, "trade_date", "19970101", "19970331", ["trade_date", "ts_code", "vol"])
+    return lake.trade_range(by_month(t.spark, t.sf_dir), "trade_date", "19970101", "19970331", ["trade_date", "ts_code", "vol"], MONTH)
 
 
 @query(f"SELECT count(*) AS source_rows, count(*) FILTER (available_at BETWEEN {_S} AND {_T}) AS visible_rows, CAST(0 AS BIGINT) AS unparseable_rows FROM {{pit}} p")
@@ -69,7 +70,7 @@ def scan_replay_domain(t: Tables) -> DataFrame:
 
 @query("SELECT ts_code, trade_time, price, vol FROM {ticks} t WHERE trade_date = '19990810'")
 def scan_minute_day(t: Tables) -> DataFrame:
-    return lake.trade_range(t.ticks, "trade_date", "19990810", "19990810", ["ts_code", "trade_time", "price", "vol"])
+    return lake.trade_range(by_month(t.spark, t.sf_dir), "trade_date", "19990810", "19990810", ["ts_code", "trade_time", "price", "vol"], MONTH)
 
 
 @query("SELECT count(*) AS rows, min(ann_date) AS min_ann_date, max(ann_date) AS max_ann_date, min(period) AS min_period, max(period) AS max_period, count(*) FILTER (code IS NULL) AS null_code FROM {statements} s")
@@ -97,7 +98,7 @@ def write_window_merge(t: Tables) -> DataFrame:
 @query("SELECT id, price, part FROM {old_part} o WHERE part NOT IN (3, 4) UNION ALL SELECT id, price, part FROM {new_part} n WHERE part IN (3, 4)")
 def write_partition_replace(t: Tables) -> DataFrame:
     """Written for real: dynamic overwrite of the partitions that the new rows have."""
-    path = tempfile.mkdtemp(prefix="spark-") if t.spark.sparkContext.master.startswith("local[") else f"{t.spark.conf.get('spark.checkpoint.dir')}/parts-{t.spark.sparkContext.applicationId}"
+    path = new_path(t.spark, "parts")
     cols = ["id", "price", "part"]
     t.old_part.select(cols).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
     lake.write_parts(t.new_part.select(cols).where("part in (3, 4)"), path, ["part"])
@@ -115,8 +116,10 @@ def calendar_upsert(t: Tables) -> DataFrame:
 
 @query("SELECT trade_date, ts_code, max(vol) AS vol, count(DISTINCT trade_time) AS n FROM {ticks} t GROUP BY 1, 2")
 def compact_by_date(t: Tables) -> DataFrame:
-    one = windows.keep_one(t.ticks.select("trade_date", "ts_code", "trade_time", "vol"), ["trade_date", "ts_code", "trade_time"], ["vol"], "last")
-    return one.groupBy("trade_date", "ts_code").agg(F.max("vol").alias("vol"), F.count("*").alias("n"))
+    """Written for real, a folder a month, and read again."""
+    path = new_path(t.spark, "compact")
+    lake.compact_by_date(t.ticks.select("trade_date", "ts_code", "trade_time", "vol").withColumn(MONTH, F.substring("trade_date", 1, 6)), path, MONTH, ["trade_date", "ts_code", "trade_time"])
+    return t.spark.read.parquet(path).groupBy("trade_date", "ts_code").agg(F.max("vol").alias("vol"), F.count("*").alias("n"))
 
 
 @query("""SELECT part, (SELECT count(*) FROM {new_part} n WHERE n.part = p.part) AS rows, CASE WHEN EXISTS (SELECT 1 FROM {old_part} o WHERE o.part = p.part) THEN CASE WHEN
@@ -138,9 +141,26 @@ def append_once(t: Tables) -> DataFrame:
     return lake.append_once(t.old_part.select("id", "price"), t.new_part.select("id", "price"), ["id"])
 
 
-@query("SELECT DISTINCT p_brand, p_type FROM part")
+@query("SELECT id, part, price FROM (SELECT id, part, price, row_number() OVER (PARTITION BY id ORDER BY copy DESC) AS r FROM (SELECT *, 0 AS copy FROM {old_part} o UNION ALL SELECT *, 1 FROM {new_part} n) x WHERE part BETWEEN 5 AND 30) y WHERE r = 1")
 def canonical_range(t: Tables) -> DataFrame:
-    return t.part.select("p_brand", "p_type").dropDuplicates()
+    copies = t.old_part.withColumn("copy", F.lit(0)).unionByName(t.new_part.withColumn("copy", F.lit(1)))
+    return lake.canonical_range(copies, "part", 5, 30, ["id"], "copy").select("id", "part", "price")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS record_type, CAST(o_custkey AS BIGINT) AS value FROM orders WHERE o_orderpriority = '1-URGENT'")
+def read_ledger(t: Tables) -> DataFrame:
+    """JSON lines written and read again, each with its schema version."""
+    path = new_path(t.spark, "ledger")
+    t.orders.select(F.lit(2).alias("schema_version"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("record_type"), F.col("o_custkey").alias("value")).write.json(path)
+    schema = T.StructType([T.StructField("schema_version", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("record_type", T.StringType()), T.StructField("value", T.LongType())])
+    return lake.read_ledger(t.spark, path, schema, 2, "1-URGENT").select("id", "record_type", "value")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, p_brand FROM part")
+def csv_export(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "export")
+    lake.export_csv(t.part.select("p_partkey", "p_name", "p_brand"), path)
+    return t.spark.read.schema("p_partkey long, p_name string, p_brand string").option("header", True).csv(path)
 
 
 @query("""WITH a AS (SELECT id, cust, price, id % 3 = 0 AS capped FROM {new_part} n), s AS (SELECT cust FROM a GROUP BY cust HAVING bool_or(NOT capped))
@@ -150,7 +170,7 @@ def union_with_baseline(t: Tables) -> DataFrame:
     return lake.union_with_baseline(active, t.old_part.select("id", "cust", "price"), ["cust"], ["id"], "capped").select("id", "cust", "price")
 
 
-@query()
+@query("SELECT dataset, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', amount, ann_date, code, dataset, kind, o_orderkey, period)), 1, 15) AS HUGEINT)) AS DECIMAL(38,0)) AS digest FROM {statements} s GROUP BY dataset")
 def table_fingerprint(t: Tables) -> DataFrame:
     return lake.fingerprint(t.statements, "dataset")
 

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import text
+from ..sources.scratch import new_path
 from ..streaming import jobs
 from .registry import Tables, query
 
 
 def _folder(t: Tables) -> str:
     """A folder that driver and executors share."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_path(t.spark, "stream")
 
 
 @query("SELECT trade_date, count(*) AS bars FROM (SELECT DISTINCT trade_date, ts_code, trade_time FROM {ticks} t) x GROUP BY trade_date")

@@ -16,17 +16,27 @@ def partition_dates(df: DataFrame, date: str) -> DataFrame:
     return df.select(date).distinct()
 
 
-def trade_date(df: DataFrame, date: str, day: str, columns: Sequence[str]) -> DataFrame:
-    """One partition; its absence is an error when the query runs."""
-    one = df.where(F.col(date) == day).select(*columns)
+def _months(month: str | None, start: str, end: str) -> Column:
+    """The partitions (``YYYYMM``) that dates from ``start`` to ``end`` lie in, so that no others are listed or read."""
+    return F.lit(True) if month is None else F.col(month).between(start[:6], end[:6])
+
+
+def trade_date(df: DataFrame, date: str, day: str, columns: Sequence[str], month: str | None = None) -> DataFrame:
+    """One date; its absence is an error when the query runs."""
+    one = df.where(_months(month, day, day) & (F.col(date) == day)).select(*columns)
     if one.isEmpty():
         raise ValueError(f"no partition {date}={day}")
     return one
 
 
-def trade_range(df: DataFrame, date: str, start: str, end: str, columns: Sequence[str]) -> DataFrame:
-    """Inclusive; a reversed range is empty and reads nothing."""
-    return df.where(F.col(date).between(start, end) if start <= end else F.lit(False)).select(*columns)
+def trade_range(df: DataFrame, date: str, start: str, end: str, columns: Sequence[str], month: str | None = None) -> DataFrame:
+    """Inclusive; a reversed range is empty and reads nothing; ``month`` names the partition column, if there is one."""
+    return df.where(_months(month, start, end) & F.col(date).between(start, end) if start <= end else F.lit(False)).select(*columns)
+
+
+def canonical_range(copies: DataFrame, part: str, first: int, last: int, keys: Sequence[str], copy: str) -> DataFrame:
+    """The rows of a range of partitions, each key from its latest copy; stale copies are left behind."""
+    return keep_one(copies.where(F.col(part).between(first, last)), keys, [copy], "last").drop(copy)
 
 
 def available_window(df: DataFrame, stamp: str, start: Column, decision: Column, partition: Column | None = None) -> DataFrame:
@@ -88,8 +98,9 @@ def compact_by_date(ticks: DataFrame, path: str, date: str, keys: Sequence[str])
 
 
 def fingerprint(df: DataFrame, *by: str) -> DataFrame:
-    """An order-free digest: row count and the sum of row hashes, exact in decimals."""
-    own = F.sum(F.xxhash64(*(c for c in sorted(df.columns))).cast("decimal(38,0)"))
+    """An order-free digest: row count and the sum of row digests, exact in decimals."""
+    row = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in sorted(df.columns))))
+    own = F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
     return df.groupBy(*by).agg(F.count("*").alias("rows"), own.alias("digest"))
 
 

@@ -204,3 +204,27 @@ def test_fill_dedup_stream(spark, tmp_path):
     stream = jobs.fill_dedup(spark.readStream.schema("id int, account string, t timestamp").parquet(str(tmp_path / "in")), ["id", "account"], "t")
     stream.writeStream.format("memory").queryName("fills").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("fills").count() == 2
+
+
+def test_range_scans_prune_folders(spark, capsys):
+    from chronolake.plans import catalog
+
+    for name in ("scan_trade_range", "scan_minute_day"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001").explain("formatted")
+        plan = capsys.readouterr().out
+        assert "PartitionFilters: [isnotnull(trade_month" in plan and "trade_month#" in plan.split("PartitionFilters")[1], plan
+
+
+def test_keep_one_takes_part_before_the_shuffle(spark, capsys):
+    df = spark.createDataFrame([(1, 2, None), (1, 2, "a"), (1, 1, "z"), (None, 3, "n"), (None, 4, "m")], "k int, o int, v string")
+    assert sorted(map(tuple, windows.keep_one(df, ["k"], ["o"], "last").collect()), key=str) == sorted([(1, 2, "a"), (None, 4, "m")], key=str)
+    assert sorted(map(tuple, windows.keep_one(df, ["k"], ["o"], "first").collect()), key=str) == sorted([(1, 1, "z"), (None, 3, "n")], key=str)
+    windows.keep_one(df, ["k"], ["o"]).explain()
+    assert "partial_max" in capsys.readouterr().out
+
+
+def test_every_query_has_rows(spark):
+    from chronolake.plans import catalog
+
+    for name in ("universe_screen", "a6_exchange_completeness", "apply_screen", "j13_benchmark_match", "a28_unliquidated", "read_ledger", "csv_export", "canonical_range", "compact_by_date"):
+        assert not catalog.QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty(), name
