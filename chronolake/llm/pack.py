@@ -47,6 +47,7 @@ def pieces(documents: DataFrame, capacity: int, tokenizer: str | None = None) ->
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+        ids.clear()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(cut, PIECES)
 
@@ -72,7 +73,7 @@ class _Stock:
     def pair(self, total: int, most: int) -> tuple[int, int] | None:
         """The two lengths of this sum, the first as long as can be."""
         a = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
-        ok = a[(self.n[a] > 0) & (self.n[total - a] > 0)] if len(a) else a
+        ok = a[(self.n[a] > 0) & (self.n[total - a] > (2 * a == total))] if len(a) else a
         return (int(ok[0]), int(total - ok[0])) if len(ok) else None
 
     def fill(self, gap: int, most: int) -> tuple[int, ...] | None:
@@ -83,8 +84,12 @@ class _Stock:
             return found
         if self.three[gap]:
             for a in range(min(most, gap - 2), (gap + 2) // 3 - 1, -1):
-                if self.n[a] and self.two[gap - a] and (found := self.pair(gap - a, a)):
-                    return (a, *found)
+                if self.n[a] and self.two[gap - a]:
+                    self.n[a] -= 1
+                    found = self.pair(gap - a, a)
+                    self.n[a] += 1
+                    if found:
+                        return (a, *found)
         return None
 
 
@@ -107,8 +112,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                 break
             need = Counter((length, *found))
             times = min(int(stock.n[v]) // k for v, k in need.items())
-            if not times:
-                break
             for v, k in need.items():
                 stock.n[v] -= k * times
             stale = True
@@ -170,7 +173,8 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str | None = Non
 
     Returns a row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Null and
     empty texts are the end id alone; only documents longer than ``capacity`` are cut; repeated rows and
-    null doc_ids are packed like any other; no documents give no rows; extra columns are ignored.
+    null doc_ids are packed like any other; a very long text is cut in one task; no documents give no rows; extra
+    columns are ignored.
     """
     modest_batches(documents.sparkSession)
     cut = written(pieces(documents, capacity, tokenizer), "pieces")

@@ -332,6 +332,7 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None) -> None
                     docs, sizes, held, total, chunk = [], [], [], 0, chunk + 1
         if docs:
             yield closed()
+        ids.clear()
 
     modest_batches(documents.sparkSession)
     spark = documents.sparkSession

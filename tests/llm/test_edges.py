@@ -180,7 +180,7 @@ def test_fingerprints_in_many_blocks(spark):
 
 
 def test_fingerprints_by_brute_force(spark):
-    docs = corpus(8, 150)
+    docs = list(enumerate(private_corpus(8)))
     terms = {d: set(re.findall(r"[^\W_]+", (t or "").lower())) for d, t in docs}
     n = Counter(w for ws in terms.values() for w in ws)
     lexicon = {w for w, c in n.items() if imatch.RARE * len(docs) <= c <= imatch.COMMON * len(docs)}
