@@ -67,6 +67,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect, after which Spark's cleaner removes shuffle files that no table needs any more."""
+    spark._jvm.java.lang.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

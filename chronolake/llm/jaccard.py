@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MARK_BITS, is_marked, join_counted, mark_slot, marks, modest_batches, split, written
+from .common import MARK_BITS, forget, is_marked, join_counted, mark_slot, marks, modest_batches, release, split, written
 from .components import components
 
 #: Words in at least this share of documents have a class of their own (by powers of two); all others are rare.
@@ -189,6 +189,7 @@ def _sets(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> D
     spark = keyed.sparkSession
     own = written(nodes.join(wanted, "k", "left_semi").select("k", "doc"), "wanted")
     docs, sets = (spark.sparkContext.broadcast(marks(own, c, _slot)) for c in ("doc", "k"))
+    forget(own)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,20 +225,25 @@ def _met(postings: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     best = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
     met = own.join(other, by).where((F.col("c") != F.col("c2")) & (F.col("k") < F.col("k2")))
     kept = met.where(_fits(F.col("n"), F.col("n2"), num, den) & (best * (num + den) >= (F.col("n") + F.col("n2")) * num))
-    return kept.select(F.col("k").alias("a"), F.col("k2").alias("b"), F.least("n", "n2").alias("n"), F.least("of", "of2").alias("of"))
+    # What two sets share beyond their prefixes is at most the longer rest, so the prefixes share what is missing to the overlap.
+    rest = lambda n: F.greatest(F.ceil(n * num / den) - COMBINED - F.floor(n / MORE_EACH), F.lit(0))
+    must = F.greatest(COMBINED + F.floor(F.least("n", "n2") / MORE_EACH), F.ceil((F.col("n") + F.col("n2")) * num / (num + den)) - F.greatest(rest(F.col("n")), rest(F.col("n2"))))
+    return kept.select(F.col("k").alias("a"), F.col("k2").alias("b"), must.alias("must"), F.least("of", "of2").alias("of"))
 
 
-def _star(postings: DataFrame, found: DataFrame | None, num: int, den: int) -> DataFrame:
-    """(a, b): each document with the one of another component with which it shares most tokens, of those that are first or last in a token."""
-    if found is None:
-        other = postings.where(F.col("k") != F.col("least_k")).select("k", "n", F.col("least_k").alias("b"), F.col("least_n").alias("m"))
-    else:
-        ends = postings.groupBy("token").agg(F.min(F.struct("c", "k", "n")).alias("lo"), F.max(F.struct("c", "k", "n")).alias("hi")).where("lo.c != hi.c")
-        end = F.when(F.col("c") != F.col("lo.c"), F.col("lo")).otherwise(F.col("hi"))
-        other = postings.join(ends, "token").select("k", "n", end.alias("e")).select("k", "n", F.col("e.k").alias("b"), F.col("e.n").alias("m"))
+def _star(postings: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """(a, b): each document with the pivot of another component with which it shares most tokens.
+
+    A token's pivots are its first and last documents in the turn's own random order, in which large components come first most often.
+    """
+    node = F.struct(F.xxhash64("k", F.lit(turn)).alias("at"), "c", "k", "n")
+    ends = postings.groupBy("token").agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
+    both = postings.join(ends, "token")
+    pivot = F.when(F.col("c") != F.col("lo.c"), F.col("lo")).when(F.col("c") != F.col("hi.c"), F.col("hi"))
+    other = both.select("k", "n", pivot.alias("e")).where("e is not null").select("k", "n", F.col("e.k").alias("b"), F.col("e.n").alias("m"))
     shared = other.where(_fits(F.col("n"), F.col("m"), num, den)).groupBy("k", "n", "b").agg(F.count("*").alias("t"))
     enough = F.greatest(F.lit(COMBINED), (F.col("n") - F.ceil(F.col("n") * num / den)) * STAR_SHARE)
-    stars = shared.where(F.col("t") >= enough).groupBy("k").agg(F.max_by("b", F.struct("t", -F.col("b"))).alias("b"))
+    stars = shared.where(F.col("t") >= enough).groupBy("k").agg(F.max_by("b", F.struct("t", "b")).alias("b"))
     return stars.select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
 
 
@@ -268,15 +274,18 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
 
     # Stars only spare work: whatever they leave apart is compared below.
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    links, found, open_ = None, None, repeated
-    for _ in range(ROUNDS):
-        stars = written(_star(open_, found, num, den), "stars")
+    links, open_ = None, repeated.withColumn("c", F.col("k"))
+    for turn in range(ROUNDS):
+        stars = written(_star(open_, turn, num, den), "stars")
         joined = written(_verified(stars, _sets(keyed, nodes, both(stars), size), num, den), "links")
         links = joined if links is None else links.unionByName(joined)
-        if found is None or not joined.isEmpty():
-            found = components(links)
-            open_ = written(_open(repeated, found), "open")
-        if joined.isEmpty() or not _crowded(open_):
+        if turn == 0 or not joined.isEmpty():
+            before, open_ = open_, written(_open(repeated, components(links)), "open")
+            if turn:
+                forget(before)
+        forget(stars)
+        release(keyed.sparkSession)
+        if not _crowded(open_):
             break
     open_ = open_.withColumn("often", F.col("df") > RARE_DOCUMENTS)
     # Two shared tokens are both rare, or a pair of which one is frequent at least. Of the tokens that a pair of
@@ -284,13 +293,13 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     must = COMBINED + F.floor(F.col("n") / MORE_EACH)
     held = W.partitionBy("k")
     open_ = open_.select("*", F.sum(F.col("often").cast("int")).over(held).alias("of"), F.count("*").over(held).alias("_held")).where(F.col("_held") >= must).drop("_held")
-    counted = lambda met: met.groupBy("a", "b", "n", "of").agg(F.count("*").alias("t"))
-    rare = counted(_met(open_.where("not often"), ["token"], num, den)).where((F.col("t") >= COMBINED) & (F.col("t") + F.col("of") >= must))
+    counted = lambda met: met.groupBy("a", "b", "must", "of").agg(F.count("*").alias("t"))
+    rare = counted(_met(open_.where("not often"), ["token"], num, den)).where((F.col("t") >= COMBINED) & (F.col("t") + F.col("of") >= F.col("must")))
     own_tokens = open_.where("of > 0").groupBy("k", "n", "c", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "often"))).alias("ts"))
     firsts = own_tokens.select("k", "n", "c", "of", "ts", F.posexplode("ts").alias("i", "one"))
     later = F.filter(F.slice("ts", F.col("i") + 2, F.size("ts")), lambda t: t["often"] | F.col("one.often"))
     paired = firsts.select("k", "n", "c", "of", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "of", "pos", "token", F.col("two.token").alias("token2"))
-    mixed_pairs = counted(_met(paired, ["token", "token2"], num, den)).where(F.col("t") + 1 >= must)
+    mixed_pairs = counted(_met(paired, ["token", "token2"], num, den)).where(F.col("t") + 1 >= F.col("must"))
     pairs = written(rare.select("a", "b").unionByName(mixed_pairs.select("a", "b")).distinct(), "pairs")
     more = _verified(pairs, _sets(keyed, nodes, both(pairs), size), num, den)
     final = components(links.unionByName(more.select("a", "b")))

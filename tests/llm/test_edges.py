@@ -56,7 +56,7 @@ def pii_by_hand(texts):
         share = math.log2(p * len(texts) / n_e[e]) / max(math.log2(len(texts) / n_e[e]), 1e-9)
         if share >= pii.GENERALISE:
             kind[e, w] = "remove" if share >= pii.REMOVE else "generalise"
-            if both >= pii.SUPPORT:
+            if both >= pii.SUPPORT and share >= pii.REMOVE and ":" in e:
                 alone[w] = max(alone.get(w, ""), kind[e, w])
     out, order = [], (*pii.KINDS, "generalise", "remove")
     for t, s, es in zip(texts, base, held, strict=True):
@@ -77,7 +77,7 @@ def private_corpus(seed, n=160):
         body = [rnd.choice(words) for _ in range(rnd.randint(0, 60))] + [f"rare{rnd.randrange(200)}"]
         if k % 9 == 0:
             body += ["zorblax", *[rnd.choice(words)] * 8, "joe@x.org"]
-        if k % 20 == 1:
+        if k % 40 == 1:
             body += ["Zorblax"]
         if k % 13 == 0:
             body += [f"10.0.{k % 3}.{k % 7}", "+1 555 0100 222", "server"]
