@@ -34,12 +34,8 @@ def _constants(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
-def lexicon(documents: DataFrame, text: str = "text") -> Column:
-    """The lexicon as a constant array of 64-bit masks, counted over all documents."""
-    terms = documents.select(once(F.array_distinct(_hashes(F.col(text)))).alias("_h")).select(F.explode("_h").alias("term"))
-    n = max(documents.count(), 1)
-    counts = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(RARE * n, COMMON * n))
-    slots = counts.select(F.explode(F.array(*_slots(F.col("term")))).alias("slot"))
+def _bitmap(slots: DataFrame) -> Column:
+    """The slots of column ``slot`` as a constant array of 64-bit masks."""
     bits = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     masks = [0] * (1 << (SLOT_BITS - 6))
     for word, value in bits.collect():  # 2^14 rows at most
@@ -47,13 +43,30 @@ def lexicon(documents: DataFrame, text: str = "text") -> Column:
     return _constants(masks)
 
 
+def _bit(masks: Column, slot: Column) -> Column:
+    return F.getbit(F.get(masks, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def lexicon(documents: DataFrame, text: str = "text") -> Column:
+    """The lexicon as a constant array of 64-bit masks, counted over all documents.
+
+    A term is in no more documents than its slot, so terms are counted where enough documents hold their slot.
+    """
+    hashed = documents.select(once(F.array_distinct(_hashes(F.col(text)))).alias("_h"))
+    n = max(documents.count(), 1)
+    slots = hashed.select(F.explode(F.array_distinct(F.transform("_h", lambda h: _slots(h)[0]))).alias("slot"))
+    often = _bitmap(slots.groupBy("slot").agg(F.count("*").alias("df")).where(F.col("df") >= RARE * n))
+    terms = hashed.select(F.explode(F.filter("_h", lambda h: _bit(often, _slots(h)[0]))).alias("term"))
+    counts = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(RARE * n, COMMON * n))
+    return _bitmap(counts.select(F.explode(F.array(*_slots(F.col("term")))).alias("slot")))
+
+
 def with_fingerprint(df: DataFrame, text: str, masks: Column, to: str) -> DataFrame:
     """Adds ``to``: an array with a part for each sub-lexicon, or the text's digest alone where no term is in the lexicon."""
     names = df.columns
-    bit = lambda s: F.getbit(F.get(masks, F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def known(h: Column) -> Column:
-        first, second, third = map(bit, _slots(h))
+        first, second, third = (_bit(masks, slot) for slot in _slots(h))
         return first & second & third
 
     banded = df.select(*names, once(_hashes(F.col(text))).alias("_h")).select(*names, once(F.array_sort(F.array_distinct(F.filter("_h", known)))).alias("_band"))

@@ -29,6 +29,8 @@ WORD_SHARE = 1e-3
 RARE_DOCUMENTS = 200
 #: Rounds of stars at most; all that they leave apart is compared afterwards.
 ROUNDS = 4
+#: Pairs for each set that are verified in one turn.
+PAIRS_EACH = 4
 #: Pairs for each posting from which another round is worth its while.
 CROWDED = 4
 #: Tokens of a combination, and one more for each so many tokens of a set: so many shared ones a prefix is extended for.
@@ -301,8 +303,19 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     paired = firsts.select("k", "n", "c", "of", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "of", "pos", "token", F.col("two.token").alias("token2"))
     mixed_pairs = counted(_met(paired, ["token", "token2"], num, den)).where(F.col("t") + 1 >= F.col("must"))
     pairs = written(rare.select("a", "b").unionByName(mixed_pairs.select("a", "b")).distinct(), "pairs")
-    more = _verified(pairs, _sets(keyed, nodes, both(pairs), size), num, den)
-    final = components(links.unionByName(more.select("a", "b")))
+    # Pairs carry a set; where there are many for each set, they go in turns, so that the shuffle files of one make room for the next.
+    n_pairs, n_nodes = pairs.count(), nodes.count()
+    turns = max(1, -(-n_pairs // (PAIRS_EACH * max(n_nodes, 1))))
+    sets = _sets(keyed, nodes, both(pairs), size)
+    if turns > 1:
+        sets = written(sets, "sets")
+    more = links
+    for turn in range(turns):
+        own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
+        more = more.unionByName(written(_verified(own, sets, num, den), "more"))
+        if turns > 1:
+            release(keyed.sparkSession)
+    final = components(more)
 
     labelled = written(nodes.join(final, nodes["k"] == final["node"], "left").select("k", "doc", "copies", F.coalesce("component", "k").alias("component")), "labelled")
     # A component that holds a large part of all sets meets its least document by a broadcast as well.
