@@ -30,7 +30,7 @@ def next_boundary(nodes: DataFrame, when: Column) -> DataFrame:
 
 def visible(frozen: DataFrame, replay: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Frozen rows always; replay rows up to their dataset's cutoff, none without one. ``cutoffs`` has a row per dataset."""
-    shown = replay.join(F.broadcast(cutoffs), "dataset").where(F.col("available_at") <= F.col("cutoff")).drop("cutoff")
+    shown = replay.join(cutoffs, "dataset").where(F.col("available_at") <= F.col("cutoff")).drop("cutoff")
     return frozen.unionByName(shown, allowMissingColumns=True)
 
 

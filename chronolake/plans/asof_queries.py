@@ -32,13 +32,13 @@ def _text(c: str):
 @query(f"WITH {_RUNS}, c AS (SELECT dataset, max(start) AS cutoff FROM runs WHERE ready <= TIMESTAMP '{_WHEN}' GROUP BY 1) SELECT p.dataset, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff, count(*) AS n FROM {{pit}} p JOIN c USING (dataset) WHERE available_at <= cutoff GROUP BY ALL")
 def refresh_cutoff(t: Tables) -> DataFrame:
     cut = asof.refresh_cutoff(_nodes(t), _when())
-    return t.pit.join(F.broadcast(cut), "dataset").where("available_at <= cutoff").groupBy("dataset", "cutoff").agg(F.count("*").alias("n")).select("dataset", _text("cutoff"), "n")
+    return t.pit.join(cut, "dataset").where("available_at <= cutoff").groupBy("dataset", "cutoff").agg(F.count("*").alias("n")).select("dataset", _text("cutoff"), "n")
 
 
 @query(f"WITH {_RUNS}, b AS (SELECT dataset, min(ready) AS boundary FROM runs WHERE ready > TIMESTAMP '{_WHEN}' GROUP BY 1) SELECT p.dataset, strftime(boundary, '%Y-%m-%d %H:%M:%S') AS boundary, count(*) AS waiting FROM {{pit}} p JOIN b USING (dataset) WHERE available_at > TIMESTAMP '{_WHEN}' AND available_at <= boundary GROUP BY ALL")
 def next_refresh_boundary(t: Tables) -> DataFrame:
     nxt = asof.next_boundary(_nodes(t), _when())
-    return t.pit.join(F.broadcast(nxt), "dataset").where((F.col("available_at") > _when()) & (F.col("available_at") <= F.col("boundary"))).groupBy("dataset", "boundary").agg(F.count("*").alias("waiting")).select("dataset", _text("boundary"), "waiting")
+    return t.pit.join(nxt, "dataset").where((F.col("available_at") > _when()) & (F.col("available_at") <= F.col("boundary"))).groupBy("dataset", "boundary").agg(F.count("*").alias("waiting")).select("dataset", _text("boundary"), "waiting")
 
 
 @query(f"WITH {_RUNS}, c AS (SELECT dataset, max(start) AS cutoff FROM runs WHERE ready <= TIMESTAMP '{_WHEN}' GROUP BY 1) SELECT event_id FROM {{pit}} p WHERE ts < TIMESTAMP '2024-01-05' UNION ALL SELECT event_id FROM {{pit}} p JOIN c USING (dataset) WHERE ts >= TIMESTAMP '2024-01-05' AND available_at <= cutoff")

@@ -91,7 +91,7 @@ def j11_daily_fallback(t: Tables) -> DataFrame:
 @query("SELECT h.account, h.month, h.code, h.side, c.pb, coalesce(p.kind, 'unclassified') AS kind FROM {holdings} h JOIN {cross_section} c USING (month, code) LEFT JOIN (SELECT p_brand AS code, min(p_type) AS kind FROM part GROUP BY 1) p USING (code)")
 def j12_position_style_join(t: Tables) -> DataFrame:
     kinds = t.part.groupBy(F.col("p_brand").alias("code")).agg(F.min("p_type").alias("kind"))
-    out = t.holdings.join(t.cross_section, ["month", "code"]).join(F.broadcast(kinds), "code", "left")
+    out = t.holdings.join(t.cross_section, ["month", "code"]).join(kinds, "code", "left")
     return out.select("account", "month", "code", "side", "pb", F.coalesce("kind", F.lit("unclassified")).alias("kind"))
 
 

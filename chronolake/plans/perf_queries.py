@@ -17,7 +17,7 @@ _PAIRS = "s AS (SELECT account, month, value / lag(value) OVER (PARTITION BY acc
 def _pairs(t: Tables) -> DataFrame:
     s = windows.returns(t.monthly, "account", "month", "value").where("ret is not null").select("account", "month", (F.col("ret") / 100).alias("y"))
     i = windows.returns(t.index_monthly.withColumn("k", F.lit(1)), "k", "month", "value").where("ret is not null").select("month", (F.col("ret") / 100).alias("x"))
-    return s.join(F.broadcast(i), "month")
+    return s.join(i, "month")
 
 
 def _rounded(df: DataFrame, digits: int, *keys: str) -> DataFrame:

@@ -49,7 +49,7 @@ def roll_as_of(clock: DataFrame, replay: DataFrame, cutoffs: Callable[[DataFrame
 
     def step(batch: DataFrame, number: int) -> None:
         bounds = cutoffs(batch)
-        fresh = replay.join(F.broadcast(bounds), "dataset").where((F.col("available_at") <= F.col("cutoff")) & (F.col("before").isNull() | (F.col("available_at") > F.col("before"))))
+        fresh = replay.join(bounds, "dataset").where((F.col("available_at") <= F.col("cutoff")) & (F.col("before").isNull() | (F.col("available_at") > F.col("before"))))
         fresh.drop("before", "cutoff").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return clock.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
