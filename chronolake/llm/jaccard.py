@@ -278,6 +278,8 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     links, open_ = None, repeated.withColumn("c", F.col("k"))
     for turn in range(ROUNDS):
+        if not _crowded(open_):
+            break
         stars = written(_star(open_, turn, num, den), "stars")
         joined = written(_verified(stars, _sets(keyed, nodes, both(stars), size), num, den), "links")
         links = joined if links is None else links.unionByName(joined)
@@ -287,8 +289,6 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
                 forget(before)
         forget(stars)
         release(keyed.sparkSession)
-        if not _crowded(open_):
-            break
     open_ = open_.withColumn("often", F.col("df") > RARE_DOCUMENTS)
     # Two shared tokens are both rare, or a pair of which one is frequent at least. Of the tokens that a pair of
     # documents must share, the rare ones are counted and the frequent ones bounded.
@@ -312,7 +312,8 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     more = links
     for turn in range(turns):
         own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
-        more = more.unionByName(written(_verified(own, sets, num, den), "more"))
+        verified = written(_verified(own, sets, num, den), "more")
+        more = verified if more is None else more.unionByName(verified)
         if turns > 1:
             release(keyed.sparkSession)
     final = components(more)
