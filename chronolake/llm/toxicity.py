@@ -35,7 +35,7 @@ ALPHABET = 27  # the border and a-z
 _CLOSING = re.compile(r"^[\"'(\[{<*#&%.,;:?-]+|[\"')\]}>.,;:?!*#&%-]+$|([^\w\s])\1+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\W\d_].*[\d_\W]|[\d_\W].*[^\W\d_]|(.)\1\1", re.S)
-_SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+€] ){2,}[\w@$!|+€](?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+€]\s){2,}[\w@$!|+€](?!\S)")
 _LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 
 
@@ -127,7 +127,7 @@ class Reader(dict):
     def of(self, text: str | None) -> set[int]:
         if not text:
             return set()
-        spaced = [m.replace(" ", "") for m in _SPACED.findall(text)]
+        spaced = ["".join(m.split()) for m in _SPACED.findall(text)]
         return set().union(*map(self.__getitem__, set(text.split())), *map(self.__getitem__, spaced))
 
 
