@@ -4,10 +4,10 @@ The base kinds are exact patterns. Each found value is a protected entity, and s
 that holds it, but for those in base spans, is one of its terms. Over all documents, PMI(entity; term) = log2(p(entity, term) / (p(entity) p(term)))
 is compared with the entity's own information IC(entity) = -log2 p(entity), probabilities being shares of
 documents. In the documents that hold the entity, a term that carries at least ``GENERALISE`` of that information is
-generalised to its class, one that carries at least ``REMOVE`` of it is removed. A term that carries so much of a value, as
-``SUPPORT`` documents show, is also removed from all other documents: there it discloses the value by itself.
+generalised to its class, one that carries at least ``REMOVE`` of it is removed. A term that surely carries so much of a
+value is also removed from all other documents: there it discloses the value by itself.
 
-Where fewer than ``SUPPORT`` documents share entity and term, p(entity | term) is not taken as observed but at the
+Where fewer than ``SUPPORT`` documents share entity and term, and for what is sure, p(entity | term) is not taken as observed but at the
 lower end of its one-sided Wilson interval (``Z``): a rare value counts too, with no more than is certain of it.
 """
 
@@ -267,10 +267,11 @@ def _disclosing(documents: DataFrame, found: DataFrame, text: str) -> DataFrame:
     entities = held.select("entity", "n_entity", salts.alias("_salt"))
     pairs = together.join(entities, ["entity", "_salt"]).join(counts, "term")
     given = F.when(F.col("n_both") >= SUPPORT, F.col("n_both") / F.col("n")).otherwise(_surely(F.col("n_both"), F.col("n")))
-    share = F.log2(given * F.lit(n_docs) / F.col("n_entity")) / F.greatest(F.log2(F.lit(n_docs) / F.col("n_entity")), F.lit(1e-9))
-    judged = pairs.withColumn("share", share).where(F.col("share") >= GENERALISE)
-    judged = written(judged.select("entity", "term", "n_both", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")), "judged")
-    alone = judged.where((F.col("n_both") >= SUPPORT) & (F.col("kind") == "remove") & ~F.col("entity").isin(*KINDS)).groupBy("term").agg(F.max("kind").alias("kind")).select(F.lit(EVERYWHERE).alias("entity"), "term", "kind")
+    share = lambda p: F.log2(p * F.lit(n_docs) / F.col("n_entity")) / F.greatest(F.log2(F.lit(n_docs) / F.col("n_entity")), F.lit(1e-9))
+    sure = (share(_surely(F.col("n_both"), F.col("n"))) >= REMOVE) & ~F.col("entity").isin(*KINDS)
+    judged = pairs.select("*", share(given).alias("share"), sure.alias("sure")).where(F.col("share") >= GENERALISE)
+    judged = written(judged.select("entity", "term", "sure", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")), "judged")
+    alone = judged.where("sure").groupBy("term").agg(F.max("kind").alias("kind")).select(F.lit(EVERYWHERE).alias("entity"), "term", "kind")
     out = written(judged.select("entity", "term", "kind").unionByName(alone), "disclosing")
     forget(counts, held, judged)
     return out

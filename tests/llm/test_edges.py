@@ -49,14 +49,12 @@ def pii_by_hand(texts):
     n, n_e, n_both = Counter(w for ws in words for w in ws), Counter(e for es in held for e in es), Counter((e, w) for es, ws in zip(held, words, strict=True) for e in es for w in ws)
     kind, alone = {}, {}
     for (e, w), both in n_both.items():
-        p = both / n[w]
-        if both < pii.SUPPORT:
-            z = pii.Z
-            p = (p + z * z / 2 / n[w] - z * math.sqrt(p * (1 - p) / n[w] + z * z / 4 / n[w] / n[w])) / (1 + z * z / n[w])
-        share = math.log2(p * len(texts) / n_e[e]) / max(math.log2(len(texts) / n_e[e]), 1e-9)
+        p, z = both / n[w], pii.Z
+        low = (p + z * z / 2 / n[w] - z * math.sqrt(p * (1 - p) / n[w] + z * z / 4 / n[w] / n[w])) / (1 + z * z / n[w])
+        share, sure = (math.log2(x * len(texts) / n_e[e]) / max(math.log2(len(texts) / n_e[e]), 1e-9) for x in (p if both >= pii.SUPPORT else low, low))
         if share >= pii.GENERALISE:
             kind[e, w] = "remove" if share >= pii.REMOVE else "generalise"
-            if both >= pii.SUPPORT and share >= pii.REMOVE and ":" in e:
+            if sure >= pii.REMOVE and ":" in e:
                 alone[w] = max(alone.get(w, ""), kind[e, w])
     out, order = [], (*pii.KINDS, "generalise", "remove")
     for t, s, es in zip(texts, base, held, strict=True):
@@ -83,6 +81,7 @@ def private_corpus(seed, n=160):
             body += [f"10.0.{k % 3}.{k % 7}", "+1 555 0100 222", "server"]
         rnd.shuffle(body)
         out.append(" ".join(body))
+    out += [f"quuxly {rnd.choice(words)} ann@y.org" for _ in range(30)] + ["here is quuxly again"] + [" ".join(rnd.choice(words) for _ in range(9)) for _ in range(6 * n)]
     return [*out, None, "", out[0], "é@x.y 1.1.1.1 " * 30]
 
 
