@@ -285,8 +285,10 @@ def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list
     """
     found = written(_found(documents, text), "entities")
     disclosing = _disclosing(documents, found, text)
-    told = marks(disclosing.select(F.concat_ws("\n", "entity", "term").alias("pair")), "pair", crc_slot)
-    found = found.unionByName(written(_others(documents, text, told, True), "touched"))
+    pair = F.concat_ws("\n", "entity", "term").alias("pair")
+    told = marks(disclosing.select(pair), "pair", crc_slot)
+    everywhere = marks(disclosing.where(F.col("entity") == EVERYWHERE).select(pair), "pair", crc_slot)
+    found = found.unionByName(written(_others(documents, text, everywhere, True), "touched"))
     known = _pairs_of_texts(found, text, told).join(bounded_broadcast(disclosing, disclosing.count(), BROADCAST_ROWS), ["entity", "term"])
     known = known.groupBy("_key", "term").agg(F.max("kind").alias("kind"))  # removal beats generalisation
     terms = known.groupBy("_key").agg(F.collect_list(F.struct("term", "kind")).alias("_terms"))
@@ -302,7 +304,7 @@ def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list
                 spans.append(sorted(base + more, key=lambda s: (order[s[0]], s[1], s[2])))
             yield out(batch.select(list(range(len(names)))), spans)
 
-    return found.join(terms, "_key", "left").select(*names, "_own", "_terms").mapInArrow(judge, schema), _others(documents, text, told, False)
+    return found.join(terms, "_key", "left").select(*names, "_own", "_terms").mapInArrow(judge, schema), _others(documents, text, everywhere, False)
 
 
 def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
