@@ -132,7 +132,8 @@ def _others(documents: DataFrame, text: str, told: bytes, touched: bool) -> Data
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [body or "" for body in batch.column(names.index(text)).to_pylist()]
-            words = [[] if base_spans(body) else list({f"{EVERYWHERE}\n{w.lower()}" for w in set(_WORD.findall(body))}) for body in bodies]
+            plain = [not base_spans(body) for body in bodies]
+            words = [list({f"{EVERYWHERE}\n{w.lower()}" for w in set(_WORD.findall(body))}) if own else [] for body, own in zip(bodies, plain, strict=True)]
             hit = is_marked(bits.value, crc_slots([w for own in words for w in own])) if any(words) else []
             owner = [k for k, own in enumerate(words) for _ in own]
             marked = {k for k, there in zip(owner, hit, strict=True) if there}
@@ -142,7 +143,7 @@ def _others(documents: DataFrame, text: str, told: bytes, touched: bool) -> Data
                 keys = [hashlib.sha256(bodies[k].encode()).digest() for k in keep]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.binary()), pa.array([[]] * len(keep), pa.list_(_SPAN))], [*names, "_key", "_own"])
             else:
-                yield batch.filter(pa.array([k not in marked and not base_spans(body) for k, body in enumerate(bodies)], pa.bool_()))
+                yield batch.filter(pa.array([own and k not in marked for k, own in enumerate(plain)], pa.bool_()))
 
     schema = T.StructType([*documents.schema.fields, T.StructField("_key", T.BinaryType()), _OWN]) if touched else documents.schema
     return documents.mapInArrow(find, schema)
