@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, imatch, jaccard, langid, pack, pii, substring, token_file, toxicity
+from . import bit_planes, chat, decontaminate, imatch, jaccard, langid, pack, pii, product_codes, substring, token_counts, token_file, toxicity
 from .common import shared_dir, table
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,5 +121,60 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(r.
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id, n.n
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_substring_dedup": op4_substring_dedup, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op7_fingerprints": op7_fingerprints, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_chat": OP2_SQL, "op10_jaccard_join": OP10_SQL}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_planes.cluster(table(spark, sf_dir, "embeddings"), count=40, rounds=5, scale=256, salt="2")
+
+
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+#: floor(sum / count) in integers.
+FLOORED = "CAST((s - ((s % n) + n) % n) // n AS DOUBLE)"
+
+
+def _rounds(key: str, n: int) -> str:
+    """CTEs of ``n`` rounds: rows ``r`` (key, r, v) go to the nearest of the entries ``c0`` (key, c, v), which move to floored means."""
+    on, by = (f"ON {' AND '.join(f'r.{k} = c.{k}' for k in key.split(', ') if k)}", f"{key}, ") if key else ("ON true", "")
+    own = "".join(f"r.{k}, " for k in key.split(", ") if k)
+    out = []
+    for i in range(1, n + 2):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT {by}r, v, c, d FROM (SELECT {own}r.r, r.v, c.c, CAST(r.q - 2 * list_inner_product(r.v, c.v) + list_inner_product(c.v, c.v) AS BIGINT) AS d,
+  row_number() OVER (PARTITION BY {own}r.r ORDER BY r.q - 2 * list_inner_product(r.v, c.v) + list_inner_product(c.v, c.v), c.c) AS k FROM r JOIN c{i - 1} c {on}) x WHERE k = 1)""")
+        if i <= n:
+            out.append(f"""c{i} AS MATERIALIZED (SELECT {by}c, list({FLOORED} ORDER BY k) AS v FROM (SELECT {by}c, k, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM
+  (SELECT {by}c, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM a{i}) y GROUP BY {by}c, k) z GROUP BY {by}c
+  UNION ALL SELECT {by}c, v FROM c{i - 1} ANTI JOIN a{i} USING ({by}c))""")
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""
+WITH g AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) = 64 AND {FINITE}),
+r AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, v, list_inner_product(v, v) AS q FROM g),
+c0 AS MATERIALIZED (SELECT c - 1 AS c, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) AS c, v FROM g) x WHERE c <= 40),
+{_rounds("", 5)}
+SELECT vec_id, CAST(a6.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a6.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c5.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a6 JOIN r USING (r) JOIN c5 ON c5.c = a6.c
+"""
+
+
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+OP12_SQL = f"""
+WITH g AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {FINITE}),
+w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, * FROM g),
+r AS MATERIALIZED (SELECT p, r, v, list_inner_product(v, v) AS q FROM (SELECT p, r, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v FROM w, range(4) t(p)) x),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS c, v FROM r WHERE r <= 256),
+{_rounds("p", 4)},
+o AS (SELECT r, string_agg(format('{{:02x}}', c), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a5 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, c)) AS h FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM o JOIN w USING (r), h
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_substring_dedup": op4_substring_dedup, "op5_packing": op5_packing, "op6_token_file": op6_token_file, "op7_fingerprints": op7_fingerprints, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join, "op11_centroid_clusters": op11_centroid_clusters, "op12_product_codes": op12_product_codes, "op13_token_counts": op13_token_counts}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_chat": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op11_centroid_clusters": OP11_SQL, "op12_product_codes": OP12_SQL}
