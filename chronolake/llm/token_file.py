@@ -88,13 +88,13 @@ class _Lanes:
         return self.groups[group, lanes] + inside.ravel().take(np.arange(len(lanes)) * GROUP + place).astype(np.int64) - size, size
 
     def find0(self, lanes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number, begin, size): the numbers among whose counts the values lie."""
+        """(number, begin, size): the numbers among whose counts the values lie; of a damaged lane, any number."""
         values = values.astype(np.uint16)
-        group = np.add.reduce(self.groups[1:, lanes] <= values, axis=0, dtype=np.uint8).astype(np.int64)
+        group = np.minimum(np.add.reduce(self.groups[1:, lanes] <= values, axis=0, dtype=np.uint8).astype(np.int64), GROUPS - 1)
         row, before = lanes * GROUPS + group, self.groups[group, lanes]
         inside = np.cumsum(self.counts.take(row, axis=0), axis=1, dtype=np.uint16)
-        place = np.add.reduce(inside <= (values - before)[:, None], axis=1, dtype=np.uint8).astype(np.int64)
-        size = self.counts.ravel().take(row * GROUP + place)
+        place = np.minimum(np.add.reduce(inside <= (values - before)[:, None], axis=1, dtype=np.uint8).astype(np.int64), GROUP - 1)
+        size = np.maximum(self.counts.ravel().take(row * GROUP + place), 1)
         return group * GROUP + place, before + inside.ravel().take(np.arange(len(lanes)) * GROUP + place).astype(np.int64) - size, size
 
     def learn(self, numbers: np.ndarray, outcome: np.ndarray, new: np.ndarray, new_ids: np.ndarray) -> None:
@@ -220,12 +220,19 @@ def _numbers(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """All ids of the blocks in ``data``; a damaged block is an error."""
+    """All ids of the blocks in ``data``; a damaged or cut block is a ValueError.
+
+    A damaged block decodes to other ids, never reading beyond its payload, until its checksum refuses them.
+    """
     heads, at = [], 0
     while at < len(data):
+        if len(data) - at < HEADER.size:
+            raise ValueError(f"the header at byte {at} is cut")
         magic, count, size, crc = HEADER.unpack_from(data, at)
-        if magic != MAGIC:
+        if magic != MAGIC or not 0 < count <= BLOCK:
             raise ValueError(f"no block at byte {at}")
+        if size % 2 or size > len(data) - at - HEADER.size:
+            raise ValueError(f"the block at byte {at} is cut")
         heads.append((count, size, crc, at + HEADER.size))
         at += HEADER.size + size
     if not heads:
@@ -240,12 +247,12 @@ def decode(data: bytes) -> np.ndarray:
     for _ in range(4):
         code = code << U(16) | words[lanes.lane, used]
         used += 1
-    width = int(lengths.max())
-    numbers, book = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
+    width, last = int(lengths.max()), words.shape[1] - 1
+    numbers, book = np.zeros((n, width), np.int64), np.zeros((n, BLOCK), np.int64)
 
     def absorb() -> None:
         while len(due := lanes.due()):
-            code[due] = code[due] << U(16) | words[due, used[due]]
+            code[due] = code[due] << U(16) | words[due, np.minimum(used[due], last)]
             used[due] += 1
             lanes.shift(due)
 
@@ -271,7 +278,7 @@ def decode(data: bytes) -> np.ndarray:
         lanes.narrow(begin, size, total)
         old, new = np.flatnonzero(outcome == OLD), np.flatnonzero(outcome == NEW)
         begin, size, total = np.zeros(n, np.int64), np.ones(n, np.int64), np.ones(n, np.int64)
-        total[old] = t
+        total[old] = max(t, 1)  # a damaged block may begin with an old id
         if len(new):
             total[new] = lanes.buckets[BUCKETS, new].astype(np.int64) * BUCKET
         value = at_scale(total)
