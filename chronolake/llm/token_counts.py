@@ -1,8 +1,8 @@
 """Token counts of whole texts without their ids: pieces once a distinct pre-token, joined to the pre-tokens of each document.
 
-The corpus is read twice. The first pass counts in how many documents each pre-token stands, and each distinct one goes
-through the vocabulary's merges once. The second joins every document's pre-token frequencies with these pieces: the ones that most
-documents have by a table of fixed size that all tasks hold, the others by a join on the pre-token.
+The corpus is read twice. The first pass counts how often each pre-token stands in it, and each distinct one goes
+through the vocabulary's merges once. The second joins every document's pre-token frequencies with these pieces: the most
+frequent ones by a table of bounded size that all tasks hold, the others by a join on the pre-token.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_counted, modest_batches, written
-from .tokens import REMEMBERED, tokenizer_path
+from .tokens import REMEMBERED, byte_signs, tokenizer_path
 
-#: Pre-tokens, and bytes of each, of the table that all tasks hold: at most 4 MB of text.
-HELD, HELD_BYTES = 1 << 16, 64
-#: Distinct pre-tokens after which a task hands on what it has counted.
+#: Pre-tokens, and bytes of each, of the table that all tasks hold: at most 16 MB of text.
+HELD, HELD_BYTES = 1 << 18, 64
+#: Distinct chunks after which a task hands on what it has counted.
 COUNTED = 200_000
+#: Letters, then signs but apostrophes: two pre-tokens at most, of which normalisation changes nothing but the case.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = ("Word", "ÉtÉ", "Straße", "aB,.", "Ñu<|", "x--!")
 #: Before the text of a special token, which is a piece by itself. No pre-token of bytes begins with it.
 SPECIAL = "\0"
 
@@ -47,6 +50,14 @@ class PreTokens(dict):
         if any(re.search(r"\s", s) for s in special):
             raise ValueError("a special token holds white space, at which texts are cut")
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.signs = byte_signs()
+        self.shortcut = all(self.simple(_SIMPLE.fullmatch(p)) == tuple(self.plain(p)) for p in _PROBES)
+
+    def simple(self, found: re.Match[str]) -> tuple[str, ...]:
+        word = found[1].lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.signs)
+        return (word, found[2]) if found[2] else (word,)
 
     def plain(self, text: str) -> list[str]:
         if self.normal is not None:
@@ -54,8 +65,8 @@ class PreTokens(dict):
         return [t for t, _ in self.pre.pre_tokenize_str(text)] if text else []
 
     def __missing__(self, chunk: str) -> tuple[str, ...]:
-        if chunk.isascii() and chunk.isalpha():
-            out = (chunk.lower(),)
+        if self.shortcut and (found := _SIMPLE.fullmatch(chunk)):
+            out = self.simple(found)
         elif self.special is not None and self.special.search(chunk):
             out = tuple(t for k, part in enumerate(self.special.split(chunk)) for t in ([SPECIAL + part] if k % 2 else self.plain(part)))
         else:
@@ -78,41 +89,57 @@ def pre_tokens(path: str | None) -> PreTokens:
     return _loaded[path]
 
 
-def chunks(text: str) -> Counter[str]:
+def chunks(text: str) -> list[str]:
+    """Parts between blanks; empty ones may be among them."""
     for blank in "\n\t\r":
         text = text.replace(blank, " ")
-    own = Counter(text.split(" "))
-    del own[""]
-    return own
+    return text.split(" ")
 
 
 def pieces_table(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``pre_token, documents, pieces``: every distinct pre-token of the corpus, in how many texts it stands and how many pieces it has."""
+    """``pre_token, times, pieces``: every distinct pre-token of the corpus, how often it stands there and how many pieces it has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = pre_tokens(tokenizer), Counter()
+        table, found = pre_tokens(tokenizer), Counter()
 
         def handed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["pre_token", "documents"])
+            times = Counter()
+            for chunk, n in found.items():
+                for t in table[chunk]:
+                    times[t] += n
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64())], ["pre_token", "times"])
 
         for batch in batches:
             for text in batch.column(0):
-                own = text.as_py()
-                if own:
-                    held.update({t for c in chunks(own) for t in table[c]})
-                    if len(held) >= COUNTED:
-                        yield handed()
-                        held.clear()
+                found.update(chunks(text.as_py() or ""))
+                if len(found) >= COUNTED:
+                    yield handed()
         yield handed()
         table.clear()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pre_tokens(tokenizer)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(table.pieces, batch.column(0).to_pylist()), pa.int64())], ["pre_token", "documents", "pieces"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(table.pieces, batch.column(0).to_pylist()), pa.int64())], ["pre_token", "times", "pieces"])
+
+    counted = documents.select("text").mapInArrow(count, "pre_token string, times long").groupBy("pre_token").agg(F.sum("times").alias("times"))
+    return counted.mapInArrow(measure, "pre_token string, times long, pieces long")
+
 
-    counted = documents.select("text").mapInArrow(count, "pre_token string, documents long").groupBy("pre_token").agg(F.sum("documents").alias("documents"))
-    return counted.mapInArrow(measure, "pre_token string, documents long, pieces long")
+def most_frequent(table: DataFrame, most: int) -> dict[str, int]:
+    """pre-token -> pieces of at most ``most`` short pre-tokens: those from a frequency on, of which there are so few.
+
+    Frequencies are taken by eighths of powers of two, so tasks hand some hundred counts to the driver before the pre-tokens.
+    """
+    step = table.where(F.octet_length("pre_token") <= HELD_BYTES).withColumn("_step", F.floor(F.log2("times") * 8))
+    total, least = 0, None
+    for at, n in sorted(step.groupBy("_step").count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = at
+    return {} if least is None else {r[0]: r[1] for r in step.where(F.col("_step") >= least).select("pre_token", "pieces").collect()}
 
 
 def count_tokens(documents: DataFrame, limit: int = 2048, tokenizer: str | None = None, held: int = HELD) -> DataFrame:
@@ -120,14 +147,12 @@ def count_tokens(documents: DataFrame, limit: int = 2048, tokenizer: str | None
 
     Counted as the library does for the whole text, without special tokens of its own; those inside texts are a token each. Null and
     empty texts have none. Repeated rows and null ids are rows of their own; no documents give no row; extra columns are ignored.
-    ``tokenizer`` is a tokenizers file that drops white space. ``held`` is the size of the table that all tasks hold; it changes the
+    ``tokenizer`` is a tokenizers file that drops white space. ``held`` bounds the table that all tasks hold; it changes the
     plan, not the result.
     """
     modest_batches(documents.sparkSession)
     table = written(pieces_table(documents, tokenizer), "pieces")
-    short = table.where(F.octet_length("pre_token") <= HELD_BYTES)
-    known = {r[0]: r[1] for r in short.orderBy(F.col("documents").desc(), "pre_token").limit(held).select("pre_token", "pieces").collect()}
-    shared = documents.sparkSession.sparkContext.broadcast(known)
+    shared = documents.sparkSession.sparkContext.broadcast(most_frequent(table, held))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, row = pre_tokens(tokenizer), shared.value, TaskContext.get().partitionId() << 40
@@ -136,7 +161,7 @@ def count_tokens(documents: DataFrame, limit: int = 2048, tokenizer: str | None
             keys, docs, sizes, tokens, amounts = [], [], [], [], []
             for doc, size, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 row, total, others = row + 1, 0, Counter()
-                for chunk, n in chunks(text.as_py() or "").items():
+                for chunk, n in Counter(chunks(text.as_py() or "")).items():
                     pieces = sums.get(chunk, -1)
                     if pieces == -1:
                         found = [known.get(t) for t in own[chunk]]

@@ -17,7 +17,7 @@ _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _loaded: dict[str, Ids] = {}
 
 
-def _byte_signs() -> dict[int, str]:
+def byte_signs() -> dict[int, str]:
     """The sign by which byte-level vocabularies know each byte: itself where it prints, else the next from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in prints]
@@ -37,7 +37,7 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        self.encode, self.merged, self.signs = whole.encode, whole.model.tokenize, _byte_signs()
+        self.encode, self.merged, self.signs = whole.encode, whole.model.tokenize, byte_signs()
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():

@@ -146,7 +146,28 @@ def test_counts_equal_the_librarys(spark, held, monkeypatch):
 def test_each_pre_token_is_measured_once(spark):
     docs = spark.createDataFrame(rows([(1, "One two, two"), (2, "two<|endoftext|>"), (3, None)]), SCHEMA)
     got = sorted(tuple(r) for r in token_counts.pieces_table(docs).collect())
-    assert [(t, n) for t, n, _ in got] == sorted([(",", 1), ("one", 1), ("two", 2), (token_counts.SPECIAL + "<|endoftext|>", 1)]) and all(p == 1 for *_, p in got)
+    assert [(t, n) for t, n, _ in got] == sorted([(",", 1), ("one", 1), ("two", 3), (token_counts.SPECIAL + "<|endoftext|>", 1)]) and all(p == 1 for *_, p in got)
+
+
+def test_shortcut_equals_the_library():
+    table = token_counts.pre_tokens(None)
+    assert table.shortcut
+    rnd = random.Random(5)
+    letters = "abzAZéÉßÿÀÖØöø" + "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    words = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(3000)} | {a + b for a in ("Wort", "É") for b in letters}
+    for w in words:
+        assert table[w] == tuple(table.plain(w)), w
+
+
+def test_frequent_pre_tokens_are_bounded(spark):
+    table = spark.createDataFrame([(f"t{k}", 1 + k // 4, k) for k in range(400)] + [("l" * 65, 10**6, 1)], "pre_token string, times long, pieces long")
+    for most in (0, 3, 50, 399, 400, 10**6):
+        got = token_counts.most_frequent(table, most)
+        assert len(got) <= most and (most < 50 or len(got) > most // 3 or most > 400)
+        if got:
+            least = min(1 + int(t[1:]) // 4 for t in got)
+            assert all((f"t{k}" in got) == (1 + k // 4 >= least) for k in range(400))
+    assert len(token_counts.most_frequent(table, 400)) == 400
 
 
 def test_counts_of_nothing(spark):
