@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timecols import blank
+from .ranks import nearest_rank, order_statistics, percentiles
 
 STOCK = r"^\d{6}\.(SH|SZ|BJ)$"
 
@@ -52,32 +53,32 @@ def exchange_completeness(df: DataFrame, date: str, exchange: str, required: Seq
 
 
 def ratio_stats(df: DataFrame, by: str, value: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return df.groupBy(by).agg(F.count(value).alias("rows"), p.alias("_p")).select(by, "rows", F.col("_p")[0].alias("p10"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("p90"))
+    """Rows with a ratio, and its exact linear percentiles, per group."""
+    return percentiles(df, [by], value, {"p10": 0.1, "median": 0.5, "p90": 0.9}).withColumnRenamed("n", "rows")
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The element at ``round((n - 1) p)``, half to even, of sorted ``values``."""
-    at = F.bround((F.size(values) - 1) * F.lit(p), 0).cast("int")
-    return F.get(F.array_sort(values), at)
+def _cells(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, column, _a, _b): a row per cell of the keys that both sides have."""
+    long = lambda df, to: df.unpivot(list(keys), list(columns), "column", to)
+    return long(old, "_a").join(long(new, "_b"), [*keys, "column"])
+
+
+_HALF_AND_TAIL = {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95)}
 
 
 def numeric_deltas(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Per column: changed cells, mean signed and absolute change, largest, nearest-rank p50 and p95."""
-    long = lambda df, to: df.unpivot(list(keys), list(columns), "column", to)
-    both = long(old, "_a").join(long(new, "_b"), [*keys, "column"]).where("_a is not null and _b is not null and _a <> _b").withColumn("d", F.col("_b") - F.col("_a"))
-    # Exact percentiles by rank: the sorted cells stay spread over tasks, only two of them per column are kept.
-    n = F.count("*").over(W.partitionBy("column"))
-    ranked = both.withColumn("_n", n).withColumn("_r", F.row_number().over(W.partitionBy("column").orderBy(F.abs("d"))) - 1)
-    at = lambda p: F.max(F.when(F.col("_r") == F.bround((F.col("_n") - 1) * F.lit(p), 0), F.abs("d")))
-    return ranked.groupBy("column").agg(F.count("*").alias("changed"), F.avg("d").alias("mean"), F.avg(F.abs("d")).alias("mean_abs"), F.max(F.abs("d")).alias("largest"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Per column: changed cells, mean signed and absolute change, largest, nearest-rank p50 and p95 of absolute changes."""
+    both = _cells(old, new, keys, columns).where("_a is not null and _b is not null and _a <> _b").select("column", (F.col("_b") - F.col("_a")).alias("d"), F.abs(F.col("_b") - F.col("_a")).alias("size"))
+    sums = both.groupBy("column").agg(F.count("*").alias("changed"), F.avg("d").alias("mean"), F.avg("size").alias("mean_abs"), F.max("size").alias("largest"))
+    return sums.join(order_statistics(both, ["column"], "size", _HALF_AND_TAIL).drop("n"), "column")
 
 
 def value_transitions(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    long = lambda df, to: df.unpivot(list(keys), list(columns), "column", to)
-    both = long(old, "_a").join(long(new, "_b"), [*keys, "column"])
+    """Per column and direction (a number goes, or comes): cells, and mean, largest, p50 and p95 of the size of the number that went or came."""
     kind = F.when(F.col("_a").isNotNull() & F.col("_b").isNull(), "to_blank").when(F.col("_a").isNull() & F.col("_b").isNotNull(), "from_blank")
-    return both.withColumn("kind", kind).where("kind is not null").groupBy("column", "kind").agg(F.count("*").alias("n"), F.avg(F.coalesce("_a", "_b")).alias("mean"), F.max(F.coalesce("_a", "_b")).alias("largest"))
+    both = _cells(old, new, keys, columns).withColumn("kind", kind).where("kind is not null").select("column", "kind", F.abs(F.coalesce("_a", "_b")).alias("size"))
+    sums = both.groupBy("column", "kind").agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.max("size").alias("largest"))
+    return sums.join(order_statistics(both, ["column", "kind"], "size", _HALF_AND_TAIL).drop("n"), ["column", "kind"])
 
 
 def revision_summary(diff: DataFrame, by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
 from .windows import returns
 
 YEAR = 244  # trading days (fixed value)
@@ -92,15 +93,20 @@ def status_counts(orders: DataFrame, group: str, status: str, statuses: list[str
     return orders.groupBy(group).agg(F.count("*").alias("total"), *(F.count_if(F.col(status) == s).alias(s) for s in statuses))
 
 
-def fold_report(records: DataFrame, epoch: str, y: str, x: str) -> DataFrame:
-    """Per epoch: mean, median, deviation, worst, positive share, t of the returns, and the compounded active return of complete pairs."""
-    n, sd = F.count(y), F.stddev_samp(y)
+def active_return(records: DataFrame, epoch: str, y: str, x: str) -> DataFrame:
+    """(epoch, active): the compounded active return of complete pairs."""
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
     up = lambda c: F.product(F.when(both, 1 + F.col(c)))
-    return records.groupBy(epoch).agg(
-        n.alias("folds"), F.avg(y).alias("mean"), F.median(y).alias("median"), sd.alias("std"), F.min(y).alias("worst"), (F.count_if(F.col(y) > 0) / n).alias("positive"),
-        F.when((n >= 2) & (sd > 0), F.avg(y) / (sd / F.sqrt(n))).alias("t"), (up(y) / up(x) - 1).alias("active"),
+    return records.groupBy(epoch).agg((up(y) / up(x) - 1).alias("active"))
+
+
+def fold_report(records: DataFrame, epoch: str, y: str) -> DataFrame:
+    """Per epoch: mean, exact median, deviation, worst, positive share and t of the returns."""
+    n, sd = F.count(y), F.stddev_samp(y)
+    sums = records.groupBy(epoch).agg(
+        n.alias("folds"), F.avg(y).alias("mean"), sd.alias("std"), F.min(y).alias("worst"), F.try_divide(F.count_if(F.col(y) > 0), n).alias("positive"), F.when((n >= 2) & (sd > 0), F.avg(y) / (sd / F.sqrt(n))).alias("t"),
     )
+    return sums.join(percentiles(records, [epoch], y, {"median": 0.5}).drop("n"), epoch, "left")
 
 
 def corporate_actions(events: DataFrame, first: str, last: str) -> DataFrame:

@@ -64,13 +64,17 @@ VIEWS: dict[str, str] = {
     "trades": """SELECT l_suppkey AS account, CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS side, CASE WHEN l_linestatus <> 'F' AND l_linenumber = 1 THEN 'dividend_cash'
         WHEN l_linenumber % 3 = 0 THEN 'position_reduced' WHEN l_linenumber % 3 = 1 THEN 'position_closed' ELSE 'opened' END AS kind, CAST(floor(l_extendedprice * (l_discount - 0.05)) AS BIGINT) * 100 AS amount,
         CAST(floor(l_extendedprice) AS BIGINT) * 100 AS notional, CAST(floor(l_extendedprice * l_tax) AS BIGINT) AS fee FROM {lineitem}""",
-    "old_part": "SELECT o_orderkey AS id, o_custkey AS cust, o_totalprice AS price, o_orderpriority AS prio, CAST(o_orderkey % 50 AS BIGINT) AS part FROM {orders} WHERE o_orderkey % 41 <> 0",
+    "old_part": "SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN o_orderkey % 31 > 0 THEN o_totalprice END AS price, o_orderpriority AS prio, CAST(o_orderkey % 50 AS BIGINT) AS part FROM {orders} WHERE o_orderkey % 41 <> 0",
     "new_part": """SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN o_orderkey % 17 = 0 THEN floor(o_totalprice * 101) / 100 WHEN o_orderkey % 23 = 0 THEN NULL
         ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 29 = 0 THEN 'CHANGED' ELSE o_orderpriority END AS prio, CAST(o_orderkey % 50 AS BIGINT) AS part FROM {orders} WHERE o_orderkey % 37 <> 0""",
     "ledger": """SELECT o_orderpriority AS epoch, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS fold, o_orderkey AS position,
         o_totalprice / 250000 - 1 AS test_return, CASE WHEN o_orderkey % 9 > 0 THEN o_totalprice / 300000 - 0.8 END AS bench_return, o_orderstatus AS status FROM {orders}""",
     "debts": """SELECT o_custkey AS account, o_orderkey AS contract, o_orderdate AS opened, floor(o_totalprice * 10) / 100 AS principal, floor(o_totalprice / 10) / 100 AS interest,
         CAST(o_orderkey % 900 + 100 AS BIGINT) AS shares FROM {orders}""",
+    # Fifty companies with the words of their parts' names and beginnings of these as terms.
+    "companies": """SELECT concat(lpad(CAST(p_partkey % 50 AS STRING), 6, '0'), '.SZ') AS code, split_part(p_name, ' ', 1) AS first_word, split_part(p_name, ' ', 2) AS last_word,
+        substr(p_name, 1, CAST(3 + p_partkey % 3 AS INT)) AS beginning FROM {part}""",
+    "coded_texts": "SELECT text_id, title, concat(lpad(CAST(code AS STRING), 6, '0'), '.SZ') AS ts_code FROM {texts}",
     "texts": """SELECT doc_id AS text_id, source AS dataset, lang, text AS body, substr(text, 1, 40) AS title,
         CAST(doc_id * 37 % 1000 AS BIGINT) AS available_at, CAST(doc_id % 50 AS BIGINT) AS code FROM {documents}""",
 }

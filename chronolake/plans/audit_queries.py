@@ -58,14 +58,21 @@ def a8_revision_summary(t: Tables) -> DataFrame:
     return out.withColumn("revision_rate", F.round("revision_rate", 8))
 
 
-@query("""WITH d AS (SELECT n.price - o.price AS d FROM {old_part} o JOIN {new_part} n USING (id) WHERE n.price <> o.price), r AS (SELECT d, abs(d) AS a, row_number() OVER (ORDER BY abs(d)) - 1 AS r, count(*) OVER () AS n FROM d)
-    SELECT 'price' AS column, count(*) AS changed, round(avg(d), 6) AS mean, round(avg(a), 6) AS mean_abs, round(max(a), 6) AS largest, round(max(CASE WHEN r = round_even((n - 1) * 0.5, 0) THEN a END), 6) AS p50, round(max(CASE WHEN r = round_even((n - 1) * 0.95, 0) THEN a END), 6) AS p95 FROM r""")
+_LONG = "SELECT id, unnest(['price', 'tenth']) AS c, unnest([price, price / 10]) AS v FROM"
+
+
+@query(f"""WITH d AS (SELECT c, n.v - o.v AS d FROM ({_LONG} {{old_part}} p) o JOIN ({_LONG} {{new_part}} q) n USING (id, c) WHERE n.v <> o.v),
+    r AS (SELECT c, d, abs(d) AS a, row_number() OVER (PARTITION BY c ORDER BY abs(d)) - 1 AS r, count(*) OVER (PARTITION BY c) AS n FROM d)
+    SELECT c AS column, count(*) AS changed, round(avg(d), 6) AS mean, round(avg(a), 6) AS mean_abs, round(max(a), 6) AS largest, round(max(CASE WHEN r = round_even((n - 1) * 0.5, 0) THEN a END), 6) AS p50, round(max(CASE WHEN r = round_even((n - 1) * 0.95, 0) THEN a END), 6) AS p95 FROM r GROUP BY c""")
 def a9_numeric_deltas(t: Tables) -> DataFrame:
-    out = audit.numeric_deltas(t.old_part.select("id", "price"), t.new_part.select("id", "price"), ["id"], ["price"])
+    sides = [df.select("id", "price", (F.col("price") / 10).alias("tenth")) for df in (t.old_part, t.new_part)]
+    out = audit.numeric_deltas(*sides, ["id"], ["price", "tenth"])
     return out.select("column", "changed", *(F.round(c, 6).alias(c) for c in ("mean", "mean_abs", "largest", "p50", "p95")))
 
 
-@query("SELECT 'price' AS column, 'to_blank' AS kind, count(*) AS n, round(avg(o.price), 6) AS mean, max(o.price) AS largest FROM {old_part} o JOIN {new_part} n USING (id) WHERE n.price IS NULL")
+@query("""WITH d AS (SELECT CASE WHEN n.price IS NULL THEN 'to_blank' ELSE 'from_blank' END AS kind, abs(coalesce(o.price, n.price)) AS a FROM {old_part} o JOIN {new_part} n USING (id) WHERE (n.price IS NULL) <> (o.price IS NULL)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY a) - 1 AS r, count(*) OVER (PARTITION BY kind) AS k FROM d)
+    SELECT 'price' AS column, kind, count(*) AS n, round(avg(a), 6) AS mean, max(a) AS largest, max(CASE WHEN r = round_even((k - 1) * 0.5, 0) THEN a END) AS p50, max(CASE WHEN r = round_even((k - 1) * 0.95, 0) THEN a END) AS p95 FROM r GROUP BY kind""")
 def a10_value_transitions(t: Tables) -> DataFrame:
     out = audit.value_transitions(t.old_part.select("id", "price"), t.new_part.select("id", "price"), ["id"], ["price"])
     return out.withColumn("mean", F.round("mean", 6))

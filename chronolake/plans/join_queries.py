@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import joins, text
+from ..operators import candidates, joins, text
 from .registry import Tables, query
 
 
@@ -122,9 +122,12 @@ def j16_active_year_windows(t: Tables) -> DataFrame:
     return joins.active_years(u, "a", "b", 1996, 2000).select("code", F.col("year").cast("long").alias("year"))
 
 
-@query("SELECT text_id FROM {texts} t WHERE code = 7 OR contains(lower(title), 'this') OR contains(lower(title), 'der')")
+@query("""WITH c AS (SELECT DISTINCT code, unnest([code, split_part(code, '.', 1), first_word, last_word, trim(beginning)]) AS term FROM {companies} p)
+    SELECT DISTINCT c.code, t.text_id FROM {coded_texts} t JOIN c ON t.ts_code = c.code OR contains(lower(t.title), lower(c.term))""")
 def j17_candidate_rows(t: Tables) -> DataFrame:
-    return t.texts.where((F.col("code") == 7) | F.lower("title").contains("this") | F.lower("title").contains("der")).select("text_id")
+    """All companies' candidate texts at once, over an inverted table of title grams."""
+    own = t.companies.groupBy("code").agg(F.flatten(F.collect_set(F.array("first_word", "last_word", "beginning"))).alias("terms"))
+    return candidates.candidate_rows(t.coded_texts, own)
 
 
 @query("""SELECT u.code, u.name, x.items FROM {universe} u LEFT JOIN (SELECT code, list_aggregate(list_slice(list_reverse_sort(list(amount)), 1, 5), 'string_agg', ',') AS items, period FROM (SELECT code, period, CAST(CAST(floor(amount) AS BIGINT) AS BIGINT) AS amount FROM {statements} s) y

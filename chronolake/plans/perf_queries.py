@@ -79,8 +79,9 @@ def a24_style_rollup(t: Tables) -> DataFrame:
     round(count(*) FILTER (test_return > 0) / count(test_return), 6) AS positive, round(avg(test_return) / (stddev_samp(test_return) / sqrt(count(test_return))), 6) AS t, round(product(CASE WHEN bench_return IS NOT NULL THEN 1 + test_return / 100 END) / product(CASE WHEN bench_return IS NOT NULL THEN 1 + bench_return / 100 END) - 1, 6) AS active100 FROM l GROUP BY epoch""")
 def a25_fold_report(t: Tables) -> DataFrame:
     last = windows.keep_one(t.ledger, ["epoch", "fold"], ["position"], "last")
-    out = perf.fold_report(last, "epoch", "test_return", "bench_return").drop("active")
-    small = perf.fold_report(last.withColumn("test_return", F.col("test_return") / 100).withColumn("bench_return", F.col("bench_return") / 100), "epoch", "test_return", "bench_return").select("epoch", F.col("active").alias("active100"))
+    out = perf.fold_report(last, "epoch", "test_return")
+    hundredths = last.withColumn("test_return", F.col("test_return") / 100).withColumn("bench_return", F.col("bench_return") / 100)
+    small = perf.active_return(hundredths, "epoch", "test_return", "bench_return").withColumnRenamed("active", "active100")
     return _rounded(out.join(small, "epoch"), 6, "epoch")
 
 
