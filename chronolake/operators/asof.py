@@ -28,6 +28,11 @@ def next_boundary(nodes: DataFrame, when: Column) -> DataFrame:
     return _runs(nodes, when, -1, 10).where("ready > when").groupBy("dataset").agg(F.min("ready").alias("boundary"))
 
 
+def refresh_grid(nodes: DataFrame, first: Column, days: int) -> DataFrame:
+    """(dataset, start, ready): every refresh of each node in ``days`` days from ``first`` on."""
+    return _runs(nodes, first, 0, days - 1).select("dataset", "start", "ready")
+
+
 def visible(frozen: DataFrame, replay: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Frozen rows always; replay rows up to their dataset's cutoff, none without one. ``cutoffs`` has a row per dataset."""
     shown = replay.join(cutoffs, "dataset").where(F.col("available_at") <= F.col("cutoff")).drop("cutoff")

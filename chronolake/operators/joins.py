@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,15 +35,27 @@ def latest_as_of(df: DataFrame, key: Sequence[str], stamp: str, when: Column, ti
     return keep_one(df.where(F.col(stamp) <= when), key, [stamp, *ties], "last")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the last right values at or before its time: one ordered pass over both sides, no range join."""
-    a = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_row"))
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], block: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each left row with the last right values at or before its time: one ordered pass over both sides, no range join.
+
+    ``block`` numbers stretches of time (it never falls as time rises): a key is then dealt by its blocks, so that a hot key is many
+    tasks. Each block that has left rows begins with the last values of the blocks before it, found over one row per block. Right rows of one
+    time should agree. Left rows without key or time get no values.
+    """
+    at = block or (lambda t: F.lit(0))
     payload = F.struct(*values)
-    b = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), payload.alias("_value"))
+    a = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), at(F.col(left_time)).alias("_b"), F.lit(2).alias("_side"), F.struct("*").alias("_row"))
+    b = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), at(F.col(right_time)).alias("_b"), F.lit(1).alias("_side"), payload.alias("_value")).where("_k is not null and _t is not null")
     both = a.unionByName(b, allowMissingColumns=True)
-    upto = W.partitionBy("_k").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("_value", F.last("_value", ignorenulls=True).over(upto)).where("_side = 1")
-    return found.select("_row.*", *(F.col(f"_value.{v}").alias(v) for v in values))
+    if block is not None:
+        ends = b.groupBy("_k", "_b").agg(F.max_by("_value", "_t").alias("_value"))
+        wanted = a.where("_k is not null and _t is not null").select("_k", "_b").distinct().withColumn("_asked", F.lit(True))
+        before = F.last("_value", ignorenulls=True).over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))  # a row a block
+        carried = ends.join(wanted, ["_k", "_b"], "full_outer").withColumn("_value", before).where("_asked and _value is not null")
+        both = both.unionByName(carried.select("_k", "_b", F.lit(0).alias("_side"), "_value"), allowMissingColumns=True)
+    upto = W.partitionBy("_k", "_b").orderBy(F.col("_side") > 0, "_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("_value", F.last("_value", ignorenulls=True).over(upto)).where("_side = 2")
+    return found.select("_row.*", *(F.when(F.col("_k").isNotNull() & F.col("_t").isNotNull(), F.col(f"_value.{v}")).alias(v) for v in values))
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -89,10 +101,20 @@ def active_years(universe: DataFrame, start: str, end: str, first: int, last: in
     return universe.where(lo <= hi).withColumn("year", F.explode(F.sequence(lo, hi)))
 
 
-def first_touch(orders: DataFrame, bars: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The first bar at or after activation that trades strictly through the limit, or opens at or inside it."""
-    met = orders.join(bars, list(key)).where(F.col("bar_ts") >= F.col("active_ts"))
+def first_touch(orders: DataFrame, bars: DataFrame, key: Sequence[str], block: Callable[[Column], Column]) -> DataFrame:
+    """The first bar at or after activation that trades strictly through the limit, or opens at or inside it.
+
+    ``block`` numbers stretches of time. The extremes of each (key, block) say which later blocks touch an order's limit, so an order meets one
+    row a block and then the bars of two blocks at most: its own and the first later one that touches. Bars are dealt by key and block, so no
+    key is one task.
+    """
     buy = F.col("action") == "entry"
-    through = F.when(buy, (F.col("low") < F.col("limit")) | (F.col("open") <= F.col("limit"))).otherwise((F.col("high") > F.col("limit")) | (F.col("open") >= F.col("limit")))
+    through = lambda low, high, down, up: F.when(buy, (F.col(low) < F.col("limit")) | (F.col(down) <= F.col("limit"))).otherwise((F.col(high) > F.col("limit")) | (F.col(up) >= F.col("limit")))
+    dealt = bars.withColumn("_b", block(F.col("bar_ts")))
+    placed = orders.withColumn("_own", block(F.col("active_ts")))
+    extremes = dealt.groupBy(*key, "_b").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.min("open").alias("_down"), F.max("open").alias("_up"))
+    later = placed.join(extremes, list(key)).where((F.col("_b") > F.col("_own")) & through("_low", "_high", "_down", "_up")).groupBy("order_id").agg(F.min("_b").alias("_later"))
+    tried = placed.join(later, "order_id", "left").withColumn("_b", F.explode(F.array_compact(F.array("_own", "_later"))))
     price = F.when(buy, F.least("open", "limit")).otherwise(F.greatest("open", "limit"))
-    return met.where(through).groupBy("order_id").agg(F.min("bar_ts").alias("filled_at"), F.min_by(price, "bar_ts").alias("fill_price"))
+    met = tried.join(dealt, [*key, "_b"]).where((F.col("bar_ts") >= F.col("active_ts")) & through("low", "high", "open", "open"))
+    return met.groupBy("order_id").agg(F.min("bar_ts").alias("filled_at"), F.min_by(price, "bar_ts").alias("fill_price"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep: str = "last") -> DataFrame:
@@ -83,15 +84,36 @@ def allocate(debts: DataFrame, account: str, order: Sequence[str], paid: Column)
     return out.withColumn("released", F.when(F.col("principal") > 0, F.floor(F.col("shares") * F.col("principal_paid") / F.col("principal"))).otherwise(F.col("shares")))
 
 
-def newly_visible(rows: DataFrame, grid: DataFrame, dataset: str, stamp: str, cutoff: str) -> DataFrame:
-    """Each row with the first refresh of its dataset that shows it: ``before < stamp <= cutoff`` on the refresh grid.
+def days(stamp: Column) -> Column:
+    """The number of the day of a time."""
+    return F.unix_date(stamp.cast("date"))
 
-    The grid has a row per refresh, so rows meet it by a merged ordering instead of a range join.
+
+#: Slots (a dataset's block of time) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def newly_visible(rows: DataFrame, grid: DataFrame, dataset: str, stamp: str, cutoff: str, ready: str | None = None, block: Callable[[Column], Column] = days) -> DataFrame:
+    """Each row with ``shown_at``, when it is first seen: at the first refresh of its dataset with ``stamp <= cutoff``, once that is ``ready``.
+
+    The grid has a row per refresh (many days of few datasets). ``block`` numbers stretches of time: each (dataset, block) gets the few refreshes
+    that lie in it and the next one after, and rows look theirs up, so no dataset meets in one task and, within ``BROADCAST_ROWS``
+    slots, no row is shuffled. Rows without stamp or after the last refresh are never seen. Of refreshes that overlap, the earliest ready one
+    shows a row.
     """
-    marks = grid.select(F.col(dataset).alias("_d"), F.col(cutoff).alias("_t"), F.lit(1).alias("_mark"), F.lit(None).alias("_row"))
-    facts = rows.select(F.col(dataset).alias("_d"), F.col(stamp).alias("_t"), F.lit(0).alias("_mark"), F.struct("*").alias("_row"))
-    both = facts.unionByName(marks.withColumn("_row", F.lit(None).cast(facts.schema["_row"].dataType)))
-    # Going back in time, a row's refresh is the next mark at its stamp or later.
-    after = W.partitionBy("_d").orderBy(F.col("_t").desc(), F.col("_mark").desc()).rowsBetween(W.unboundedPreceding, 0)
-    shown = F.last(F.when(F.col("_mark") == 1, F.col("_t")), ignorenulls=True).over(after)
-    return both.select("*", shown.alias("shown_at")).where("_mark = 0 and shown_at is not null").select("_row.*", "shown_at")
+    marks = grid.select(F.col(dataset).alias("_d"), F.col(cutoff).alias("_cut"), F.col(ready or cutoff).alias("_ready")).where("_d is not null and _cut is not null and _ready is not null")
+    later = W.partitionBy("_d").orderBy(F.col("_cut").desc()).rangeBetween(W.unboundedPreceding, 0)
+    marks = marks.withColumn("_ready", F.min("_ready").over(later)).distinct().withColumn("_b", block(F.col("_cut")))
+    first, last, n = marks.agg(F.min("_b"), F.max("_b"), F.count_distinct("_d")).first()
+    out = T.StructType([*rows.schema.fields, T.StructField("shown_at", marks.schema["_ready"].dataType)])
+    if first is None:
+        return rows.sparkSession.createDataFrame([], out)
+    own = marks.groupBy("_d", "_b").agg(F.array_sort(F.collect_list(F.struct("_cut", "_ready"))).alias("_marks"))  # refreshes of one block
+    every = marks.select("_d").distinct().select("_d", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_b")).join(own, ["_d", "_b"], "left")
+    after = F.first(F.col("_marks")[0], ignorenulls=True).over(W.partitionBy("_d").orderBy("_b").rowsBetween(1, W.unboundedFollowing))
+    slots = every.select("_d", "_b", F.array_compact(F.concat(F.coalesce("_marks", F.array().cast(own.schema["_marks"].dataType)), F.array(after))).alias("_marks"))
+    if n * (last - first + 1) <= BROADCAST_ROWS:
+        slots = F.broadcast(slots)
+    facts = rows.select(F.struct("*").alias("_row"), F.col(dataset).alias("_d"), F.col(stamp).alias("_t"), F.greatest(block(F.col(stamp)), F.lit(first)).alias("_b"))
+    shown = F.get(F.filter("_marks", lambda m: m["_cut"] >= F.col("_t")), F.lit(0))["_ready"]
+    return facts.where("_t is not null").join(slots, ["_d", "_b"]).select("_row.*", shown.alias("shown_at")).where("shown_at is not null")

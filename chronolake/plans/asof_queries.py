@@ -12,12 +12,12 @@ from .registry import Tables, query
 #: dataset, start minute, minutes, weekdays of the refresh nodes that the queries use.
 NODES = [("click", 540, 30, [0, 1, 2, 3, 4]), ("click", 1260, 45, [0, 1, 2, 3, 4, 5, 6]), ("view", 480, 60, [0, 2, 4]), ("purchase", 1320, 90, [0, 1, 2, 3, 4]), ("signup", 60, 10, [6])]
 _WHEN = "2024-01-20 10:00:00"
-_NODES_SQL = ", ".join(f"('{d}', {s}, {m}, [{', '.join(map(str, w))}])" for d, s, m, w in NODES)
-_RUNS = f"""runs AS (SELECT dataset, day + to_minutes(s) AS start, day + to_minutes(s + m) AS ready FROM (VALUES {_NODES_SQL}) n(dataset, s, m, w),
+NODES_SQL = ", ".join(f"('{d}', {s}, {m}, [{', '.join(map(str, w))}])" for d, s, m, w in NODES)
+_RUNS = f"""runs AS (SELECT dataset, day + to_minutes(s) AS start, day + to_minutes(s + m) AS ready FROM (VALUES {NODES_SQL}) n(dataset, s, m, w),
     (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS day) d WHERE list_contains(w, isodow(day) - 1))"""
 
 
-def _nodes(t: Tables) -> DataFrame:
+def refresh_nodes(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(NODES, "dataset string, start_minute int, minutes int, weekdays array<int>")
 
 
@@ -31,20 +31,20 @@ def _text(c: str):
 
 @query(f"WITH {_RUNS}, c AS (SELECT dataset, max(start) AS cutoff FROM runs WHERE ready <= TIMESTAMP '{_WHEN}' GROUP BY 1) SELECT p.dataset, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff, count(*) AS n FROM {{pit}} p JOIN c USING (dataset) WHERE available_at <= cutoff GROUP BY ALL")
 def refresh_cutoff(t: Tables) -> DataFrame:
-    cut = asof.refresh_cutoff(_nodes(t), _when())
+    cut = asof.refresh_cutoff(refresh_nodes(t), _when())
     return t.pit.join(cut, "dataset").where("available_at <= cutoff").groupBy("dataset", "cutoff").agg(F.count("*").alias("n")).select("dataset", _text("cutoff"), "n")
 
 
 @query(f"WITH {_RUNS}, b AS (SELECT dataset, min(ready) AS boundary FROM runs WHERE ready > TIMESTAMP '{_WHEN}' GROUP BY 1) SELECT p.dataset, strftime(boundary, '%Y-%m-%d %H:%M:%S') AS boundary, count(*) AS waiting FROM {{pit}} p JOIN b USING (dataset) WHERE available_at > TIMESTAMP '{_WHEN}' AND available_at <= boundary GROUP BY ALL")
 def next_refresh_boundary(t: Tables) -> DataFrame:
-    nxt = asof.next_boundary(_nodes(t), _when())
+    nxt = asof.next_boundary(refresh_nodes(t), _when())
     return t.pit.join(nxt, "dataset").where((F.col("available_at") > _when()) & (F.col("available_at") <= F.col("boundary"))).groupBy("dataset", "boundary").agg(F.count("*").alias("waiting")).select("dataset", _text("boundary"), "waiting")
 
 
 @query(f"WITH {_RUNS}, c AS (SELECT dataset, max(start) AS cutoff FROM runs WHERE ready <= TIMESTAMP '{_WHEN}' GROUP BY 1) SELECT event_id FROM {{pit}} p WHERE ts < TIMESTAMP '2024-01-05' UNION ALL SELECT event_id FROM {{pit}} p JOIN c USING (dataset) WHERE ts >= TIMESTAMP '2024-01-05' AND available_at <= cutoff")
 def j5_visibility_join(t: Tables) -> DataFrame:
     start = F.lit("2024-01-05").cast("timestamp_ntz")
-    return asof.visible(t.pit.where(F.col("ts") < start), t.pit.where(F.col("ts") >= start), asof.refresh_cutoff(_nodes(t), _when())).select("event_id")
+    return asof.visible(t.pit.where(F.col("ts") < start), t.pit.where(F.col("ts") >= start), asof.refresh_cutoff(refresh_nodes(t), _when())).select("event_id")
 
 
 @query("""SELECT o_orderkey, strftime(CASE o_orderkey % 3 WHEN 0 THEN date_trunc('month', o_orderdate) WHEN 1 THEN date_trunc('quarter', o_orderdate) ELSE date_trunc('week', o_orderdate) END, '%Y%m%d') AS first,

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import timecols
 from ..operators import asof, audit, perf, snapshot, windows
 from ..sources import lake
 from ..sources.scratch import new_path
+from ..streaming import rolling
+from .asof_queries import NODES_SQL, refresh_nodes
 from .registry import Tables, query
 
 _W = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -75,20 +78,66 @@ def c10_performance_report(t: Tables) -> DataFrame:
     return stats.join(exposed, "account").join(t.tickets.groupBy("account").agg(F.count("*").alias("orders")), "account")
 
 
-@query(f"SELECT event_id, CASE WHEN available_at <= TIMESTAMP '2024-01-10' THEN 0 WHEN available_at <= {_W} THEN 1 ELSE 2 END AS step FROM {{pit}} p WHERE available_at <= TIMESTAMP '2024-01-27'")
-def r2_rolling_as_of(t: Tables) -> DataFrame:
-    """Batch form: each row with the clock step that first shows it."""
-    grid = t.pit.select("dataset").distinct().join(F.broadcast(t.spark.createDataFrame([("2024-01-10",), ("2024-01-20",), ("2024-01-27",)], "c string").select(F.col("c").cast("timestamp_ntz").alias("mark"))))
-    shown = windows.newly_visible(t.pit, grid, "dataset", "available_at", "mark")
-    step = F.when(F.col("shown_at") == _at("2024-01-10"), 0).when(F.col("shown_at") == _at("2024-01-20"), 1).otherwise(2)
-    return shown.select("event_id", step.alias("step"))
+#: Refreshes of the rolled domains: ten weeks of nodes, and the ticks of a clock that stands still on some days and crosses several nodes on others.
+_GRID = f"""grid AS (SELECT dataset, day + to_minutes(s) AS opens, day + to_minutes(s + m) AS ready FROM (VALUES {NODES_SQL}) n(dataset, s, m, w),
+    (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-10', INTERVAL 1 DAY)) AS day) d WHERE list_contains(w, isodow(day) - 1))"""
+_TICKS = "ticks AS (SELECT DISTINCT date_trunc('day', ts) + to_hours(CAST(7 + day(ts) % 16 AS BIGINT)) AS tick FROM events WHERE day(ts) % 3 > 0)"
+_TEXT_AT = "TIMESTAMP '2024-01-01' + to_hours(available_at)"
+_TEXT_SET = "CASE text_id % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' ELSE 'signup' END"
+
+
+def _grid(t: Tables) -> DataFrame:
+    return asof.refresh_grid(refresh_nodes(t), _at("2024-01-01"), 70)
+
+
+def _ticks(t: Tables) -> DataFrame:
+    clock = t.events.where(F.day("ts") % 3 > 0).select((F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(hours=7 + F.day("ts") % 16)).alias("tick"))
+    return clock.distinct()
 
 
-@query("SELECT text_id, length(body) AS size FROM {texts} t WHERE available_at > 300 AND available_at <= 450")
+def _clock(t: Tables, path: str) -> DataFrame:
+    """The ticks as a stream of files, a week each."""
+    ticks = _ticks(t).persist()
+    for week in range(5):
+        ticks.where(F.floor((F.day("tick") - 1) / 7) == week).coalesce(1).write.mode("append").parquet(path)
+    ticks.unpersist()
+    return t.spark.readStream.schema("tick timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _rolled(t: Tables, layouts: dict[str, tuple[str, object]], path: str) -> None:
+    rolling.roll(_clock(t, f"{path}/clock"), layouts, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+
+
+@query(f"""WITH {_GRID}, {_TICKS}, r AS (SELECT event_id, (SELECT min(ready) FROM grid g WHERE g.dataset = p.dataset AND opens >= available_at) AS shown FROM {{pit}} p
+    UNION ALL SELECT -event_id - 1, available_at FROM {{pit}} q WHERE dataset = 'error')
+    SELECT event_id, strftime((SELECT min(tick) FROM ticks WHERE tick >= shown), '%Y-%m-%d %H:%M:%S') AS tick FROM r WHERE shown <= (SELECT max(tick) FROM ticks)""")
+def r2_rolling_as_of(t: Tables) -> DataFrame:
+    """A clock stream over two domains: facts gated by refresh nodes, and errors (numbered from -1 down) by their own stamps."""
+    path = new_path(t.spark, "rolling")
+    gated = windows.newly_visible(t.pit.drop("props"), _grid(t), "dataset", "available_at", "start", "ready")
+    own = t.pit.drop("props").where("dataset = 'error'").withColumn("event_id", -F.col("event_id") - 1).withColumn("shown_at", F.col("available_at").cast("timestamp_ntz"))
+    for name, rows in (("facts", gated), ("errors", own)):
+        rolling.lay_out(rows, f"{path}/{name}")
+    _rolled(t, {"facts": (f"{path}/facts", gated.schema), "errors": (f"{path}/errors", own.schema)}, path)
+    shown = rolling.view(t.spark, f"{path}/out", "facts", gated.schema).unionByName(rolling.view(t.spark, f"{path}/out", "errors", own.schema))
+    return shown.select("event_id", F.date_format("tick", "yyyy-MM-dd HH:mm:ss").alias("tick"))
+
+
+@query(f"""WITH {_GRID}, {_TICKS}, r AS (SELECT text_id, length(body) AS size, (SELECT min(ready) FROM grid g WHERE g.dataset = {_TEXT_SET} AND opens >= {_TEXT_AT}) AS shown FROM {{texts}} x)
+    SELECT text_id, size, strftime((SELECT min(tick) FROM ticks WHERE tick >= shown), '%Y-%m-%d %H:%M:%S') AS tick FROM r WHERE shown <= (SELECT max(tick) FROM ticks)""")
 def r3_rolling_text(t: Tables) -> DataFrame:
-    """Index rows that a clock step shows, and their bodies only."""
-    index = t.texts.drop("body").where("available_at > 300 and available_at <= 450")
-    return t.texts.select("text_id", "body").join(index.select("text_id"), "text_id", "left_semi").select("text_id", F.char_length("body").cast("long").alias("size"))
+    """Index rows as the clock shows them, and each body with its index row, not earlier."""
+    path = new_path(t.spark, "rolling")
+    kind = F.when(F.col("text_id") % 4 == 0, "click").when(F.col("text_id") % 4 == 1, "view").when(F.col("text_id") % 4 == 2, "purchase").otherwise("signup")
+    texts = t.texts.withColumn("dataset", kind).withColumn("available_at", _at("2024-01-01") + F.make_dt_interval(hours=F.col("available_at").cast("int")))
+    index = windows.newly_visible(texts.drop("body"), _grid(t), "dataset", "available_at", "start", "ready")
+    bodies = texts.select("dataset", "text_id", "body")
+    at = rolling.lay_out_texts(index, bodies, path)
+    body_schema = StructType([*bodies.schema.fields, index.schema["shown_at"]])
+    _rolled(t, {"text_index": (at["text_index"], index.schema), "text_bodies": (at["text_bodies"], body_schema)}, path)
+    seen = rolling.view(t.spark, f"{path}/out", "text_index", index.schema).select("dataset", "text_id", "tick")
+    shown = rolling.view(t.spark, f"{path}/out", "text_bodies", body_schema).select("dataset", "text_id", F.char_length("body").cast("long").alias("size"), "tick")
+    return seen.join(shown, ["dataset", "text_id", "tick"]).select("text_id", "size", F.date_format("tick", "yyyy-MM-dd HH:mm:ss").alias("tick"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1, 2, 5) THEN CASE o_orderkey % 2 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d 19:00:00') ELSE strftime(o_orderdate, '%Y-%m-%d 23:59:59') END WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m-%d 23:59:59') END AS available_at,

@@ -160,13 +160,13 @@ def j20_affected_codes(t: Tables) -> DataFrame:
 def j21_first_touch_fill(t: Tables) -> DataFrame:
     orders = t.orders.select(F.col("o_orderkey").alias("order_id"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 25 + 1).cast("string")).alias("code"), F.when(F.col("o_orderkey") % 2 == 0, "entry").otherwise("exit").alias("action"),
         (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long").alias("active_ts"), (F.col("o_totalprice") / 200).alias("limit"))
-    return joins.first_touch(orders, t.bars.withColumnRenamed("month", "bar_ts"), ["code"])
+    return joins.first_touch(orders, t.bars.withColumnRenamed("month", "bar_ts"), ["code"], block=lambda month: F.floor(month / 100))
 
 
 @query("SELECT p.event_id, arg_max(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS o_orderkey FROM events p JOIN orders o ON o.o_custkey = p.user_id AND o.o_orderdate <= p.ts GROUP BY p.event_id")
 def as_of_join(t: Tables) -> DataFrame:
     right = t.orders.groupBy(F.col("o_custkey").alias("user_id"), "o_orderdate").agg(F.max("o_orderkey").alias("o_orderkey"))
-    return joins.as_of(t.events, right, "user_id", "ts", "o_orderdate", ["o_orderkey"]).where("o_orderkey is not null").select("event_id", "o_orderkey")
+    return joins.as_of(t.events, right, "user_id", "ts", "o_orderdate", ["o_orderkey"], block=lambda t: F.year(t) * 12 + F.month(t)).where("o_orderkey is not null").select("event_id", "o_orderkey")
 
 
 @query("SELECT text_id, CASE WHEN trim(title) <> '' THEN title ELSE body END AS title, substr(CASE WHEN trim(title) <> '' THEN title || chr(10) ELSE '' END || CASE WHEN trim(body) <> '' THEN body || chr(10) ELSE '' END || lang, 1, 2000) AS body FROM {texts} t")

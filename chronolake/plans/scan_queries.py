@@ -246,7 +246,7 @@ def w11_chain_series(t: Tables) -> DataFrame:
 def w12_newly_visible(t: Tables) -> DataFrame:
     days = t.spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-25 00:00:00', INTERVAL 1 DAY)) AS day")
     clocks = days.select(F.explode(F.array(F.col("day") + F.expr("INTERVAL 9 HOURS"), F.col("day") + F.expr("INTERVAL 21 HOURS"))).alias("at"))
-    grid = t.pit.select("dataset").distinct().join(F.broadcast(clocks))
+    grid = t.pit.select("dataset").distinct().join(F.broadcast(clocks))  # 42 marks a dataset
     return windows.newly_visible(t.pit, grid, "dataset", "available_at", "at").select("event_id", F.date_format("shown_at", "yyyy-MM-dd HH:mm:ss").alias("shown_at"))
 
 

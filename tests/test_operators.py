@@ -170,26 +170,6 @@ def test_ingest_twice_gives_the_same_store(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "store")).count() == 2
 
 
-def test_rolling_view_equals_the_eager_one(spark, tmp_path):
-    replay = spark.createDataFrame([("a", k) for k in range(20)], "dataset string, available_at int")
-    ticks = spark.createDataFrame([(4,), (4,), (11,), (15,)], "when int").coalesce(1)
-    for k, v in enumerate((4, 11, 15)):
-        ticks.where(F.col("when") == v).coalesce(1).write.parquet(str(tmp_path / f"clock/{k}"))
-    files = str(tmp_path / "clock/*")
-    state = {"before": None}
-
-    def cutoffs(batch):
-        top = batch.agg(F.max("when")).first()[0]
-        out = spark.createDataFrame([("a", state["before"], top)], "dataset string, before int, cutoff int")
-        state["before"] = top
-        return out
-
-    clock = spark.readStream.schema("when int").option("maxFilesPerTrigger", 1).parquet(files)
-    jobs.roll_as_of(clock, replay, cutoffs, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = sorted(r.available_at for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == list(range(state["before"] + 1)) and state["before"] == 15
-
-
 def test_transitions_stream_equals_batch(spark, tmp_path):
     data = [("k", 1, False), ("k", 2, True), ("k", 3, True), ("k", 4, False), ("j", 1, True)]
     spark.createDataFrame(data, "k string, t int, bad boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
