@@ -100,13 +100,13 @@ def active_return(records: DataFrame, epoch: str, y: str, x: str) -> DataFrame:
     return records.groupBy(epoch).agg((up(y) / up(x) - 1).alias("active"))
 
 
-def fold_report(records: DataFrame, epoch: str, y: str) -> DataFrame:
-    """Per epoch: mean, exact median, deviation, worst, positive share and t of the returns."""
+def fold_report(records: DataFrame, epoch: str, y: str, x: str) -> DataFrame:
+    """Per epoch: mean, exact median, deviation, worst, positive share, t of the returns, and the compounded active return of complete pairs."""
     n, sd = F.count(y), F.stddev_samp(y)
     sums = records.groupBy(epoch).agg(
         n.alias("folds"), F.avg(y).alias("mean"), sd.alias("std"), F.min(y).alias("worst"), F.try_divide(F.count_if(F.col(y) > 0), n).alias("positive"), F.when((n >= 2) & (sd > 0), F.avg(y) / (sd / F.sqrt(n))).alias("t"),
     )
-    return sums.join(percentiles(records, [epoch], y, {"median": 0.5}).drop("n"), epoch, "left")
+    return sums.join(percentiles(records, [epoch], y, {"median": 0.5}).drop("n"), epoch, "left").join(active_return(records, epoch, y, x), epoch, "left")
 
 
 def corporate_actions(events: DataFrame, first: str, last: str) -> DataFrame:

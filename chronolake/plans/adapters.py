@@ -114,6 +114,6 @@ def by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _lakes:
         path = new_path(spark, "ticks")
-        ticks.repartition(MONTH).sortWithinPartitions("trade_date").write.partitionBy(MONTH).parquet(path)
+        ticks.hint("rebalance", MONTH).sortWithinPartitions(MONTH, "trade_date").write.partitionBy(MONTH).parquet(path)
         _lakes[key] = path
     return spark.read.schema(ticks.schema).parquet(_lakes[key])

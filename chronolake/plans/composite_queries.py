@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import timecols
 from ..operators import asof, audit, perf, snapshot, windows
-from ..sources import lake
+from ..sources import lake, publish
 from ..sources.scratch import new_path
 from ..streaming import rolling
 from .asof_queries import NODES_SQL, refresh_nodes
@@ -43,12 +43,13 @@ def c2_replay_slot(t: Tables) -> DataFrame:
     return _counts(snapshot.replay_slot(_domains(t), _at("2024-01-20"), _at("2024-01-27")))
 
 
-@query(f"SELECT {_DOMAIN} AS domain, count(*) AS rows FROM {{pit}} p WHERE available_at > {_W} AND available_at <= TIMESTAMP '2024-01-27' GROUP BY 1")
+@query(f"SELECT {_DOMAIN} AS domain, count(*) AS rows, 'ok' AS state FROM {{pit}} p WHERE available_at > {_W} AND available_at <= TIMESTAMP '2024-01-27' GROUP BY 1")
 def snapshot_write(t: Tables) -> DataFrame:
-    """Written and read back by its manifest."""
-    path = new_path(t.spark, "snapshot")
-    snapshot.write(snapshot.replay_slot(_domains(t), _at("2024-01-20"), _at("2024-01-27")), path)
-    return t.spark.read.schema("domain string, rows long").json(f"{path}/manifest").select("domain", "rows")
+    """Published, and every domain compared with its manifest."""
+    root = new_path(t.spark, "snapshot")
+    slot = snapshot.replay_slot(_domains(t), _at("2024-01-20"), _at("2024-01-27"))
+    publish.publish(t.spark, root, {name: (df, []) for name, df in slot.items()}, "2024-01-20")
+    return lake.union_by_name(*(publish.verify(t.spark, root, name).select(F.lit(name).alias("domain"), "rows", "state") for name in slot))
 
 
 @query("""SELECT text_id, dataset, sha1(body) AS source_hash FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY available_at, dataset, text_id) AS r FROM {texts} t WHERE available_at <= 700 AND available_at >= CASE dataset WHEN 'src1' THEN 600 WHEN 'src2' THEN 400 ELSE 100 END) x WHERE r = 1""")
@@ -152,17 +153,26 @@ def event_available_at(t: Tables) -> DataFrame:
     return d.select("o_orderkey", F.when(day.isNotNull(), own).otherwise(late).alias("available_at"), F.when(day.isNotNull(), "official").when(second.isNotNull(), "fallback_date_end").otherwise("static_reference_no_pit_time").alias("rule"))
 
 
-@query("SELECT c_mktsegment AS loop, count(*) AS rows FROM customer GROUP BY 1")
+@query("""SELECT c_mktsegment AS loop, count(*) AS rows, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'second' ELSE 'first' END AS available_at FROM customer GROUP BY 1""")
 def registry_refresh(t: Tables) -> DataFrame:
-    """A registry pulled anew, one partition per loop value, repeats removed."""
-    return t.customer.dropDuplicates().groupBy(F.col("c_mktsegment").alias("loop")).agg(F.count("*").alias("rows"))
+    """A registry pulled twice as a whole, a part per loop value: rows that the pages repeat count once, and only the two loops that changed get a new stamp."""
+    root = new_path(t.spark, "registry")
+    old = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
+    first = t.customer.withColumn("c_acctbal", F.when(old, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    for rows, at in ((first, "first"), (t.customer.unionByName(t.customer), "second")):
+        publish.publish(t.spark, root, {"customers": (rows.dropDuplicates(), ["c_mktsegment"])}, at)
+    return publish.manifest(t.spark, root).select(F.substring_index("part", "=", -1).alias("loop"), "rows", "available_at")
 
 
-@query("SELECT month, code, 'present' AS state FROM {bars} b WHERE n % 11 <> 0 UNION ALL SELECT month, code, 'missing' FROM {bars} b WHERE n % 11 = 0")
+@query("SELECT 'bars' AS table, code AS part, count(*) AS rows, 'ok' AS state FROM {bars} b GROUP BY 2 UNION ALL SELECT 'statements', dataset, count(*), 'ok' FROM {statements} s GROUP BY 2".replace("AS table", 'AS "table"'))
 def freeze_release(t: Tables) -> DataFrame:
-    """Required partitions against those present in a release."""
-    required, present = t.bars.select("month", "code"), t.bars.where("n % 11 <> 0").select("month", "code")
-    return lake.union_by_name(present.withColumn("state", F.lit("present")), required.join(present, ["month", "code"], "left_anti").withColumn("state", F.lit("missing")))
+    """A generation pinned as a copy of its own; what is published afterwards does not reach it."""
+    root = new_path(t.spark, "published")
+    publish.publish(t.spark, root, {"bars": (t.bars, ["code"]), "statements": (t.statements, ["dataset"])}, "first")
+    own = publish.freeze(t.spark, root, "one", ["bars", "statements"])
+    publish.publish(t.spark, root, {"bars": (t.bars.where("month < 199601"), ["code"])}, "second")
+    rows = lambda name: publish.verify(t.spark, own, name).select(F.lit(name).alias("table"), F.substring_index("part", "=", -1).alias("part"), "rows", "state")
+    return rows("bars").unionByName(rows("statements"))
 
 
 @query("SELECT text_id, rank FROM (SELECT text_id, available_at, CASE WHEN regexp_matches(title, '(?i)des') THEN 20 ELSE 10 END AS rank FROM {texts} t WHERE available_at <= 900 AND (regexp_matches(title, '(?i)des') OR regexp_matches(body, '(?i)des'))) x ORDER BY rank DESC, available_at DESC, text_id LIMIT 25")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from ..operators.windows import keep_one
 
@@ -88,13 +89,20 @@ def replace_parts(old: DataFrame, new: DataFrame, part: Sequence[str]) -> DataFr
 
 
 def write_parts(df: DataFrame, path: str, part: Sequence[str]) -> None:
-    """Replaces only the partitions that ``df`` has."""
-    df.repartition(*part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
+    """Replaces only the partitions that ``df`` has; a large one is several tasks and files."""
+    df.hint("rebalance", *part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
 
 
-def compact_by_date(ticks: DataFrame, path: str, date: str, keys: Sequence[str]) -> None:
-    """One sorted, deduplicated partition per date."""
-    keep_one(ticks, [date, *keys], [], "last").repartition(date).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(date).parquet(path)
+def compact_by_date(ticks: DataFrame, path: str, date: str, keys: Sequence[str], expected: DataFrame | None = None) -> None:
+    """Partitions per date, each key once, sorted inside files; a large date is several tasks and files.
+
+    ``expected`` has the columns (of ``date`` and ``keys``) of what must be there, such as a date's codes: if any is lacking, nothing is written.
+    """
+    if expected is not None:
+        lacking = expected.distinct().join(ticks.select(*expected.columns).distinct(), expected.columns, "left_anti").limit(5).collect()
+        if lacking:
+            raise ValueError("nothing is written, since these are lacking: " + "; ".join(", ".join(map(str, r)) for r in lacking))
+    keep_one(ticks, [date, *keys], [], "last").hint("rebalance", date).sortWithinPartitions(date, *keys).write.mode("overwrite").partitionBy(date).parquet(path)
 
 
 def fingerprint(df: DataFrame, *by: str) -> DataFrame:
@@ -113,15 +121,28 @@ def manifest(now: DataFrame, before: DataFrame | None, keys: Sequence[str], fetc
     return joined.withColumn("available_at", F.when(F.col("digest") == F.col("_digest"), F.col("_at")).otherwise(fetched_at)).drop("_digest", "_at")
 
 
-def overwrite_decision(old: DataFrame, new: DataFrame, keys: Sequence[str], allow_removal: bool = True, most: int = 20, share: float = 0.2) -> DataFrame:
-    """One row: skip_empty, skip_removed, block or overwrite, with the counts behind it."""
-    a, b = old.select(*keys).distinct(), new.select(*keys).distinct()
-    n_old, n_new = a.agg(F.count("*").alias("old_keys")), new.agg(F.count("*").alias("new_rows"))
-    removed = a.join(b, list(keys), "left_anti").agg(F.count("*").alias("removed"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    row = one(n_old).join(one(n_new), "_one").join(one(removed), "_one").drop("_one")
+def overwrite_decisions(old: DataFrame, new: DataFrame, part: str, keys: Sequence[str], allow_removal: bool = True, most: int = 20, share: float = 0.2) -> DataFrame:
+    """(part, old_keys, new_rows, removed, action) of every part of either side: skip_empty, skip_removed, block or overwrite.
+
+    Nothing replaces something: skipped. Keys that vanish where that is not allowed: skipped. More than ``most`` keys and more than ``share`` of the old
+    distinct keys vanish: blocked.
+    """
+    a = old.groupBy(part, *keys).agg(F.lit(True).alias("_old"))
+    b = new.groupBy(part, *keys).agg(F.count("*").alias("_n"))
+    count = a.join(b, [part, *keys], "full_outer").groupBy(part).agg(F.count("_old").alias("old_keys"), F.coalesce(F.sum("_n"), F.lit(0)).alias("new_rows"), F.count_if(F.col("_n").isNull()).alias("removed"))
+    return count.withColumn("action", _action(allow_removal, most, share))
+
+
+def _action(allow_removal: bool, most: int, share: float) -> Column:
     action = F.when((F.col("new_rows") == 0) & (F.col("old_keys") > 0), "skip_empty").when(F.lit(not allow_removal) & (F.col("removed") > 0), "skip_removed")
-    return row.withColumn("action", action.when((F.col("removed") > most) & (F.col("removed") > share * F.col("old_keys")), "block").otherwise("overwrite"))
+    return action.when((F.col("removed") > most) & (F.col("removed") > share * F.col("old_keys")), "block").otherwise("overwrite")
+
+
+def overwrite_decision(old: DataFrame, new: DataFrame, keys: Sequence[str], allow_removal: bool = True, most: int = 20, share: float = 0.2) -> DataFrame:
+    """The decision about a table that is one part."""
+    one = overwrite_decisions(old.withColumn("_all", F.lit(0)), new.withColumn("_all", F.lit(0)), "_all", keys, allow_removal, most, share)
+    count = one.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("old_keys", "new_rows", "removed")))
+    return count.withColumn("action", _action(allow_removal, most, share))
 
 
 def append_once(ledger: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -129,6 +150,26 @@ def append_once(ledger: DataFrame, records: DataFrame, keys: Sequence[str]) -> D
     return ledger.unionByName(fresh, allowMissingColumns=True)
 
 
+def append_records(spark: SparkSession, path: str, records: DataFrame, keys: Sequence[str]) -> int:
+    """Appends to a ledger of JSON lines the records whose key is not in it, each key once; returns how many.
+
+    Appending the same records again adds none. One writer at a time.
+    """
+    try:
+        known = spark.read.schema(records.schema).json(path).select(*keys).distinct()
+    except AnalysisException as gone:
+        if "PATH_NOT_FOUND" not in str(gone):
+            raise
+        known = spark.createDataFrame([], records.select(*keys).schema)
+    fresh = keep_one(records, keys, [], "first").join(known, list(keys), "left_anti").select(*records.columns).persist()
+    try:
+        if n := fresh.count():
+            fresh.write.mode("append").json(path)
+    finally:
+        fresh.unpersist()
+    return n
+
+
 def union_with_baseline(active: DataFrame, baseline: DataFrame, group: Sequence[str], identity: Sequence[str], capped: str) -> DataFrame:
     """Refreshed groups replace the baseline's, unless every refreshed row of the group came from a capped pull."""
     safe = active.groupBy(*group).agg(F.min(F.col(capped).cast("int")).alias("_all")).where("_all = 0").select(*group)

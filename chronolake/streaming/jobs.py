@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +41,20 @@ def ingest_minutes(feed: DataFrame, store: str, keys: Sequence[str], part: str,
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def roll_as_of(clock: DataFrame, replay: DataFrame, cutoffs: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows that become visible between one clock tick and the next, each row once; for a replay that is not laid out (``rolling.roll``).
+
+    ``cutoffs`` gives (dataset, before, cutoff) for a batch of ticks. Parts are named by batch, so a replay overwrites itself.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        bounds = cutoffs(batch)
+        fresh = replay.join(bounds, "dataset").where((F.col("available_at") <= F.col("cutoff")) & (F.col("before").isNull() | (F.col("available_at") > F.col("before"))))
+        fresh.drop("before", "cutoff").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return clock.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def trace_counters(log: DataFrame) -> DataFrame:
     """Counts and token sums by event type of a JSON log; lines that do not parse (a partial tail) are left out."""
     parsed = log.select(F.from_json("value", "event_type string, k long").alias("e")).where("e.event_type is not null")
