@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import text
@@ -27,15 +29,51 @@ def r1_minute_ingest(t: Tables) -> DataFrame:
     return t.spark.read.schema(rows.schema).parquet(f"{at}/store").groupBy("trade_date").agg(F.count("*").alias("bars"))
 
 
+def _fed(t: Tables, rows: DataFrame, path: str, files: Sequence[Column], kind: str = "parquet") -> DataFrame:
+    """``rows`` as a stream of files, one a micro-batch in the order of ``files`` (which rows each holds)."""
+    kept = rows.persist()
+    for which in files:
+        kept.where(which).coalesce(1).write.mode("append").format(kind).save(path)
+    kept.unpersist()
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).format(kind).load(path)
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1")
 def r4_trace_counters(t: Tables) -> DataFrame:
-    lines = t.events.select(F.to_json(F.struct("event_type", F.from_json("props", "k long")["k"].alias("k"))).alias("value"))
-    return jobs.trace_counters(lines.unionByName(t.spark.range(1).select(F.lit('{"event_type": "cli').alias("value"))))
+    """Counters of a log that grows by three files, with a partial last line."""
+    at = _folder(t)
+    lines = t.events.select(F.to_json(F.struct("event_type", F.from_json("props", "k long")["k"].alias("k"))).alias("value"), (F.col("event_id") % 3).alias("part"))
+    lines = lines.unionByName(t.spark.range(1).select(F.lit('{"event_type": "cli').alias("value"), F.lit(2).cast("long").alias("part")))
+    feed = _fed(t, lines, f"{at}/in", [F.col("part") == k for k in range(3)])
+    jobs.keep_counting(feed, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return jobs.counted(t.spark, f"{at}/out")
+
+
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS seen FROM events), e AS (SELECT user_id, ts, event_type AS kind, count(*) FILTER (event_type NOT IN ('signup', 'purchase')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS others,
+    ts AS came FROM events), s AS (SELECT user_id, ts, kind, others, lead(ts) OVER k AS next_ts, lead(kind) OVER k AS next_kind, lead(others) OVER k AS next_others FROM (SELECT * FROM e WHERE kind IN ('signup', 'purchase')) x WINDOW k AS (PARTITION BY user_id ORDER BY ts)),
+    r AS (SELECT *, CASE WHEN next_ts IS NULL AND ts + INTERVAL 12 HOUR < date_trunc('millisecond', seen) OR next_ts > ts + INTERVAL 12 HOUR THEN 'lost' WHEN next_kind = 'purchase' THEN 'done' END AS state FROM s, w WHERE kind = 'signup')
+    SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS started_at, CASE WHEN state = 'done' THEN strftime(next_ts, '%Y-%m-%d %H:%M:%S') END AS ended_at, CASE WHEN state = 'done' THEN next_others - others ELSE (SELECT count(*) FROM e WHERE e.user_id = r.user_id AND kind NOT IN ('signup', 'purchase') AND came > r.ts AND came <= r.ts + INTERVAL 12 HOUR) END AS steps, state FROM r WHERE state IS NOT NULL""")
+def r4_runs_in_flight(t: Tables) -> DataFrame:
+    """Runs from signup to purchase over a month of days; twelve hours without an end lose a run."""
+    at = _folder(t)
+    events = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    feed = _fed(t, events, f"{at}/in", [F.floor((F.day("ts") - 1) / 4) == k for k in range(8)])
+    runs = jobs.runs_in_flight(feed, "user_id", "ts", "event_id", "event_type", "signup", "purchase", "12 hours", "1 hour")
+    runs.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return t.spark.read.schema(f"user_id {dict(events.dtypes)['user_id']}, {jobs.RUNS}").parquet(f"{at}/out").select("user_id", when("started_at"), when("ended_at"), "steps", "state")
 
 
-@query("SELECT account, code, min(order_id) AS order_id FROM {tickets} k WHERE status = 'filled' GROUP BY 1, 2")
+@query("SELECT DISTINCT account, order_id, line, strftime(placed_at, '%Y%m%d') AS day FROM {tickets} k WHERE status = 'filled'")
 def r5_fill_dedup(t: Tables) -> DataFrame:
-    return t.tickets.where("status = 'filled'").groupBy("account", "code").agg(F.min("order_id").alias("order_id"))
+    """Fills of each year as a file, twice in it and once more in a file after it: each is announced once."""
+    at = _folder(t)
+    fills = t.tickets.where("status = 'filled'").select("account", "order_id", "line", F.col("placed_at").cast("timestamp").alias("placed_at"), F.date_format("placed_at", "yyyyMMdd").alias("day"))
+    first, last = fills.agg(F.min(F.year("placed_at")), F.max(F.year("placed_at"))).first()
+    years = [F.year("placed_at") == y for y in range(first or 0, (last or 0) + 1) for _ in range(2)]
+    feed = _fed(t, fills.unionByName(fills), f"{at}/in", years)
+    jobs.announce_fills(feed, ["account", "order_id", "line", "day"], "placed_at", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return t.spark.read.schema(fills.schema).parquet(f"{at}/out").select("account", "order_id", "line", "day")
 
 
 @query("""SELECT user_id, event_id, CASE WHEN bad THEN 'alert' ELSE 'recovered' END AS event FROM (SELECT user_id, event_id, event_type = 'error' AS bad, coalesce(lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id), false) AS b FROM events) x WHERE bad <> b""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -61,11 +61,80 @@ def trace_counters(log: DataFrame) -> DataFrame:
     return parsed.groupBy("e.event_type").agg(F.count("*").alias("n"), F.sum("e.k").alias("tokens"))
 
 
+def keep_counting(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Counters of a growing log: every micro-batch leaves the totals so far in ``out/batch=n``; a batch that is run again leaves the same."""
+
+    def totals(counts: DataFrame, number: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return trace_counters(log).writeStream.outputMode("complete").foreachBatch(totals).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted(spark: SparkSession, out: str) -> DataFrame:
+    """The totals of the last micro-batch."""
+    every = spark.read.schema("event_type string, n long, tokens long, batch long").parquet(out)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == F.lit(last)).drop("batch")
+
+
+RUNS = "started_at timestamp, ended_at timestamp, steps long, state string"
+
+
+def runs_in_flight(events: DataFrame, key: str, stamp: str, order: str, kind: str, start: str, end: str, horizon: str, late: str) -> DataFrame:
+    """Runs of each key as a stream: ``done`` at their end event, ``lost`` once ``horizon`` passes without one; those in flight are state.
+
+    A new start takes the place of one in flight. ``steps`` are the other events in between. ``stamp`` is the event time; events later than ``late`` after
+    what was seen are dropped. State is one run a key, and goes with its timeout, so it does not grow with the log.
+    """
+    kinds, most = dict(events.dtypes), pd.Timedelta(horizon).value // 1000
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, (started, steps) = [], (state.get if state.exists else (None, 0))
+        if state.hasTimedOut:
+            out.append((k[0], started, -1, steps, "lost"))
+            started = None
+        else:
+            rows = pd.concat(list(frames)).sort_values([stamp, order])
+            for when, what in zip(rows[stamp], rows[kind], strict=True):
+                at = when.value // 1000
+                if started is not None and at > started + most:
+                    out.append((k[0], started, -1, steps, "lost"))
+                    started = None
+                if what == start:
+                    started, steps = at, 0
+                elif what == end and started is not None:
+                    out.append((k[0], started, at, steps, "done"))
+                    started = None
+                elif started is not None:
+                    steps += 1
+        due = None if started is None else (started + most) // 1000
+        if due is not None and due < state.getCurrentWatermarkMs():
+            out.append((k[0], started, -1, steps, "lost"))
+            due = None
+        if due is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((started, steps))
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[key, "started", "ended", "steps", "state"])
+
+    grouped = events.withWatermark(stamp, late).groupBy(key)
+    runs = grouped.applyInPandasWithState(step, f"{key} {kinds[key]}, started long, ended long, steps long, state string", "started long, steps long", "append", GroupStateTimeout.EventTimeTimeout)
+    return runs.select(key, F.timestamp_micros("started").alias("started_at"), F.when(F.col("ended") >= 0, F.timestamp_micros("ended")).alias("ended_at"), "steps", "state")
+
+
 def fill_dedup(deals: DataFrame, keys: Sequence[str], stamp: str, horizon: str = "2 days") -> DataFrame:
     """Each fill once within the horizon."""
     return deals.withWatermark(stamp, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
+def announce_fills(deals: DataFrame, keys: Sequence[str], stamp: str, out: str, checkpoint: str, horizon: str = "2 days") -> StreamingQuery:
+    """Appends each new fill once to ``out``, however often feeds repeat it; state holds the fills of the horizon only."""
+    return fill_dedup(deals, keys, stamp, horizon).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def transitions(health: DataFrame, key: str, order: str, bad: str) -> DataFrame:
     """Batch form: rows at which the flag turns, as ``alert`` or ``recovered``; the state before the first row is good."""
     before = F.coalesce(F.lag(bad).over(W.partitionBy(key).orderBy(order)), F.lit(False))
