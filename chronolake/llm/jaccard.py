@@ -290,19 +290,19 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
         forget(stars)
         release(keyed.sparkSession)
     open_ = open_.withColumn("often", F.col("df") > RARE_DOCUMENTS)
-    # Two shared tokens are both rare, or a pair of which one is frequent at least. Of the tokens that a pair of
-    # documents must share, the rare ones are counted and the frequent ones bounded.
+    # Two shared tokens are both rare, or a pair of which one is frequent at least: r rare tokens and p such pairs are
+    # s shared tokens with s (s - 1) = r (r - 1) + 2 p, so the tokens that two documents must share are counted exactly.
     must = COMBINED + F.floor(F.col("n") / MORE_EACH)
     held = W.partitionBy("k")
     open_ = open_.select("*", F.sum(F.col("often").cast("int")).over(held).alias("of"), F.count("*").over(held).alias("_held")).where(F.col("_held") >= must).drop("_held")
-    counted = lambda met: met.groupBy("a", "b", "must", "of").agg(F.count("*").alias("t"))
-    rare = counted(_met(open_.where("not often"), ["token"], num, den)).where((F.col("t") >= COMBINED) & (F.col("t") + F.col("of") >= F.col("must")))
+    rare = _met(open_.where("not often"), ["token"], num, den)
     own_tokens = open_.where("of > 0").groupBy("k", "n", "c", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "often"))).alias("ts"))
     firsts = own_tokens.select("k", "n", "c", "of", "ts", F.posexplode("ts").alias("i", "one"))
     later = F.filter(F.slice("ts", F.col("i") + 2, F.size("ts")), lambda t: t["often"] | F.col("one.often"))
     paired = firsts.select("k", "n", "c", "of", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "of", "pos", "token", F.col("two.token").alias("token2"))
-    mixed_pairs = counted(_met(paired, ["token", "token2"], num, den)).where(F.col("t") + 1 >= F.col("must"))
-    pairs = written(rare.select("a", "b").unionByName(mixed_pairs.select("a", "b")).distinct(), "pairs")
+    marked = lambda met, r, p: met.select("a", "b", "must", F.lit(r).alias("r"), F.lit(p).alias("p"))
+    met = marked(rare, 1, 0).unionByName(marked(_met(paired, ["token", "token2"], num, den), 0, 1)).groupBy("a", "b", "must").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
+    pairs = written(met.where(F.col("r") * (F.col("r") - 1) + 2 * F.col("p") >= F.col("must") * (F.col("must") - 1)).select("a", "b"), "pairs")
     # Pairs carry a set; where there are many for each set, they go in turns, so that the shuffle files of one make room for the next.
     n_pairs, n_nodes = pairs.count(), nodes.count()
     turns = max(1, -(-n_pairs // (PAIRS_EACH * max(n_nodes, 1))))

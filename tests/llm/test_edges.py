@@ -280,3 +280,22 @@ def test_stage_columns(spark):
     docs = frame(spark, corpus(12, 12))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+@pytest.mark.parametrize("n", [100, 300, 600])
+def test_candidates_of_texts_that_are_not_similar_enough(spark, monkeypatch, n):
+    """Texts of one template, half of it shared, at a similarity far below the threshold: hardly any pair is verified, however many hold a token."""
+    rnd = random.Random(n)
+    template = [f"w{k}" for k in range(400)]
+
+    def varied():
+        words = list(template)
+        for _ in range(25):
+            words[rnd.randrange(400)] = f"x{rnd.randrange(10**9)}"
+        return " ".join(words)
+
+    seen, whole = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets, num, den: seen.append(pairs.count()) or whole(pairs, sets, num, den))
+    out = jaccard.join(frame(spark, [(k, varied()) for k in range(n)]), 3, 9, 10).collect()
+    assert len(out) == n == len({r.component_id for r in out})
+    assert sum(seen) <= 3 * n, seen
