@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranks import percentiles
-from .windows import returns
+from .windows import keep_one, returns
 
 YEAR = 244  # trading days (fixed value)
 
@@ -48,6 +50,47 @@ def regression(pairs: DataFrame, key: str, y: str, x: str, year: int = YEAR, lea
     return pairs.groupBy(key).agg(n.alias("n"), F.round(beta, 3).alias("beta"), F.round(alpha, 4).alias("alpha"), F.round(r2, 3).alias("r2"), F.round(F.product(1 + F.col(x)) - 1, 6).alias("benchmark"))
 
 
+def moments(pairs: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
+    """(by, n, mean_y, mean_x, yy, xx, yx): what a regression needs of the complete pairs of each group; ``merged`` adds such states without their rows.
+
+    Sums of squares and products are taken around the group's own means, so that merging loses no digits to large means.
+    """
+    both = pairs.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    n = F.count("*")
+    return both.groupBy(*by).agg(n.alias("n"), F.avg(y).alias("mean_y"), F.avg(x).alias("mean_x"), (F.var_pop(y) * n).alias("yy"), (F.var_pop(x) * n).alias("xx"), (F.covar_pop(y, x) * n).alias("yx"))
+
+
+def merged(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The state of all rows behind ``states`` of disjoint rows, per group; merging in any order or in steps gives the same up to rounding."""
+    weighted = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}")
+    means = states.groupBy(*by).agg(F.sum("n").alias("_n"), weighted("mean_y"), weighted("mean_x"))
+    dy, dx = F.col("mean_y") - F.col("_mean_y"), F.col("mean_x") - F.col("_mean_x")
+    return states.join(means, list(by)).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.first("_mean_y").alias("mean_y"), F.first("_mean_x").alias("mean_x"),
+        F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"), F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"), F.sum(F.col("yx") + F.col("n") * dy * dx).alias("yx"),
+    )
+
+
+def regression_of(states: DataFrame, year: int = YEAR, least: int = 8) -> DataFrame:
+    """The regression of ``regression`` from merged states: n, β, yearly α and R², null under ``least`` pairs."""
+    enough = (F.col("n") >= least) & (F.col("xx") > 0)
+    beta = F.when(enough, F.col("yx") / F.col("xx"))
+    r2 = F.when(enough & (F.col("yy") > 0), F.col("yx") * F.col("yx") / (F.col("xx") * F.col("yy")))
+    return states.withColumns({"beta": F.round(beta, 3), "alpha": F.round((F.col("mean_y") - beta * F.col("mean_x")) * year, 4), "r2": F.round(r2, 3)}).drop("mean_y", "mean_x", "yy", "xx", "yx")
+
+
+def chained_moments(windows: DataFrame, run: str, window: str, date: str, y: str, benchmark: DataFrame, x: str) -> DataFrame:
+    """States of a run's windows: each date belongs to the first window, in order of ``window``, that has a value then; ``benchmark`` has a row a date."""
+    first = keep_one(windows.where(F.col(y).isNotNull()).select(run, window, date, y), [run, date], [window], "first")
+    return moments(first.join(benchmark.select(date, x), date), [run, window], y, x)
+
+
+def weighted_by_days(stats: DataFrame, by: str, days: str, columns: Sequence[str]) -> DataFrame:
+    """(by, days, columns): averages of windows merged by their days; windows without days or value do not count."""
+    counted = lambda c: F.when(F.col(c).isNotNull(), F.col(days))
+    return stats.where(F.col(days) > 0).groupBy(by).agg(F.sum(days).alias(days), *(F.try_divide(F.sum(F.col(c) * F.col(days)), F.sum(counted(c))).alias(c) for c in columns))
+
+
 def cycle_stats(series: DataFrame, key: str, order: str, y: str, x: str, year: int) -> DataFrame:
     """Statistics of a whole cycle of periodic returns ``y``; what compares with the benchmark ``x`` uses matched periods (two at least).
 

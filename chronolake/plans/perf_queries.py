@@ -68,11 +68,23 @@ def a23_style_exposure(t: Tables) -> DataFrame:
     return _rounded(perf.style_exposure(t.holdings, xs, "month", "code", {"size": "s", "pb": "b"}, "account"), 6, "account")
 
 
-@query("""WITH f AS (SELECT month, account, value FROM (SELECT *, row_number() OVER (PARTITION BY account // 10, month ORDER BY account) AS r FROM {monthly} m) x WHERE r = 1) SELECT account // 10 AS run, count(*) AS days, round(sum(value) / count(*), 4) AS mean FROM f GROUP BY 1""")
+@query("""WITH r AS (SELECT account // 10 AS run, account, month, value, value / lag(value) OVER (PARTITION BY account ORDER BY month) - 1 AS y FROM {monthly} m), i AS (SELECT month, value / lag(value) OVER (ORDER BY month) - 1 AS x FROM {index_monthly} j),
+    f AS (SELECT run, count(*) AS days, round(sum(value) / count(*), 4) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY run, month ORDER BY account) AS k FROM r) q WHERE k = 1 GROUP BY 1),
+    c AS (SELECT run, y, x FROM (SELECT *, row_number() OVER (PARTITION BY run, month ORDER BY account) AS k FROM r WHERE y IS NOT NULL) q JOIN i USING (month) WHERE k = 1 AND x IS NOT NULL),
+    g AS (SELECT run, count(*) AS n, covar_pop(y, x) / var_pop(x) AS b, avg(y) AS my, avg(x) AS mx, covar_pop(y, x) * covar_pop(y, x) / (var_pop(x) * var_pop(y)) AS r2 FROM c GROUP BY 1),
+    h AS (SELECT account // 10 AS run, count(*) AS k, round(sum(names) / count(*), 6) AS names, round(sum(gross) / count(*), 3) AS gross FROM (SELECT account, month, count(*) AS names, sum(market_value) AS gross FROM {holdings} p GROUP BY 1, 2) z GROUP BY 1)
+    SELECT run, f.days, f.mean, g.n, CASE WHEN n >= 8 THEN round(b, 3) END AS beta, CASE WHEN n >= 8 THEN round((my - b * mx) * 12, 4) END AS alpha, CASE WHEN n >= 8 THEN round(r2, 3) END AS r2, h.names, h.gross FROM f JOIN g USING (run) JOIN h USING (run)""")
 def a24_style_rollup(t: Tables) -> DataFrame:
-    runs = t.monthly.withColumn("run", F.floor(F.col("account") / 10))
-    first = windows.keep_one(runs, ["run", "month"], ["account"], "first")
-    return first.groupBy("run").agg(F.count("*").alias("days"), F.round(F.sum("value") / F.count("*"), 4).alias("mean"))
+    """Runs of ten accounts, each a window: the chained mean, a regression merged from the windows' states, and holdings weighted by their months."""
+    run = F.floor(F.col("account") / 10).alias("run")
+    own = windows.returns(t.monthly, "account", "month", "value").select(run, "account", "month", "value", F.col("ret").alias("y"))
+    index = windows.returns(t.index_monthly.withColumn("_all", F.lit(0)), "_all", "month", "value").select("month", F.col("ret").alias("x"))  # a row a month
+    first = windows.keep_one(own, ["run", "month"], ["account"], "first").groupBy("run").agg(F.count("*").alias("days"), F.round(F.sum("value") / F.count("*"), 4).alias("mean"))
+    fitted = perf.regression_of(perf.merged(perf.chained_moments(own, "run", "account", "month", "y", index, "x"), ["run"]), 12)
+    held = t.holdings.groupBy("account", "month").agg(F.count("*").alias("names"), F.sum("market_value").alias("gross"))
+    stats = held.groupBy("account").agg(F.count("*").alias("months"), F.avg("names").alias("names"), F.avg("gross").alias("gross")).select(run, "months", "names", "gross")
+    style = perf.weighted_by_days(stats, "run", "months", ["names", "gross"]).select("run", F.round("names", 6).alias("names"), F.round("gross", 3).alias("gross"))
+    return first.join(fitted, "run").join(style, "run")
 
 
 @query("""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY epoch, fold ORDER BY position DESC) AS r FROM {ledger} l) x WHERE r = 1) SELECT epoch, count(test_return) AS folds, round(avg(test_return), 6) AS mean, round(median(test_return), 6) AS median, round(stddev_samp(test_return), 6) AS std, round(min(test_return), 6) AS worst,
