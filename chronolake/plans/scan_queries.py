@@ -75,7 +75,11 @@ def scan_minute_day(t: Tables) -> DataFrame:
 
 @query("SELECT count(*) AS rows, min(ann_date) AS min_ann_date, max(ann_date) AS max_ann_date, min(period) AS min_period, max(period) AS max_period, count(*) FILTER (code IS NULL) AS null_code FROM {statements} s")
 def scan_footer_profile(t: Tables) -> DataFrame:
-    return lake.footer_profile(t.statements, ["ann_date", "period"], ["code"])
+    """Statements as a table, then its counts and extremes from the footers."""
+    path = new_path(t.spark, "statements")
+    t.statements.withColumn("ann_date", F.to_date("ann_date", "yyyyMMdd")).write.parquet(path)
+    found = lake.metadata_profile(t.spark, path, ["ann_date", "period"], ["code"])
+    return found.withColumns({c: F.date_format(c, "yyyyMMdd") for c in ("min_ann_date", "max_ann_date")})
 
 
 @query("SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")

@@ -148,3 +148,15 @@ def test_compaction_splits_and_validates(spark, tmp_path):
     for f in parts:
         codes = [r.code for r in spark.read.parquet(f).collect()]
         assert codes == sorted(codes)
+
+
+def test_profile_reads_footers_only(spark, tmp_path, capsys):
+    path = str(tmp_path / "t")
+    df = spark.range(1000).select(F.col("id").alias("n"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int") % 400).alias("day"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k"), F.lit("wide").alias("body"))
+    df.repartition(3).write.parquet(path)
+    found = lake.metadata_profile(spark, path, ["n", "day"], ["k", "n"])
+    assert tuple(found.first()) == tuple(lake.footer_profile(df, ["n", "day"], ["k", "n"]).first())
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PushedAggregation" in plan and "COUNT(*)" in plan and "MIN(day)" in plan and "body" not in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
