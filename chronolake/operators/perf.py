@@ -118,10 +118,25 @@ def signed(value: str = "market_value", side: str = "side") -> Column:
 
 
 def exposure(positions: DataFrame, equity: DataFrame, key: str, date: str, value: str) -> DataFrame:
-    """Per account: average and highest gross exposure and the dates without positions; every equity date counts."""
-    gross = positions.groupBy(key, date).agg(F.sum(F.abs("market_value")).alias("gross"))
-    daily = equity.join(gross, [key, date], "left").withColumn("exposure", F.coalesce(F.col("gross") / F.col(value), F.lit(0.0)))
-    return daily.groupBy(key).agg(F.avg("exposure").alias("average"), F.max("exposure").alias("highest"), F.count_if(F.col("gross").isNull()).alias("zero_dates"))
+    """Per account: average and highest gross exposure, the average of its long and of its short leg, and the dates without positions; every equity date counts."""
+    leg = lambda short: F.sum(F.when((F.col("side") == "short") == F.lit(short), F.abs("market_value")))
+    gross = positions.groupBy(key, date).agg(F.sum(F.abs("market_value")).alias("gross"), leg(False).alias("_long"), leg(True).alias("_short"))
+    share = lambda c: F.coalesce(F.col(c) / F.col(value), F.lit(0.0))
+    daily = equity.join(gross, [key, date], "left").withColumn("exposure", share("gross"))
+    return daily.groupBy(key).agg(F.avg("exposure").alias("average"), F.max("exposure").alias("highest"), F.avg(share("_long")).alias("long"), F.avg(share("_short")).alias("short"), F.count_if(F.col("gross").isNull()).alias("zero_dates"))
+
+
+def order_stats(orders: DataFrame, codes: int = 8, reasons: int = 6) -> DataFrame:
+    """(what, name, n, amount): orders by action and by account, filled orders and amounts by day, the top codes by amount and the top reasons by count.
+
+    ``orders`` has action, account, code, reason, status, day and amount.
+    """
+    counted = lambda df, what, by: df.groupBy(F.lit(what).alias("what"), F.col(by).cast("string").alias("name")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    named = lambda df, what: df.select(F.lit(what).alias("what"), "name", "n", "amount")
+    by_code = orders.where("code is not null").groupBy(F.col("code").alias("name")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount")).orderBy(F.col("amount").desc(), "name").limit(codes)
+    by_reason = orders.where("reason is not null").groupBy(F.col("reason").alias("name")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount")).orderBy(F.col("n").desc(), "name").limit(reasons)
+    out = counted(orders, "action", "action").unionByName(counted(orders, "account", "account")).unionByName(counted(orders.where("status = 'filled'"), "day", "day"))
+    return out.unionByName(named(by_code, "code")).unionByName(named(by_reason, "reason"))
 
 
 def style_exposure(positions: DataFrame, ranks: DataFrame, date: str, code: str, columns: dict[str, str], key: str) -> DataFrame:

@@ -36,16 +36,18 @@ def a18_order_lifecycle(t: Tables) -> DataFrame:
     return perf.status_counts(t.tickets, "action", "status", ["filled", "rejected", "cancelled"])
 
 
-@query("""WITH g AS (SELECT account, month, sum(market_value) AS gross FROM {holdings} h GROUP BY 1, 2) SELECT account, round(avg(coalesce(gross / value, 0)), 6) AS average, round(max(coalesce(gross / value, 0)), 6) AS highest, count(*) FILTER (gross IS NULL) AS zero_dates
-    FROM {monthly} m LEFT JOIN g USING (account, month) GROUP BY account""")
+@query("""WITH g AS (SELECT account, month, sum(market_value) AS gross, sum(market_value) FILTER (side = 'short') AS owed FROM {holdings} h GROUP BY 1, 2) SELECT account, round(avg(coalesce(gross / value, 0)), 6) AS average, round(max(coalesce(gross / value, 0)), 6) AS highest,
+    round(avg(coalesce((gross - coalesce(owed, 0)) / value, 0)), 6) AS long, round(avg(coalesce(owed / value, 0)), 6) AS short, count(*) FILTER (gross IS NULL) AS zero_dates FROM {monthly} m LEFT JOIN g USING (account, month) GROUP BY account""")
 def a19_exposure(t: Tables) -> DataFrame:
     return _rounded(perf.exposure(t.holdings, t.monthly, "account", "month", "value"), 6, "account")
 
 
-@query("SELECT 'action' AS what, action AS name, count(*) AS n FROM {tickets} k GROUP BY action UNION ALL (SELECT 'code', code, CAST(sum(shares) AS BIGINT) AS n FROM {tickets} k GROUP BY code ORDER BY n DESC, code LIMIT 8) UNION ALL (SELECT 'reason', reason, count(*) AS n FROM {tickets} k WHERE reason IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 6)")
+@query("""WITH o AS (SELECT *, strftime(placed_at, '%Y%m%d') AS day, CAST(shares * price * 100 AS BIGINT) AS amount FROM {tickets} k) SELECT 'action' AS what, action AS name, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM o GROUP BY action
+    UNION ALL SELECT 'account', CAST(account AS VARCHAR), count(*), CAST(sum(amount) AS BIGINT) FROM o GROUP BY account UNION ALL SELECT 'day', day, count(*), CAST(sum(amount) AS BIGINT) FROM o WHERE status = 'filled' GROUP BY day
+    UNION ALL (SELECT 'code', code, count(*), CAST(sum(amount) AS BIGINT) AS amount FROM o GROUP BY code ORDER BY 4 DESC, code LIMIT 8) UNION ALL (SELECT 'reason', reason, count(*) AS n, CAST(sum(amount) AS BIGINT) FROM o WHERE reason IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 6)""")
 def a20_order_stats(t: Tables) -> DataFrame:
-    top = lambda what, c, n, most: t.tickets.where(F.col(c).isNotNull()).groupBy(F.lit(what).alias("what"), F.col(c).alias("name")).agg(n.alias("n")).orderBy(F.col("n").desc(), "name").limit(most)
-    return top("action", "action", F.count("*"), 1000).unionByName(top("code", "code", F.sum("shares"), 8)).unionByName(top("reason", "reason", F.count("*"), 6))
+    cents = F.round(F.col("shares") * F.col("price") * 100).cast("long")
+    return perf.order_stats(t.tickets.withColumns({"day": F.date_format("placed_at", "yyyyMMdd"), "amount": cents}))
 
 
 @query(f"WITH {_PAIRS} SELECT account, count(*) AS n, round(CASE WHEN count(*) >= 8 THEN covar_pop(y, x) / var_pop(x) END, 3) AS beta, round(CASE WHEN count(*) >= 8 THEN (avg(y) - covar_pop(y, x) / var_pop(x) * avg(x)) * 12 END, 4) AS alpha, round(CASE WHEN count(*) >= 8 THEN covar_pop(y, x) ** 2 / (var_pop(x) * var_pop(y)) END, 3) AS r2, round(product(1 + x) - 1, 6) AS benchmark FROM p GROUP BY account")

@@ -34,3 +34,14 @@ def test_averages_are_weighted_by_days(spark):
     stats = spark.createDataFrame([("r", 10, 1.0, None), ("r", 30, 3.0, 2.0), ("r", 0, 99.0, 9.0), ("s", 5, None, None)], "run string, days int, a double, b double")
     got = sorted(tuple(r) for r in perf.weighted_by_days(stats, "run", "days", ["a", "b"]).collect())
     assert got == [("r", 40, 2.5, 2.0), ("s", 5, None, None)]
+
+
+def test_exposure_legs_and_order_stats(spark):
+    held = spark.createDataFrame([("a", 1, "long", 60.0), ("a", 1, "short", 20.0), ("a", 2, "short", 50.0)], "account string, day int, side string, market_value double")
+    equity = spark.createDataFrame([("a", 1, 100.0), ("a", 2, 100.0), ("a", 3, 100.0)], "account string, day int, value double")
+    r = perf.exposure(held, equity, "account", "day", "value").first()
+    assert [round(x, 9) for x in (r.average, r.highest, r.long, r.short)] == [round(1.3 / 3, 9), 0.8, 0.2, round(0.7 / 3, 9)] and r.zero_dates == 1
+    orders = [("buy", 1, f"c{k % 10}", "r" if k % 4 == 0 else None, "filled" if k % 2 else "open", f"d{k % 3}", k) for k in range(40)]
+    got = [tuple(r) for r in perf.order_stats(spark.createDataFrame(orders, "action string, account int, code string, reason string, status string, day string, amount int"), codes=3).collect()]
+    assert ("action", "buy", 40, 780) in got and ("account", "1", 40, 780) in got and ("reason", "r", 10, 180) in got
+    assert [g[1] for g in got if g[0] == "code"] == ["c9", "c8", "c7"] and sum(g[2] for g in got if g[0] == "day") == 20
