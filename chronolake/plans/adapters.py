@@ -75,6 +75,23 @@ VIEWS: dict[str, str] = {
     "companies": """SELECT concat(lpad(CAST(p_partkey % 50 AS STRING), 6, '0'), '.SZ') AS code, split_part(p_name, ' ', 1) AS first_word, split_part(p_name, ' ', 2) AS last_word,
         substr(p_name, 1, CAST(3 + p_partkey % 3 AS INT)) AS beginning FROM {part}""",
     "coded_texts": "SELECT text_id, title, concat(lpad(CAST(code AS STRING), 6, '0'), '.SZ') AS ts_code FROM {texts}",
+    # Event partitions (folder of dataset and month) with faults of every kind, and the raw files that exist: each tenth is gone, each fourth has no side file.
+    "event_layer": """SELECT part_dataset, part_month, file_no, CASE WHEN event_id % 41 = 0 THEN 'other' ELSE part_dataset END AS dataset, CAST(code AS STRING) AS ts_code,
+        CASE WHEN event_id % 37 = 0 THEN 'soon' WHEN event_id % 35 = 0 THEN NULL ELSE concat(day, ' 18:00:00+08:00') END AS available_at, CASE WHEN event_id % 29 = 0 THEN 'guess' ELSE 'source:ann_date' END AS available_at_rule,
+        CASE WHEN event_id % 31 = 0 THEN '209901' ELSE part_month END AS available_month, concat('k', CAST(code AS STRING)) AS business_key,
+        CASE WHEN event_id % 43 = 0 THEN ' ' WHEN event_id % 47 = 0 THEN 'raw/other/period=1.parquet' ELSE concat('raw/', part_dataset, '/period=', CAST(file_no AS STRING), '.parquet') END AS source_path,
+        CASE WHEN event_id % 53 = 0 THEN '' WHEN event_id % 59 = 0 THEN 'bad' ELSE concat('h', CAST(file_no AS STRING)) END AS source_hash, CASE WHEN event_id % 61 = 0 THEN 'x' ELSE CAST(event_id AS STRING) END AS source_row_id,
+        CASE WHEN event_id % 7 > 0 THEN CASE WHEN event_id % 67 = 0 THEN '20991231' ELSE announced END END AS ann_date
+        FROM (SELECT event_id, code, event_id % 10 AS file_no, substr(CAST(available_at AS STRING), 1, 10) AS day, replace(substr(CAST(ts AS STRING), 1, 10), '-', '') AS announced, replace(substr(CAST(available_at AS STRING), 1, 7), '-', '') AS part_month,
+        CASE dataset WHEN 'click' THEN 'income_vip' WHEN 'view' THEN 'dividend' WHEN 'purchase' THEN 'forecast_vip' WHEN 'signup' THEN 'express_vip' ELSE 'fina_audit_vip' END AS part_dataset FROM {pit}) p""",
+    "event_files": """SELECT DISTINCT concat('raw/', part_dataset, '/period=', CAST(file_no AS STRING), '.parquet') AS source_path, CASE WHEN file_no <> 4 THEN concat('h', CAST(file_no AS STRING)) END AS source_hash
+        FROM {event_layer} WHERE file_no < 9""",
+    # Days of minute bars with faults, and the codes that each day should have: a third of those present, and some that never trade.
+    "minute_rows": """SELECT trade_date AS part_day, ts_code, CASE WHEN l_orderkey % 97 = 0 THEN '19000101' ELSE trade_date END AS trade_date, CASE WHEN l_orderkey % 89 = 0 THEN 'no time'
+        WHEN l_orderkey % 83 = 0 THEN concat(iso, ' 12:15:00') ELSE concat(iso, ' ', trade_time, ':00') END AS trade_time, CASE WHEN l_orderkey % 79 = 0 THEN ' ' WHEN l_orderkey % 73 = 0 THEN 'later'
+        ELSE concat(iso, ' 18:00:00+08:00') END AS available_at, l_orderkey FROM (SELECT *, concat(substr(trade_date, 1, 4), '-', substr(trade_date, 5, 2), '-', substr(trade_date, 7, 2)) AS iso FROM {ticks}) x""",
+    "minute_codes": """SELECT part_day, ts_code FROM {minute_rows} WHERE l_orderkey % 3 = 0 UNION SELECT part_day, concat('99', substr(ts_code, 3)) FROM {minute_rows} WHERE l_orderkey % 50 = 0
+        UNION SELECT '20991231', ts_code FROM {minute_rows} WHERE l_orderkey % 500 = 1""",
     "texts": """SELECT doc_id AS text_id, source AS dataset, lang, text AS body, substr(text, 1, 40) AS title,
         CAST(doc_id * 37 % 1000 AS BIGINT) AS available_at, CAST(doc_id % 50 AS BIGINT) AS code FROM {documents}""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, joins, windows
+from ..operators import audit, joins, layers, windows
 from ..sources import lake
 from .registry import Tables, query
 
@@ -214,3 +214,33 @@ def c8_revision_sentinel(t: Tables) -> DataFrame:
     pick = lambda df: df.join(F.broadcast(sample), "part", "left_semi")
     diff = joins.keyed_diff(pick(t.old_part), pick(t.new_part), ["id"], ["price", "prio", "part"])
     return diff.groupBy(F.coalesce("_a.part", "_b.part").alias("part")).agg(F.count_if(F.col("change") != "same").alias("revised"), F.count("*").alias("keys"))
+
+
+_LAYERS = ["income_vip", "dividend", "forecast_vip", "express_vip", "fina_audit_vip", "balancesheet_vip"]
+
+
+@query(f"""WITH a AS (SELECT unnest({_LAYERS}) AS dataset), e AS (SELECT l.*, count(*) OVER (PARTITION BY part_dataset, part_month, dataset, business_key, available_at) AS same, try_cast(substr(available_at, 1, 19) AS TIMESTAMP) AS stamp,
+    f.source_path IS NOT NULL AS there, f.source_hash AS side FROM {{event_layer}} l LEFT JOIN {{event_files}} f ON l.source_path = f.source_path WHERE part_month IN ('202312', '202401')),
+    c AS (SELECT part_dataset AS dataset, count(DISTINCT part_month) AS months, count(*) AS rows, count(*) FILTER (stamp IS NULL) AS unparseable, count(*) FILTER (stamp NOT BETWEEN TIMESTAMP '2023-12-15' AND TIMESTAMP '2024-01-25 23:59:59') AS outside_window,
+    count(*) FILTER (available_month <> part_month) AS wrong_month, count(*) FILTER (e.dataset <> part_dataset) AS wrong_dataset, count(*) FILTER (available_at_rule = 'guess') AS disallowed_rule,
+    count(*) FILTER (part_dataset IN ('forecast_vip', 'express_vip') AND stamp < strptime(ann_date, '%Y%m%d')) AS backdated, count(*) FILTER (source_row_id = 'x') AS bad_row_id, count(*) FILTER (trim(source_path) = '') AS blank_path,
+    count(*) FILTER (NOT list_contains(string_split(source_path, '/'), part_dataset)) AS wrong_path, count(*) FILTER (NOT there) AS missing_path, count(*) FILTER (source_hash <> '' AND side <> source_hash) AS hash_mismatch,
+    count(*) FILTER (same > 1) AS repeated_keys, count(*) FILTER (source_hash = '') AS blank_hash, string_agg(DISTINCT part_month) AS seen FROM e GROUP BY 1)
+    SELECT a.dataset, {", ".join(f"coalesce({n}, 0) AS {n}" for n in ("months", "rows", *layers._ERRORS, *layers._WARNINGS))}, 2 - coalesce(months, 0) AS missing_months,
+    concat_ws(',', CASE WHEN NOT contains(coalesce(seen, ''), '202312') THEN '202312' END, CASE WHEN NOT contains(coalesce(seen, ''), '202401') THEN '202401' END) AS named_months,
+    CASE WHEN {" + ".join(f"coalesce({n}, 0)" for n in layers._ERRORS)} > 0 THEN 'error' WHEN {" + ".join(f"coalesce({n}, 0)" for n in layers._WARNINGS)} > 0 OR coalesce(months, 0) < 2 THEN 'warning' ELSE 'info' END AS severity FROM a LEFT JOIN c ON a.dataset = c.dataset""")
+def a13_event_layer_counters(t: Tables) -> DataFrame:
+    return layers.event_layer_audit(t.event_layer, t.event_files, _LAYERS, "20231215", "20240125")
+
+
+@query("""WITH k AS (SELECT *, try_cast(trade_time AS TIMESTAMP) AS clock, substr(trade_time, 12, 5) AS hhmm, row_number() OVER (PARTITION BY part_day, ts_code, trade_time) AS nth FROM {minute_rows} m),
+    d AS (SELECT part_day, count(*) AS rows, count(*) FILTER (nth > 1) AS repeated, count(*) FILTER (trade_date <> part_day) AS wrong_dates, count(*) FILTER (available_at = 'later') AS bad_stamps, count(*) FILTER (clock IS NULL) AS bad_times,
+    count(*) FILTER (clock IS NULL OR hhmm NOT IN ('09:30', '10:00', '14:57', '15:00')) AS off_session, count(DISTINCT CASE WHEN clock IS NOT NULL THEN hhmm END) AS times, bool_or(clock IS NOT NULL AND hhmm = '09:30') AS has_open, bool_or(clock IS NOT NULL AND hhmm = '15:00') AS has_close FROM k GROUP BY 1),
+    h AS (SELECT DISTINCT part_day, ts_code, 1 AS here FROM k), j AS (SELECT part_day, ts_code, here, want FROM h FULL JOIN (SELECT part_day, ts_code, 1 AS want FROM {minute_codes} c) w USING (part_day, ts_code)),
+    c AS (SELECT part_day, count(here) AS codes, count(want) AS expected, count(*) FILTER (here IS NULL) AS missing, count(*) FILTER (want IS NULL) AS extra,
+    coalesce(array_to_string(list_slice(list_sort(list(ts_code) FILTER (here IS NULL)), 1, 20), ','), '') AS named_missing, coalesce(array_to_string(list_slice(list_sort(list(ts_code) FILTER (want IS NULL)), 1, 20), ','), '') AS named_extra FROM j GROUP BY 1),
+    o AS (SELECT part_day, coalesce(rows, 0) AS rows, coalesce(repeated, 0) AS repeated, coalesce(wrong_dates, 0) AS wrong_dates, coalesce(bad_stamps, 0) AS bad_stamps, coalesce(bad_times, 0) AS bad_times, coalesce(off_session, 0) AS off_session, coalesce(times, 0) AS times,
+    codes, expected, missing, extra, coalesce(has_open, false) AS has_open, coalesce(has_close, false) AS has_close, named_missing, named_extra FROM c LEFT JOIN d USING (part_day))
+    SELECT *, repeated + wrong_dates + bad_stamps + bad_times = 0 AND rows >= 2 AND missing <= 1 AND (rows = 0 OR has_open AND has_close) AS ok FROM o""")
+def a5_minute_day_audit(t: Tables) -> DataFrame:
+    return layers.minute_day_audit(t.minute_rows, t.minute_codes, "part_day", "ts_code", 2, 1)
