@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import timecols
-from ..operators import asof, audit, perf, snapshot, windows
+from ..operators import asof, audit, library, perf, snapshot, windows
 from ..sources import lake, publish
 from ..sources.scratch import new_path
 from ..streaming import rolling
@@ -185,3 +185,33 @@ def t1_retrieval_rank(t: Tables) -> DataFrame:
 def pit_filter(t: Tables) -> DataFrame:
     shown = asof.visible(t.pit.where("false"), t.pit, t.pit.select("dataset").distinct().withColumn("cutoff", _at("2024-01-15")))
     return t.pit.groupBy("dataset").agg(F.count("*").alias("rows")).join(shown.groupBy("dataset").agg(F.count("*").alias("seen")), "dataset")
+
+
+_libraries: dict[tuple[str, str], library.Library] = {}
+
+
+def _library(t: Tables) -> library.Library:
+    """The texts as a library, written once a session."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _libraries:
+        coded = t.texts.select("text_id", "dataset", "title", "available_at", F.concat(F.lpad(F.col("code").cast("string"), 6, "0"), F.lit(".SZ")).alias("ts_code"), "body")
+        _libraries[key] = library.build(t.spark, coded, new_path(t.spark, "library"))
+    return _libraries[key]
+
+
+_FOUND = """SELECT text_id, dataset, rank, relevance, substr(body, 1, 200) AS snippet, CASE WHEN hit <> '' THEN substr(body, greatest(instr(body, hit) - 40, 1), instr(body, hit) - greatest(instr(body, hit) - 40, 1) + 40) END AS context
+    FROM (SELECT *, regexp_extract(body, '{rx}') AS hit FROM r ORDER BY rank DESC, available_at DESC, text_id LIMIT {n}) x"""
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN regexp_matches(title, '(?i)licen[cs]e|permission') THEN 20 ELSE 10 END AS rank, 'background' AS relevance FROM {texts} t WHERE available_at <= 600
+    AND (regexp_matches(title, '(?i)licen[cs]e|permission') OR regexp_matches(body, '(?i)licen[cs]e|permission'))) """ + _FOUND.format(rx="(?i)licen[cs]e|permission", n=400))
+def c6_library_search(t: Tables) -> DataFrame:
+    """All visible texts; bodies are read where the postings name them."""
+    return library.search(t.spark, _library(t), "licen[cs]e|permission", F.lit(600), 400).select("text_id", "dataset", "rank", "relevance", "snippet", "context")
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN regexp_matches(title, '(?i)(the|der).{{2,9}}en') THEN 40 ELSE 30 END AS rank, 'candidate' AS relevance FROM {texts} t WHERE available_at BETWEEN 300 AND 900 AND (code = 7 OR contains(lower(title), 'the'))
+    AND (regexp_matches(title, '(?i)(the|der).{{2,9}}en') OR regexp_matches(body, '(?i)(the|der).{{2,9}}en'))) """.replace("{{", "{").replace("}}", "}") + _FOUND.format(rx="(?i)(the|der).{2,9}en", n=300))
+def c6_company_search(t: Tables) -> DataFrame:
+    """One company's candidate texts of a lookback window."""
+    return library.search(t.spark, _library(t), "(the|der).{2,9}en", F.lit(900), 300, ("000007.SZ", ["the"]), F.lit(300)).select("text_id", "dataset", "rank", "relevance", "snippet", "context")
