@@ -92,6 +92,17 @@ VIEWS: dict[str, str] = {
         ELSE concat(iso, ' 18:00:00+08:00') END AS available_at, l_orderkey FROM (SELECT *, concat(substr(trade_date, 1, 4), '-', substr(trade_date, 5, 2), '-', substr(trade_date, 7, 2)) AS iso FROM {ticks}) x""",
     "minute_codes": """SELECT part_day, ts_code FROM {minute_rows} WHERE l_orderkey % 3 = 0 UNION SELECT part_day, concat('99', substr(ts_code, 3)) FROM {minute_rows} WHERE l_orderkey % 50 = 0
         UNION SELECT '20991231', ts_code FROM {minute_rows} WHERE l_orderkey % 500 = 1""",
+    # Payouts in versions: dates and numbers as text, some blank, unreadable, below zero or announced too late.
+    "payouts": """SELECT concat('C', CAST(o_custkey % 100 AS STRING)) AS ts_code, concat('E', CAST(o_orderkey % 3 AS STRING)) AS end_date, CASE WHEN o_orderstatus = 'O' THEN '预案' ELSE '实施' END AS div_proc,
+        CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE concat(quarter_end, '15') END AS ex_date, concat(substr(CAST(o_orderdate AS STRING), 1, 10), 'T18:00:00+08:00') AS available_at,
+        CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN 'n/a' ELSE CAST(o_orderkey % 40 - 8 AS STRING) END AS cash_div_tax, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 16 AS STRING) END AS cash_div,
+        CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 AS STRING) END AS stk_div, CASE WHEN o_orderkey % 7 > 0 THEN '1' END AS stk_bo_rate, CAST(o_orderkey % 3 AS STRING) AS stk_co_rate,
+        CASE WHEN o_orderkey % 6 > 0 THEN concat(quarter_end, '14') END AS record_date, concat(quarter_end, CAST(o_orderkey % 10 + 16 AS STRING)) AS pay_date, CASE WHEN o_orderkey % 2 = 0 THEN concat(quarter_end, CAST(o_orderkey % 8 + 20 AS STRING)) END AS div_listdate
+        FROM (SELECT *, concat(CAST(year(o_orderdate) AS STRING), CASE WHEN month(o_orderdate) <= 3 THEN '03' WHEN month(o_orderdate) <= 6 THEN '06' WHEN month(o_orderdate) <= 9 THEN '09' ELSE '12' END) AS quarter_end FROM {orders}) x""",
+    # Bars of a month and code, and what auctions and daily rows say of them: most alike, some absent or empty.
+    "month_bars": """SELECT substr(trade_date, 1, 6) AS month, ts_code, trade_time, sum(vol) AS vol, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100 AS amount, CAST(substr(ts_code, 3, 4) AS INT) AS num FROM {ticks} GROUP BY 1, 2, 3""",
+    "auctions": """SELECT month, ts_code, CASE WHEN num % 13 = 0 THEN 0 ELSE vol * (1 + num % 7) END AS vol, amount * (1 + num % 5) AS amount FROM {month_bars} WHERE trade_time = '09:30' AND num % 11 > 0""",
+    "month_rows": """SELECT month, ts_code, sum(vol) * 2 + num % 3 AS vol, CASE WHEN num % 17 > 0 THEN sum(CAST(floor(amount) AS BIGINT)) END AS amount FROM {month_bars} GROUP BY month, ts_code, num""",
     "texts": """SELECT doc_id AS text_id, source AS dataset, lang, text AS body, substr(text, 1, 40) AS title,
         CAST(doc_id * 37 % 1000 AS BIGINT) AS available_at, CAST(doc_id % 50 AS BIGINT) AS code FROM {documents}""",
 }

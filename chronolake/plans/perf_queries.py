@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import perf, windows
+from ..operators import actions, perf, windows
 from .registry import Tables, query
 
 _RET = "r AS (SELECT account, month, value, value / coalesce(lag(value) OVER (PARTITION BY account ORDER BY month), 100000) - 1 AS ret, value / greatest(100000, max(value) OVER (PARTITION BY account ORDER BY month ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM {monthly} m)"
@@ -144,3 +144,40 @@ def a1_corporate_actions(t: Tables) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", "plan").otherwise("done").alias("state"), (F.floor("o_totalprice") / 100 - 50).alias("cash"), F.when(F.col("o_orderkey") % 4 > 0, (F.col("o_orderkey") % 4) / 8.0).alias("stock"))
     out = perf.corporate_actions(e, "19960101", "19991231")
     return out.select("code", "ex_date", F.round("cash", 2).alias("cash"), "stock", "first_announced")
+
+
+_IMPLEMENTED = """p AS (SELECT ts_code, end_date, trim(ex_date) AS ex_date, available_at, try_cast(cash_div_tax AS DOUBLE) AS gross, try_cast(cash_div AS DOUBLE) AS net, stk_div, stk_bo_rate, stk_co_rate, cash_div_tax, cash_div, coalesce(record_date, '') AS record_date, pay_date, coalesce(div_listdate, '') AS div_listdate,
+    replace(substr(available_at, 1, 10), '-', '') > trim(ex_date) AS late FROM {payouts} o WHERE div_proc = '实施')"""
+
+
+@query(f"""WITH {_IMPLEMENTED}, one AS (SELECT *, greatest(coalesce(gross, net, 0), 0) AS cash, greatest(coalesce(CAST(stk_div AS DOUBLE), coalesce(CAST(stk_bo_rate AS DOUBLE), 0) + coalesce(CAST(stk_co_rate AS DOUBLE), 0)), 0) AS stock FROM p WHERE ex_date BETWEEN '19930601' AND '19971231' AND NOT late
+    QUALIFY row_number() OVER (PARTITION BY ts_code, end_date, ex_date ORDER BY available_at DESC, cash_div_tax DESC NULLS LAST, cash_div DESC NULLS LAST, stk_div DESC NULLS LAST, stk_bo_rate DESC NULLS LAST, stk_co_rate DESC NULLS LAST, record_date DESC, pay_date DESC, div_listdate DESC) = 1)
+    SELECT ts_code, ex_date, sum(cash) AS cash_per_share, sum(stock) AS stock_per_share, arg_min(record_date, (available_at, end_date)) AS record_date, arg_min(pay_date, (available_at, end_date)) AS pay_date, max(div_listdate) AS div_listdate FROM one WHERE cash > 0 OR stock > 0 GROUP BY 1, 2""")
+def a1_ex_date_actions(t: Tables) -> DataFrame:
+    return actions.corporate_actions(t.payouts, "19930601", "19971231")
+
+
+@query(f"WITH {_IMPLEMENTED} SELECT count(*) FILTER (ex_date = '') AS missing_ex_date, count(*) FILTER (ex_date BETWEEN '19930601' AND '19971231' AND late) AS announced_after_ex_date FROM p")
+def a1_dropped_actions(t: Tables) -> DataFrame:
+    return actions.dropped_actions(t.payouts, "19930601", "19971231")
+
+
+_BOARD = "CASE substr(ts_code, 1, 2) WHEN '00' THEN 'sz_main_00' WHEN '30' THEN 'sz_gem_30' WHEN '60' THEN 'sh_main_60' WHEN '68' THEN 'sh_star_68' ELSE 'bj' END"
+_SPREAD = "count(*) AS matched, count(v) AS n, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90"
+
+
+def _rounded(out: DataFrame) -> DataFrame:
+    return out.select("month", "bucket", "ratio", "matched", "n", *(F.round(c, 6).alias(c) for c in ("p10", "median", "p90")))
+
+
+@query(f"""WITH m AS (SELECT month, {_BOARD} AS bucket, b.vol / nullif(a.vol, 0) AS v1, b.amount / nullif(a.amount, 0) AS v2, CASE substr(ts_code, 1, 2) WHEN '00' THEN 0.76::DOUBLE WHEN '30' THEN 0.58::DOUBLE ELSE 1 END AS f FROM {{month_bars}} b JOIN {{auctions}} a USING (month, ts_code) WHERE trade_time = '09:30'),
+    r AS (SELECT month, bucket, 'vol' AS ratio, v1 AS v FROM m UNION ALL SELECT month, bucket, 'amount', v2 FROM m UNION ALL SELECT month, bucket, 'vol_after_factor', v1 * f FROM m UNION ALL SELECT month, bucket, 'amount_after_factor', v2 * f FROM m)
+    SELECT month, bucket, ratio, {_SPREAD} FROM r GROUP BY 1, 2, 3""")
+def j10_auction_ratios(t: Tables) -> DataFrame:
+    return _rounded(actions.auction_alignment(t.month_bars, t.auctions, "month", "ts_code", "trade_time"))
+
+
+@query(f"""WITH s AS (SELECT month, ts_code, sum(vol) AS vol, sum(amount) AS amount FROM {{month_bars}} b GROUP BY 1, 2), m AS (SELECT month, {_BOARD} AS bucket, s.vol / nullif(d.vol, 0) AS v1, s.amount / nullif(d.amount, 0) AS v2 FROM s JOIN {{month_rows}} d USING (month, ts_code)),
+    r AS (SELECT month, bucket, 'vol' AS ratio, v1 AS v FROM m UNION ALL SELECT month, bucket, 'amount', v2 FROM m) SELECT month, bucket, ratio, {_SPREAD} FROM r GROUP BY 1, 2, 3""")
+def j10_daily_ratios(t: Tables) -> DataFrame:
+    return _rounded(actions.daily_alignment(t.month_bars, t.month_rows, "month", "ts_code"))
