@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.timecols import blank
 from .windows import keep_one
 
 
@@ -35,6 +36,19 @@ def latest_as_of(df: DataFrame, key: Sequence[str], stamp: str, when: Column, ti
     return keep_one(df.where(F.col(stamp) <= when), key, [stamp, *ties], "last")
 
 
+def names_as_of(names: DataFrame, code: str, name: str, day: Column) -> DataFrame:
+    """(code, name) in force on a ``YYYYMMDD`` day: begun and announced by then, or with no date of announcement; the latest beginning, then the largest name."""
+    known = blank("ann_date") | (F.trim("ann_date") <= day)
+    return keep_one(names.where(known & (F.trim("start_date") <= day)).select(code, name, "start_date"), [code], ["start_date", name], "last").drop("start_date")
+
+
+def members_as_of(members: DataFrame, code: str, group: str, day: Column) -> DataFrame:
+    """(code, group) of the stretch ``in_date <= day < out_date``, blank dates being open; of several the latest begun, then the largest group."""
+    date = lambda c: F.when(blank(c), "").otherwise(F.trim(c))
+    held = members.select(code, group, date("in_date").alias("in_date"), date("out_date").alias("out_date")).where((F.col("in_date") <= day) & ((F.col("out_date") == "") | (F.col("out_date") > day)))
+    return keep_one(held, [code], ["in_date", group], "last").select(code, group)
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], block: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the last right values at or before its time: one ordered pass over both sides, no range join.
 

@@ -103,6 +103,10 @@ VIEWS: dict[str, str] = {
     "month_bars": """SELECT substr(trade_date, 1, 6) AS month, ts_code, trade_time, sum(vol) AS vol, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100 AS amount, CAST(substr(ts_code, 3, 4) AS INT) AS num FROM {ticks} GROUP BY 1, 2, 3""",
     "auctions": """SELECT month, ts_code, CASE WHEN num % 13 = 0 THEN 0 ELSE vol * (1 + num % 7) END AS vol, amount * (1 + num % 5) AS amount FROM {month_bars} WHERE trade_time = '09:30' AND num % 11 > 0""",
     "month_rows": """SELECT month, ts_code, sum(vol) * 2 + num % 3 AS vol, CASE WHEN num % 17 > 0 THEN sum(CAST(floor(amount) AS BIGINT)) END AS amount FROM {month_bars} GROUP BY month, ts_code, num""",
+    # Names and industries of 300 codes over time, some without a date of announcement, beginning or end.
+    "name_changes": """SELECT o_custkey % 300 AS code, concat('N', CAST(o_orderkey AS STRING)) AS name, start_date, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN ' ' WHEN o_orderkey % 5 = 0 THEN '19991231' ELSE start_date END AS ann_date,
+        CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE start_date END AS in_date, CASE WHEN o_orderkey % 3 = 0 THEN 'None' WHEN o_orderkey % 3 = 1 THEN NULL ELSE concat(CAST(year(o_orderdate) + 1 AS STRING), substr(start_date, 5)) END AS out_date, concat('L', CAST(o_orderkey % 31 AS STRING)) AS industry
+        FROM (SELECT *, replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', '') AS start_date FROM {orders}) x""",
     "texts": """SELECT doc_id AS text_id, source AS dataset, lang, text AS body, substr(text, 1, 40) AS title,
         CAST(doc_id * 37 % 1000 AS BIGINT) AS available_at, CAST(doc_id % 50 AS BIGINT) AS code FROM {documents}""",
 }

@@ -204,3 +204,13 @@ def a30_evidence_revision(t: Tables) -> DataFrame:
 @query("SELECT account, sha256(count(*) || '|' || sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) || '|' || sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT))) AS signature FROM (SELECT account, sha1(order_id || '|' || line || '|' || code || '|' || action || '|' || shares) AS h FROM {tickets} k) x GROUP BY account")
 def a31_order_signature(t: Tables) -> DataFrame:
     return text.evidence(t.tickets, "account", ["order_id", "line"], ["code", "action", "shares"]).select("account", F.col("revision").alias("signature"))
+
+
+@query("SELECT code, arg_max(name, (start_date, name)) AS name FROM {name_changes} n WHERE start_date <= '19960630' AND (ann_date IS NULL OR trim(ann_date) <= '19960630') GROUP BY code")
+def j3b_names_in_force(t: Tables) -> DataFrame:
+    return joins.names_as_of(t.name_changes, "code", "name", F.lit("19960630"))
+
+
+@query("SELECT code, arg_max(industry, (coalesce(in_date, ''), industry)) AS industry FROM {name_changes} n WHERE coalesce(in_date, '') <= '19960630' AND (out_date IS NULL OR out_date = 'None' OR out_date > '19960630') GROUP BY code")
+def j3c_industry_in_force(t: Tables) -> DataFrame:
+    return joins.members_as_of(t.name_changes, "code", "industry", F.lit("19960630"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chronolake.operators import actions
+from chronolake.operators import actions, joins
 
 COLUMNS = "ts_code end_date div_proc ex_date available_at cash_div_tax cash_div stk_div stk_bo_rate stk_co_rate record_date pay_date div_listdate".split()
 BASE = dict(zip(COLUMNS, ("a", "e", "实施", "20240110", "2024-01-05T18:00:00+08:00", "1", None, None, None, None, "20240109", "20240111", None)))
@@ -43,3 +43,11 @@ def test_ratios_before_and_after_the_factor(spark):
     out = {(r.bucket, r.ratio): (r.matched, r.n, r.median) for r in actions.auction_alignment(minutes, auction, "d", "c", "t").withColumn("median", F.round("median", 9)).collect()}
     assert out[("sz_main_00", "vol")] == (2, 2, 2.0) and out[("sz_main_00", "vol_after_factor")] == (2, 2, 1.52)
     assert out[("sz_main_00", "amount")] == (2, 2, 0.5) and out[("sh_main_60", "amount")] == (1, 0, None) and len(out) == 8
+
+
+def test_names_and_members_in_force(spark):
+    names = spark.createDataFrame([("a", "old", "20230101", None), ("a", "new", "20240101", "20231220"), ("a", "next", "20240105", "20240301"), ("b", "only", "20240201", None)], "code string, name string, start_date string, ann_date string")
+    assert [tuple(r) for r in joins.names_as_of(names, "code", "name", F.lit("20240110")).collect()] == [("a", "new")]
+    members = spark.createDataFrame([("a", "x", None, "20240110"), ("a", "y", "20230101", "None"), ("b", "x", "20240111", None), ("c", "x", "", " ")], "code string, l1 string, in_date string, out_date string")
+    assert sorted(tuple(r) for r in joins.members_as_of(members, "code", "l1", F.lit("20240110")).collect()) == [("a", "y"), ("c", "x")]
+    assert ("a", "x") not in [tuple(r) for r in joins.members_as_of(members, "code", "l1", F.lit("20240109")).collect()]
