@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from re import _constants as op  # what ``re.compile`` reads a pattern into
 from re import _parser as reader
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .candidates import BROADCAST_ROWS, candidate_rows
 from .text import guarded
 
 GRAM = 3
+#: Texts and characters of a block of postings.
+BLOCK_TEXTS, BLOCK_CHARS = 4096, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -69,32 +73,85 @@ def literals(pattern: str) -> list[list[str]]:
     return found if all(found) else []
 
 
-def _grams(text: Column) -> Column:
-    """The distinct trigrams, in one pass over the text: a look-ahead takes each where it begins."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))"), 1))
+def _block_grams(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct trigrams of a block of texts in order, where the list of each begins (and the last ends), and the texts of all lists by number.
+
+    A (gram, text) is one number, with the gram's characters counted among those of the block, so one sort finds the lists.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    own = np.repeat(np.arange(len(texts)), [len(s) for s in texts])
+    alphabet = np.flatnonzero(np.bincount(points, minlength=1))
+    size = len(alphabet)
+    if len(texts) > 1 and size**3 * len(texts) >= 2**63:
+        raise OverflowError
+    rank = np.zeros(int(alphabet[-1]) + 1 if size else 1, dtype=np.uint64)
+    rank[alphabet] = np.arange(size, dtype=np.uint64)
+    c = rank[points]
+    keys = ((c[:-2] * np.uint64(size) + c[1:-1]) * np.uint64(size) + c[2:]) * np.uint64(len(texts)) + own[:-2].astype(np.uint64)
+    keys = np.sort(keys[own[:-2] == own[2:]])
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    gram, text = np.divmod(keys, np.uint64(max(len(texts), 1)))
+    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=np.int64)
+    first = gram[starts].astype(np.int64)
+    chars = [alphabet[first // size**k % max(size, 1)].tolist() for k in (2, 1, 0)] if size else [[], [], []]
+    return ["".join(map(chr, g)) for g in zip(*chars, strict=True)], np.append(starts, len(keys)).astype(np.int32), text.astype(np.int64)
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, ids) of bodies (text_id, body), a row a gram and block of texts; a block ends with ``BLOCK_TEXTS`` or ``BLOCK_CHARS``."""
+
+    def rows(ids: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        try:
+            grams, offsets, own = _block_grams(texts)
+        except OverflowError:  # more characters than a number holds with so many texts
+            half = len(texts) // 2
+            yield from rows(ids[:half], texts[:half])
+            yield from rows(ids[half:], texts[half:])
+            return
+        for at in range(0, len(grams), 10_000):
+            part = offsets[at : at + 10_001]
+            lists = pa.ListArray.from_arrays(pa.array(part - part[0]), ids.take(pa.array(own[part[0] : part[-1]])))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + 10_000], pa.string()), lists], ["gram", "ids"])
+
+    for batch in batches:
+        ids = batch.column(0)
+        texts = [b.decode("utf-8", "replace") for b in batch.column(1).cast(pa.binary()).to_pylist()]
+        ends = np.cumsum([len(s) for s in texts])
+        at = 0
+        while at < len(texts):
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, "right"))
+            upto = min(max(upto, at + 1), at + BLOCK_TEXTS, len(texts))
+            yield from rows(ids[at:upto], texts[at:upto])
+            at = upto
 
 
 def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
+def _id_type(ids: DataFrame) -> str:
+    return ids.schema["text_id"].dataType.simpleString()
+
+
 def _stored(spark: SparkSession, path: str, ids: DataFrame, rest: str) -> DataFrame:
     """A table in folders; its schema is given, since an empty one has no file to tell it."""
-    return spark.read.schema(f"text_id {ids.schema['text_id'].dataType.simpleString()}, {rest}").parquet(path)
+    return spark.read.schema(f"text_id {_id_type(ids)}, {rest}").parquet(path)
 
 
 def build(spark: SparkSession, texts: DataFrame, path: str, shards: int = 32, buckets: int = 32) -> Library:
     """Writes ``texts`` (text_id, title, body, available_at and what else an index row has) below ``path``.
 
-    Bodies lie in shards by ``text_id``, index rows name their shard, and each (gram, text) of a body lies in the gram's bucket, sorted, so that a
-    search reads a few row groups of a few folders. A hot gram or shard is several files; more bodies want more shards and buckets. A null body has no grams.
+    Bodies lie in shards by ``text_id``, index rows name their shard, and each gram lies in its bucket with the texts of a block that have it, sorted, so that a
+    search reads a few row groups of a few folders. Tasks make the lists of the bodies that they read, so no (gram, text) is shuffled. A hot gram or shard is
+    several files; more bodies want more shards and buckets. A null body has no grams.
     """
     lib = Library(*(f"{path}/{name}" for name in ("index", "bodies", "grams")), buckets)
     placed = texts.withColumn("shard", F.pmod(F.xxhash64("text_id"), F.lit(shards)).cast("int"))
     placed.drop("body").write.parquet(lib.index)
     placed.select("text_id", "body", "shard").hint("rebalance", "shard").sortWithinPartitions("shard", "text_id").write.partitionBy("shard").parquet(lib.bodies)
-    postings = _stored(spark, lib.bodies, placed, "body string, shard int").select("text_id", F.explode(_grams(F.lower("body"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
-    postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(lib.grams)
+    bodies = _stored(spark, lib.bodies, placed, "body string, shard int").where("body is not null").select("text_id", F.lower("body").alias("body"))
+    postings = bodies.mapInArrow(_post, f"gram string, ids array<{_id_type(placed)}>").withColumn("bucket", _bucket(F.col("gram"), buckets))
+    postings.sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(lib.grams)
     return lib
 
 
@@ -106,7 +163,8 @@ def posting_hits(spark: SparkSession, lib: Library, pattern: str) -> DataFrame |
     sets = [sorted({part[k : k + GRAM] for part in way for k in range(len(part) - GRAM + 1)}) for way in found]
     wanted = sorted({g for s in sets for g in s})
     buckets = [r[0] for r in spark.createDataFrame([(g,) for g in wanted], "gram string").select(_bucket(F.col("gram"), lib.buckets)).distinct().collect()]
-    postings = _stored(spark, lib.grams, spark.read.parquet(lib.index), "gram string, bucket int").where(F.col("bucket").isin(*buckets) & F.col("gram").isin(*wanted))
+    lists = spark.read.schema(f"gram string, ids array<{_id_type(spark.read.parquet(lib.index))}>, bucket int").parquet(lib.grams)
+    postings = lists.where(F.col("bucket").isin(*buckets) & F.col("gram").isin(*wanted)).select("gram", F.explode("ids").alias("text_id"))
     holds = [F.count_if(F.col("gram").isin(*s)) == len(s) for s in sets]  # a gram stands once a body
     anyone = holds[0]
     for h in holds[1:]:

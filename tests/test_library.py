@@ -1,8 +1,10 @@
 """Search in a laid-out text library: bounds of patterns, reads of bodies, order and visibility."""
 
+import random
 import re
 import tempfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,32 @@ def test_only_buckets_of_the_pattern_are_read(spark, lib):
 def test_empty_library(spark):
     empty = library.build(spark, spark.createDataFrame([], SCHEMA), tempfile.mkdtemp(prefix="spark-") + "/lib")
     assert library.search(spark, empty, "thing", F.lit(6), 5).collect() == []
+
+
+@pytest.mark.parametrize(("texts", "chars"), [(4096, 4_000_000), (3, 4_000_000), (4096, 7)])
+def test_lists_of_grams(spark, tmp_path, monkeypatch, texts, chars):
+    rnd = random.Random(texts + chars)
+    bodies = ["".join(rnd.choice("abÀ中\U0001f600 ") for _ in range(rnd.randrange(12))) for _ in range(60)] + ["", "ab", None]
+    monkeypatch.setattr(library, "BLOCK_TEXTS", texts)
+    monkeypatch.setattr(library, "BLOCK_CHARS", chars)
+    own = [(i, b.lower()) for i, b in enumerate(bodies) if b is not None]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([b for _, b in own], pa.string())], ["text_id", "body"])
+    got = [(g, i) for out in library._post(iter([batch])) for g, ids in zip(*(c.to_pylist() for c in out.columns), strict=True) for i in ids]
+    want = {(b[k : k + 3], i) for i, b in own for k in range(len(b) - 2)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_more_characters_than_a_number_holds():
+    wide = ["".join(map(chr, range(0x10000, 0x10000 + 900_000))), "abc"] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(wide)], ["text_id", "body"])
+    found = {}
+    for out in library._post(iter([batch])):
+        for g, ids in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            found.setdefault(g, []).extend(ids)
+    assert len(found) == 899_999 and found["abc"] == [1, 3] and found[wide[0][:3]] == [0, 2]
+
+
+def test_no_gram_of_a_text_is_shuffled(spark, lib):
+    assert dict(spark.read.parquet(lib.grams).dtypes)["ids"] == "array<bigint>"  # a row a gram and block, not a row a gram and text
+    lists = spark.read.parquet(lib.grams).where("gram = 'thi'")
+    assert sorted(i for r in lists.collect() for i in r.ids) == [1, 3, 5, 6, 7] and lists.count() < 4
