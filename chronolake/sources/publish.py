@@ -69,18 +69,20 @@ def publish(spark: SparkSession, root: str, tables: Mapping[str, tuple[DataFrame
     """Publishes ``tables`` (name to frame and partition columns) as the next generation; returns its number.
 
     Tables that are not given stay as they are. A given table is replaced as a whole, or with ``replace`` off only the parts that it brings. Only changed
-    parts are written; they are read back and compared before the manifest is written.
+    parts are written; they are read back and compared before the manifest is written. A frame is worked out once, into ``staged``: what is compared, written and
+    read back against it are passes over stored rows.
     """
     before = manifest(spark, root)
     last = before.agg(F.max("generation")).first()[0]
     lines = before.where(~F.col("table").isin(*tables)).drop("generation")
     for name, (df, columns) in tables.items():
         old = before.where(F.col("table") == name)
+        df = settled(df, f"{root}/staged/{uuid.uuid4().hex}")
         now = _digests(df, columns)
         prior = old.select("part", "path", "available_at", "fetched_at", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
         kind = df.schema.json()
         same = (F.col("rows") == F.col("_rows")) & (F.col("digest") == F.col("_digest"))
-        compared = _settled(now.join(prior, "part", "left").withColumn("_same", F.coalesce(same, F.lit(False))), f"{root}/staged/{uuid.uuid4().hex}")
+        compared = settled(now.join(prior, "part", "left").withColumn("_same", F.coalesce(same, F.lit(False))), f"{root}/staged/{uuid.uuid4().hex}")
         path = f"data/{name}/{uuid.uuid4().hex}"
         changed = compared.where(~F.col("_same"))
         if not changed.isEmpty():
@@ -104,7 +106,7 @@ def publish(spark: SparkSession, root: str, tables: Mapping[str, tuple[DataFrame
     return number
 
 
-def _settled(df: DataFrame, path: str) -> DataFrame:
+def settled(df: DataFrame, path: str) -> DataFrame:
     """Written, so that what is published is what was compared."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -198,7 +200,7 @@ def replace_guarded(spark: SparkSession, root: str, name: str, new: DataFrame, p
     Parts whose new rows are none, lose keys where that is not allowed, or lose too many, stay as they were.
     """
     old = read(spark, root, name)
-    decided = _settled(overwrite_decisions(old, new, part, keys, **limits), f"{root}/staged/{uuid.uuid4().hex}")
+    decided = settled(overwrite_decisions(old, new, part, keys, **limits), f"{root}/staged/{uuid.uuid4().hex}")
     passed = decided.where("action = 'overwrite' and new_rows > 0").select(part)
     publish(spark, root, {name: (new.join(passed, part, "left_semi").select(old.columns), [part])}, fetched_at, replace=False)
     return decided

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 import shutil
 
 import pytest
@@ -160,3 +161,10 @@ def test_profile_reads_footers_only(spark, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "PushedAggregation" in plan and "COUNT(*)" in plan and "MIN(day)" in plan and "body" not in plan
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_a_frame_is_worked_out_once(spark, tmp_path):
+    root = str(tmp_path / "r")
+    chance = F.udf(lambda i: random.SystemRandom().random(), "double").asNondeterministic()
+    publish.publish(spark, root, {"t": (spark.range(20).select((F.col("id") % 3).alias("p"), chance("id").alias("v")), ["p"])}, "t1")
+    assert publish.read(spark, root, "t").count() == 20
