@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import text
 from ..sources.scratch import new_path
@@ -22,11 +23,11 @@ def _folder(t: Tables) -> str:
 def r1_minute_ingest(t: Tables) -> DataFrame:
     """Ticks as a file stream in several micro-batches, merged by year."""
     at = _folder(t)
-    rows = t.ticks.select("ts_code", "trade_time", "price", "trade_date", F.substring("trade_date", 1, 4).alias("year"))
-    rows.repartition(3).write.parquet(f"{at}/in")
-    feed = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    jobs.ingest_minutes(feed, f"{at}/store", ["trade_date", "ts_code", "trade_time"], "year", f"{at}/checkpoint").awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(f"{at}/store").groupBy("trade_date").agg(F.count("*").alias("bars"))
+    ticks = t.ticks.withColumn("year", F.substring("trade_date", 1, 4)).withColumn("_third", F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_suppkey"), F.lit(3)))
+    parts = [ticks.where(F.col("_third") == k).select("ts_code", "trade_time", "price", "trade_date", "year") for k in range(3)]
+    ingest = lambda feed: jobs.ingest_minutes(feed, f"{at}/store", ["trade_date", "ts_code", "trade_time"], "year", f"{at}/checkpoint")
+    _step_by_step(t, parts, f"{at}/in", ingest)
+    return t.spark.read.schema(parts[0].schema).parquet(f"{at}/store").groupBy("trade_date").agg(F.count("*").alias("bars"))
 
 
 def _fed(t: Tables, rows: DataFrame, path: str, files: Sequence[Column], kind: str = "parquet") -> DataFrame:
@@ -38,6 +39,22 @@ def _fed(t: Tables, rows: DataFrame, path: str, files: Sequence[Column], kind: s
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).format(kind).load(path)
 
 
+def _step_by_step(t: Tables, steps: Sequence[DataFrame], path: str, job: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Appends each step, as many files as it has tasks, and runs the job on what is there: steps keep their order, whatever the times of files say.
+
+    Only the last run has a batch without rows, for what is due by then; the others leave it to the next step.
+    """
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    usual = t.spark.conf.get(empty)
+    try:
+        for k, rows in enumerate(steps, 1):
+            rows.write.mode("append").parquet(path)
+            t.spark.conf.set(empty, usual if k == len(steps) else "false")
+            job(t.spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+    finally:
+        t.spark.conf.set(empty, usual)
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1")
 def r4_trace_counters(t: Tables) -> DataFrame:
     """Counters of a log that grows by three files, with a partial last line."""
@@ -54,25 +71,30 @@ def r4_trace_counters(t: Tables) -> DataFrame:
     r AS (SELECT *, CASE WHEN next_ts IS NULL AND ts + INTERVAL 12 HOUR < date_trunc('millisecond', seen) OR next_ts > ts + INTERVAL 12 HOUR THEN 'lost' WHEN next_kind = 'purchase' THEN 'done' END AS state FROM s, w WHERE kind = 'signup')
     SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS started_at, CASE WHEN state = 'done' THEN strftime(next_ts, '%Y-%m-%d %H:%M:%S') END AS ended_at, CASE WHEN state = 'done' THEN next_others - others ELSE (SELECT count(*) FROM e WHERE e.user_id = r.user_id AND kind NOT IN ('signup', 'purchase') AND came > r.ts AND came <= r.ts + INTERVAL 12 HOUR) END AS steps, state FROM r WHERE state IS NOT NULL""")
 def r4_runs_in_flight(t: Tables) -> DataFrame:
-    """Runs from signup to purchase over a month of days; twelve hours without an end lose a run."""
+    """Runs from signup to purchase over eight equal times of the log; twelve hours without an end lose a run."""
     at = _folder(t)
     events = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
-    feed = _fed(t, events, f"{at}/in", [F.floor((F.day("ts") - 1) / 4) == k for k in range(8)])
-    runs = jobs.runs_in_flight(feed, "user_id", "ts", "event_id", "event_type", "signup", "purchase", "12 hours", "1 hour")
-    runs.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    slices = [F.floor((F.unix_micros("ts") - F.lit(first)) * 8 / (F.lit(last) - F.lit(first) + 1)) == k for k in range(8)]
+
+    def follow(feed: DataFrame) -> StreamingQuery:
+        runs = jobs.runs_in_flight(feed, "user_id", "ts", "event_id", "event_type", "signup", "purchase", "12 hours", "1 hour")
+        return runs.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+
+    _step_by_step(t, [events.where(which) for which in slices], f"{at}/in", follow)
     when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return t.spark.read.schema(f"user_id {dict(events.dtypes)['user_id']}, {jobs.RUNS}").parquet(f"{at}/out").select("user_id", when("started_at"), when("ended_at"), "steps", "state")
 
 
 @query("SELECT DISTINCT account, order_id, line, strftime(placed_at, '%Y%m%d') AS day FROM {tickets} k WHERE status = 'filled'")
 def r5_fill_dedup(t: Tables) -> DataFrame:
-    """Fills of each year as a file, twice in it and once more in a file after it: each is announced once."""
+    """Fills of each year as a step, twice in it and as often in a step after it: each is announced once."""
     at = _folder(t)
     fills = t.tickets.where("status = 'filled'").select("account", "order_id", "line", F.col("placed_at").cast("timestamp").alias("placed_at"), F.date_format("placed_at", "yyyyMMdd").alias("day"))
     first, last = fills.agg(F.min(F.year("placed_at")), F.max(F.year("placed_at"))).first()
     years = [F.year("placed_at") == y for y in range(first or 0, (last or 0) + 1) for _ in range(2)]
-    feed = _fed(t, fills.unionByName(fills), f"{at}/in", years)
-    jobs.announce_fills(feed, ["account", "order_id", "line", "day"], "placed_at", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    announce = lambda feed: jobs.announce_fills(feed, ["account", "order_id", "line", "day"], "placed_at", f"{at}/out", f"{at}/checkpoint")
+    _step_by_step(t, [rows.unionByName(rows) for rows in (fills.where(which) for which in years)], f"{at}/in", announce)
     return t.spark.read.schema(fills.schema).parquet(f"{at}/out").select("account", "order_id", "line", "day")
 
 

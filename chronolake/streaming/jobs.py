@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ def ingest_minutes(feed: DataFrame, store: str, keys: Sequence[str], part: str,
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = keep_one(batch.withColumn("_new", F.lit(1)), [part, *keys], [], "last")
-        touched = [r[0] for r in fresh.select(part).distinct().collect()]  # days of one micro-batch
+        fresh = batch.withColumn("_new", F.lit(1))
+        touched = [r[0] for r in batch.select(part).distinct().collect()]  # days of one micro-batch
         if not touched:
             return
         try:
@@ -33,9 +34,9 @@ def ingest_minutes(feed: DataFrame, store: str, keys: Sequence[str], part: str,
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             both = fresh
-        merged = keep_one(both, [part, *keys], ["_new"], "last").drop("_new").persist()
+        merged = keep_one(both, [part, *keys], ["_new"], "last").drop("_new").hint("rebalance", part).persist(StorageLevel.DISK_ONLY)
         merged.count()  # read before the days are replaced
-        merged.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(store)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(store)
         merged.unpersist()
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -83,45 +84,45 @@ RUNS = "started_at timestamp, ended_at timestamp, steps long, state string"
 def runs_in_flight(events: DataFrame, key: str, stamp: str, order: str, kind: str, start: str, end: str, horizon: str, late: str) -> DataFrame:
     """Runs of each key as a stream: ``done`` at their end event, ``lost`` once ``horizon`` passes without one; those in flight are state.
 
-    A new start takes the place of one in flight. ``steps`` are the other events in between. ``stamp`` is the event time; events later than ``late`` after
+    A new start takes the place of one in flight. ``steps`` are the other events in between; a lost run counts those later than its start. ``stamp`` is the event time; events later than ``late`` after
     what was seen are dropped. State is one run a key, and goes with its timeout, so it does not grow with the log.
     """
     kinds, most = dict(events.dtypes), pd.Timedelta(horizon).value // 1000
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, (started, steps) = [], (state.get if state.exists else (None, 0))
+        out, (started, steps, same) = [], (state.get if state.exists else (None, 0, 0))
         if state.hasTimedOut:
-            out.append((k[0], started, -1, steps, "lost"))
+            out.append((k[0], started, -1, steps - same, "lost"))
             started = None
         else:
-            rows = pd.concat(list(frames)).sort_values([stamp, order])
-            for when, what in zip(rows[stamp], rows[kind], strict=True):
-                at = when.value // 1000
+            rows = pd.concat(list(frames)).sort_values(["_at", order])
+            for at, what in zip(rows["_at"].tolist(), rows[kind], strict=True):
                 if started is not None and at > started + most:
-                    out.append((k[0], started, -1, steps, "lost"))
+                    out.append((k[0], started, -1, steps - same, "lost"))
                     started = None
                 if what == start:
-                    started, steps = at, 0
+                    started, steps, same = at, 0, 0
                 elif what == end and started is not None:
                     out.append((k[0], started, at, steps, "done"))
                     started = None
                 elif started is not None:
-                    steps += 1
+                    steps, same = steps + 1, same + (at == started)
         due = None if started is None else (started + most) // 1000
         if due is not None and due < state.getCurrentWatermarkMs():
-            out.append((k[0], started, -1, steps, "lost"))
+            out.append((k[0], started, -1, steps - same, "lost"))
             due = None
         if due is None:
             if state.exists:
                 state.remove()
         else:
-            state.update((started, steps))
+            state.update((started, steps, same))
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[key, "started", "ended", "steps", "state"])
 
-    grouped = events.withWatermark(stamp, late).groupBy(key)
-    runs = grouped.applyInPandasWithState(step, f"{key} {kinds[key]}, started long, ended long, steps long, state string", "started long, steps long", "append", GroupStateTimeout.EventTimeTimeout)
+    # Times are numbers in Python, so that the session's time zone does not move them.
+    grouped = events.withColumn("_at", F.unix_micros(stamp)).withWatermark(stamp, late).groupBy(key)
+    runs = grouped.applyInPandasWithState(step, f"{key} {kinds[key]}, started long, ended long, steps long, state string", "started long, steps long, same long", "append", GroupStateTimeout.EventTimeTimeout)
     return runs.select(key, F.timestamp_micros("started").alias("started_at"), F.when(F.col("ended") >= 0, F.timestamp_micros("ended")).alias("ended_at"), "steps", "state")
 
 

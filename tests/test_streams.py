@@ -5,6 +5,12 @@ import glob
 import os
 import random
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from chronolake.plans import catalog, stream_queries
+from chronolake.plans.registry import Tables
 from chronolake.streaming import jobs
 
 EVENTS = "k string, t timestamp, i long, kind string"
@@ -110,3 +116,30 @@ def test_fills_are_announced_once(spark, tmp_path):
     assert run((1, "a", 1), (1, "b", 3)) == [(1, "a"), (1, "b"), (2, "a")]
     assert run((2, "a", 20), (3, "a", 24 * 9)) == [(1, "a"), (1, "b"), (2, "a"), (3, "a")]
     assert run((3, "a", 24 * 9), (1, "a", 24 * 20)) == [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, "a")]  # beyond the horizon an id is new
+
+
+@pytest.mark.parametrize("name", ["r4_runs_in_flight"])
+def test_runs_of_a_log_over_months(spark, tmp_path, name):
+    rnd, kinds = random.Random(9), ["signup", "purchase", "click", "view"]
+    rows = [(i, rnd.randrange(6), rnd.choice(kinds), at(round(rnd.uniform(0, 24 * 70), 1))) for i in range(900)]
+    rows += [(900, 6, "signup", at(5)), (901, 6, "click", at(5)), (902, 6, "click", at(6))]  # one at the very start
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(str(tuple(r)) for r in catalog.QUERIES[name](spark, str(tmp_path)).select("user_id", "started_at", "ended_at", "steps", "state").collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(str(r) for r in con.sql(f"SELECT user_id, started_at, ended_at, steps, state FROM ({catalog.ORACLES[name]}) x").fetchall())
+    assert "(6, '2024-01-01 05:00:00', None, 1, 'lost')" in got
+
+
+def test_steps_keep_their_order_in_many_files(spark, tmp_path):
+    seen, path = [], str(tmp_path)
+
+    def job(feed):
+        for f in glob.glob(f"{path}/in/*.parquet"):
+            os.utime(f, (1_700_000_000, 1_700_000_000))  # a store that does not tell times apart
+        note = lambda batch, number: seen.append((len(batch.select("f").distinct().collect()), [r[0] for r in batch.select("k").distinct().collect()]))
+        return feed.withColumn("f", F.input_file_name()).writeStream.foreachBatch(note).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
+
+    steps = [spark.range(40).repartition(3).select("id", F.lit(k).alias("k")) for k in range(3)]
+    stream_queries._step_by_step(Tables(spark, path), steps, f"{path}/in", job)
+    assert seen == [(3, [0]), (3, [1]), (3, [2])]
