@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,9 @@ GENERALISE, REMOVE = 0.6, 0.9
 #: Stands for the entity where a term discloses one by itself.
 EVERYWHERE = ""
 #: Term counts that a task holds before it hands them on.
-HELD = 500_000
+HELD = 100_000
+#: Texts whose words a task holds at once.
+TEXTS = 250
 #: Pairs that a task holds before it hands them on, and parts into which the pairs of an entity are dealt.
 PAIRS, SALTS = 100_000, 16
 #: Disclosing pairs up to which they are broadcast (about 100 bytes each); beyond, they are shuffled.
@@ -46,6 +49,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W_]+")
+#: Bytes of UTF-8: ASCII letters in lower case and digits, all other ASCII blank, the rest as it is; and digits as 0, stops, all else blank.
+_PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+_DIGITS = bytes(48 if 48 <= c <= 57 else 46 if c == 46 else 32 for c in range(256))
 
 
 def _luhn(digits: str) -> bool:
@@ -68,17 +74,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             done = m.end()
             spans.append(("email", start, done))
         at = text.find("@", at + 1)
-    if "." in text:
+    digits = text.encode().translate(_DIGITS)  # patterns that lack digits are not tried
+    if b"0.0" in digits:
         spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in (q.lstrip("0")[:4] or "0" for q in m[0].split(".")))]
-    for m in _CARD.finditer(text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 16 <= len(digits) <= 19 and _luhn(digits):
+    for m in _CARD.finditer(text) if digits.count(b"0") >= 16 else ():
+        number = m[0].replace(" ", "").replace("-", "")
+        if 16 <= len(number) <= 19 and _luhn(number):
             spans.append(("card", m.start(), m.end()))
     if "+" in text:
         spans += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
     return spans
 
 
+def _words(text: str) -> set[str]:
+    """The different words of a text in lower case; only parts with signs beyond ASCII go through the pattern."""
+    parts = set(text.encode().translate(_PLAIN).decode().split())
+    if text.isascii():
+        return parts
+    words = {p.lower() for p in parts if p.isalnum()}
+    words.update(w.lower() for p in parts if not p.isalnum() for w in _WORD.findall(p))
+    return words
+
+
 def _free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """(word, start, end) of each word that no base span touches."""
     taken = sorted((a, b) for _, a, b in spans)
@@ -124,29 +141,27 @@ def _found(documents: DataFrame, text: str) -> DataFrame:
     return documents.mapInArrow(find, T.StructType([*documents.schema.fields, T.StructField("_key", T.BinaryType()), _OWN]))
 
 
-def _others(documents: DataFrame, text: str, told: bytes, touched: bool) -> DataFrame:
-    """The rows without base spans: with ``touched`` those that hold a marked term, with ``_key`` and no ``_own``; else those that do not."""
+def _others(documents: DataFrame, text: str, told: bytes, rest: list[str]) -> DataFrame:
+    """The rows without base spans; with ``_key`` and no ``_own`` those that hold a marked term, without a key and with the columns ``rest`` only those that do not."""
     names = documents.columns
     bits = documents.sparkSession.sparkContext.broadcast(told)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [body or "" for body in batch.column(names.index(text)).to_pylist()]
-            plain = [not base_spans(body) for body in bodies]
-            words = [list({f"{EVERYWHERE}\n{w.lower()}" for w in set(_WORD.findall(body))}) if own else [] for body, own in zip(bodies, plain, strict=True)]
-            hit = is_marked(bits.value, crc_slots([w for own in words for w in own])) if any(words) else []
-            owner = [k for k, own in enumerate(words) for _ in own]
-            marked = {k for k, there in zip(owner, hit, strict=True) if there}
-            if touched:
-                keep = sorted(marked)
-                rows = batch.take(pa.array(keep, pa.int64()))
-                keys = [hashlib.sha256(bodies[k].encode()).digest() for k in keep]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.binary()), pa.array([[]] * len(keep), pa.list_(_SPAN))], [*names, "_key", "_own"])
-            else:
-                yield batch.filter(pa.array([own and k not in marked for k, own in enumerate(plain)], pa.bool_()))
-
-    schema = T.StructType([*documents.schema.fields, T.StructField("_key", T.BinaryType()), _OWN]) if touched else documents.schema
-    return documents.mapInArrow(find, schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                bodies = [body or "" for body in batch.column(names.index(text)).to_pylist()]
+                plain = [k for k, body in enumerate(bodies) if not base_spans(body)]
+                words = [_words(bodies[k]) for k in plain]
+                every = list(set().union(*words))
+                hit = {w for w, there in zip(every, is_marked(bits.value, crc_slots([f"{EVERYWHERE}\n{w}" for w in every])), strict=True) if there}
+                keys = [None if own.isdisjoint(hit) else hashlib.sha256(bodies[k].encode()).digest() for k, own in zip(plain, words, strict=True)]
+                rows, keys = batch.take(pa.array(plain, pa.int64())), pa.array(keys, pa.binary())
+                columns = [c if n in rest else pc.if_else(keys.is_valid(), c, pa.scalar(None, c.type)) for n, c in zip(names, rows.columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, keys, pa.array([[]] * len(plain), pa.list_(_SPAN))], [*names, "_key", "_own"])
+
+    fields = [f if f.name in rest else T.StructField(f.name, f.dataType) for f in documents.schema.fields]
+    return documents.mapInArrow(find, T.StructType([*fields, T.StructField("_key", T.BinaryType()), _OWN]))
 
 
 def _document_counts(documents: DataFrame, text: str) -> DataFrame:
@@ -161,10 +176,10 @@ def _document_counts(documents: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for body in batch.column(0).to_pylist():
                 own = base_spans(body)
-                held.update({w for w, _, _ in _free_words(body, own)} if own else {w.lower() for w in set(_WORD.findall(body))})
-            if len(held) > HELD:
-                yield out()
-                held.clear()
+                held.update({w for w, _, _ in _free_words(body, own)} if own else _words(body))
+                if len(held) > HELD:
+                    yield out()
+                    held.clear()
         yield out()
 
     rows = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
@@ -278,8 +293,8 @@ def _disclosing(documents: DataFrame, found: DataFrame, text: str) -> DataFrame:
     return out
 
 
-def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list[list[tuple[str, int, int]]]], pa.RecordBatch], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """What ``out`` makes of the rows that have spans and of all their spans, sorted by kind as listed, then start; and the rows that surely have none.
+def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list[list[tuple[str, int, int]]]], pa.RecordBatch], schema: T.StructType, rest: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What ``out`` makes of the rows that have spans and of all their spans, sorted by kind as listed, then start; and the columns ``rest`` of the rows that surely have none.
 
     Beside the base kinds there are ``generalise`` and ``remove``, the disclosing terms. Every row is a document to the
     counts and is judged by its own text, whatever its other columns say. Null and empty texts have no spans.
@@ -289,7 +304,8 @@ def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list
     pair = F.concat_ws("\n", "entity", "term").alias("pair")
     told = marks(disclosing.select(pair), "pair", crc_slot)
     everywhere = marks(disclosing.where(F.col("entity") == EVERYWHERE).select(pair), "pair", crc_slot)
-    found = found.unionByName(written(_others(documents, text, everywhere, True), "touched"))
+    others = written(_others(documents, text, everywhere, rest), "others")  # one pass over the texts
+    found = found.unionByName(others.where("_key is not null"))
     known = _pairs_of_texts(found, text, told).join(bounded_broadcast(disclosing, disclosing.count(), BROADCAST_ROWS), ["entity", "term"])
     known = known.groupBy("_key", "term").agg(F.max("kind").alias("kind"))  # removal beats generalisation
     terms = known.groupBy("_key").agg(F.collect_list(F.struct("term", "kind")).alias("_terms"))
@@ -305,7 +321,7 @@ def _judged(documents: DataFrame, text: str, out: Callable[[pa.RecordBatch, list
                 spans.append(sorted(base + more, key=lambda s: (order[s[0]], s[1], s[2])))
             yield out(batch.select(list(range(len(names)))), spans)
 
-    return found.join(terms, "_key", "left").select(*names, "_own", "_terms").mapInArrow(judge, schema), _others(documents, text, everywhere, False)
+    return found.join(terms, "_key", "left").select(*names, "_own", "_terms").mapInArrow(judge, schema), others.where("_key is null").select(rest)
 
 
 def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,7 +339,7 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pa.RecordBatch.from_arrays([rows.column(0), *numbers, base, pa.array(map(said, spans), pa.string())], names)
 
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
-    judged, others = _judged(docs, "text", out, schema)
+    judged, others = _judged(docs, "text", out, schema, ["doc_id"])
     blank = others.select("doc_id", *(F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS), F.lit("").alias("base"), F.lit("").alias("spans"))
     return judged.unionByName(blank)
 
@@ -343,7 +359,7 @@ def sanitise(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         bodies = map(replaced, rows.column(names.index(body)).to_pylist(), spans)
         return pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if n == body else rows.column(n) for n in names], names)
 
-    judged, others = _judged(docs, body, out, docs.schema)
+    judged, others = _judged(docs, body, out, docs.schema, names)
     return judged.unionByName(others).toDF(*documents.columns)
 
 

@@ -96,6 +96,19 @@ def test_disclosure_by_brute_force(spark, seed):
     assert [clean[k] for k in range(len(texts))] == [t if t is None else pii.replaced(t, own) for t, own in zip(texts, pii_by_hand(texts), strict=True)]
 
 
+def test_plain_texts_are_read_once(spark, tmp_path):
+    texts = private_corpus(3, 30)
+    frame(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for out in (pii.report(docs), pii.sanitise(docs)):
+        assert not any(str(tmp_path) in f for f in out.inputFiles())  # texts without spans were searched again for the last step
+        assert out.count() == len(texts)
+    rnd = random.Random(4)
+    signs = "aZ9_ -.\u00b5\u0130\u03a3\u03c2\u00df\u0301\u2028\u4e2d\u0663\u00b2\x1c"
+    for text in ("".join(rnd.choices(signs, k=rnd.randint(0, 20))) for _ in range(2000)):
+        assert pii._words(text) == {w.lower() for w in pii._WORD.findall(text)}
+
+
 def test_any_column_names(spark):
     names = "_doc, _spans, _slot, _key, _own, _terms, _bad, _dropped, k, o, q, b, c0"
     docs = [(k, t) for k, t in enumerate([*private_corpus(3, 30), "a b c d e f g", "a b c d e f g"])]
