@@ -1,7 +1,7 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one node. Tokens are
-ordered by the class of their rarest word (rare before frequent), then by hash; two sets of the wanted similarity share at least l tokens of
+ordered by their own class and that of their rarest word (rare before frequent), then by hash; two sets of the wanted similarity share at least l tokens of
 their first ``n - required + l``; l is two, for pairs of tokens, and grows slowly with the set. Documents are first held
 against one document with which they share most prefix tokens, in rounds as long as that joins components, which joins groups of copies in
 stars. Only tokens whose documents still lie in different components go on: rare ones index single tokens,
@@ -25,6 +25,8 @@ from .components import components
 
 #: Words in at least this share of documents have a class of their own (by powers of two); all others are rare.
 WORD_SHARE = 1e-3
+#: Shingles counted in at least this share of documents, and this often, have classes as well and come after all others.
+SHINGLE_SHARE, FREQUENT_LEAST = 2e-4, 20
 #: A token is frequent when more documents than this hold it in their prefixes (then pairs of tokens are indexed).
 RARE_DOCUMENTS = 200
 #: Rounds of stars at most; all that they leave apart is compared afterwards.
@@ -94,34 +96,55 @@ def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(doc.alias("doc"), F.col(text).alias("text"), _row(doc, F.col(text)).alias("row"))
 
 
-def _word_classes(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent words, sorted, and their classes from 1 on; at most a document's mean number of words by ``WORD_SHARE`` of them."""
+def _classes(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of frequent words, sorted, and their classes from 1 on; the same of frequent shingles.
+
+    Words are at most a document's mean number of words by ``WORD_SHARE``, shingles by ``SHINGLE_SHARE`` of them. All documents are
+    counted. What is rare in a task is left out there, so a class may come out low; classes only put tokens in order.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
             words, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             keep = n >= max(2, WORD_SHARE / 8 * len(held))
-            return pa.RecordBatch.from_arrays([pa.array(words[keep].view(np.int64)), pa.array(n[keep])], ["word", "n"])
+            # Texts are mixed together: the shingles across their ends are noise.
+            mixed, m = np.unique(_mixed(np.concatenate(texts), size), return_counts=True) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = m >= max(2, SHINGLE_SHARE * len(texts))
+            both = np.concatenate((words[keep], mixed[often])).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)) >= keep.sum()), pa.array(both), pa.array(np.concatenate((n[keep], m[often])))], ["mixed", "word", "n"])
 
         total = 0
         for batch in batches:
             for body in batch.column(0):
-                held.append(np.unique(_hashes(body.as_py())))
-                total += len(held[-1])
+                texts.append(_hashes(body.as_py()))
+                held.append(np.unique(texts[-1]))
+                total += len(texts[-1])
                 if total >= AT_ONCE:
                     yield out()
-                    held, total = [], 0
+                    held, texts, total = [], [], 0
         yield out()
 
     n_docs = max(keyed.count(), 1)
-    counts = keyed.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") >= max(2.0, WORD_SHARE * n_docs)).toArrow()
-    words, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(words)
-    classes = 1 + np.floor(np.log2(np.maximum(n / (WORD_SHARE * n_docs), 1)))
-    return words[order], classes.astype(np.uint8)[order]
+    counts = keyed.select("text").mapInArrow(count, "mixed boolean, word long, n long").groupBy("mixed", "word").agg(F.sum("n").alias("n"))
+    least = {False: max(2.0, WORD_SHARE * n_docs), True: max(float(FREQUENT_LEAST), SHINGLE_SHARE * n_docs)}
+    found = counts.where(F.col("n") >= F.when(F.col("mixed"), least[True]).otherwise(least[False])).toArrow()
+    kind, words, n = found.column("mixed").to_numpy(), found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    out: list[np.ndarray] = []
+    for mixed, share in ((False, WORD_SHARE * n_docs), (True, least[True])):
+        own = np.flatnonzero(kind == mixed)
+        own = own[np.argsort(words[own])]
+        out += [words[own], (1 + np.floor(np.log2(np.maximum(n[own] / share, 1)))).astype(np.uint8)]
+    return tuple(out)
+
+
+def _class_of(hashes: np.ndarray, known: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(hashes), np.uint8)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, classes[at], 0).astype(np.uint8)
 
 
 def _key(own: np.ndarray) -> int | None:
@@ -131,10 +154,10 @@ def _key(own: np.ndarray) -> int | None:
 
 def _prefixes(keyed: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(doc, row, n, k, tokens): the set's size, its key (a digest) and its extended prefix in the tokens' order."""
-    known = keyed.sparkSession.sparkContext.broadcast(_word_classes(keyed))
+    known = keyed.sparkSession.sparkContext.broadcast(_classes(keyed, size))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, classes = known.value
+        frequent, classes, common, levels = known.value
         for batch in batches:
             n, keys, tokens = [], [], []
             for body in batch.column(1):
@@ -142,15 +165,13 @@ def _prefixes(keyed: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 own, first = np.unique(_mixed(hashes, size), return_index=True)
                 n.append(len(own))
                 keys.append(_key(own))
-                own_class = np.zeros(len(hashes), np.uint8)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                    own_class = np.where(frequent[at] == hashes, classes[at], 0)
-                rarest = own_class
+                rarest = own_class = _class_of(hashes, frequent, classes)
                 for k in range(1, min(size, len(hashes))):
                     rarest = np.minimum(rarest[:-1], own_class[k:])
                 most = len(own) - -(-num * len(own) // den) + COMBINED + len(own) // MORE_EACH
-                tokens.append(own[np.argsort(rarest[first], kind="stable")][:most].view(np.int64) if len(own) else own.view(np.int64))
+                # A shingle that is itself frequent comes after all others, whatever its words.
+                order = _class_of(own, common, levels).astype(np.uint16) << 8 | rarest[first] if len(own) else own
+                tokens.append(own[np.argsort(order, kind="stable")][:most].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc", "row", "n", "k", "tokens"])
 
     return keyed.mapInArrow(cut, "doc long, row long, n int, k long, tokens array<long>")

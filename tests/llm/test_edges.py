@@ -312,3 +312,12 @@ def test_candidates_of_texts_that_are_not_similar_enough(spark, monkeypatch, n):
     out = jaccard.join(frame(spark, [(k, varied()) for k in range(n)]), 3, 9, 10).collect()
     assert len(out) == n == len({r.component_id for r in out})
     assert sum(seen) <= 3 * n, seen
+
+
+def test_frequent_shingles_come_after_others(spark):
+    rng, words = random.Random(5), [f"w{i}" for i in range(30)]
+    line = "one and the same line stands in all of these texts"
+    docs = [(k, " ".join(rng.choices(words, k=30)) + f" {line} " + " ".join(rng.choices(words, k=30))) for k in range(100)]
+    passage = set(jaccard.shingles(line, 3).view(np.int64).tolist())
+    prefixes = jaccard._prefixes(jaccard._keyed(frame(spark, docs), "doc_id", "text"), 3, 9, 10).collect()
+    assert len(prefixes) == 100 and not any(passage & set(r.tokens) for r in prefixes)
