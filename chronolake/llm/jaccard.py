@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MARK_BITS, forget, is_marked, join_counted, mark_slot, marks, modest_batches, release, split, written
+from .common import MARK_BITS, forget, is_marked, join_counted, mark_slot, marks, modest_batches, release, split, tidy, written
 from .components import components
 
 #: Words in at least this share of documents have a class of their own (by powers of two); all others are rare.
@@ -130,7 +130,8 @@ def _classes(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     n_docs = max(keyed.count(), 1)
     counts = keyed.select("text").mapInArrow(count, "mixed boolean, word long, n long").groupBy("mixed", "word").agg(F.sum("n").alias("n"))
     least = {False: max(2.0, WORD_SHARE * n_docs), True: max(float(FREQUENT_LEAST), SHINGLE_SHARE * n_docs)}
-    found = counts.where(F.col("n") >= F.when(F.col("mixed"), least[True]).otherwise(least[False])).toArrow()
+    with tidy(keyed.sparkSession):
+        found = counts.where(F.col("n") >= F.when(F.col("mixed"), least[True]).otherwise(least[False])).toArrow()
     kind, words, n = found.column("mixed").to_numpy(), found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
     out: list[np.ndarray] = []
     for mixed, share in ((False, WORD_SHARE * n_docs), (True, least[True])):
@@ -272,7 +273,8 @@ def _star(postings: DataFrame, turn: int, num: int, den: int) -> DataFrame:
 
 def _crowded(open_: DataFrame) -> bool:
     """Whether the pairs of documents that meet in a token are many times the postings."""
-    load = open_.groupBy("token").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+    with tidy(open_.sparkSession):
+        load = open_.groupBy("token").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
     return (load[0] or 0) > CROWDED * (load[1] or 0)
 
 
@@ -297,25 +299,27 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
 
     # Stars only spare work: whatever they leave apart is compared below.
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    links, open_ = None, repeated.withColumn("c", F.col("k"))
+    links, open_, held = None, repeated.withColumn("c", F.col("k")), [repeated]
     for turn in range(ROUNDS):
         if not _crowded(open_):
             break
         stars = written(_star(open_, turn, num, den), "stars")
         joined = written(_verified(stars, _sets(keyed, nodes, both(stars), size), num, den), "links")
-        links = joined if links is None else links.unionByName(joined)
         if turn == 0 or not joined.isEmpty():
-            before, open_ = open_, written(_open(repeated, components(links)), "open")
-            if turn:
-                forget(before)
+            # Stars of the components so far stand for all their links.
+            found = components(joined if links is None else links.unionByName(joined))
+            links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            open_ = written(_open(repeated, found), "open")
+            forget(*held[1:])
+            held[1:] = [open_]
         forget(stars)
         release(keyed.sparkSession)
     open_ = open_.withColumn("often", F.col("df") > RARE_DOCUMENTS)
     # Two shared tokens are both rare, or a pair of which one is frequent at least: r rare tokens and p such pairs are
     # s shared tokens with s (s - 1) = r (r - 1) + 2 p, so the tokens that two documents must share are counted exactly.
     must = COMBINED + F.floor(F.col("n") / MORE_EACH)
-    held = W.partitionBy("k")
-    open_ = open_.select("*", F.sum(F.col("often").cast("int")).over(held).alias("of"), F.count("*").over(held).alias("_held")).where(F.col("_held") >= must).drop("_held")
+    of_set = W.partitionBy("k")
+    open_ = open_.select("*", F.sum(F.col("often").cast("int")).over(of_set).alias("of"), F.count("*").over(of_set).alias("_held")).where(F.col("_held") >= must).drop("_held")
     rare = _met(open_.where("not often"), ["token"], num, den)
     own_tokens = open_.where("of > 0").groupBy("k", "n", "c", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "often"))).alias("ts"))
     firsts = own_tokens.select("k", "n", "c", "of", "ts", F.posexplode("ts").alias("i", "one"))
@@ -324,6 +328,7 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     marked = lambda met, r, p: met.select("a", "b", "must", F.lit(r).alias("r"), F.lit(p).alias("p"))
     met = marked(rare, 1, 0).unionByName(marked(_met(paired, ["token", "token2"], num, den), 0, 1)).groupBy("a", "b", "must").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
     pairs = written(met.where(F.col("r") * (F.col("r") - 1) + 2 * F.col("p") >= F.col("must") * (F.col("must") - 1)).select("a", "b"), "pairs")
+    forget(*held)
     # Pairs carry a set; where there are many for each set, they go in turns, so that the shuffle files of one make room for the next.
     n_pairs, n_nodes = pairs.count(), nodes.count()
     turns = max(1, -(-n_pairs // (PAIRS_EACH * max(n_nodes, 1))))

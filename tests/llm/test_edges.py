@@ -3,13 +3,18 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolake.llm import chat, decontaminate, imatch, jaccard, langid, pack, pii, substring, token_file, toxicity
+from chronolake.llm import chat, common
+from chronolake.llm import components as components_module
+from chronolake.llm import decontaminate, imatch, jaccard, langid, pack, pii, substring, token_file, toxicity
+from chronolake.llm.components import components
 
 from .helpers import corpus
 from .test_operators import frame, groups10, removed, spans3, words1
@@ -321,3 +326,34 @@ def test_frequent_shingles_come_after_others(spark):
     passage = set(jaccard.shingles(line, 3).view(np.int64).tolist())
     prefixes = jaccard._prefixes(jaccard._keyed(frame(spark, docs), "doc_id", "text"), 3, 9, 10).collect()
     assert len(prefixes) == 100 and not any(passage & set(r.tokens) for r in prefixes)
+
+
+def test_no_shuffle_files_stay(spark):
+    """Shuffle files of what is written are gone soon after, without a collection of garbage in the driver."""
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffles = lambda: {p.name for d in dirs for p in Path(d).rglob("shuffle_*")}
+    before = shuffles()
+    kept = [common.written(frame(spark, corpus(3, 40)).groupBy("text").count().repartition(7, "count"), "counts"), components(spark.createDataFrame([(3, 2), (2, 1)], "a long, b long"))]
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and len(kept) == 2, left
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
+@pytest.mark.parametrize("at_once", [3, 500_000])
+def test_components_by_brute_force(spark, monkeypatch, at_once):
+    """Tasks of few edges and of all; a chain of edges takes as many stages as a pair, when they fit one task."""
+    monkeypatch.setattr(components_module, "AT_ONCE", at_once)
+    rnd = random.Random(at_once)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(40)]
+    rounds, whole = [], components_module._small_star
+    monkeypatch.setattr(components_module, "_small_star", lambda e: rounds.append(1) or whole(e))
+    least = {k: k for e in edges for k in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert {(r.node, r.component) for r in found} == {(n, c) for n, c in least.items() if n != c} and len(found) == len(set(found))
+    assert at_once == 3 or len(rounds) == 2
