@@ -357,3 +357,15 @@ def test_components_by_brute_force(spark, monkeypatch, at_once):
     found = components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
     assert {(r.node, r.component) for r in found} == {(n, c) for n, c in least.items() if n != c} and len(found) == len(set(found))
     assert at_once == 3 or len(rounds) == 2
+
+
+def test_tables_of_substring_dedup_make_room(spark, monkeypatch):
+    """When segments are grouped, the texts and anchors that they came from are gone from the shared folder."""
+    kept, there, whole = [], [], substring._cuts
+    written = lambda df, name: kept.append((name, table := common.written(df, name))) or table
+    monkeypatch.setattr(substring, "written", written)
+    monkeypatch.setattr(substring, "_cuts", lambda own, *level: there.append([n for n, t in kept if Path(t.written_to.removeprefix("file://")).exists()]) or whole(own, *level))
+    docs = corpus(4, 30)
+    out = substring.dedup(frame(spark, docs)).select("doc_id", "n_bytes", "n_removed").collect()
+    assert len(out) == len(docs) and sum(r.n_removed for r in out)
+    assert there[0] == ["stale", "segments"]
