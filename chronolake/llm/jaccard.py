@@ -11,7 +11,9 @@ frequent ones pairs of tokens. Candidates pass bounds on length and position and
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ RARE_DOCUMENTS = 200
 ROUNDS = 4
 #: Pairs for each set that are verified in one turn.
 PAIRS_EACH = 4
+#: Meetings for each set that are listed in one turn.
+MET_EACH = 600
 #: Pairs for each posting from which another round is worth its while.
 CROWDED = 4
 #: Tokens of a combination, and one more for each so many tokens of a set: so many shared ones a prefix is extended for.
@@ -241,13 +245,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where((F.col("_both") * den) >= (F.col("_sum") - F.col("_both")) * num).select("a", "b").distinct()
 
 
-def _met(postings: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
-    """A row for each token (or pair of tokens) that two documents of different components share within the bounds on length and position."""
+def _met(postings: DataFrame, by: list[str], num: int, den: int, turn: int, turns: int) -> DataFrame:
+    """A row for each token (or pair of tokens) that two documents of different components share within the bounds on length and position.
+
+    A turn has all rows of its own share of the lesser documents.
+    """
     mixed = postings.groupBy(*by).agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select(*by)
     own = postings.join(mixed, by, "left_semi")
     other = own.select(*by, *(F.col(x).alias(f"{x}2") for x in ("k", "n", "pos", "c", "of")))
     best = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    met = own.join(other, by).where((F.col("c") != F.col("c2")) & (F.col("k") < F.col("k2")))
+    mine = own.where(F.pmod(F.xxhash64("k"), F.lit(turns)) == turn) if turns > 1 else own
+    met = mine.join(other, by).where((F.col("c") != F.col("c2")) & (F.col("k") < F.col("k2")))
     kept = met.where(_fits(F.col("n"), F.col("n2"), num, den) & (best * (num + den) >= (F.col("n") + F.col("n2")) * num))
     # What two sets share beyond their prefixes is at most the longer rest, so the prefixes share what is missing to the overlap.
     rest = lambda n: F.greatest(F.ceil(n * num / den) - COMBINED - F.floor(n / MORE_EACH), F.lit(0))
@@ -320,18 +328,25 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     must = COMBINED + F.floor(F.col("n") / MORE_EACH)
     of_set = W.partitionBy("k")
     open_ = open_.select("*", F.sum(F.col("often").cast("int")).over(of_set).alias("of"), F.count("*").over(of_set).alias("_held")).where(F.col("_held") >= must).drop("_held")
-    rare = _met(open_.where("not often"), ["token"], num, den)
+    rare = open_.where("not often")
     own_tokens = open_.where("of > 0").groupBy("k", "n", "c", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "often"))).alias("ts"))
     firsts = own_tokens.select("k", "n", "c", "of", "ts", F.posexplode("ts").alias("i", "one"))
     later = F.filter(F.slice("ts", F.col("i") + 2, F.size("ts")), lambda t: t["often"] | F.col("one.often"))
     paired = firsts.select("k", "n", "c", "of", "one.pos", F.col("one.token").alias("token"), F.explode(later).alias("two")).select("k", "n", "c", "of", "pos", "token", F.col("two.token").alias("token2"))
     marked = lambda met, r, p: met.select("a", "b", "must", F.lit(r).alias("r"), F.lit(p).alias("p"))
-    met = marked(rare, 1, 0).unionByName(marked(_met(paired, ["token", "token2"], num, den), 0, 1)).groupBy("a", "b", "must").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
-    pairs = written(met.where(F.col("r") * (F.col("r") - 1) + 2 * F.col("p") >= F.col("must") * (F.col("must") - 1)).select("a", "b"), "pairs")
+    with tidy(keyed.sparkSession):
+        sizes = [rows.groupBy(*by).agg(F.count("*").cast("double").alias("n")) for rows, by in ((rare, ["token"]), (paired, ["token", "token2"]))]
+        meetings = sizes[0].select("n").unionByName(sizes[1].select("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    # Meetings are rows before they are counted: where there are many for each set, they go in turns as well.
+    n_nodes, found = max(nodes.count(), 1), []
+    turns = max(1, math.ceil(meetings / (MET_EACH * n_nodes)))
+    for turn in range(turns):
+        met = marked(_met(rare, ["token"], num, den, turn, turns), 1, 0).unionByName(marked(_met(paired, ["token", "token2"], num, den, turn, turns), 0, 1)).groupBy("a", "b", "must").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
+        found.append(written(met.where(F.col("r") * (F.col("r") - 1) + 2 * F.col("p") >= F.col("must") * (F.col("must") - 1)).select("a", "b"), "pairs"))
+    pairs = reduce(DataFrame.unionByName, found)
     forget(*held)
     # Pairs carry a set; where there are many for each set, they go in turns, so that the shuffle files of one make room for the next.
-    n_pairs, n_nodes = pairs.count(), nodes.count()
-    turns = max(1, -(-n_pairs // (PAIRS_EACH * max(n_nodes, 1))))
+    turns = max(1, -(-pairs.count() // (PAIRS_EACH * n_nodes)))
     sets = _sets(keyed, nodes, both(pairs), size)
     if turns > 1:
         sets = written(sets, "sets")

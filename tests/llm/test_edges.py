@@ -369,3 +369,15 @@ def test_tables_of_substring_dedup_make_room(spark, monkeypatch):
     out = substring.dedup(frame(spark, docs)).select("doc_id", "n_bytes", "n_removed").collect()
     assert len(out) == len(docs) and sum(r.n_removed for r in out)
     assert there[0] == ["stale", "segments"]
+
+
+def test_meetings_in_turns(spark, monkeypatch):
+    """Many turns list the same pairs as one."""
+    docs, kinds, whole = frame(spark, corpus(6, 40)), set(), jaccard._met
+    monkeypatch.setattr(jaccard, "_met", lambda *a: kinds.add(a[-1]) or whole(*a))
+    monkeypatch.setattr(jaccard, "RARE_DOCUMENTS", 3)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    one = sorted(map(tuple, jaccard.join(docs, 3, 9, 10).collect()), key=str)
+    monkeypatch.setattr(jaccard, "MET_EACH", 1)
+    assert sorted(map(tuple, jaccard.join(docs, 3, 9, 10).collect()), key=str) == one
+    assert max(kinds) > 1
