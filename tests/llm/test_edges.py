@@ -378,6 +378,6 @@ def test_meetings_in_turns(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "RARE_DOCUMENTS", 3)
     monkeypatch.setattr(jaccard, "ROUNDS", 0)
     one = sorted(map(tuple, jaccard.join(docs, 3, 9, 10).collect()), key=str)
-    monkeypatch.setattr(jaccard, "MET_EACH", 1)
+    monkeypatch.setattr(jaccard, "MET_EACH", 0.1)
     assert sorted(map(tuple, jaccard.join(docs, 3, 9, 10).collect()), key=str) == one
     assert max(kinds) > 1
