@@ -84,8 +84,9 @@ RUNS = "started_at timestamp, ended_at timestamp, steps long, state string"
 def runs_in_flight(events: DataFrame, key: str, stamp: str, order: str, kind: str, start: str, end: str, horizon: str, late: str) -> DataFrame:
     """Runs of each key as a stream: ``done`` at their end event, ``lost`` once ``horizon`` passes without one; those in flight are state.
 
-    A new start takes the place of one in flight. ``steps`` are the other events in between; a lost run counts those later than its start. ``stamp`` is the event time; events later than ``late`` after
-    what was seen are dropped. State is one run a key, and goes with its timeout, so it does not grow with the log.
+    A new start takes the place of one in flight. ``steps`` are the other events in between (null is none); a lost run counts those later than its start. ``stamp`` is the event time; events later than ``late`` after
+    what was seen are dropped. A run is lost once its horizon lies ``late`` behind what was seen, or at a later start or end; other events do not end it. State is one run a key, and goes with its
+    timeout, so it does not grow with the log.
     """
     kinds, most = dict(events.dtypes), pd.Timedelta(horizon).value // 1000
 
@@ -96,8 +97,12 @@ def runs_in_flight(events: DataFrame, key: str, stamp: str, order: str, kind: st
             started = None
         else:
             rows = pd.concat(list(frames)).sort_values(["_at", order])
-            for at, what in zip(rows["_at"].tolist(), rows[kind], strict=True):
+            for at, what, known in zip(rows["_at"].tolist(), rows[kind], rows[kind].notna(), strict=True):
+                if not known:
+                    continue
                 if started is not None and at > started + most:
+                    if what not in (start, end):
+                        continue
                     out.append((k[0], started, -1, steps - same, "lost"))
                     started = None
                 if what == start:

@@ -118,6 +118,17 @@ def test_fills_are_announced_once(spark, tmp_path):
     assert run((3, "a", 24 * 9), (1, "a", 24 * 20)) == [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, "a")]  # beyond the horizon an id is new
 
 
+@pytest.mark.parametrize("kind", ["click", None])
+def test_other_events_do_not_lose_a_run(spark, tmp_path, kind):
+    rows = [(0, 1, "signup", at(0.0)), (1, 1, kind, at(1.0)), (2, 2, "signup", at(87.5)), (3, 2, "click", at(90.0)), (4, 2, kind, at(99.8)), (5, 3, "view", at(100.0)), (6, 4, "signup", at(86.9)), (7, 4, "click", at(99.7))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["r4_runs_in_flight"](spark, str(tmp_path)).select("user_id", "started_at", "ended_at", "steps", "state").collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"SELECT user_id, started_at, ended_at, steps, state FROM ({catalog.ORACLES['r4_runs_in_flight']}) x").fetchall())
+    assert [(r[0], r[3]) for r in got] == [(1, 0 if kind is None else 1), (4, 0)]  # the run of 2 is in flight
+
+
 @pytest.mark.parametrize("name", ["r4_runs_in_flight"])
 def test_runs_of_a_log_over_months(spark, tmp_path, name):
     rnd, kinds = random.Random(9), ["signup", "purchase", "click", "view"]
