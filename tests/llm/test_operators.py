@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronolake.llm import chat, decontaminate, imatch, jaccard, langid, pack, pii, substring, token_file, toxicity
 from chronolake.llm.components import components
-from chronolake.llm.suffix_array import suffix_array, suffix_arrays
+from chronolake.llm.suffix_array import sorted_suffixes, suffix_array, suffix_arrays
 from chronolake.llm.tokens import ids_of
 
 from .helpers import SCHEMA, corpus, rows
@@ -196,6 +196,26 @@ def test_suffix_arrays(letters):
             assert order[: len(text)].tolist() == expected == suffix_array(text)
 
 
+def test_suffixes_of_texts_in_a_row():
+    rng = np.random.default_rng(1)
+    texts = [[*rng.integers(1, letters, n).tolist(), 0] for letters, n in [(2, 300), (2, 0), (256, 90), (3, 7), (5, 40), (2, 1)] * 9]
+    begins = np.cumsum([0, *map(len, texts)])
+    order = sorted_suffixes(np.array([x for text in texts for x in text], np.int16), np.diff(begins))
+    for text, begin in zip(texts, begins, strict=False):
+        assert (order[begin : begin + len(text)] - begin).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_anchors_of_all_sizes_are_sorted_together(monkeypatch):
+    calls, rng = [], np.random.default_rng(2)
+    monkeypatch.setattr(substring, "sorted_suffixes", lambda letters, length: calls.append(len(length)) or sorted_suffixes(letters, length))
+    sorter, own = substring._Sorter(), lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    for size in range(60, 200, 20):
+        one = own(size)
+        sorter.add([(b"a%d" % size, one, 1), (b"b%d" % size, own(9) + one[5:], 2)])
+    sorter.sort()
+    assert calls == [7] and sorted(sorter.out) == sorted((b"b%d" % size, 2, 9, size - 5 + 9 - 49) for size in range(60, 200, 20))
+
+
 def removed(docs):
     seen, out = {}, {}
     for doc, text in sorted(docs):
